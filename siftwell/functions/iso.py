@@ -7,13 +7,12 @@ still hold values that fall into no time bucket.
 
 Parsing normalises the day of month the way the reference's date functions do:
 ``2020-02-30`` is 1 March 2020. Spark's own casts give NULL there.
+
+Functions take and return SQL text, so an expression over many columns is built in one call.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The patterns that decide whether text is a date.
 ISO_PREFIX = r"^\d{4}-\d{2}-\d{2}"
 TIME_PART = r"[T ]\d{2}:\d{2}"
@@ -26,45 +25,38 @@ ISO_OFFSET = r"([+-])(\d{2}):(\d{2})\s*$"
 SECONDS_PER_DAY = 86400
 
 
-def looks_like_date(value: Column) -> Column:
-    return value.rlike(ISO_PREFIX)
+def looks_like_date(value: str) -> str:
+    return f"{value} RLIKE r'{ISO_PREFIX}'"
 
 
-def has_time_part(value: Column) -> Column:
-    return value.rlike(TIME_PART)
+def has_time_part(value: str) -> str:
+    return f"{value} RLIKE r'{TIME_PART}'"
 
 
-def _digits(value: Column, start: int, length: int) -> Column:
-    return F.coalesce(F.substring(value, start, length).try_cast("int"), F.lit(0))
+def _digits(value: str, start: int, length: int) -> str:
+    return f"coalesce(try_cast(substring({value}, {start}, {length}) AS int), 0)"
 
 
-def iso_seconds(value: Column) -> Column:
+def iso_seconds(value: str) -> str:
     """Seconds since 1970-01-01 of an ISO text value, NULL when it does not parse."""
     month, day = _digits(value, 6, 2), _digits(value, 9, 2)
     hour, minute = _digits(value, 12, 2), _digits(value, 15, 2)
-    second = F.when(F.substring(value, 17, 1) == ":", _digits(value, 18, 2)).otherwise(F.lit(0))
+    second = f"if(substring({value}, 17, 1) = ':', {_digits(value, 18, 2)}, 0)"
     valid = (
-        value.rlike(ISO_WHOLE)
-        & month.between(1, 12)
-        & day.between(1, 31)
-        & (hour <= 24)
-        & (minute <= 59)
-        & (second <= 59)
+        f"{value} RLIKE r'{ISO_WHOLE}' AND {month} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31 "
+        f"AND {hour} <= 24 AND {minute} <= 59 AND {second} <= 59"
+    )
+    days = f"CAST(unix_date(make_date({_digits(value, 1, 4)}, {month}, 1)) + {day} - 1 AS bigint)"
+    sign = f"if(regexp_extract({value}, r'{ISO_OFFSET}', 1) = '-', -1, 1)"
+    parts = [f"coalesce(try_cast(regexp_extract({value}, r'{ISO_OFFSET}', {i}) AS int), 0)" for i in (2, 3)]
+    # The day of a plain date also reads like an offset; a time must come before one.
+    offset = f"if({value} RLIKE r'{TIME_PART}.*{ISO_OFFSET}', {sign} * ({parts[0]} * 3600 + {parts[1]} * 60), 0)"
+    return (
+        f"CASE WHEN {valid} THEN {days} * {SECONDS_PER_DAY} "
+        f"+ {hour} * 3600 + {minute} * 60 + {second} - {offset} END"
     )
-    first_of_month = F.unix_date(F.make_date(_digits(value, 1, 4), month, F.lit(1)))
-    # A time is present exactly when the value goes on after the ten date characters.
-    offset = F.when(
-        (F.length(value) > 16) & value.rlike(TIME_PART + r".*" + ISO_OFFSET),
-        F.when(F.regexp_extract(value, ISO_OFFSET, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-        * (
-            F.regexp_extract(value, ISO_OFFSET, 2).try_cast("int") * 3600
-            + F.regexp_extract(value, ISO_OFFSET, 3).try_cast("int") * 60
-        ),
-    ).otherwise(F.lit(0))
-    days = (first_of_month + day - 1).cast("bigint")
-    return F.when(valid, days * SECONDS_PER_DAY + hour * 3600 + minute * 60 + second - offset)
-
-
-def iso_day(value: Column) -> Column:
+
+
+def iso_day(value: str) -> str:
     """Day number since 1970-01-01 of an ISO text value."""
-    return F.floor(iso_seconds(value) / SECONDS_PER_DAY).cast("int")
+    return f"CAST(floor(({iso_seconds(value)}) / {SECONDS_PER_DAY}) AS int)"

@@ -8,6 +8,8 @@ the *values* then refine it (text that is all ISO dates, integers that are only
 class, so a text value is classed by how it reads: integer, real, boolean, date (with or
 without time) or text. OR-ing the bits over a column gives, in one aggregate and without a
 distinct count, both how many types the column mixes and whether it is all dates.
+
+Expressions are SQL text over the text of their operands.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.iso import has_time_part, looks_like_date
+from siftwell.functions.names import quoted
 
 # Lexical patterns, tried in this order; anything else is text.
 INTEGER_TEXT = r"^[+-]?\d+$"
@@ -74,71 +77,65 @@ def declared_kind(declared: Column) -> Column:
     return kind
 
 
-def type_bit(value: Column) -> Column:
-    """Bit of the lexical type of a text value, NULL for NULL."""
+def _lexical_type(value: str, integer, real, date, boolean, text) -> str:
     return (
-        F.when(value.rlike(INTEGER_TEXT), F.lit(INTEGER_BIT))
-        .when(value.rlike(REAL_TEXT), F.lit(REAL_BIT))
-        .when(
-            looks_like_date(value),
-            F.when(has_time_part(value), F.lit(DATETIME_BIT)).otherwise(F.lit(DATE_BIT)),
-        )
-        .when(value.rlike(BOOLEAN_TEXT), F.lit(BOOLEAN_BIT))
-        .when(value.isNotNull(), F.lit(TEXT_BIT))
+        f"CASE WHEN {value} RLIKE r'{INTEGER_TEXT}' THEN {integer} "
+        f"WHEN {value} RLIKE r'{REAL_TEXT}' THEN {real} "
+        f"WHEN {looks_like_date(value)} THEN {date} "
+        f"WHEN {value} RLIKE r'{BOOLEAN_TEXT}' THEN {boolean} "
+        f"WHEN {value} IS NOT NULL THEN {text} END"
     )
 
 
-def type_name(value: Column) -> Column:
+def type_bit(value: str) -> str:
+    """Bit of the lexical type of a text value, NULL for NULL."""
+    date = f"if({has_time_part(value)}, {DATETIME_BIT}, {DATE_BIT})"
+    return _lexical_type(value, INTEGER_BIT, REAL_BIT, date, BOOLEAN_BIT, TEXT_BIT)
+
+
+def type_name(value: str) -> str:
     """Name of the lexical type of a text value; dates with and without time are one."""
-    return (
-        F.when(value.rlike(INTEGER_TEXT), F.lit("integer"))
-        .when(value.rlike(REAL_TEXT), F.lit("real"))
-        .when(looks_like_date(value), F.lit("date"))
-        .when(value.rlike(BOOLEAN_TEXT), F.lit("boolean"))
-        .when(value.isNotNull(), F.lit("text"))
-    )
+    return _lexical_type(value, "'integer'", "'real'", "'date'", "'boolean'", "'text'")
 
 
-def type_count(mask: Column) -> Column:
+def type_count(mask: str) -> str:
     """Number of types in an OR of ``type_bit``; both date bits are one type."""
-    dates = F.when(mask.bitwiseAND(DATE_BIT | DATETIME_BIT) != 0, F.lit(1)).otherwise(F.lit(0))
-    others = F.bit_count(mask.bitwiseAND(INTEGER_BIT | REAL_BIT | BOOLEAN_BIT | TEXT_BIT))
-    return F.coalesce((dates + others).cast("int"), F.lit(0))
+    others = INTEGER_BIT | REAL_BIT | BOOLEAN_BIT | TEXT_BIT
+    dates = DATE_BIT | DATETIME_BIT
+    return f"coalesce(if({mask} & {dates} != 0, 1, 0) + bit_count({mask} & {others}), 0)"
 
 
-def text_kind(mask: Column) -> Column:
+def text_kind(mask: str) -> str:
     """text, or date/datetime when every value of the column looks like a date."""
-    only_dates = mask.bitwiseAND(DATE_BIT | DATETIME_BIT) == mask
+    only_dates = f"{mask} & {DATE_BIT | DATETIME_BIT} = {mask}"
     return (
-        F.when(only_dates & (mask.bitwiseAND(DATETIME_BIT) != 0), F.lit("datetime"))
-        .when(only_dates, F.lit("date"))
-        .otherwise(F.lit("text"))
+        f"CASE WHEN {only_dates} AND {mask} & {DATETIME_BIT} != 0 THEN 'datetime' "
+        f"WHEN {only_dates} THEN 'date' ELSE 'text' END"
     )
 
 
-def untyped_kind(mask: Column) -> Column:
+def untyped_kind(mask: str) -> str:
     """Kind of a column without a declared type, from the types of all its values."""
     return (
-        F.when(mask == INTEGER_BIT, F.lit("integer"))
-        .when(mask.bitwiseAND(INTEGER_BIT | REAL_BIT) == mask, F.lit("real"))
-        .when(mask.isNull(), F.lit("unknown"))
-        .otherwise(text_kind(mask))
+        f"CASE WHEN {mask} IS NULL THEN 'unknown' WHEN {mask} = {INTEGER_BIT} THEN 'integer' "
+        f"WHEN {mask} & {INTEGER_BIT | REAL_BIT} = {mask} THEN 'real' ELSE {text_kind(mask)} END"
     )
 
 
-def clean(value: Column, data_type: T.DataType) -> Column:
+def clean(name: str, data_type: T.DataType) -> str:
     """A column's value as the profile counts it.
 
     NaN counts as NULL and ``-0.0`` as ``0.0``; integral types widen to BIGINT and floating
     ones to DOUBLE so columns of one class can share an unpivot.
     """
+    value = quoted(name)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        number = value.cast("double")
-        return F.when(~F.isnan(number), number + F.lit(0.0))
+        number = f"CAST({value} AS double)"
+        return f"if(isnan({number}), NULL, {number} + 0.0D)"
     if isinstance(data_type, T.IntegralType):
-        return value.cast("bigint")
+        return f"CAST({value} AS bigint)"
     if isinstance(data_type, (T.CharType, T.VarcharType)):
-        return value.cast("string")
+        return f"CAST({value} AS string)"
     return value
 
 

@@ -6,21 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def plain_number(value: Column) -> Column:
-    """A double as text without exponent or trailing zeros: 10000000, 0.25, -3."""
-    text = value.cast("string")
-    size = F.abs(value)
-    large = F.when(size < 1e27, value).cast("decimal(38,10)").cast("string")
-    small = F.when(size < 1, value).cast("decimal(38,30)").cast("string")
+def plain_number(value: str) -> str:
+    """A double as text without exponent or trailing zeros: 10000000, 0.25, -3.
+
+    SQL text over the text of a double expression.
+    """
+    size = f"abs({value})"
     return (
-        F.when((size >= 1e7) & (size < 1e27), _strip_zeros(large))
-        .when((size < 1e-3) & (size >= 1e-6), _strip_zeros(small))
-        .otherwise(F.regexp_replace(text, r"\.0$", ""))
+        f"CASE WHEN {size} >= 1e7D AND {size} < 1e27D "
+        f"THEN {_strip_zeros(f'CAST(CAST({value} AS decimal(38,10)) AS string)')} "
+        f"WHEN {size} < 1e-3D AND {size} >= 1e-6D "
+        f"THEN {_strip_zeros(f'CAST(CAST({value} AS decimal(38,30)) AS string)')} "
+        f"ELSE regexp_replace(CAST({value} AS string), r'\\.0$', '') END"
     )
 
 
-def _strip_zeros(text: Column) -> Column:
-    return F.regexp_replace(text, r"\.?0+$", "")
+def _strip_zeros(text: str) -> str:
+    return f"regexp_replace({text}, r'\\.?0+$', '')"
 
 
 def grouped_number(value: Column) -> Column:

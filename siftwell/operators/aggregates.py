@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.kinds import clean, kind_of_type, type_bit, value_class
 from siftwell.functions.labels import plain_number
-from siftwell.functions.names import column
 
 GROUP_WIDTH = 24
 
@@ -37,6 +36,11 @@ AGGREGATE_FIELDS = {
 }
 
 
+def text_literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def column_aggregates(df: DataFrame) -> DataFrame:
     """Row count, non-null count, range, mean, text lengths and value types per column."""
     fields = list(enumerate(df.schema.fields))
@@ -48,82 +52,85 @@ def column_aggregates(df: DataFrame) -> DataFrame:
 
 def _aggregate_group(df: DataFrame, fields) -> DataFrame:
     plans = [(ordinal, field, _measures(field)) for ordinal, field in fields]
-    measures = [m.alias(f"{name}_{ordinal}") for ordinal, _, ms in plans for name, m in ms.items()]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *measures)
-    return row.select(F.inline(F.array(*[_long_row(ordinal, field, ms) for ordinal, field, ms in plans])))
+    measures = [f"{m} AS {name}_{ordinal}" for ordinal, _, ms in plans for name, m in ms.items()]
+    row = df.selectExpr("count(1) AS rows", *measures)
+    return long_rows(row, [_long_row(ordinal, field, ms) for ordinal, field, ms in plans], AGGREGATE_FIELDS)
+
+
+def long_rows(row: DataFrame, rows: list[dict[str, str]], fields: dict[str, str]) -> DataFrame:
+    """A one-row aggregate as one row per column; ``rows`` gives the expressions of each."""
+    structs = [
+        "struct(" + ", ".join(f"CAST({values[name]} AS {t}) AS `{name}`" for name, t in fields.items()) + ")"
+        for values in rows
+    ]
+    return row.select(F.expr(f"inline(array({', '.join(structs)}))"))
 
 
-def _measures(field: T.StructField) -> dict[str, Column]:
+def _measures(field: T.StructField) -> dict[str, str]:
     """The aggregates a column needs, by its type."""
-    value = clean(column(field.name), field.dataType)
-    measures = {"count": F.count(value)}
+    value = clean(field.name, field.dataType)
+    measures = {"count": f"count({value})"}
     kind = kind_of_type(field.dataType)
+    if kind == "boolean":
+        return measures | {"min": f"min(CAST({value} AS int))", "max": f"max(CAST({value} AS int))"}
+    if value_class(field.dataType) is not None:
+        # Of binary and nested values, extremes only tell whether the column is constant.
+        measures |= {"min": f"min({value})", "max": f"max({value})"}
     if kind in ("integer", "real"):
-        measures |= {"min": F.min(value), "max": F.max(value), "avg": F.avg(value.cast("double"))}
-    elif kind in ("date", "datetime"):
-        measures |= {"min": F.min(value), "max": F.max(value)}
-    elif kind == "boolean":
-        measures |= {"min": F.min(value.cast("int")), "max": F.max(value.cast("int"))}
+        measures["avg"] = f"avg(CAST({value} AS double))"
     elif kind == "text":
         measures |= {
-            "min": F.min(value),
-            "max": F.max(value),
-            "min_len": F.min(F.length(value)),
-            "max_len": F.max(F.length(value)),
-            "mask": F.bit_or(type_bit(value)),
+            "min_len": f"min(length({value}))",
+            "max_len": f"max(length({value}))",
+            "mask": f"bit_or({type_bit(value)})",
         }
-    elif value_class(field.dataType) is not None:
-        # Binary and nested values: only compared with each other, to tell a constant column.
-        measures |= {"min": F.min(value), "max": F.max(value)}
     return measures
 
 
-def _long_row(ordinal: int, field: T.StructField, measures: dict[str, Column]) -> Column:
-    def ref(name: str) -> Column:
-        return F.col(f"{name}_{ordinal}") if name in measures else F.lit(None)
+def _long_row(ordinal: int, field: T.StructField, measures: dict[str, str]) -> dict[str, str]:
+    def ref(name: str) -> str:
+        return f"{name}_{ordinal}" if name in measures else "NULL"
 
-    kind = kind_of_type(field.dataType)
-    numeric = kind in ("integer", "real", "boolean")
+    numeric = kind_of_type(field.dataType) in ("integer", "real", "boolean")
     low, high = ref("min"), ref("max")
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        low_text, high_text = plain_number(low), plain_number(high)
+        texts = plain_number(low), plain_number(high)
     elif isinstance(field.dataType, T.BinaryType):
-        low_text, high_text = F.hex(low), F.hex(high)
+        texts = f"hex({low})", f"hex({high})"
     else:
-        low_text, high_text = low.cast("string"), high.cast("string")
-    values = {
-        "ordinal": F.lit(ordinal),
-        "column": F.lit(field.name),
-        "row_count": F.col("rows"),
+        texts = low, high
+    return {
+        "ordinal": str(ordinal),
+        "column": text_literal(field.name),
+        "row_count": "rows",
         "count": ref("count"),
         "type_mask": ref("mask"),
-        "min_text": low_text,
-        "max_text": high_text,
-        "min_num": low if numeric else F.lit(None),
-        "max_num": high if numeric else F.lit(None),
+        "min_text": texts[0],
+        "max_text": texts[1],
+        "min_num": low if numeric else "NULL",
+        "max_num": high if numeric else "NULL",
         "avg": ref("avg"),
         "min_len": ref("min_len"),
         "max_len": ref("max_len"),
     }
-    return F.struct(*[values[name].cast(t).alias(name) for name, t in AGGREGATE_FIELDS.items()])
 
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Rows, non-null values, nulls and null fraction of every column."""
-    counts = [F.count(clean(column(f.name), f.dataType)).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *counts)
-    nulls = [F.col("rows") - F.col(f"c{i}") for i in range(len(counts))]
+    fields = df.schema.fields
+    counts = [f"count({clean(f.name, f.dataType)}) AS c{i}" for i, f in enumerate(fields)]
     rows = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.col("rows").alias("row_count"),
-            F.col(f"c{i}").alias("count"),
-            nulls[i].alias("null_count"),
-            F.when(F.col("rows") > 0, nulls[i] / F.col("rows")).otherwise(F.lit(0.0)).alias("null_fraction"),
-        )
-        for i, f in enumerate(df.schema.fields)
+        {
+            "column": text_literal(f.name),
+            "row_count": "rows",
+            "count": f"c{i}",
+            "null_count": f"rows - c{i}",
+            "null_fraction": f"CASE WHEN rows > 0 THEN (rows - c{i}) / rows ELSE 0 END",
+        }
+        for i, f in enumerate(fields)
     ]
-    return row.select(F.inline(F.array(*rows)))
+    types = {"column": "string", "row_count": "bigint", "count": "bigint", "null_count": "bigint", "null_fraction": "double"}
+    return long_rows(df.selectExpr("count(1) AS rows", *counts), rows, types)
 
 
 def approx_distinct(df: DataFrame, relative_error: float = 0.02) -> DataFrame:
@@ -133,13 +140,8 @@ def approx_distinct(df: DataFrame, relative_error: float = 0.02) -> DataFrame:
     sketch per task and column.
     """
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    row = df.agg(
-        *[
-            F.approx_count_distinct(clean(column(f.name), f.dataType), relative_error).alias(f"d{i}")
-            for i, f in enumerate(fields)
-        ]
-    )
-    rows = [
-        F.struct(F.lit(f.name).alias("column"), F.col(f"d{i}").alias("distinct_count")) for i, f in enumerate(fields)
+    sketches = [
+        f"approx_count_distinct({clean(f.name, f.dataType)}, {relative_error}D) AS d{i}" for i, f in enumerate(fields)
     ]
-    return row.select(F.inline(F.array(*rows)))
+    rows = [{"column": text_literal(f.name), "distinct_count": f"d{i}"} for i, f in enumerate(fields)]
+    return long_rows(df.selectExpr(*sketches), rows, {"column": "string", "distinct_count": "bigint"})

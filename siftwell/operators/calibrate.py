@@ -29,7 +29,7 @@ def calibrate(profile: DataFrame) -> DataFrame:
     exact, sampled = F.col("exact_count"), F.col("count")
     scale = F.when(approx & (sampled > 0), exact / sampled).when(approx, F.lit(0.0)).otherwise(F.lit(1.0))
     near_unique = (sampled > 0) & is_near_unique(F.col("distinct_count"), sampled)
-    exact_types = storage_types(F.col("base_kind"), exact, F.col("exact_mask"))
+    exact_types = storage_types("base_kind", "exact_count", "exact_mask")
     constant = (F.col("exact_min_text") == F.col("exact_max_text")) & (exact_types == 1)
     distinct = (
         F.when(exact == 0, F.lit(0))

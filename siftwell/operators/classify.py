@@ -54,16 +54,16 @@ FACT_FIELDS = {
 }
 
 
-def storage_types(kind: Column, count: Column, mask: Column) -> Column:
+def storage_types(kind: str, count: str, mask: str) -> Column:
     """Types mixed in a column: by reading for text, at most one for typed columns."""
-    return F.when(kind == "text", type_count(mask)).otherwise(F.when(count > 0, F.lit(1)).otherwise(F.lit(0)))
+    return F.expr(f"CASE WHEN {kind} = 'text' THEN {type_count(mask)} WHEN {count} > 0 THEN 1 ELSE 0 END")
 
 
 def refined_kind() -> Column:
     """Kind after the values are known: all-ISO text is a date, 0/1 integers are boolean."""
     zero_or_one = F.col("distinct_count").between(1, 2) & (F.col("min_num") >= 0) & (F.col("max_num") <= 1)
     return (
-        F.when((F.col("base_kind") == "text") & (F.col("count") > 0), text_kind(F.col("type_mask")))
+        F.when((F.col("base_kind") == "text") & (F.col("count") > 0), F.expr(text_kind("type_mask")))
         .when((F.col("base_kind") == "integer") & zero_or_one, F.lit("boolean"))
         .otherwise(F.col("base_kind"))
     )
@@ -152,7 +152,7 @@ def classify(facts: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "null_count": F.col("row_count") - F.col("count"),
-                "storage_types": storage_types(F.col("base_kind"), F.col("count"), F.col("type_mask")),
+                "storage_types": storage_types("base_kind", "count", "type_mask"),
                 "chart": chart_choice(),
             }
         )

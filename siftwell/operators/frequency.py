@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.kinds import clean, value_class
 from siftwell.functions.labels import plain_number
-from siftwell.functions.names import column, quoted
+from siftwell.functions.names import quoted
 
 TOP_VALUES = 12
 
@@ -32,19 +32,17 @@ SUMMARY_FIELDS = {
 }
 
 
-def value_text(value: Column, data_type: T.DataType) -> Column:
+def value_text(value: str, data_type: T.DataType) -> str:
     """A value as the profile shows it."""
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return plain_number(value)
     if isinstance(data_type, T.BinaryType):
-        return F.hex(value)
-    return value.cast("string")
+        return f"hex({value})"
+    return f"CAST({value} AS string)"
 
 
-def value_number(value: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, (T.NumericType, T.BooleanType)):
-        return value.cast("double")
-    return F.lit(None).cast("double")
+def value_number(value: str, data_type: T.DataType) -> str:
+    return f"CAST({value if isinstance(data_type, (T.NumericType, T.BooleanType)) else 'NULL'} AS double)"
 
 
 def frequency_tables(df: DataFrame, names: Iterable[str] | None = None) -> list[tuple[T.DataType, DataFrame]]:
@@ -62,20 +60,14 @@ def frequency_tables(df: DataFrame, names: Iterable[str] | None = None) -> list[
 
 
 def _class_frequencies(df: DataFrame, members) -> tuple[T.DataType, DataFrame]:
-    values = [clean(column(f.name), f.dataType).alias(str(ordinal)) for ordinal, f in members]
-    projected = df.select(*values)
+    projected = df.selectExpr(*[f"{clean(f.name, f.dataType)} AS `{ordinal}`" for ordinal, f in members])
     data_type = projected.schema.fields[0].dataType
     if len(members) == 1:
-        long = projected.select(F.lit(str(members[0][0])).alias("ordinal"), F.col(f"`{members[0][0]}`").alias("value"))
+        ordinal = members[0][0]
+        long = projected.selectExpr(f"'{ordinal}' AS ordinal", f"`{ordinal}` AS value")
     else:
         long = projected.unpivot([], [quoted(c) for c in projected.columns], "ordinal", "value")
-    counted = long.where(F.col("value").isNotNull()).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
-    return data_type, counted
-
-
-def top_window(partition: str | None = "ordinal"):
-    order = [F.desc("n"), F.asc("value")]
-    return Window.partitionBy(partition).orderBy(*order)
+    return data_type, long.where("value IS NOT NULL").groupBy("ordinal", "value").agg(F.expr("count(1) AS n"))
 
 
 def frequency_summary(
@@ -96,20 +88,22 @@ def frequency_summary(
     parts = []
     for data_type, counted in frequency_tables(df, [n for n in names if n not in unique]):
         # The sum keeps ``n`` alive here so both branches share one exchange.
-        totals = counted.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("n"))
+        totals = counted.groupBy("ordinal").agg(F.expr("count(1) AS distinct"), F.expr("sum(n) AS n"))
         parts.append(
-            totals.select(
-                F.col("ordinal").cast("int").alias("ordinal"),
-                F.lit(0).alias("rank"),
-                F.lit(None).cast("string").alias("value"),
-                F.lit(None).cast("double").alias("value_num"),
-                F.col("n").alias("value_count"),
-                F.col("distinct").alias("distinct_count"),
+            totals.selectExpr(
+                "CAST(ordinal AS int) AS ordinal",
+                "0 AS rank",
+                "CAST(NULL AS string) AS value",
+                "CAST(NULL AS double) AS value_num",
+                "n AS value_count",
+                "distinct AS distinct_count",
             )
         )
         if isinstance(data_type, (T.ArrayType, T.StructType)):
             continue  # counted, never shown
-        ranked = counted.withColumn("rank", F.row_number().over(top_window())).where(F.col("rank") <= top)
+        ranked = counted.selectExpr(
+            "*", "row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, value ASC) AS rank"
+        ).where(f"rank <= {top}")
         parts.append(_top_rows(ranked, data_type))
     for name in names:
         if name in unique:
@@ -121,28 +115,25 @@ def frequency_summary(
 
 
 def _top_rows(ranked: DataFrame, data_type: T.DataType) -> DataFrame:
-    value = F.col("value")
-    return ranked.select(
-        F.col("ordinal").cast("int").alias("ordinal"),
-        F.col("rank").cast("int").alias("rank"),
-        value_text(value, data_type).alias("value"),
-        value_number(value, data_type).alias("value_num"),
-        F.col("n").alias("value_count"),
-        F.lit(None).cast("bigint").alias("distinct_count"),
+    return ranked.selectExpr(
+        "CAST(ordinal AS int) AS ordinal",
+        "CAST(rank AS int) AS rank",
+        f"{value_text('value', data_type)} AS value",
+        f"{value_number('value', data_type)} AS value_num",
+        "n AS value_count",
+        "CAST(NULL AS bigint) AS distinct_count",
     )
 
 
 def _first_values(df: DataFrame, name: str, top: int) -> DataFrame:
     """First values in order of a unique column: a bounded heap per task, no grouping."""
-    ordinal = df.columns.index(name)
-    field = df.schema[name]
-    value = clean(column(name), field.dataType)
-    first = df.select(value.alias("value")).where(F.col("value").isNotNull()).orderBy("value").limit(top)
-    ranked = first.select(
-        F.lit(ordinal).alias("ordinal"),
+    value = clean(name, df.schema[name].dataType)
+    first = df.selectExpr(f"{value} AS value").where("value IS NOT NULL").orderBy("value").limit(top)
+    ranked = first.selectExpr(
+        f"{df.columns.index(name)} AS ordinal",
         "value",
-        F.lit(1).cast("bigint").alias("n"),
-        F.row_number().over(Window.orderBy("value")).alias("rank"),  # over at most ``top`` rows
+        "1L AS n",
+        "row_number() OVER (ORDER BY value) AS rank",  # over at most ``top`` rows
     )
     return _top_rows(ranked, first.schema["value"].dataType)
 
@@ -157,8 +148,8 @@ def distinct_counts(df: DataFrame, names: Sequence[str] | None = None, unique: I
         for _, counted in frequency_tables(df, [n for n in names if n not in unique])
     ]
     parts += [
-        df.agg(F.count(clean(column(n), df.schema[n].dataType)).alias("distinct_count")).select(
-            F.lit(str(df.columns.index(n))).alias("ordinal"), "distinct_count"
+        df.selectExpr(f"count({clean(n, df.schema[n].dataType)}) AS distinct_count").selectExpr(
+            f"'{df.columns.index(n)}' AS ordinal", "distinct_count"
         )
         for n in unique
     ]
@@ -179,10 +170,10 @@ def top_values(
 
 def most_frequent(df: DataFrame, name: str, top: int = 30) -> DataFrame:
     """The most frequent non-null values of one column, in their own type."""
-    value = clean(column(name), df.schema[name].dataType)
+    value = clean(name, df.schema[name].dataType)
     return (
-        df.select(value.alias("value"))
-        .where(F.col("value").isNotNull())
+        df.selectExpr(f"{value} AS value")
+        .where("value IS NOT NULL")
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("value_count"))
         .orderBy(F.desc("value_count"), F.asc("value"))

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from siftwell.functions.iso import SECONDS_PER_DAY, iso_day, iso_seconds
 from siftwell.functions.kinds import clean
 from siftwell.functions.labels import grouped_number
-from siftwell.functions.names import column, quoted
+from siftwell.functions.names import quoted
+from siftwell.plans.local import local_frame
 
 # Fixed values.
 BINS = 24
@@ -60,30 +61,31 @@ def date_grain(span_days: Column) -> Column:
     )
 
 
-def day_of(value: Column, data_type: T.DataType) -> Column:
-    """Day number of a date, timestamp or ISO text value."""
-    if isinstance(data_type, T.StringType):
-        return iso_day(value)
-    return F.unix_date(value.cast("date"))
+def day_of(name: str, data_type: T.DataType) -> Column:
+    """Day number of a date, timestamp or ISO text column."""
+    value = quoted(name)
+    return F.expr(iso_day(value) if isinstance(data_type, T.StringType) else f"unix_date(CAST({value} AS date))")
 
 
-def instant_of(value: Column, data_type: T.DataType) -> Column:
+def instant_of(name: str, data_type: T.DataType) -> Column:
     """Wall-clock days since 1970-01-01 with fraction, independent of the time zone."""
+    value = quoted(name)
     if isinstance(data_type, T.StringType):
-        return iso_seconds(value) / SECONDS_PER_DAY
+        return F.expr(f"({iso_seconds(value)}) / {SECONDS_PER_DAY}")
     if isinstance(data_type, T.DateType):
-        return F.unix_date(value).cast("double")
-    clock = F.hour(value) * 3600 + F.minute(value) * 60 + F.extract(F.lit("SECOND"), value).cast("double")
-    return F.unix_date(value.cast("date")) + clock / SECONDS_PER_DAY
+        return F.expr(f"CAST(unix_date({value}) AS double)")
+    clock = f"hour({value}) * 3600 + minute({value}) * 60 + CAST(extract(SECOND FROM {value}) AS double)"
+    return F.expr(f"unix_date(CAST({value} AS date)) + ({clock}) / {SECONDS_PER_DAY}")
 
 
-def numeric_bin(value: Column, data_type: T.DataType, bins: NumericBins) -> Column:
+def numeric_bin(data_type: T.DataType, bins: NumericBins) -> Column:
     """Index of the bin of a value; the maximum falls into the last bin."""
+    value = clean(bins.name, data_type)
     if isinstance(data_type, T.IntegralType) and bins.high - bins.low <= LONG_RANGE:
         # Subtract as integers: beyond 2^53 neighbours are equal as doubles.
-        offset = (clean(value, data_type) - F.lit(int(bins.low)).cast("bigint")).cast("double")
+        offset = F.expr(f"CAST({value} - CAST('{int(bins.low)}' AS bigint) AS double)")
     else:
-        offset = clean(value, data_type).cast("double") - F.lit(float(bins.low))
+        offset = F.expr(f"CAST({value} AS double)") - F.lit(float(bins.low))
     index = F.floor(offset * BINS / F.lit(bins.width))
     return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), index)).cast("int")
 
@@ -113,11 +115,10 @@ def bin_counts(df: DataFrame, specs: Sequence[NumericBins | DateBuckets]) -> Dat
     indexes = []
     for spec in specs:
         data_type = df.schema[spec.name].dataType
-        value = column(spec.name)
         index = (
-            numeric_bin(value, data_type, spec)
+            numeric_bin(data_type, spec)
             if isinstance(spec, NumericBins)
-            else bucket_of_day(day_of(value, data_type), spec.grain)
+            else bucket_of_day(day_of(spec.name, data_type), spec.grain)
         )
         indexes.append(index.alias(str(df.columns.index(spec.name))))
     projected = df.select(*indexes)
@@ -186,13 +187,15 @@ def date_frame(counts: DataFrame, grains: DataFrame, key: Sequence[str]) -> Data
 def numeric_histogram(df: DataFrame, name: str) -> DataFrame:
     """Equal-width histogram of a numeric column; no rows when it has no finite range."""
     spark = df.sparkSession
-    value = clean(column(name), df.schema[name].dataType)
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    value = clean(name, df.schema[name].dataType)
+    low, high = df.selectExpr(f"min({value})", f"max({value})").first()
     if not is_finite_range(low, high):
         return spark.createDataFrame([], "bin int, lo double, hi double, count bigint, label string")
     counts = bin_counts(df, [NumericBins(name, low, high)])
-    bounds = spark.range(1).select(
-        F.lit(df.columns.index(name)).alias("ordinal"), F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi")
+    bounds = local_frame(
+        spark,
+        [{"ordinal": df.columns.index(name), "lo": float(low), "hi": float(high)}],
+        {"ordinal": "int", "lo": "double", "hi": "double"},
     )
     return numeric_frame(counts, bounds, ["ordinal"]).select("bin", "lo", "hi", "count", "label")
 
@@ -203,12 +206,14 @@ def date_histogram(df: DataFrame, name: str, grain: str | None = None) -> DataFr
     schema = "bin int, label string, count bigint, date_fmt string"
     data_type = df.schema[name].dataType
     if grain is None:
-        instant = instant_of(column(name), data_type)
+        instant = instant_of(name, data_type)
         grain = df.agg((F.max(instant) - F.min(instant)).alias("span")).select(date_grain(F.col("span"))).first()[0]
     if grain is None:
         return spark.createDataFrame([], schema)
     counts = bin_counts(df, [DateBuckets(name, grain)])
-    grains = spark.range(1).select(F.lit(df.columns.index(name)).alias("ordinal"), F.lit(grain).alias("grain"))
+    grains = local_frame(
+        spark, [{"ordinal": df.columns.index(name), "grain": grain}], {"ordinal": "int", "grain": "string"}
+    )
     return date_frame(counts, grains, ["ordinal"]).select("bin", "label", "count", "date_fmt")
 
 

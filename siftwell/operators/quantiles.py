@@ -51,7 +51,7 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], rank_limit:
     text and, for numbers, as a double. Columns without values give no rows.
     """
     names = list(wanted)
-    values = df.select(*[_sortable(column(n), df.schema[n].dataType).alias(n) for n in names])
+    values = df.select(*[_sortable(n, df.schema[n].dataType).alias(n) for n in names])
     searches = _start(values, wanted)
     open_ = [s for s in searches if s.low != s.high and s.rows > rank_limit]
     while open_:
@@ -78,11 +78,11 @@ def _start(values: DataFrame, wanted: Mapping[str, Sequence[float]]) -> list[_Se
     return searches
 
 
-def _sortable(value: Column, data_type: T.DataType) -> Column:
+def _sortable(name: str, data_type: T.DataType) -> Column:
     """Timestamps are searched as wall-clock time, which reads back the same in any zone."""
     if isinstance(data_type, T.TimestampType):
-        return value.cast("timestamp_ntz")
-    return clean(value, data_type)
+        return column(name).cast("timestamp_ntz")
+    return F.expr(clean(name, data_type))
 
 
 def _literal(value) -> Column:

@@ -105,7 +105,7 @@ def bucket_rows(df: DataFrame, name: str, date_format: str, label: str, limit: i
     following = F.date_add(first, 1) if grain == "day" else (first + step[grain]).cast("date")
     data_type = df.schema[name].dataType
     if isinstance(data_type, T.StringType):
-        day = day_of(column(name), data_type)
+        day = day_of(name, data_type)
         condition = (day >= F.unix_date(first)) & (day < F.unix_date(following))
     else:
         value = column(name)

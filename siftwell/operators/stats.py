@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from siftwell.functions.iso import iso_seconds
 from siftwell.functions.kinds import clean
 from siftwell.functions.labels import percent, span_label
-from siftwell.functions.names import column
+from siftwell.functions.names import quoted
 from siftwell.operators.histogram import day_of, instant_of
 from siftwell.operators.quantiles import quantiles
 
@@ -22,7 +22,7 @@ QUARTILES = (0.25, 0.5, 0.75)
 def _per_column(df: DataFrame, names: Sequence[str], measures: dict) -> DataFrame:
     """One aggregate for all columns, one result row per column."""
     aggregates = [
-        measure(clean(column(n), df.schema[n].dataType)).alias(f"{key}{i}")
+        measure(F.expr(clean(n, df.schema[n].dataType))).alias(f"{key}{i}")
         for i, n in enumerate(names)
         for key, measure in measures.items()
     ]
@@ -73,20 +73,20 @@ def date_median(df: DataFrame, name: str) -> DataFrame:
     data_type = df.schema[name].dataType
     if not isinstance(data_type, T.StringType):
         return quantiles(df, {name: (0.5,)})
-    seconds = df.select(iso_seconds(column(name)).alias(name))
+    seconds = df.select(F.expr(iso_seconds(quoted(name))).alias(name))
     moment = F.timestamp_seconds(F.col("value_num")).cast("string")
     return quantiles(seconds, {name: (0.5,)}).withColumn("value", moment).withColumn("value_num", F.lit(None))
 
 
 def distinct_days(df: DataFrame, name: str) -> DataFrame:
     """Number of different calendar days."""
-    day = day_of(column(name), df.schema[name].dataType)
+    day = day_of(name, df.schema[name].dataType)
     return df.agg(F.count_distinct(day).alias("distinct_days"))
 
 
 def time_span(df: DataFrame, name: str) -> DataFrame:
     """Days between the first and the last moment, with a label."""
-    moment = instant_of(column(name), df.schema[name].dataType)
+    moment = instant_of(name, df.schema[name].dataType)
     return df.agg((F.max(moment) - F.min(moment)).alias("span_days")).select(
         "span_days", span_label(F.col("span_days")).alias("span")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.kinds import type_bit, type_name, untyped_kind
-from siftwell.functions.names import column
+from siftwell.functions.names import column, quoted
 
 
 def text_value_types(df: DataFrame, name: str) -> DataFrame:
@@ -15,7 +15,7 @@ def text_value_types(df: DataFrame, name: str) -> DataFrame:
     value = column(name)
     return (
         df.where(value.isNotNull())
-        .groupBy(type_name(value).alias("value_type"))
+        .groupBy(F.expr(type_name(quoted(name))).alias("value_type"))
         .agg(F.count(F.lit(1)).alias("value_count"))
     )
 
@@ -55,9 +55,9 @@ def json_value_types(df: DataFrame, name: str, path: str) -> DataFrame:
 def untyped_kinds(df: DataFrame) -> DataFrame:
     """Kind of every text column judged by all its values, in one pass."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    masks = [F.bit_or(type_bit(column(n))).alias(f"m{i}") for i, n in enumerate(names)]
+    masks = [F.expr(f"bit_or({type_bit(quoted(n))})").alias(f"m{i}") for i, n in enumerate(names)]
     rows = [
-        F.struct(F.lit(n).alias("column"), untyped_kind(F.col(f"m{i}")).alias("kind")) for i, n in enumerate(names)
+        F.struct(F.lit(n).alias("column"), F.expr(untyped_kind(f"m{i}")).alias("kind")) for i, n in enumerate(names)
     ]
     return df.agg(*masks).select(F.inline(F.array(*rows)))
 

@@ -19,12 +19,11 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from siftwell.functions.iso import iso_seconds
+from siftwell.functions.iso import SECONDS_PER_DAY, iso_seconds
 from siftwell.functions.kinds import DATE_KINDS, kind_of_type
-from siftwell.functions.names import column
 from siftwell.operators import findings as findings_ops
 from siftwell.operators import ranking
 from siftwell.operators.aggregates import column_aggregates
@@ -55,8 +54,8 @@ TABLE_FIELDS = {
     "sample_rows": "bigint",
     "error": "string",
 }
-SPAN_FIELDS = {"ordinal": "int", "first_day": "double", "last_day": "double"}
-GRAIN_FIELDS = {"ordinal": "int", "grain": "string"}
+SPAN_FIELDS = {"table": "string", "ordinal": "int", "first_day": "double", "last_day": "double"}
+GRAIN_FIELDS = {"table": "string", "ordinal": "int", "grain": "string"}
 BOUND_FIELDS = {"table": "string", "ordinal": "int", "lo": "double", "hi": "double"}
 COUNT_FIELDS = {"table": "string", "ordinal": "int", "bin": "int", "n": "bigint"}
 DETAIL_KEY = ("table", "ordinal")
@@ -69,189 +68,256 @@ class ProfileOptions:
     Tables with more rows than ``sample_above`` take distinct counts, top values and
     histograms from a sample of about ``sample_size`` rows; ``sample_above=None`` profiles
     every table in full. ``sample_keys`` names columns whose hash picks the sample of a
-    table instead of a random number. ``parallel_tables`` tables are profiled at a time.
+    table instead of a random number. ``parallel_tables`` queries run at a time.
     """
 
     sample_above: int | None = 500_000
     sample_size: int = 200_000
     seed: int = 7
     sample_keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    parallel_tables: int = 4
+    parallel_tables: int = 8
 
 
 @dataclass
 class _TableResult:
-    """Metadata collected from one table."""
+    """What is known of one table: its frames while it is profiled, and collected metadata."""
 
     relation: Relation
+    df: DataFrame | None = None
+    source: DataFrame | None = None
+    held: list[DataFrame] = field(default_factory=list)
     row_count: int = 0
     column_count: int = 0
     sample_rows: int | None = None
     error: str | None = None
+    exact: list[dict] = field(default_factory=list)
+    aggregates: list[dict] = field(default_factory=list)
     facts: list[dict] = field(default_factory=list)
     top: list[dict] = field(default_factory=list)
     bounds: list[dict] = field(default_factory=list)
     grains: list[dict] = field(default_factory=list)
     counts: list[dict] = field(default_factory=list)
 
+    @property
+    def name(self) -> str:
+        return self.relation.name
 
-# -- one table ------------------------------------------------------------------------
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
 
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
 
-def _read_table(
-    dataset: Dataset, relation: Relation, options: ProfileOptions, keys: list[ResolvedKey]
-) -> _TableResult:
-    """All passes over one table. A table that cannot be read yields its error instead."""
-    result = _TableResult(relation)
-    held: list[DataFrame] = []
+    def fail(self, error: BaseException) -> None:
+        """The table is reported as unreadable, without any figures."""
+        self.release()
+        message = str(error) if isinstance(error, UnreadableTable) else first_line(error)
+        self.__dict__.update(_TableResult(self.relation, error=message).__dict__)
+
+
+class _Run:
+    """One profiling run: the same pass over all tables, then the next.
+
+    Queries are built one after the other and run side by side. A table whose query fails
+    leaves the run; the others go on.
+    """
+
+    def __init__(self, dataset: Dataset, options: ProfileOptions):
+        self.dataset = dataset
+        self.spark = dataset.spark
+        self.options = options
+        self.keys = dataset.foreign_keys()
+        self.results = [_TableResult(relation) for relation in dataset.relations()]
+
+    def run(self) -> list[_TableResult]:
+        try:
+            self._each(self._open)
+            for result, rows in self._collect(lambda r: column_aggregates(r.df) if r.df.columns else None):
+                result.exact = result.aggregates = _by_ordinal(rows)
+                result.row_count = rows[0]["row_count"]
+                result.column_count = len(rows)
+            self._each(self._take_sample)
+            for result, rows in self._collect(lambda r: column_aggregates(r.source) if r.source is not r.df else None):
+                result.aggregates = _by_ordinal(rows)
+                result.sample_rows = rows[0]["row_count"]
+            for result, rows in self._collect(self._frequencies):
+                self._add_facts(result, rows)
+            self._plan_bins()
+            for result, rows in self._collect(self._bins):
+                result.counts = [{**row.asDict(), "table": result.name} for row in rows]
+        finally:
+            for result in self.results:
+                result.release()
+        return self.results
+
+    def _readable(self) -> list[_TableResult]:
+        return [r for r in self.results if r.error is None]
+
+    def _each(self, step) -> None:
+        for result in self._readable():
+            try:
+                step(result)
+            except Exception as error:  # whatever is wrong with a table stays with the table
+                result.fail(error)
+
+    def _collect(self, build):
+        """Rows of a small frame per table; tables without one (``None``) are passed over."""
+        frames = []
+
+        def keep(result: _TableResult) -> None:
+            frame = build(result)
+            if frame is not None:
+                frames.append((result, frame))
+
+        self._each(keep)
+        with ThreadPoolExecutor(max_workers=self.options.parallel_tables) as pool:
+            outcomes = list(pool.map(lambda pair: _try_collect(pair[1]), frames))
+        for (result, _), (rows, error) in zip(frames, outcomes):
+            if error is not None:
+                result.fail(error)
+            else:
+                yield result, rows
+
+    # -- passes -----------------------------------------------------------------------
+
+    def _open(self, result: _TableResult) -> None:
+        df = self.dataset.open(result.name)
+        # A view would run its query again in every pass.
+        result.df = result.source = result.hold(df) if result.relation.type == "view" else df
+
+    def _take_sample(self, result: _TableResult) -> None:
+        options = self.options
+        if options.sample_above is None or result.row_count <= options.sample_above:
+            return
+        key = options.sample_keys.get(result.name)
+        sample = (
+            hash_sample(result.df, key, result.row_count, options.sample_size)
+            if key
+            else random_sample(result.df, result.row_count, options.sample_size, options.seed)
+        )
+        result.source = result.hold(sample)
+
+    def _constraints(self, result: _TableResult) -> Constraints:
+        return self.dataset.constraints if result.relation.type == "table" else Constraints()
+
+    def _unique(self, result: _TableResult) -> set[str]:
+        return self._constraints(result).unique_columns(result.name) & set(result.source.columns)
+
+    def _frequencies(self, result: _TableResult) -> DataFrame | None:
+        if not result.aggregates:
+            return None
+        filled = [a["column"] for a in result.aggregates if a["count"]]
+        return frequency_summary(result.source, filled, self._unique(result))
+
+    def _add_facts(self, result: _TableResult, summary: list[Row]) -> None:
+        name, constraints, unique = result.name, self._constraints(result), self._unique(result)
+        distinct = {row["ordinal"]: row["distinct_count"] for row in summary if row["rank"] == 0}
+        targets = {a: key.target for key in self.keys if key.table == name for a, _ in key.pairs}
+        declared = self.dataset.declared_types.get(name, {})
+        sampled = result.source is not result.df
+        for a in result.aggregates:
+            data_type = result.source.schema.fields[a["ordinal"]].dataType
+            fact = {
+                **a,
+                "table": name,
+                "type": result.relation.type,
+                "declared_type": declared.get(a["column"], data_type.simpleString()) or "(none)",
+                "base_kind": kind_of_type(data_type),
+                "pk": a["column"] in constraints.primary_key(name),
+                "not_null": a["column"] in constraints.not_null.get(name, ()),
+                "generated": a["column"] in constraints.generated.get(name, ()),
+                "fk": targets.get(a["column"]),
+                "is_unique": a["column"] in unique,
+                "distinct_count": a["count"] if a["column"] in unique else distinct.get(a["ordinal"], 0),
+                "has_dates": False,
+                "approx": sampled,
+            }
+            if sampled:
+                whole = result.exact[a["ordinal"]]
+                fact |= {f"exact_{k}": whole[k] for k in ("count", "min_text", "max_text", "min_num", "max_num", "avg")}
+                fact |= {"total_rows": whole["row_count"], "exact_mask": whole["type_mask"]}
+            result.facts.append(fact)
+        result.top = [{**row.asDict(), "table": name} for row in summary if row["rank"] > 0]
+
+    def _classified(self) -> DataFrame:
+        facts = [fact for result in self._readable() for fact in result.facts]
+        return classify(local_frame(self.spark, facts, FACT_FIELDS))
+
+    def _plan_bins(self) -> None:
+        """Bounds and grains of the columns whose chart is a histogram."""
+        grains = self._date_grains()
+        by_name = {result.name: result for result in self._readable()}
+        for (table, ordinal), _ in grains.items():
+            by_name[table].facts[ordinal]["has_dates"] = True
+        charts = self._classified().where("chart = 'histogram'").select("table", "ordinal", "kind")
+        for table, ordinal, kind in charts.collect():
+            result = by_name[table]
+            fact = result.facts[ordinal]
+            if kind in DATE_KINDS:
+                result.grains.append({"table": table, "ordinal": ordinal, "grain": grains[table, ordinal]})
+            else:
+                bounds = {"table": table, "ordinal": ordinal, "lo": fact["min_num"], "hi": fact["max_num"]}
+                result.bounds.append(bounds)
+
+    def _bins(self, result: _TableResult) -> DataFrame | None:
+        specs: list[NumericBins | DateBuckets] = []
+        for b in result.bounds:
+            fact = result.facts[b["ordinal"]]
+            # As text, the extremes of whole numbers are exact beyond 2^53.
+            whole = fact["base_kind"] == "integer"
+            low, high = (int(fact["min_text"]), int(fact["max_text"])) if whole else (b["lo"], b["hi"])
+            specs.append(NumericBins(fact["column"], low, high))
+        specs += [DateBuckets(result.facts[g["ordinal"]]["column"], g["grain"]) for g in result.grains]
+        return bin_counts(result.source, specs) if specs else None
+
+    def _date_grains(self) -> dict[tuple[str, int], str]:
+        """Grain of the time histogram of every column with dates.
+
+        The extremes already known give the span. Text whose first or last value in text
+        order does not parse is scanned for the first and last value that does.
+        """
+        rows = (
+            self._classified()
+            .where(F.col("kind").isin(*DATE_KINDS) & (F.col("count") > 0))
+            .selectExpr(
+                "table",
+                "ordinal",
+                f"({iso_seconds('min_text')}) / {SECONDS_PER_DAY} AS first_day",
+                f"({iso_seconds('max_text')}) / {SECONDS_PER_DAY} AS last_day",
+            )
+        )
+        spans = {(row["table"], row["ordinal"]): row.asDict() for row in rows.collect()}
+        unparsed = {k: s for k, s in spans.items() if s["first_day"] is None or s["last_day"] is None}
+
+        def scan(result: _TableResult) -> DataFrame | None:
+            moments = [
+                (o, instant_of(result.source.columns[o], result.source.schema.fields[o].dataType))
+                for table, o in unparsed
+                if table == result.name
+            ]
+            extremes = [F.min(m).alias(f"first_{o}") for o, m in moments] + [F.max(m).alias(f"last_{o}") for o, m in moments]
+            return result.source.agg(*extremes) if extremes else None
+
+        for result, found in self._collect(scan):
+            for table, o in unparsed:
+                if table == result.name:
+                    spans[table, o] |= {"first_day": found[0][f"first_{o}"], "last_day": found[0][f"last_{o}"]}
+        dated = local_frame(self.spark, spans.values(), SPAN_FIELDS)
+        grains = dated.select("table", "ordinal", date_grain(F.col("last_day") - F.col("first_day")).alias("grain"))
+        return {(row["table"], row["ordinal"]): row["grain"] for row in grains.collect() if row["grain"] is not None}
+
+
+def _by_ordinal(rows: list[Row]) -> list[dict]:
+    return sorted((row.asDict() for row in rows), key=lambda row: row["ordinal"])
+
+
+def _try_collect(frame: DataFrame) -> tuple[list[Row], BaseException | None]:
     try:
-        df = dataset.open(relation.name)
-        if not df.columns:
-            return result
-        if relation.type == "view":
-            # A view would run its query again in every pass.
-            df = _hold(df, held)
-        exact = _by_ordinal(column_aggregates(df))
-        result.row_count = exact[0]["row_count"]
-        source, aggregates = df, exact
-        sampled = options.sample_above is not None and result.row_count > options.sample_above
-        if sampled:
-            source = _hold(_sample(df, relation.name, result.row_count, options), held)
-            aggregates = _by_ordinal(column_aggregates(source))
-            result.sample_rows = aggregates[0]["row_count"]
-        _profile_columns(dataset, result, source, aggregates, exact if sampled else None, keys)
-        result.column_count = len(df.columns)
-    except UnreadableTable as error:
-        result = _TableResult(relation, error=str(error))
+        return frame.collect(), None
     except Exception as error:  # a broken file only shows when it is read
-        result = _TableResult(relation, error=first_line(error))
-    finally:
-        for frame in held:
-            frame.unpersist()
-    return result
-
-
-def _hold(df: DataFrame, held: list[DataFrame]) -> DataFrame:
-    held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return df
-
-
-def _sample(df: DataFrame, name: str, rows: int, options: ProfileOptions) -> DataFrame:
-    key = options.sample_keys.get(name)
-    if key:
-        return hash_sample(df, key, rows, options.sample_size)
-    return random_sample(df, rows, options.sample_size, options.seed)
-
-
-def _by_ordinal(aggregates: DataFrame) -> list[dict]:
-    return sorted((row.asDict() for row in aggregates.collect()), key=lambda row: row["ordinal"])
-
-
-def _profile_columns(
-    dataset: Dataset,
-    result: _TableResult,
-    source: DataFrame,
-    aggregates: list[dict],
-    exact: list[dict] | None,
-    keys: list[ResolvedKey],
-) -> None:
-    spark, name = dataset.spark, result.relation.name
-    constraints = dataset.constraints if result.relation.type == "table" else Constraints()
-    unique = constraints.unique_columns(name) & set(source.columns)
-    filled = [a["column"] for a in aggregates if a["count"]]
-    summary = frequency_summary(source, filled, unique).collect() if filled else []
-    distinct = {row["ordinal"]: row["distinct_count"] for row in summary if row["rank"] == 0}
-    targets = {a: key.target for key in keys if key.table == name for a, _ in key.pairs}
-    declared = dataset.declared_types.get(name, {})
-    for a in aggregates:
-        data_type = source.schema.fields[a["ordinal"]].dataType
-        fact = {
-            **a,
-            "table": name,
-            "type": result.relation.type,
-            "declared_type": declared.get(a["column"], data_type.simpleString()) or "(none)",
-            "base_kind": kind_of_type(data_type),
-            "pk": a["column"] in constraints.primary_key(name),
-            "not_null": a["column"] in constraints.not_null.get(name, ()),
-            "generated": a["column"] in constraints.generated.get(name, ()),
-            "fk": targets.get(a["column"]),
-            "is_unique": a["column"] in unique,
-            "distinct_count": a["count"] if a["column"] in unique else distinct.get(a["ordinal"], 0),
-            "has_dates": False,
-            "approx": exact is not None,
-        }
-        if exact is not None:
-            whole = exact[a["ordinal"]]
-            fact |= {
-                "total_rows": whole["row_count"],
-                "exact_count": whole["count"],
-                "exact_mask": whole["type_mask"],
-                "exact_min_text": whole["min_text"],
-                "exact_max_text": whole["max_text"],
-                "exact_min_num": whole["min_num"],
-                "exact_max_num": whole["max_num"],
-                "exact_avg": whole["avg"],
-            }
-        result.facts.append(fact)
-    result.top = [{**row.asDict(), "table": name} for row in summary if row["rank"] > 0]
-    _count_bins(spark, result, source)
-
-
-def _count_bins(spark: SparkSession, result: _TableResult, source: DataFrame) -> None:
-    """Bins of the columns whose chart is a histogram."""
-    spans = _date_spans(spark, result.facts, source)
-    for fact in result.facts:
-        fact["has_dates"] = fact["ordinal"] in spans
-    charts = classify(local_frame(spark, result.facts, FACT_FIELDS)).where("chart = 'histogram'")
-    specs: list[NumericBins | DateBuckets] = []
-    facts = {fact["ordinal"]: fact for fact in result.facts}
-    name = result.relation.name
-    for row in charts.select("ordinal", "column", "kind").collect():
-        fact = facts[row["ordinal"]]
-        if row["kind"] in DATE_KINDS:
-            grain = spans[row["ordinal"]]
-            specs.append(DateBuckets(row["column"], grain))
-            result.grains.append({"table": name, "ordinal": row["ordinal"], "grain": grain})
-        else:
-            whole = fact["base_kind"] == "integer" and "." not in fact["min_text"]
-            low = int(fact["min_text"]) if whole else fact["min_num"]
-            high = int(fact["max_text"]) if whole else fact["max_num"]
-            specs.append(NumericBins(row["column"], low, high))
-            result.bounds.append({"table": name, "ordinal": row["ordinal"], "lo": float(low), "hi": float(high)})
-    if specs:
-        result.counts = [{**row.asDict(), "table": name} for row in bin_counts(source, specs).collect()]
-
-
-def _date_spans(spark: SparkSession, facts: list[dict], source: DataFrame) -> dict[int, str]:
-    """Grain of the time histogram of every column with dates.
-
-    The extremes already known give the span. Text whose first or last value in text order
-    does not parse is scanned for the first and last value that does.
-    """
-    dated = [f for f in facts if f["base_kind"] in ("date", "datetime", "text") and f["count"]]
-    if not dated:
-        return {}
-    kinds = classify(local_frame(spark, dated, FACT_FIELDS)).where(F.col("kind").isin(*DATE_KINDS))
-    low, high = F.col("min_text"), F.col("max_text")
-    rows = kinds.select(
-        "ordinal",
-        "column",
-        (iso_seconds(low) / 86400).alias("first_day"),
-        (iso_seconds(high) / 86400).alias("last_day"),
-    ).collect()
-    spans = [row.asDict() for row in rows]
-    unparsed = [s for s in spans if s["first_day"] is None or s["last_day"] is None]
-    if unparsed:
-        moments = {s["ordinal"]: instant_of(column(s["column"]), source.schema[s["column"]].dataType) for s in unparsed}
-        found = source.agg(
-            *[F.min(m).alias(f"a{o}") for o, m in moments.items()], *[F.max(m).alias(f"b{o}") for o, m in moments.items()]
-        ).first()
-        for s in unparsed:
-            s["first_day"], s["last_day"] = found[f"a{s['ordinal']}"], found[f"b{s['ordinal']}"]
-    grains = local_frame(spark, [s for s in spans if s["first_day"] is not None], SPAN_FIELDS).select(
-        "ordinal", date_grain(F.col("last_day") - F.col("first_day")).alias("grain")
-    )
-    return {row["ordinal"]: row["grain"] for row in grains.collect() if row["grain"] is not None}
+        return [], error
 
 
 # -- the dataset ----------------------------------------------------------------------
@@ -270,7 +336,8 @@ class DatasetProfile:
         self.size_bytes = dataset.size_bytes
         self._dataset = dataset
         self._results = results
-        self._keys = keys
+        self.constraints = dataset.constraints
+        self.keys = keys
 
     def _rows(self, part: str, fields: dict[str, str]) -> DataFrame:
         return local_frame(self.spark, [row for r in self._results for row in getattr(r, part)], fields)
@@ -349,7 +416,7 @@ class DatasetProfile:
     def histogram(self) -> DataFrame:
         """Bins and time buckets per charted column, counts scaled to the full table."""
         counts = self._rows("counts", COUNT_FIELDS)
-        grains = self._rows("grains", {"table": "string", **GRAIN_FIELDS})
+        grains = self._rows("grains", GRAIN_FIELDS)
         numbers = numeric_frame(counts, self._rows("bounds", BOUND_FIELDS), DETAIL_KEY)
         dates = date_frame(counts.join(grains.select(*DETAIL_KEY), list(DETAIL_KEY), "left_semi"), grains, DETAIL_KEY)
         scales = self._scales().select(*DETAIL_KEY, "column", "scale")
@@ -372,7 +439,7 @@ class DatasetProfile:
     @cached_property
     def relationships(self) -> DataFrame:
         """One edge per foreign key."""
-        return relationships(self.spark, self._keys)
+        return relationships(self.spark, self.keys)
 
     def edges(self) -> DataFrame:
         """Edges with parallel ones merged."""
@@ -388,7 +455,7 @@ class DatasetProfile:
         }
         counts = {r.relation.name: r.row_count for r in self._results if r.error is None}
         counts |= {r.relation.name: 0 for r in self._results if r.error is not None}
-        return orphan_report(self.spark, frames, self._keys, counts)
+        return orphan_report(self.spark, frames, self.keys, counts)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -407,12 +474,8 @@ class DatasetProfile:
 
 def profile_dataset(dataset: Dataset, options: ProfileOptions | None = None) -> DatasetProfile:
     """Profile every table and view of a dataset."""
-    options = options or ProfileOptions()
-    keys = dataset.foreign_keys()
-    relations = dataset.relations()
-    with ThreadPoolExecutor(max_workers=options.parallel_tables) as pool:
-        results = list(pool.map(lambda r: _read_table(dataset, r, options, keys), relations))
-    return DatasetProfile(dataset, results, keys)
+    run = _Run(dataset, options or ProfileOptions())
+    return DatasetProfile(dataset, run.run(), run.keys)
 
 
 def profile_table(
