@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.kinds import clean
-from siftwell.functions.names import column
+from siftwell.functions.names import column, literal
 
 RANK_LIMIT = 500_000
 ACCURACY = 10_000
@@ -86,11 +86,7 @@ def _sortable(name: str, data_type: T.DataType) -> Column:
 
 
 def _literal(value) -> Column:
-    if isinstance(value, datetime):
-        return F.lit(str(value)).cast("timestamp_ntz")
-    if isinstance(value, date):
-        return F.lit(str(value)).cast("date")
-    return F.lit(value)
+    return literal(value, T.TimestampNTZType()) if isinstance(value, datetime) else F.lit(value)
 
 
 def _inside(search: _Search) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.kinds import value_class
-from siftwell.functions.names import column
+from siftwell.functions.names import column, literal
 from siftwell.operators.histogram import DATE_FORMATS, day_of
 from siftwell.operators.integrity import _key_frames
 from siftwell.sources.constraints import ResolvedKey
@@ -30,7 +30,7 @@ def equals(df: DataFrame, name: str, value) -> Column:
     """A column equal to a value, NULL matching NULL."""
     if isinstance(df.schema[name].dataType, T.BinaryType) and value is not None:
         raise ValueError(f"{name} is binary; rows are not looked up by binary values")
-    return column(name).isNull() if value is None else column(name) == F.lit(value)
+    return column(name).isNull() if value is None else column(name) == literal(value, df.schema[name].dataType)
 
 
 def rows_where(df: DataFrame, condition: Column, limit: int | None = ROW_LIMIT) -> DataFrame:
@@ -211,11 +211,12 @@ def next_page(
     past = F.lit(False)
     for name, down in reversed(order):
         value, last = column(name), after[name]
-        equal = value.isNull() if last is None else value == F.lit(last)
+        equal = equals(df, name, last)
         if last is None:
             beyond = F.lit(False) if down else value.isNotNull()
         else:
-            beyond = (value < F.lit(last)) | value.isNull() if down else value > F.lit(last)
+            bound = literal(last, df.schema[name].dataType)
+            beyond = (value < bound) | value.isNull() if down else value > bound
         past = beyond | (equal & past)
     columns = [column(n).desc_nulls_last() if down else column(n).asc_nulls_first() for n, down in order]
     return filtered(df, needle).where(F.coalesce(past, F.lit(False))).orderBy(*columns).limit(size)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
@@ -26,7 +26,7 @@ from siftwell.functions.iso import SECONDS_PER_DAY, iso_seconds
 from siftwell.functions.kinds import DATE_KINDS, kind_of_type
 from siftwell.operators import findings as findings_ops
 from siftwell.operators import ranking
-from siftwell.operators.aggregates import column_aggregates
+from siftwell.operators.aggregates import column_aggregates, text_literal
 from siftwell.operators.calibrate import calibrate, rounded, scaled_count
 from siftwell.operators.classify import FACT_FIELDS, classify
 from siftwell.operators.frequency import SUMMARY_FIELDS, frequency_summary
@@ -320,6 +320,26 @@ def _try_collect(frame: DataFrame) -> tuple[list[Row], BaseException | None]:
         return [], error
 
 
+def table_catalog(dataset: Dataset) -> DataFrame:
+    """Every table and view with its rows and columns, without profiling it.
+
+    One query counts all members; row counts of parquet and ORC come from file footers.
+    Members that cannot be opened have an error and no rows.
+    """
+    counts = []
+    for ordinal, relation in enumerate(dataset.relations()):
+        known = f"{text_literal(relation.name)} AS table", f"'{relation.type}' AS type", f"{ordinal} AS ordinal"
+        try:
+            df = dataset.open(relation.name)
+            rows = df.selectExpr("count(1) AS row_count")
+            counts.append(rows.selectExpr(*known, "row_count", f"{len(df.columns)} AS column_count", "CAST(NULL AS string) AS error"))
+        except UnreadableTable as error:
+            row = {"table": relation.name, "type": relation.type, "ordinal": ordinal, "row_count": 0, "column_count": 0}
+            frame = local_frame(dataset.spark, [{**row, "error": str(error)}], TABLE_FIELDS)
+            counts.append(frame.drop("sample_rows"))
+    return reduce(DataFrame.unionAll, counts)
+
+
 # -- the dataset ----------------------------------------------------------------------
 
 
