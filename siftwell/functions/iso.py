@@ -38,23 +38,31 @@ def _digits(value: str, start: int, length: int) -> str:
 
 
 def iso_seconds(value: str) -> str:
-    """Seconds since 1970-01-01 of an ISO text value, NULL when it does not parse."""
+    """Seconds since 1970-01-01 of an ISO text value, NULL when it does not parse.
+
+    Most values are plain dates that cast; the clock, the offset and a day beyond the end
+    of its month are only worked out for values that have one.
+    """
     month, day = _digits(value, 6, 2), _digits(value, 9, 2)
+    first_of_month = f"make_date({_digits(value, 1, 4)}, {month}, 1)"
+    beyond = f"CASE WHEN {month} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31 THEN unix_date({first_of_month}) + {day} - 1 END"
+    days = f"CAST(coalesce(unix_date(try_cast(substring({value}, 1, 10) AS date)), {beyond}) AS bigint)"
+
     hour, minute = _digits(value, 12, 2), _digits(value, 15, 2)
     second = f"if(substring({value}, 17, 1) = ':', {_digits(value, 18, 2)}, 0)"
-    valid = (
-        f"{value} RLIKE r'{ISO_WHOLE}' AND {month} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31 "
-        f"AND {hour} <= 24 AND {minute} <= 59 AND {second} <= 59"
+    clock = (
+        f"CASE WHEN length({value}) <= 10 THEN 0 "
+        f"WHEN {hour} <= 24 AND {minute} <= 59 AND {second} <= 59 THEN {hour} * 3600 + {minute} * 60 + {second} END"
     )
-    days = f"CAST(unix_date(make_date({_digits(value, 1, 4)}, {month}, 1)) + {day} - 1 AS bigint)"
+
     sign = f"if(regexp_extract({value}, r'{ISO_OFFSET}', 1) = '-', -1, 1)"
     parts = [f"coalesce(try_cast(regexp_extract({value}, r'{ISO_OFFSET}', {i}) AS int), 0)" for i in (2, 3)]
-    # The day of a plain date also reads like an offset; a time must come before one.
-    offset = f"if({value} RLIKE r'{TIME_PART}.*{ISO_OFFSET}', {sign} * ({parts[0]} * 3600 + {parts[1]} * 60), 0)"
-    return (
-        f"CASE WHEN {valid} THEN {days} * {SECONDS_PER_DAY} "
-        f"+ {hour} * 3600 + {minute} * 60 + {second} - {offset} END"
+    # Date, time and offset take at least 22 characters.
+    offset = (
+        f"if(length({value}) >= 22 AND {value} RLIKE r'{ISO_OFFSET}', "
+        f"{sign} * ({parts[0]} * 3600 + {parts[1]} * 60), 0)"
     )
+    return f"CASE WHEN {value} RLIKE r'{ISO_WHOLE}' THEN {days} * {SECONDS_PER_DAY} + ({clock}) - {offset} END"
 
 
 def iso_day(value: str) -> str:

@@ -1,9 +1,10 @@
 """Exact per-column aggregates of a whole table.
 
 Every figure that does not need the distinct values comes from one ungrouped aggregate:
-partial per task, one small row per task to the final step. Wide tables are cut into
-groups of columns so the generated code stays compilable; each group reads only its own
-columns, so the bytes scanned do not grow.
+partial per task, one small row per task to the final step. Columns of fixed width are
+aggregated apart from text, whose extremes need another kind of buffer, and wide tables
+are cut into groups so the generated code stays small enough to be compiled; each group
+reads only its own columns, so the bytes scanned do not grow.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import types as T
 from siftwell.functions.kinds import clean, kind_of_type, type_bit, value_class
 from siftwell.functions.labels import plain_number
 
-GROUP_WIDTH = 24
+FIXED_WIDTH = ("integer", "real", "date", "datetime", "boolean")
+FIXED_GROUP = 24
+TEXT_GROUP = 8
 
 # Result columns and their types, one row per profiled column.
 AGGREGATE_FIELDS = {
@@ -46,7 +49,10 @@ def column_aggregates(df: DataFrame) -> DataFrame:
     fields = list(enumerate(df.schema.fields))
     if not fields:
         raise ValueError("a table without columns has no profile")
-    groups = [fields[i : i + GROUP_WIDTH] for i in range(0, len(fields), GROUP_WIDTH)]
+    fixed = [f for f in fields if kind_of_type(f[1].dataType) in FIXED_WIDTH]
+    other = [f for f in fields if f not in fixed]
+    groups = [fixed[i : i + FIXED_GROUP] for i in range(0, len(fixed), FIXED_GROUP)]
+    groups += [other[i : i + TEXT_GROUP] for i in range(0, len(other), TEXT_GROUP)]
     return reduce(DataFrame.unionAll, [_aggregate_group(df, group) for group in groups])
 
 

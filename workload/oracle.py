@@ -404,7 +404,7 @@ def all_histograms() -> str:
     ] + [("orders", c) for c in ("o_orderkey", "o_custkey", "o_totalprice")]
     parts = [
         f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", bin, count, CAST(NULL AS VARCHAR) AS date_fmt "
-        f"FROM (WITH {numeric_bins(t, c)} SELECT * FROM bins)"
+        f"FROM (WITH {numeric_bins(t, c)} SELECT * FROM bins) WHERE (SELECT count(DISTINCT {c}) FROM {t}) > 15"
         for t, c in numeric
     ]
     parts += [
