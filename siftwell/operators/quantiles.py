@@ -13,6 +13,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from decimal import ROUND_FLOOR, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -120,37 +121,45 @@ def _narrow(values: DataFrame, searches: list[_Search]) -> None:
         low, high = guesses[f"g{i}"]
         under, upto, offset = counts[f"under{i}"], counts[f"upto{i}"], s.rank - s.below
         if offset < under:
-            s.high, s.rows = counts[f"before{i}"], under
+            part = s.low, counts[f"before{i}"], 0, under
         elif offset >= upto:
-            s.low, s.below, s.rows = counts[f"after{i}"], s.below + upto, s.rows - upto
-        elif upto - under < s.rows:
-            s.low, s.high, s.below, s.rows = low, high, s.below + under, upto - under
+            part = counts[f"after{i}"], s.high, upto, s.rows - upto
         else:
-            _split_ends(values, s)
+            part = low, high, under, upto - under
+        if part[3] > s.rows * 0.9:
+            _bisect(values, s)
+        else:
+            s.low, s.high, s.below, s.rows = part[0], part[1], s.below + part[2], part[3]
 
 
-def _split_ends(values: DataFrame, s: _Search) -> None:
-    """A range the sketch cannot shrink: peel off its two end values, which may be heavy."""
-    value = column(s.name)
-    inner = _inside(s) & (value > _literal(s.low)) & (value < _literal(s.high))
+def _middle(low, high):
+    """A value from ``low`` up to but without ``high``, half way where that is possible."""
+    if isinstance(low, float):
+        middle = low + (high - low) / 2
+        return middle if low <= middle < high else low
+    if isinstance(low, Decimal):
+        middle = ((low + high) / 2).quantize(low, rounding=ROUND_FLOOR)
+        return middle if low <= middle < high else low
+    return low + (high - low) // 2
+
+
+def _bisect(values: DataFrame, s: _Search) -> None:
+    """Halve a range the sketch cannot shrink, such as integers beyond the reach of a double."""
+    value, middle = column(s.name), _literal(_middle(s.low, s.high))
+    lower = value <= middle
     row = (
         values.where(_inside(s))
         .agg(
-            F.count_if(value == _literal(s.low)).alias("low"),
-            F.count_if(value == _literal(s.high)).alias("high"),
-            F.min(F.when(inner, value)).alias("first"),
-            F.max(F.when(inner, value)).alias("last"),
+            F.count_if(lower).alias("n"),
+            F.max(F.when(lower, value)).alias("last"),
+            F.min(F.when(~lower, value)).alias("first"),
         )
         .first()
     )
-    offset = s.rank - s.below
-    if offset < row["low"]:
-        s.high, s.rows = s.low, row["low"]
-    elif offset >= s.rows - row["high"]:
-        s.below, s.low, s.rows = s.below + s.rows - row["high"], s.high, row["high"]
+    if s.rank - s.below < row["n"]:
+        s.high, s.rows = row["last"], row["n"]
     else:
-        s.below, s.rows = s.below + row["low"], s.rows - row["low"] - row["high"]
-        s.low, s.high = row["first"], row["last"]
+        s.low, s.below, s.rows = row["first"], s.below + row["n"], s.rows - row["n"]
 
 
 def _rank_remaining(values: DataFrame, s: _Search) -> DataFrame:
