@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.kinds import DATE_KINDS, NUMERIC_KINDS
-from siftwell.operators.classify import interest_score, is_near_unique, null_fraction, storage_types
+from siftwell.functions.names import quoted
+from siftwell.operators.classify import DATED, NUMERIC, interest_score, is_near_unique, null_fraction, storage_types
 
 
 def rounded(value: Column) -> Column:
@@ -25,57 +25,30 @@ def calibrate(profile: DataFrame) -> DataFrame:
 
     Adds ``scale`` (1 for exact rows) and ``near_unique`` for the detail frames.
     """
-    approx = F.col("approx")
-    exact, sampled = F.col("exact_count"), F.col("count")
-    scale = F.when(approx & (sampled > 0), exact / sampled).when(approx, F.lit(0.0)).otherwise(F.lit(1.0))
-    near_unique = (sampled > 0) & is_near_unique(F.col("distinct_count"), sampled)
+    scale = "CASE WHEN NOT approx THEN 1.0D WHEN count > 0 THEN exact_count / count ELSE 0.0D END"
+    near_unique = f"count > 0 AND {is_near_unique('distinct_count', 'count')}"
     exact_types = storage_types("base_kind", "exact_count", "exact_mask")
-    constant = (F.col("exact_min_text") == F.col("exact_max_text")) & (exact_types == 1)
     distinct = (
-        F.when(exact == 0, F.lit(0))
-        .when(F.col("is_unique"), exact)
-        .when(constant, F.lit(1))
-        .when(near_unique, F.least(exact, rounded(F.col("distinct_count") * scale)))
-        .otherwise(F.greatest(F.lit(2), F.col("distinct_count")))
+        "CASE WHEN NOT approx THEN distinct_count WHEN exact_count = 0 THEN 0 WHEN is_unique THEN exact_count "
+        f"WHEN exact_min_text = exact_max_text AND ({exact_types}) = 1 THEN 1 "
+        "WHEN near_unique THEN least(exact_count, CAST(floor(distinct_count * scale + 0.5D) AS bigint)) "
+        "ELSE greatest(2, distinct_count) END"
     )
-    numeric = F.col("kind").isin(*NUMERIC_KINDS)
-    ranged = numeric | F.col("kind").isin(*DATE_KINDS)
-    nulls = F.col("total_rows") - exact
-
-    def when_sampled(value: Column, name: str, applies: Column | None = None) -> Column:
-        condition = approx if applies is None else approx & applies
-        return F.when(condition, value).otherwise(F.col(name))
-
-    return profile.select(
-        *[c for c in profile.columns if c not in _CALIBRATED],
-        scale.alias("scale"),
-        near_unique.alias("near_unique"),
-        when_sampled(exact, "count").alias("count"),
-        when_sampled(nulls, "null_count").alias("null_count"),
-        when_sampled(null_fraction(nulls, F.col("total_rows")), "null_fraction").alias("null_fraction"),
-        when_sampled(distinct, "distinct_count").cast("bigint").alias("distinct_count"),
-        when_sampled(exact_types, "storage_types").alias("storage_types"),
-        when_sampled(F.col("exact_min_text"), "min", ranged).alias("min"),
-        when_sampled(F.col("exact_max_text"), "max", ranged).alias("max"),
-        when_sampled(F.col("exact_min_num"), "min_num", numeric).alias("min_num"),
-        when_sampled(F.col("exact_max_num"), "max_num", numeric).alias("max_num"),
-        when_sampled(F.col("exact_avg"), "avg", numeric).alias("avg"),
-    ).withColumn("interest", interest_score())
-
-
-_CALIBRATED = (
-    "count",
-    "null_count",
-    "null_fraction",
-    "distinct_count",
-    "storage_types",
-    "min",
-    "max",
-    "min_num",
-    "max_num",
-    "avg",
-    "interest",
-)
+    nulls = "total_rows - exact_count"
+    replaced = {
+        "count": "if(approx, exact_count, count)",
+        "null_count": f"if(approx, {nulls}, null_count)",
+        "null_fraction": f"if(approx, {null_fraction(nulls, 'total_rows')}, null_fraction)",
+        "distinct_count": f"CAST({distinct} AS bigint)",
+        "storage_types": f"if(approx, {exact_types}, storage_types)",
+        "min": f"if(approx AND ({NUMERIC} OR {DATED}), exact_min_text, min)",
+        "max": f"if(approx AND ({NUMERIC} OR {DATED}), exact_max_text, max)",
+        **{n: f"if(approx AND {NUMERIC}, exact_{n}, {n})" for n in ("min_num", "max_num", "avg")},
+    }
+    kept = [quoted(c) for c in profile.columns if c not in replaced and c != "interest"]
+    exact = [f"{value} AS {name}" for name, value in replaced.items()]
+    calibrated = profile.selectExpr(*kept, f"{scale} AS scale", f"{near_unique} AS near_unique", *exact)
+    return calibrated.selectExpr("*", f"{interest_score()} AS interest")
 
 
 def scaled_count(count: Column, scale: Column, near_unique: Column) -> Column:

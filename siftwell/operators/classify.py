@@ -6,8 +6,7 @@ column expressions, so it works on the facts of any number of tables at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from siftwell.functions.kinds import DATE_KINDS, NUMERIC_KINDS, text_kind, type_count
 from siftwell.operators.frequency import TOP_VALUES
@@ -54,118 +53,100 @@ FACT_FIELDS = {
 }
 
 
-def storage_types(kind: str, count: str, mask: str) -> Column:
+def _any_of(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+NUMERIC = f"kind IN {_any_of(NUMERIC_KINDS)}"
+DATED = f"kind IN {_any_of(DATE_KINDS)}"
+
+
+def storage_types(kind: str, count: str, mask: str) -> str:
     """Types mixed in a column: by reading for text, at most one for typed columns."""
-    return F.expr(f"CASE WHEN {kind} = 'text' THEN {type_count(mask)} WHEN {count} > 0 THEN 1 ELSE 0 END")
+    return f"CASE WHEN {kind} = 'text' THEN {type_count(mask)} WHEN {count} > 0 THEN 1 ELSE 0 END"
 
 
-def refined_kind() -> Column:
+def refined_kind() -> str:
     """Kind after the values are known: all-ISO text is a date, 0/1 integers are boolean."""
-    zero_or_one = F.col("distinct_count").between(1, 2) & (F.col("min_num") >= 0) & (F.col("max_num") <= 1)
     return (
-        F.when((F.col("base_kind") == "text") & (F.col("count") > 0), F.expr(text_kind("type_mask")))
-        .when((F.col("base_kind") == "integer") & zero_or_one, F.lit("boolean"))
-        .otherwise(F.col("base_kind"))
+        f"CASE WHEN base_kind = 'text' AND count > 0 THEN {text_kind('type_mask')} "
+        "WHEN base_kind = 'integer' AND distinct_count BETWEEN 1 AND 2 AND min_num >= 0 AND max_num <= 1 "
+        "THEN 'boolean' ELSE base_kind END"
     )
 
 
-def is_near_unique(distinct: Column, count: Column) -> Column:
+def is_near_unique(distinct: str, count: str) -> str:
     """Nearly every value differs (identifiers, titles), so a ranking says nothing."""
-    return distinct >= count * NEAR_UNIQUE
+    return f"{distinct} >= {count} * {NEAR_UNIQUE}D"
 
 
-def chart_choice() -> Column:
+def chart_choice() -> str:
     """bar, histogram or none."""
-    distinct = F.col("distinct_count")
-    low, high = F.col("min_num"), F.col("max_num")
-    spread = (high > low) & (high < float("inf")) & (low > float("-inf"))
-    numeric = (
-        F.when(distinct.between(2, NUMERIC_BAR_MAX), F.lit("bar"))
-        .when(spread, F.lit("histogram"))
-        .otherwise(F.lit("none"))
-    )
-    date = (
-        F.when(distinct.between(2, DATE_BAR_MAX), F.lit("bar"))
-        .when(F.col("has_dates"), F.lit("histogram"))
-        .otherwise(F.lit("none"))
-    )
-    text = F.when((distinct > 1) & ~is_near_unique(distinct, F.col("count")), F.lit("bar")).otherwise(F.lit("none"))
-    kind = F.col("kind")
+    spread = "max_num > min_num AND max_num < double('Infinity') AND min_num > double('-Infinity')"
+    bar = "distinct_count BETWEEN 2 AND {}"
     return (
-        F.when(F.col("count") == 0, F.lit("none"))
-        .when(kind.isin(*NUMERIC_KINDS), numeric)
-        .when(kind.isin(*DATE_KINDS), date)
-        .when(kind == "boolean", F.lit("bar"))
-        .when(kind == "text", text)
-        .otherwise(F.lit("none"))
+        "CASE WHEN count = 0 THEN 'none' "
+        f"WHEN {NUMERIC} THEN CASE WHEN {bar.format(NUMERIC_BAR_MAX)} THEN 'bar' WHEN {spread} THEN 'histogram' "
+        "ELSE 'none' END "
+        f"WHEN {DATED} THEN CASE WHEN {bar.format(DATE_BAR_MAX)} THEN 'bar' WHEN has_dates THEN 'histogram' "
+        "ELSE 'none' END "
+        "WHEN kind = 'boolean' THEN 'bar' "
+        f"WHEN kind = 'text' AND distinct_count > 1 AND NOT {is_near_unique('distinct_count', 'count')} THEN 'bar' "
+        "ELSE 'none' END"
     )
 
 
-def kept_top_values() -> Column:
+def kept_top_values() -> str:
     """How many top values the profile keeps for a column."""
-    kind, chart = F.col("kind"), F.col("chart")
     return (
-        F.when(F.col("count") == 0, F.lit(0))
-        .when(kind.isin(*DATE_KINDS) | (chart == "bar"), F.lit(TOP_VALUES))
-        .when(kind == "text", F.lit(CHIP_VALUES))
-        .otherwise(F.lit(0))
+        f"CASE WHEN count = 0 THEN 0 WHEN {DATED} OR chart = 'bar' THEN {TOP_VALUES} "
+        f"WHEN kind = 'text' THEN {CHIP_VALUES} ELSE 0 END"
     )
 
 
-def interest_score() -> Column:
+def interest_score() -> str:
     """How rewarding a column is to look at, 0 to 1."""
-    distinct, count, chart, kind = (F.col(c) for c in ("distinct_count", "count", "chart", "kind"))
-    bars = F.lit(0.7) * F.when(distinct <= 30, F.lit(1.0)).when(distinct <= 100, F.lit(0.65)).otherwise(F.lit(0.4))
+    bars = "0.7D * CASE WHEN distinct_count <= 30 THEN 1.0D WHEN distinct_count <= 100 THEN 0.65D ELSE 0.4D END"
     base = (
-        F.when(chart == "bar", bars)
-        .when(chart == "histogram", F.when(kind.isin(*DATE_KINDS), F.lit(0.78)).otherwise(F.lit(0.7)))
-        .otherwise(F.when(distinct / count > 0.95, F.lit(0.12)).otherwise(F.lit(0.4)))
+        f"CASE WHEN chart = 'bar' THEN {bars} "
+        f"WHEN chart = 'histogram' THEN if({DATED}, 0.78D, 0.7D) "
+        "ELSE if(distinct_count / count > 0.95D, 0.12D, 0.4D) END"
     )
-    linked = F.when(F.col("fk").isNotNull(), F.lit(0.15)).otherwise(F.lit(0.0))
-    flag = F.when(kind == "boolean", F.lit(0.05)).otherwise(F.lit(0.0))
-    populated = F.lit(0.45) + F.lit(0.55) * (F.lit(1.0) - F.col("null_fraction"))
-    score = (base + linked + flag) * populated
+    extra = "if(fk IS NOT NULL, 0.15D, 0.0D) + if(kind = 'boolean', 0.05D, 0.0D)"
+    score = f"({base} + {extra}) * (0.45D + 0.55D * (1.0D - null_fraction))"
     return (
-        F.when(count == 0, F.lit(0.0))
-        .when(distinct <= 1, F.lit(0.05))
-        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+        "CASE WHEN count = 0 THEN 0.0D WHEN distinct_count <= 1 THEN 0.05D "
+        f"ELSE greatest(0.0D, least(1.0D, {score})) END"
     )
 
 
-def shown_extreme(side: str) -> Column:
+def shown_extreme(side: str) -> str:
     """Minimum or maximum as shown: values of numbers and dates, lengths of plain text."""
-    plain_text = (F.col("kind") == "text") & (F.col("chart") == "none") & (F.col("count") > 0)
-    return F.when(F.col("kind").isin(*NUMERIC_KINDS, *DATE_KINDS), F.col(f"{side}_text")).when(
-        plain_text, F.concat(F.lit("len "), F.col(f"{side}_len"))
+    return (
+        f"CASE WHEN {NUMERIC} OR {DATED} THEN {side}_text "
+        f"WHEN kind = 'text' AND chart = 'none' AND count > 0 THEN concat('len ', {side}_len) END"
     )
 
 
-def null_fraction(nulls: Column, rows: Column) -> Column:
-    return F.when(rows > 0, nulls / rows).otherwise(F.lit(0.0))
+def null_fraction(nulls: str, rows: str) -> str:
+    return f"CASE WHEN {rows} > 0 THEN ({nulls}) / {rows} ELSE 0.0D END"
 
 
 def classify(facts: DataFrame) -> DataFrame:
-    """Facts with kind, chart, kept top values, shown extremes and interest."""
-    numeric = F.col("kind").isin(*NUMERIC_KINDS)
-    return (
-        facts.withColumn("kind", refined_kind())
-        .withColumns(
-            {
-                "null_count": F.col("row_count") - F.col("count"),
-                "storage_types": storage_types("base_kind", "count", "type_mask"),
-                "chart": chart_choice(),
-            }
-        )
-        .withColumns(
-            {
-                "null_fraction": null_fraction(F.col("null_count"), F.col("row_count")),
-                "top_limit": kept_top_values(),
-                "min": shown_extreme("min"),
-                "max": shown_extreme("max"),
-                "min_num": F.when(numeric, F.col("min_num")),
-                "max_num": F.when(numeric, F.col("max_num")),
-                "avg": F.when(numeric, F.col("avg")),
-            }
-        )
-        .withColumn("interest", interest_score())
+    """Facts with kind, chart, kept top values, shown extremes and interest.
+
+    One projection; later expressions refer to earlier ones by name.
+    """
+    return facts.selectExpr(
+        "* EXCEPT (min_num, max_num, avg)",
+        f"{refined_kind()} AS kind",
+        "row_count - count AS null_count",
+        f"{storage_types('base_kind', 'count', 'type_mask')} AS storage_types",
+        f"{chart_choice()} AS chart",
+        f"{null_fraction('row_count - count', 'row_count')} AS null_fraction",
+        f"{kept_top_values()} AS top_limit",
+        f"{shown_extreme('min')} AS min",
+        f"{shown_extreme('max')} AS max",
+        *[f"if({NUMERIC}, {name}, NULL) AS {name}" for name in ("min_num", "max_num", "avg")],
+        f"{interest_score()} AS interest",
     )
