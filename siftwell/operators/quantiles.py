@@ -58,7 +58,8 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], rank_limit:
     while open_:
         _narrow(values, open_)
         open_ = [s for s in open_ if s.low != s.high and s.rows > rank_limit]
-    parts = [_rank_remaining(values, s) for s in searches]
+    parts = [_rank_remaining(values, name, [s for s in searches if s.name == name]) for name in names]
+    parts = [part for part in parts if part is not None]
     if not parts:
         schema = "column string, p double, rank bigint, value string, value_num double"
         return df.sparkSession.createDataFrame([], schema)
@@ -162,28 +163,46 @@ def _bisect(values: DataFrame, s: _Search) -> None:
         s.low, s.below, s.rows = row["first"], s.below + row["n"], s.rows - row["n"]
 
 
-def _rank_remaining(values: DataFrame, s: _Search) -> DataFrame:
-    """The value of the rank among at most ``rank_limit`` rows, or the one value left."""
-    value = column(s.name)
-    data_type = values.schema[s.name].dataType
+def _rank_remaining(values: DataFrame, name: str, searches: list[_Search]) -> DataFrame | None:
+    """The values of the ranks of one column, from one scan of the ranges that are left.
+
+    A range holds at most ``rank_limit`` rows, or one value. Searches that ended in the
+    same range share its ranking.
+    """
+    if not searches:
+        return None
+    data_type = values.schema[name].dataType
+    ranges = sorted({(s.below, s.rows): s for s in searches}.items())
+    index = {bounds: i for i, (bounds, _) in enumerate(ranges)}
+    numbers = F.array_compact(F.array(*[F.when(_inside(s), F.lit(i)) for i, (_, s) in enumerate(ranges)]))
+    anywhere = reduce(Column.__or__, [_inside(s) for _, s in ranges])
     counted = (
-        values.where(_inside(s)).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        if s.low != s.high
-        else values.sparkSession.range(1, numPartitions=1).select(
-            _literal(s.low).cast(data_type).alias("value"), F.lit(s.rows).cast("bigint").alias("n")
-        )
+        values.where(anywhere)
+        .select(column(name).alias("value"), F.explode(numbers).alias("range"))
+        .groupBy("range", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    offset = s.rank - s.below
-    numeric = isinstance(data_type, T.NumericType)
-    return (
-        counted.withColumn("upto", upto)
-        .where((F.col("upto") > offset) & (F.col("upto") - F.col("n") <= offset))
-        .select(
-            F.lit(s.name).alias("column"),
-            F.lit(s.p).alias("p"),
-            F.lit(s.rank).cast("bigint").alias("rank"),
-            F.col("value").cast("string").alias("value"),
-            (F.col("value").cast("double") if numeric else F.lit(None).cast("double")).alias("value_num"),
-        )
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(index[s.below, s.rows]).alias("range"),
+                F.lit(s.p).alias("p"),
+                F.lit(s.rank).cast("bigint").alias("rank"),
+                F.lit(s.rank - s.below).alias("offset"),
+            )
+            for s in searches
+        ]
+    )
+    hits = F.filter(
+        wanted,
+        lambda w: (w["range"] == F.col("range")) & (F.col("upto") > w["offset"]) & (F.col("upto") - F.col("n") <= w["offset"]),
+    )
+    number = F.col("value").cast("double") if isinstance(data_type, T.NumericType) else F.lit(None).cast("double")
+    return counted.withColumn("upto", upto).select("value", F.explode(hits).alias("hit")).select(
+        F.lit(name).alias("column"),
+        F.col("hit.p").alias("p"),
+        F.col("hit.rank").alias("rank"),
+        F.col("value").cast("string").alias("value"),
+        number.alias("value_num"),
     )

@@ -43,7 +43,7 @@ from siftwell.operators.integrity import collapsed_edges, orphan_report, relatio
 from siftwell.plans.local import local_frame
 from siftwell.sources.constraints import Constraints, ResolvedKey
 from siftwell.sources.dataset import Dataset, Relation, UnreadableTable, first_line
-from siftwell.sources.sampling import hash_sample, random_sample
+from siftwell.sources.sampling import gathered, hash_sample, random_sample
 
 TABLE_FIELDS = {
     "table": "string",
@@ -197,7 +197,7 @@ class _Run:
             if key
             else random_sample(result.df, result.row_count, options.sample_size, options.seed)
         )
-        result.source = result.hold(sample)
+        result.source = result.hold(gathered(sample, options.sample_size))
 
     def _constraints(self, result: _TableResult) -> Constraints:
         return self.dataset.constraints if result.relation.type == "table" else Constraints()
@@ -353,12 +353,15 @@ class DatasetProfile:
     def __init__(self, dataset: Dataset, results: list[_TableResult], keys: list[ResolvedKey]):
         self.spark = dataset.spark
         self.name = dataset.name
-        self.size_bytes = dataset.size_bytes
         self._dataset = dataset
         self._results = results
         self.constraints = dataset.constraints
         self.keys = keys
 
+    @property
+    def size_bytes(self) -> int | None:
+        return self._dataset.size_bytes
+
     def _rows(self, part: str, fields: dict[str, str]) -> DataFrame:
         return local_frame(self.spark, [row for r in self._results for row in getattr(r, part)], fields)
 

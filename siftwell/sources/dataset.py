@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftwell.functions.names import quoted
 from siftwell.operators.value_types import cast_untyped
@@ -50,7 +50,7 @@ class Dataset:
     ):
         self.spark = spark
         self.name = name
-        self.size_bytes = size_bytes
+        self._measure: Callable[[], int | None] = lambda: size_bytes
         self.constraints = constraints or Constraints()
         self.declared_types = declared_types or {}
         self._opened: dict[str, DataFrame] = {}
@@ -80,13 +80,13 @@ class Dataset:
     ) -> Dataset:
         """One table per file or sub-directory of ``path``.
 
-        The directory is listed by Spark, from any file system it can read. ``tables``
-        names the members instead when they are known, which saves the listing.
+        One level of the directory is listed, on any file system the session can reach.
+        ``tables`` names the members instead when only some are wanted.
         ``untyped`` infers the types of text columns from all their values (for CSV
         without a schema); compressed text is decompressed by Spark's codecs.
         """
         base = path.rstrip("/")
-        members, size = _list_directory(spark, base) if tables is None else ({t: None for t in tables}, None)
+        members = _list_directory(spark, base) if tables is None else dict.fromkeys(tables)
 
         def loader(table: str, entry: str | None) -> Callable[[], DataFrame]:
             def load() -> DataFrame:
@@ -97,7 +97,10 @@ class Dataset:
             return load
 
         sources = {table: loader(table, entry) for table, entry in members.items()}
-        return cls(spark, sources, views, constraints, name or base.rsplit("/", 1)[-1], size)
+        dataset = cls(spark, sources, views, constraints, name or base.rsplit("/", 1)[-1])
+        if tables is None:
+            dataset._measure = lambda: _directory_bytes(spark, base)
+        return dataset
 
     @classmethod
     def from_catalog(
@@ -129,6 +132,11 @@ class Dataset:
     ) -> Dataset:
         return cls(spark, tables, views, constraints, name, **options)
 
+    @cached_property
+    def size_bytes(self) -> int | None:
+        """Bytes of all files of a directory; asked for by reports only."""
+        return self._measure()
+
     # -- members --------------------------------------------------------------------
 
     def relations(self) -> list[Relation]:
@@ -226,18 +234,27 @@ def _loader(source) -> Callable[[], DataFrame]:
     return (lambda: source) if isinstance(source, DataFrame) else source
 
 
-def _list_directory(spark: SparkSession, base: str) -> tuple[dict[str, str], int]:
-    """Members of a directory (table name → file or sub-directory) and their total bytes."""
-    local = re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", base)
-    entry = F.regexp_extract("path", re.escape(local).replace("/", "/+") + "/+([^/]+)", 1)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    listing = files.select(entry.alias("entry"), "length").groupBy("entry").agg(F.sum("length").alias("bytes"))
+def _directory(spark: SparkSession, base: str):
+    """A path and its file system, whichever the session can reach."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _list_directory(spark: SparkSession, base: str) -> dict[str, str]:
+    """Members of a directory (table name → file or sub-directory); one level is listed."""
+    path, file_system = _directory(spark, base)
     members: dict[str, str] = {}
-    size = 0
-    for row in listing.collect():
-        table = _SUFFIX.sub("", row["entry"])
+    for status in file_system.listStatus(path):
+        entry = status.getPath().getName()
+        if entry.startswith(("_", ".")):
+            continue
+        table = _SUFFIX.sub("", entry)
         if table in members:
-            raise ValueError(f"{members[table]} and {row['entry']} are both table {table}")
-        members[table] = row["entry"]
-        size += row["bytes"]
-    return members, size
+            raise ValueError(f"{members[table]} and {entry} are both table {table}")
+        members[table] = entry
+    return members
+
+
+def _directory_bytes(spark: SparkSession, base: str) -> int:
+    path, file_system = _directory(spark, base)
+    return file_system.getContentSummary(path).getLength()

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from siftwell.functions.names import column
 
 PARTS = 1_000_000
+ROWS_PER_PARTITION = 25_000
+MIN_PARTITIONS = 8
 
 
 def sample_threshold(row_count: int, sample_size: int) -> int:
@@ -27,6 +29,15 @@ def random_sample(df: DataFrame, row_count: int, sample_size: int, seed: int = 7
     return df.sample(fraction=sample_threshold(row_count, sample_size) / PARTS, seed=seed)
 
 
+def gathered(sample: DataFrame, sample_size: int) -> DataFrame:
+    """A sample in as many partitions as its size asks for.
+
+    Sampling leaves the splits of the scan, nearly all of them empty; every later pass
+    would start a task for each. Only the sampled rows are shuffled.
+    """
+    return sample.repartition(max(MIN_PARTITIONS, math.ceil(sample_size / ROWS_PER_PARTITION)))
+
+
 def hash_part(key_columns: Sequence[str]) -> Column:
     """A number in [0, 1000000) that depends only on the values of the key columns."""
     key = F.concat_ws("-", *[column(c).cast("string") for c in key_columns])
