@@ -1,10 +1,14 @@
 """Exact per-column aggregates of a whole table.
 
 Every figure that does not need the distinct values comes from one ungrouped aggregate:
-partial per task, one small row per task to the final step. Columns of fixed width are
-aggregated apart from text, whose extremes need another kind of buffer, and wide tables
-are cut into groups so the generated code stays small enough to be compiled; each group
-reads only its own columns, so the bytes scanned do not grow.
+partial per task, one small row per task to the final step. The row stays small whatever
+the columns hold: of text only values that look like dates have their extremes kept (the
+profile shows lengths of any other text), and whether a column of text, binary or nested
+values is constant is told from hashes.
+
+Columns of fixed width are aggregated apart from text, and wide tables are cut into groups,
+so the generated code stays small enough to be compiled; each group reads only its own
+columns, so the bytes scanned do not grow.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions.iso import looks_like_date
 from siftwell.functions.kinds import clean, kind_of_type, type_bit, value_class
 from siftwell.functions.labels import plain_number
 
@@ -31,6 +36,7 @@ AGGREGATE_FIELDS = {
     "type_mask": "int",
     "min_text": "string",
     "max_text": "string",
+    "one_value": "boolean",
     "min_num": "double",
     "max_num": "double",
     "avg": "double",
@@ -79,13 +85,18 @@ def _measures(field: T.StructField) -> dict[str, str]:
     kind = kind_of_type(field.dataType)
     if kind == "boolean":
         return measures | {"min": f"min(CAST({value} AS int))", "max": f"max(CAST({value} AS int))"}
-    if value_class(field.dataType) is not None:
-        # Of binary and nested values, extremes only tell whether the column is constant.
+    if kind in FIXED_WIDTH:
         measures |= {"min": f"min({value})", "max": f"max({value})"}
+    elif value_class(field.dataType) is not None:
+        hashed = f"if({value} IS NULL, NULL, xxhash64({value}))"
+        measures |= {"min_hash": f"min({hashed})", "max_hash": f"max({hashed})"}
     if kind in ("integer", "real"):
         measures["avg"] = f"avg(CAST({value} AS double))"
     elif kind == "text":
+        dated = f"if(ascii({value}) BETWEEN 48 AND 57 AND {looks_like_date(value)}, {value}, NULL)"
         measures |= {
+            "min": f"min({dated})",
+            "max": f"max({dated})",
             "min_len": f"min(length({value}))",
             "max_len": f"max(length({value}))",
             "mask": f"bit_or({type_bit(value)})",
@@ -99,12 +110,15 @@ def _long_row(ordinal: int, field: T.StructField, measures: dict[str, str]) -> d
 
     numeric = kind_of_type(field.dataType) in ("integer", "real", "boolean")
     low, high = ref("min"), ref("max")
+    texts = low, high
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         texts = plain_number(low), plain_number(high)
-    elif isinstance(field.dataType, T.BinaryType):
-        texts = f"hex({low})", f"hex({high})"
+    if "min_hash" in measures:
+        one_value = f"{ref('min_hash')} = {ref('max_hash')}"
+        if "min_len" in measures:
+            one_value += f" AND {ref('min_len')} = {ref('max_len')}"
     else:
-        texts = low, high
+        one_value = f"{low} = {high}"
     return {
         "ordinal": str(ordinal),
         "column": text_literal(field.name),
@@ -113,6 +127,7 @@ def _long_row(ordinal: int, field: T.StructField, measures: dict[str, str]) -> d
         "type_mask": ref("mask"),
         "min_text": texts[0],
         "max_text": texts[1],
+        "one_value": one_value,
         "min_num": low if numeric else "NULL",
         "max_num": high if numeric else "NULL",
         "avg": ref("avg"),

@@ -30,7 +30,7 @@ def calibrate(profile: DataFrame) -> DataFrame:
     exact_types = storage_types("base_kind", "exact_count", "exact_mask")
     distinct = (
         "CASE WHEN NOT approx THEN distinct_count WHEN exact_count = 0 THEN 0 WHEN is_unique THEN exact_count "
-        f"WHEN exact_min_text = exact_max_text AND ({exact_types}) = 1 THEN 1 "
+        f"WHEN exact_one_value AND ({exact_types}) <= 1 THEN 1 "
         "WHEN near_unique THEN least(exact_count, CAST(floor(distinct_count * scale + 0.5D) AS bigint)) "
         "ELSE greatest(2, distinct_count) END"
     )

@@ -45,6 +45,7 @@ FACT_FIELDS = {
     "total_rows": "bigint",
     "exact_count": "bigint",
     "exact_mask": "int",
+    "exact_one_value": "boolean",
     "exact_min_text": "string",
     "exact_max_text": "string",
     "exact_min_num": "double",

@@ -219,4 +219,13 @@ def next_page(
             beyond = (value < bound) | value.isNull() if down else value > bound
         past = beyond | (equal & past)
     columns = [column(n).desc_nulls_last() if down else column(n).asc_nulls_first() for n, down in order]
-    return filtered(df, needle).where(F.coalesce(past, F.lit(False))).orderBy(*columns).limit(size)
+    return filtered(df, needle).where(_not_before(df, *order[0], after) & past).orderBy(*columns).limit(size)
+
+
+def _not_before(df: DataFrame, name: str, down: bool, after: Mapping[str, object]) -> Column:
+    """The first sort column alone: a plain range that the scan can skip files by."""
+    value, last = column(name), after[name]
+    if last is None:
+        return value.isNull() if down else F.lit(True)
+    bound = literal(last, df.schema[name].dataType)
+    return (value <= bound) | value.isNull() if down else value >= bound

@@ -59,6 +59,7 @@ GRAIN_FIELDS = {"table": "string", "ordinal": "int", "grain": "string"}
 BOUND_FIELDS = {"table": "string", "ordinal": "int", "lo": "double", "hi": "double"}
 COUNT_FIELDS = {"table": "string", "ordinal": "int", "bin": "int", "n": "bigint"}
 DETAIL_KEY = ("table", "ordinal")
+EXACT_FIGURES = ("count", "one_value", "min_text", "max_text", "min_num", "max_num", "avg")
 
 
 @dataclass(frozen=True)
@@ -236,7 +237,7 @@ class _Run:
             }
             if sampled:
                 whole = result.exact[a["ordinal"]]
-                fact |= {f"exact_{k}": whole[k] for k in ("count", "min_text", "max_text", "min_num", "max_num", "avg")}
+                fact |= {f"exact_{k}": whole[k] for k in EXACT_FIGURES}
                 fact |= {"total_rows": whole["row_count"], "exact_mask": whole["type_mask"]}
             result.facts.append(fact)
         result.top = [{**row.asDict(), "table": name} for row in summary if row["rank"] > 0]

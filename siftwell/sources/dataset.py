@@ -54,6 +54,7 @@ class Dataset:
         self.constraints = constraints or Constraints()
         self.declared_types = declared_types or {}
         self._opened: dict[str, DataFrame] = {}
+        self._loading: set[str] = set()
         self._relations: dict[str, Relation] = {}
         for table, source in tables.items():
             self._relations[table] = Relation(table, "table", _loader(source))
@@ -213,12 +214,17 @@ class Dataset:
 
     def _sql_loader(self, text: str) -> Callable[[], DataFrame]:
         def load() -> DataFrame:
+            # Members the text mentions, other views too; a view cannot reach itself.
             for relation in self._relations.values():
-                if relation.type == "table" and re.search(rf"\b{re.escape(relation.name)}\b", text):
+                named = re.search(rf"(?<!\w){re.escape(relation.name)}(?!\w)", text)
+                if named and relation.load is not load and relation.name not in self._loading:
+                    self._loading.add(relation.name)
                     try:
                         self.open(relation.name).createOrReplaceTempView(quoted(relation.name))
                     except UnreadableTable:
                         pass
+                    finally:
+                        self._loading.discard(relation.name)
             return self.spark.sql(text)
 
         return load

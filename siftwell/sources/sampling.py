@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.names import column
 
 PARTS = 1_000_000
-ROWS_PER_PARTITION = 25_000
-MIN_PARTITIONS = 8
+ROWS_PER_PARTITION = 1_000
 
 
 def sample_threshold(row_count: int, sample_size: int) -> int:
@@ -30,12 +29,13 @@ def random_sample(df: DataFrame, row_count: int, sample_size: int, seed: int = 7
 
 
 def gathered(sample: DataFrame, sample_size: int) -> DataFrame:
-    """A sample in as many partitions as its size asks for.
+    """A sample in as many partitions as its size and the cluster ask for.
 
     Sampling leaves the splits of the scan, nearly all of them empty; every later pass
     would start a task for each. Only the sampled rows are shuffled.
     """
-    return sample.repartition(max(MIN_PARTITIONS, math.ceil(sample_size / ROWS_PER_PARTITION)))
+    cores = sample.sparkSession.sparkContext.defaultParallelism
+    return sample.repartition(max(1, min(cores, math.ceil(sample_size / ROWS_PER_PARTITION))))
 
 
 def hash_part(key_columns: Sequence[str]) -> Column:

@@ -156,6 +156,15 @@ def test_view_is_read_once_and_released(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
 
 
+def test_views_over_views(spark):
+    ds = Dataset.from_frames(
+        spark, {"base": spark.range(6)}, views={"a_small": "SELECT * FROM z_even WHERE id < 3", "z_even": "SELECT id FROM base WHERE id % 2 = 0"}
+    )
+    assert {t["table"]: t["row_count"] for t in profile_dataset(ds).tables.collect()} == {"base": 6, "a_small": 2, "z_even": 3}
+    loop = Dataset.from_frames(spark, {"base": spark.range(6)}, views={"loop_1": "SELECT * FROM loop_2", "loop_2": "SELECT * FROM loop_1"})
+    assert profile_dataset(loop).tables.where("error is not null").count() == 2
+
+
 def test_empty_table(spark):
     p = profile_dataset(Dataset.from_frames(spark, {"e": spark.createDataFrame([], "a int, b string")}))
     assert one(p.tables, "true")["row_count"] == 0

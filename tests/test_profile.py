@@ -217,6 +217,18 @@ def test_samples_scale_to_the_table(big):
     assert abs(big.histogram.where("column = 'val'").agg(F.sum("count")).first()[0] - 10000) < 100
 
 
+def test_constants_of_every_type_are_exact_on_samples(spark):
+    df = spark.sql(
+        "SELECT 'long text' AS t, CAST('b' AS binary) AS b, array(1) AS a, named_struct('x', 1) AS s, 2.5D AS d, "
+        "DATE '2020-01-01' AS day, '2020-01-01' AS day_text, true AS f, CAST(1.5 AS decimal(5,2)) AS m, "
+        "CASE WHEN id = 77 THEN 'other' ELSE 'long text' END AS two FROM range(5000)"
+    )
+    p = profile_table(df, "t", options=ProfileOptions(sample_above=10, sample_size=500))
+    distinct = {c["column"]: c["distinct_count"] for c in p.columns.collect()}
+    assert distinct.pop("two") == 2 and set(distinct.values()) == {1}
+    assert {f["column"] for f in p.findings.where("kind = 'constant'").collect()} == set(distinct)
+
+
 def test_findings_are_exact_on_samples(big):
     def about(name):
         return [r["kind"] for r in big.findings.where(F.col("column") == name).collect()]
