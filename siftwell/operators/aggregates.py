@@ -26,6 +26,7 @@ from siftwell.functions.labels import plain_number
 FIXED_WIDTH = ("integer", "real", "date", "datetime", "boolean")
 FIXED_GROUP = 24
 TEXT_GROUP = 8
+SKETCH_ERROR = 0.02
 
 # Result columns and their types, one row per profiled column.
 AGGREGATE_FIELDS = {
@@ -42,6 +43,7 @@ AGGREGATE_FIELDS = {
     "avg": "double",
     "min_len": "int",
     "max_len": "int",
+    "sketch": "bigint",
 }
 
 
@@ -50,8 +52,11 @@ def text_literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def column_aggregates(df: DataFrame) -> DataFrame:
-    """Row count, non-null count, range, mean, text lengths and value types per column."""
+def column_aggregates(df: DataFrame, sketch: bool = False) -> DataFrame:
+    """Row count, non-null count, range, mean, text lengths and value types per column.
+
+    ``sketch`` adds an estimated distinct count, from sketches that merge like the rest.
+    """
     fields = list(enumerate(df.schema.fields))
     if not fields:
         raise ValueError("a table without columns has no profile")
@@ -59,11 +64,11 @@ def column_aggregates(df: DataFrame) -> DataFrame:
     other = [f for f in fields if f not in fixed]
     groups = [fixed[i : i + FIXED_GROUP] for i in range(0, len(fixed), FIXED_GROUP)]
     groups += [other[i : i + TEXT_GROUP] for i in range(0, len(other), TEXT_GROUP)]
-    return reduce(DataFrame.unionAll, [_aggregate_group(df, group) for group in groups])
+    return reduce(DataFrame.unionAll, [_aggregate_group(df, group, sketch) for group in groups])
 
 
-def _aggregate_group(df: DataFrame, fields) -> DataFrame:
-    plans = [(ordinal, field, _measures(field)) for ordinal, field in fields]
+def _aggregate_group(df: DataFrame, fields, sketch: bool) -> DataFrame:
+    plans = [(ordinal, field, _measures(field, sketch)) for ordinal, field in fields]
     measures = [f"{m} AS {name}_{ordinal}" for ordinal, _, ms in plans for name, m in ms.items()]
     row = df.selectExpr("count(1) AS rows", *measures)
     return long_rows(row, [_long_row(ordinal, field, ms) for ordinal, field, ms in plans], AGGREGATE_FIELDS)
@@ -78,10 +83,12 @@ def long_rows(row: DataFrame, rows: list[dict[str, str]], fields: dict[str, str]
     return row.select(F.expr(f"inline(array({', '.join(structs)}))"))
 
 
-def _measures(field: T.StructField) -> dict[str, str]:
+def _measures(field: T.StructField, sketch: bool) -> dict[str, str]:
     """The aggregates a column needs, by its type."""
     value = clean(field.name, field.dataType)
     measures = {"count": f"count({value})"}
+    if sketch and value_class(field.dataType) is not None:
+        measures["sketch"] = f"approx_count_distinct({value}, {SKETCH_ERROR}D)"
     kind = kind_of_type(field.dataType)
     if kind == "boolean":
         return measures | {"min": f"min(CAST({value} AS int))", "max": f"max(CAST({value} AS int))"}
@@ -133,6 +140,7 @@ def _long_row(ordinal: int, field: T.StructField, measures: dict[str, str]) -> d
         "avg": ref("avg"),
         "min_len": ref("min_len"),
         "max_len": ref("max_len"),
+        "sketch": ref("sketch"),
     }
 
 
@@ -154,7 +162,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     return long_rows(df.selectExpr("count(1) AS rows", *counts), rows, types)
 
 
-def approx_distinct(df: DataFrame, relative_error: float = 0.02) -> DataFrame:
+def approx_distinct(df: DataFrame, relative_error: float = SKETCH_ERROR) -> DataFrame:
     """Estimated distinct non-null values of every column that can be hashed.
 
     HyperLogLog sketches merge from task to task; nothing is grouped or shuffled but one

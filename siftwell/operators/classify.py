@@ -51,6 +51,7 @@ FACT_FIELDS = {
     "exact_min_num": "double",
     "exact_max_num": "double",
     "exact_avg": "double",
+    "exact_sketch": "bigint",
 }
 
 

@@ -59,7 +59,7 @@ GRAIN_FIELDS = {"table": "string", "ordinal": "int", "grain": "string"}
 BOUND_FIELDS = {"table": "string", "ordinal": "int", "lo": "double", "hi": "double"}
 COUNT_FIELDS = {"table": "string", "ordinal": "int", "bin": "int", "n": "bigint"}
 DETAIL_KEY = ("table", "ordinal")
-EXACT_FIGURES = ("count", "one_value", "min_text", "max_text", "min_num", "max_num", "avg")
+EXACT_FIGURES = ("count", "one_value", "min_text", "max_text", "min_num", "max_num", "avg", "sketch")
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,9 @@ class ProfileOptions:
 
     Tables with more rows than ``sample_above`` take distinct counts, top values and
     histograms from a sample of about ``sample_size`` rows; ``sample_above=None`` profiles
-    every table in full. ``sample_keys`` names columns whose hash picks the sample of a
+    every table in full. ``sketch_distinct`` takes the distinct counts of sampled tables from
+    sketches of all their rows, which is closer than scaling up the sample and costs no
+    further scan. ``sample_keys`` names columns whose hash picks the sample of a
     table instead of a random number. ``parallel_tables`` queries run at a time.
     """
 
@@ -77,6 +79,7 @@ class ProfileOptions:
     seed: int = 7
     sample_keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
     parallel_tables: int = 8
+    sketch_distinct: bool = False
 
 
 @dataclass
@@ -135,7 +138,7 @@ class _Run:
     def run(self) -> list[_TableResult]:
         try:
             self._each(self._open)
-            for result, rows in self._collect(lambda r: column_aggregates(r.df) if r.df.columns else None):
+            for result, rows in self._collect(self._exact):
                 result.exact = result.aggregates = _by_ordinal(rows)
                 result.row_count = rows[0]["row_count"]
                 result.column_count = len(rows)
@@ -188,6 +191,11 @@ class _Run:
         # A view would run its query again in every pass.
         result.df = result.source = result.hold(df) if result.relation.type == "view" else df
 
+    def _exact(self, result: _TableResult) -> DataFrame | None:
+        # Without a threshold nothing is sampled, and every distinct count is exact.
+        sketch = self.options.sketch_distinct and self.options.sample_above is not None
+        return column_aggregates(result.df, sketch) if result.df.columns else None
+
     def _take_sample(self, result: _TableResult) -> None:
         options = self.options
         if options.sample_above is None or result.row_count <= options.sample_above:

@@ -229,6 +229,13 @@ def test_constants_of_every_type_are_exact_on_samples(spark):
     assert {f["column"] for f in p.findings.where("kind = 'constant'").collect()} == set(distinct)
 
 
+def test_sketched_distinct_counts(spark):
+    df = spark.range(20_000).selectExpr("id % 6000 AS k", "concat('v', id % 3000) AS v", "1 AS one", "map('a', id) AS m")
+    options = ProfileOptions(sample_above=10, sample_size=1000, sketch_distinct=True)
+    distinct = {c["column"]: c["distinct_count"] for c in profile_table(df, options=options).columns.collect()}
+    assert abs(distinct["k"] - 6000) < 600 and abs(distinct["v"] - 3000) < 300 and distinct["one"] == 1
+
+
 def test_findings_are_exact_on_samples(big):
     def about(name):
         return [r["kind"] for r in big.findings.where(F.col("column") == name).collect()]

@@ -463,6 +463,7 @@ WHERE o_orderstatus = 'F' GROUP BY n_name""",
     "distinct_documents": distinct_of("documents"),
     "unique_shortcut": per_column("orders", ["o_orderkey", "o_custkey"], "count(DISTINCT {c}) AS distinct_count"),
     "approx_distinct": f"SELECT *, true AS within_tenth FROM ({distinct_of('lineitem')})",
+    "sketched_profile": f"SELECT *, true AS approx, true AS within_tenth FROM ({distinct_of('lineitem')})",
     "min_max_mean": per_column(
         "lineitem",
         LINEITEM_NUMBERS,
@@ -558,6 +559,23 @@ FROM (SELECT epoch(max(o_orderdate) - min(o_orderdate)) / 86400.0 AS d FROM orde
     "value_share": shares(),
     "percent_labels": f"""SELECT o_orderstatus, {percent_label('f')} AS label FROM (
   SELECT o_orderstatus, count(*) FILTER (o_orderkey < 77) / CAST(count(*) AS DOUBLE) AS f FROM orders GROUP BY 1)""",
+    "details_numeric": f"""WITH q AS ({ranks('part', ['p_retailprice'], [0.5, 0.25, 0.75])})
+SELECT CAST(CASE p WHEN 0.5 THEN 0 WHEN 0.25 THEN 1 ELSE 2 END AS INTEGER) AS position,
+  CASE p WHEN 0.5 THEN 'median' WHEN 0.25 THEN 'p25' ELSE 'p75' END AS label, {label_number('value_num')} AS value FROM q
+UNION ALL SELECT 3, 'std dev', {label_number('stddev_pop(p_retailprice)')} FROM part
+UNION ALL SELECT 4, 'sum', {label_number('sum(p_retailprice)')} FROM part
+UNION ALL SELECT 9, 'uniqueness', {percent_label('(count(DISTINCT p_retailprice) / CAST(count(p_retailprice) AS DOUBLE))')} FROM part""",
+    "details_date": f"""SELECT 0 AS position, 'median' AS label, value
+  FROM ({ranks('orders', ['o_orderdate'], [0.5], 'CAST(v AS VARCHAR) AS value')})
+UNION ALL SELECT 1, 'distinct days', format('{{:,}}', count(DISTINCT CAST(o_orderdate AS DATE))) FROM orders
+UNION ALL SELECT 2, 'time span', printf('%.1f years', epoch(max(o_orderdate) - min(o_orderdate)) / 86400.0 / 365.25) FROM orders
+UNION ALL SELECT 9, 'uniqueness', {percent_label('(count(DISTINCT o_orderdate) / CAST(count(o_orderdate) AS DOUBLE))')} FROM orders""",
+    "details_text": f"""WITH s AS (SELECT status FROM {derived('sparse_priorities')})
+SELECT 0 AS position, 'min length' AS label, CAST(min(length(status)) AS VARCHAR) AS value FROM s
+UNION ALL SELECT 1, 'avg length', printf('%.1f', avg(length(status))) FROM s
+UNION ALL SELECT 2, 'max length', CAST(max(length(status)) AS VARCHAR) FROM s
+UNION ALL SELECT 3, 'empty ''''', format('{{:,}}', count(*) FILTER (status = '')) FROM s
+UNION ALL SELECT 9, 'uniqueness', {percent_label('(count(DISTINCT status) / CAST(count(status) AS DOUBLE))')} FROM s""",
     "fk_edges": " UNION ALL ".join(
         f"SELECT '{k.table}' AS from_table, '{k.parent}' AS to_table, "
         f"'{k.columns[0]} → {PRIMARY_KEYS[k.parent][0]}' AS columns, (SELECT count(*) FROM {k.table}) AS from_rows, "

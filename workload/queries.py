@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwell import Dataset, ProfileOptions, profile_dataset, profile_table
 from siftwell.functions.kinds import declared_kind
 from siftwell.functions.labels import percent
-from siftwell.operators import aggregates, frequency, histogram, integrity, rows, stats, value_types
+from siftwell.operators import aggregates, details, frequency, histogram, integrity, ranking, rows, stats, value_types
 from siftwell.operators import findings as findings_ops
 from siftwell.plans.profile import table_catalog as catalog_of
 from siftwell.sinks.report import profile_markdown as markdown_of
@@ -329,6 +329,16 @@ def calibrated_profile(spark, sf_dir):
     return rounded_profile(_sampled(spark, sf_dir).columns)
 
 
+@query
+def sketched_profile(spark, sf_dir):
+    """Distinct counts of a sampled profile from sketches lie near the exact ones."""
+    options = ProfileOptions(sample_above=0, sample_size=fixtures.SAMPLE_SIZE, sketch_distinct=True)
+    estimates = profile_dataset(dataset(spark, sf_dir, ["lineitem"]), options).columns
+    exact = frequency.distinct_counts(table(spark, sf_dir, "lineitem")).withColumnRenamed("distinct_count", "exact")
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * 0.1
+    return estimates.join(exact, "column").select("column", "approx", F.col("exact").alias("distinct_count"), near.alias("within_tenth"))
+
+
 # -- extended statistics --------------------------------------------------------------
 
 
@@ -407,6 +417,26 @@ def percent_labels(spark, sf_dir):
     return per_day.select("o_orderstatus", percent(F.col("early") / F.col("n")).alias("label"))
 
 
+def _details(df: DataFrame, name: str, kind: str) -> DataFrame:
+    distinct = frequency.distinct_counts(df, [name]).first()["distinct_count"]
+    return details.column_details(df, name, kind, distinct)
+
+
+@query
+def details_numeric(spark, sf_dir):
+    return _details(table(spark, sf_dir, "part"), "p_retailprice", "real")
+
+
+@query
+def details_date(spark, sf_dir):
+    return _details(table(spark, sf_dir, "orders"), "o_orderdate", "datetime")
+
+
+@query
+def details_text(spark, sf_dir):
+    return _details(derived(spark, sf_dir, "sparse_priorities"), "status", "text")
+
+
 # -- dataset level --------------------------------------------------------------------
 
 
@@ -491,7 +521,9 @@ def findings_for_column(spark, sf_dir):
 
 @query
 def dataset_rollup(spark, sf_dir):
-    return profile_dataset(dataset(spark, sf_dir), EXACT).rollup()
+    """Totals need the catalog and the keys only."""
+    members = dataset(spark, sf_dir)
+    return ranking.dataset_rollup(catalog_of(members), integrity.relationships(spark, members.foreign_keys()))
 
 
 @query
