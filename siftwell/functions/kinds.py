@@ -24,7 +24,7 @@ from siftwell.functions.names import quoted
 # Lexical patterns, tried in this order; anything else is text.
 INTEGER_TEXT = r"^[+-]?\d+$"
 REAL_TEXT = r"^[+-]?(\d+\.\d*|\.\d+|\d+(?=[eE]))([eE][+-]?\d+)?$"
-FIRST_CHARACTERS = (43, 57)  # code points from "+" to "9"
+FIRST_CHARACTERS = ("+", ":")  # signs, the point and digits lie from the first up to the second
 
 INTEGER_BIT = 1
 REAL_BIT = 2
@@ -81,7 +81,7 @@ def _lexical_type(value: str, integer, real, date, boolean, text) -> str:
     # Patterns are only tried on values whose first character or length allows a match.
     return (
         f"CASE WHEN {value} IS NULL THEN NULL "
-        f"WHEN ascii({value}) BETWEEN {FIRST_CHARACTERS[0]} AND {FIRST_CHARACTERS[1]} THEN "
+        f"WHEN {value} >= '{FIRST_CHARACTERS[0]}' AND {value} < '{FIRST_CHARACTERS[1]}' THEN "
         f"CASE WHEN {value} RLIKE r'{INTEGER_TEXT}' THEN {integer} "
         f"WHEN {value} RLIKE r'{REAL_TEXT}' THEN {real} "
         f"WHEN {looks_like_date(value)} THEN {date} ELSE {text} END "

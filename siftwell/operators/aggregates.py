@@ -1,13 +1,13 @@
 """Exact per-column aggregates of a whole table.
 
 Every figure that does not need the distinct values comes from one ungrouped aggregate:
-partial per task, one small row per task to the final step. The row stays small whatever
-the columns hold: of text only values that look like dates have their extremes kept (the
-profile shows lengths of any other text), and whether a column of text, binary or nested
-values is constant is told from hashes.
+partial per task, one small row per task to the final step. The row is of fixed width
+whatever the columns hold: of text the lengths are kept (the profile shows extremes of
+text only when it holds dates, see ``text_extremes``), and whether a column of text, binary
+or nested values is constant is told from hashes.
 
-Columns of fixed width are aggregated apart from text, and wide tables are cut into groups,
-so the generated code stays small enough to be compiled; each group reads only its own
+Numbers and dates are aggregated apart from text, and wide tables are cut into groups, so
+the generated code stays small enough to be compiled; each group reads only its own
 columns, so the bytes scanned do not grow.
 """
 
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.iso import looks_like_date
 from siftwell.functions.kinds import clean, kind_of_type, type_bit, value_class
 from siftwell.functions.labels import plain_number
+from siftwell.functions.names import quoted
 
 FIXED_WIDTH = ("integer", "real", "date", "datetime", "boolean")
 FIXED_GROUP = 24
-TEXT_GROUP = 8
+TEXT_GROUP = 2
 SKETCH_ERROR = 0.02
 
 # Result columns and their types, one row per profiled column.
@@ -100,10 +100,7 @@ def _measures(field: T.StructField, sketch: bool) -> dict[str, str]:
     if kind in ("integer", "real"):
         measures["avg"] = f"avg(CAST({value} AS double))"
     elif kind == "text":
-        dated = f"if(ascii({value}) BETWEEN 48 AND 57 AND {looks_like_date(value)}, {value}, NULL)"
         measures |= {
-            "min": f"min({dated})",
-            "max": f"max({dated})",
             "min_len": f"min(length({value}))",
             "max_len": f"max(length({value}))",
             "mask": f"bit_or({type_bit(value)})",
@@ -144,6 +141,12 @@ def _long_row(ordinal: int, field: T.StructField, measures: dict[str, str]) -> d
     }
 
 
+def text_extremes(df: DataFrame, ordinals: list[int]) -> DataFrame:
+    """First and last value in text order of some text columns, as ``min_<n>``, ``max_<n>``."""
+    names = {o: quoted(df.columns[o]) for o in ordinals}
+    return df.selectExpr(*[f"{side}({name}) AS {side}_{o}" for o, name in names.items() for side in ("min", "max")])
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """Rows, non-null values, nulls and null fraction of every column."""
     fields = df.schema.fields

@@ -99,17 +99,25 @@ def _narrow(values: DataFrame, searches: list[_Search]) -> None:
     """Shrink every range once: guess by sketch, prove by count."""
     anywhere = reduce(Column.__or__, [_inside(s) for s in searches])
     candidates = values.where(anywhere)
+    slack = 4 / ACCURACY
+    groups: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        groups.setdefault((s.name, s.below, s.rows), []).append(s)
+    # Searches of one range share its sketch.
     sketches = []
-    for i, s in enumerate(searches):
-        at = (s.rank - s.below + 0.5) / s.rows
-        slack = 4 / ACCURACY
-        probes = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack)))
-        inside = F.when(_inside(s), column(s.name))
+    for i, members in enumerate(groups.values()):
+        aims = [(s.rank - s.below + 0.5) / s.rows for s in members]
+        probes = F.array(*[F.lit(p) for at in aims for p in (max(0.0, at - slack), min(1.0, at + slack))])
+        inside = F.when(_inside(members[0]), column(members[0].name))
         sketches.append(F.percentile_approx(inside, probes, F.lit(ACCURACY)).alias(f"g{i}"))
-    guesses = candidates.agg(*sketches).first()
+    row = candidates.agg(*sketches).first()
+    searches = [s for members in groups.values() for s in members]
+    guesses = [
+        tuple(row[f"g{i}"][2 * j : 2 * j + 2]) for i, members in enumerate(groups.values()) for j in range(len(members))
+    ]
     measures = []
     for i, s in enumerate(searches):
-        value, (low, high) = column(s.name), guesses[f"g{i}"]
+        value, (low, high) = column(s.name), guesses[i]
         measures += [
             F.count_if(_inside(s) & (value < _literal(low))).alias(f"under{i}"),
             F.count_if(_inside(s) & (value <= _literal(high))).alias(f"upto{i}"),
@@ -119,7 +127,7 @@ def _narrow(values: DataFrame, searches: list[_Search]) -> None:
         ]
     counts = candidates.agg(*measures).first()
     for i, s in enumerate(searches):
-        low, high = guesses[f"g{i}"]
+        low, high = guesses[i]
         under, upto, offset = counts[f"under{i}"], counts[f"upto{i}"], s.rank - s.below
         if offset < under:
             part = s.low, counts[f"before{i}"], 0, under

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from siftwell.functions.iso import SECONDS_PER_DAY, iso_seconds
-from siftwell.functions.kinds import DATE_KINDS, kind_of_type
+from siftwell.functions.kinds import DATE_BIT, DATE_KINDS, DATETIME_BIT, kind_of_type
 from siftwell.operators import findings as findings_ops
 from siftwell.operators import ranking
-from siftwell.operators.aggregates import column_aggregates, text_literal
+from siftwell.operators.aggregates import column_aggregates, text_extremes, text_literal
 from siftwell.operators.calibrate import calibrate, rounded, scaled_count
 from siftwell.operators.classify import FACT_FIELDS, classify
 from siftwell.operators.frequency import SUMMARY_FIELDS, frequency_summary
@@ -146,6 +146,12 @@ class _Run:
             for result, rows in self._collect(lambda r: column_aggregates(r.source) if r.source is not r.df else None):
                 result.aggregates = _by_ordinal(rows)
                 result.sample_rows = rows[0]["row_count"]
+            for result, rows in self._collect(lambda r: self._dated_extremes(r, r.df)):
+                _add_extremes(result.exact, rows[0])
+            for result, rows in self._collect(
+                lambda r: self._dated_extremes(r, r.source) if r.source is not r.df else None
+            ):
+                _add_extremes(result.aggregates, rows[0])
             for result, rows in self._collect(self._frequencies):
                 self._add_facts(result, rows)
             self._plan_bins()
@@ -208,6 +214,12 @@ class _Run:
         )
         result.source = result.hold(gathered(sample, options.sample_size))
 
+    def _dated_extremes(self, result: _TableResult, df: DataFrame) -> DataFrame | None:
+        """Extremes of the text columns that hold dates, the only text shown by its range."""
+        dates = DATE_BIT | DATETIME_BIT
+        dated = [a["ordinal"] for a in result.aggregates if a["type_mask"] and a["type_mask"] | dates == dates]
+        return text_extremes(df, dated) if dated else None
+
     def _constraints(self, result: _TableResult) -> Constraints:
         return self.dataset.constraints if result.relation.type == "table" else Constraints()
 
@@ -318,6 +330,12 @@ class _Run:
         return {(row["table"], row["ordinal"]): row["grain"] for row in grains.collect() if row["grain"] is not None}
 
 
+def _add_extremes(aggregates: list[dict], extremes: Row) -> None:
+    for name, value in extremes.asDict().items():
+        side, ordinal = name.split("_")
+        aggregates[int(ordinal)][f"{side}_text"] = value
+
+
 def _by_ordinal(rows: list[Row]) -> list[dict]:
     return sorted((row.asDict() for row in rows), key=lambda row: row["ordinal"])
 
