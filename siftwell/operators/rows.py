@@ -20,6 +20,7 @@ from siftwell.operators.integrity import _key_frames
 from siftwell.sources.constraints import ResolvedKey
 
 # Fixed values.
+SAMPLE_VALUES = 25
 ROW_LIMIT = 200
 MATCH_LIMIT = 100
 GROUP_LIMIT = 50
@@ -48,6 +49,17 @@ def value_count(df: DataFrame, name: str, value) -> DataFrame:
     return df.where(equals(df, name, value)).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def view_rows(df: DataFrame, name: str, value) -> tuple[DataFrame, DataFrame]:
+    """The first rows holding a value, and how many there are in all."""
+    return rows_by_value(df, name, value, MATCH_LIMIT), value_count(df, name, value)
+
+
+def sample_values(df: DataFrame, name: str, limit: int = SAMPLE_VALUES) -> DataFrame:
+    """A few non-null values to look at; which ones is left open, so nothing is decided by them."""
+    value = column(name)
+    return df.where(value.isNotNull()).select(value.alias("value")).limit(limit)
+
+
 def value_counts_of(rows: DataFrame, df: DataFrame, name: str) -> DataFrame:
     """The given rows with how many rows of ``df`` share their value of a column."""
     counts = df.groupBy(column(name).alias("shared_value")).agg(F.count(F.lit(1)).alias("shared_count"))

@@ -121,6 +121,13 @@ def test_lookups(people):
     assert len(rows.rows_by_value(people, "score", 2.5, limit=1).collect()) == 1
 
 
+def test_shown_rows_and_samples(people):
+    shown, total = rows.view_rows(people, "score", 2.5)
+    assert ids(shown) == [1, 3] and total.first()["row_count"] == 2
+    assert {r["value"] for r in rows.sample_values(people, "score").collect()} == {2.5, 12345678.5, -1.0}
+    assert rows.sample_values(people, "score", 2).count() == 2
+
+
 def test_groups_and_order(people):
     assert [tuple(r) for r in rows.group_count(people, "score").collect()] == [
         (2.5, 2), (None, 1), (-1.0, 1), (12345678.5, 1)

@@ -608,6 +608,9 @@ WHERE tbl = 'orders_dirty' AND col = 'sparse_col'""",
     "table_ranking": ranking(),
     "rows_by_value": "SELECT * FROM orders WHERE o_custkey = 42",
     "value_count": "SELECT count(*) AS row_count FROM lineitem WHERE l_returnflag = 'R'",
+    "sample_values": f"""SELECT count(*) AS value_count FROM (
+  SELECT priority FROM {derived('sparse_priorities')} WHERE priority IS NOT NULL LIMIT 25)""",
+    "view_rows": """SELECT least(100, count(*)) AS shown, count(*) AS row_count FROM lineitem WHERE l_linestatus = 'F'""",
     "value_counts_of_rows": """SELECT s_suppkey AS l_suppkey, s_name, s_nationkey, s_acctbal, shared_count
 FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS shared_count FROM lineitem GROUP BY 1) c ON s_suppkey = c.l_suppkey""",
     "group_count_with_null": f"""SELECT priority AS value, count(*) AS value_count FROM {derived('sparse_priorities')}

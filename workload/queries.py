@@ -549,6 +549,22 @@ def value_count(spark, sf_dir):
     return rows.value_count(table(spark, sf_dir, "lineitem"), "l_returnflag", "R")
 
 
+@query
+def sample_values(spark, sf_dir):
+    """Any values will do, as long as the column holds them."""
+    priorities = derived(spark, sf_dir, "sparse_priorities")
+    values = rows.sample_values(priorities, "priority")
+    held = values.join(priorities.select(F.col("priority").alias("value")).distinct(), "value", "left_semi")
+    return held.agg(F.count(F.lit(1)).alias("value_count"))
+
+
+@query
+def view_rows(spark, sf_dir):
+    """Rows shown for a value, and their total."""
+    shown, total = rows.view_rows(table(spark, sf_dir, "lineitem"), "l_linestatus", "F")
+    return shown.agg(F.count(F.lit(1)).alias("shown")).crossJoin(total)  # one row each
+
+
 @query
 def value_counts_of_rows(spark, sf_dir):
     """Suppliers with how many lineitems share their key."""
