@@ -18,7 +18,6 @@ from siftwell.operators.value_types import cast_untyped
 from siftwell.sources.constraints import Constraints, ResolvedKey
 
 _SUFFIX = re.compile(r"(\.(parquet|orc|json|jsonl|ndjson|csv|tsv|txt|gz|bz2|zst|snappy))+$")
-COLUMNAR_FORMATS = ("parquet", "orc")
 
 CATALOG_SCHEMA = (
     "table string, type string, ordinal int, column string, declared_type string, "

@@ -22,8 +22,8 @@ def test_names_that_need_quoting(spark):
 
 def test_tables_then_views_by_name(spark):
     df = spark.range(3)
-    ds = Dataset.from_frames(spark, {"sqlitex": df, "b": df, "a": df}, views={"0v": "SELECT * FROM a"})
-    assert [r.name for r in ds.relations()] == ["a", "b", "sqlitex", "0v"]
+    ds = Dataset.from_frames(spark, {"tabx": df, "b": df, "a": df}, views={"0v": "SELECT * FROM a"})
+    assert [r.name for r in ds.relations()] == ["a", "b", "tabx", "0v"]
 
 
 def test_broken_view_is_isolated(spark):

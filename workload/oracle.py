@@ -585,6 +585,7 @@ UNION ALL SELECT 9, 'uniqueness', {percent_label('(count(DISTINCT status) / CAST
     "edge_collapse": """SELECT 'lineitem' AS from_table, 'orders' AS to_table,
   'l_orderkey → o_orderkey, l_partkey → o_custkey' AS label, count(*) AS row_count FROM lineitem
 UNION ALL SELECT 'labels', 'documents', 'doc_id → doc_id', count(*) FROM labels""",
+    "self_references": """SELECT 'orders' AS "table", count(*) AS row_count FROM orders""",
     "orphans_single": ORPHANS_SINGLE,
     "orphans_broadcast": ORPHANS_SINGLE,
     "orphan_values": """SELECT l_partkey, count(*) AS row_count FROM lineitem

@@ -464,6 +464,18 @@ def edge_collapse(spark, sf_dir):
     return edges.join(catalog_of(members).select(F.col("table").alias("from_table"), "row_count"), "from_table")
 
 
+@query
+def self_references(spark, sf_dir):
+    """Tables whose rows refer to rows of the same table, with their size."""
+    members = dataset(spark, sf_dir, ["labels", "orders"])
+    keys = [
+        ResolvedKey(0, "orders", "orders", (("o_custkey", "o_orderkey"),)),
+        ResolvedKey(0, "labels", "documents", (("doc_id", "doc_id"),)),
+    ]
+    found = integrity.self_references(integrity.relationships(spark, keys))
+    return found.join(catalog_of(members).select("table", "row_count"), "table")
+
+
 def _key(child: str, columns: tuple[str, ...], parent: str, targets: tuple[str, ...]) -> ResolvedKey:
     return ResolvedKey(0, child, parent, tuple(zip(columns, targets)))
 
