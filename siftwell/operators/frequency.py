@@ -156,6 +156,13 @@ def distinct_counts(df: DataFrame, names: Sequence[str] | None = None, unique: I
     return reduce(DataFrame.unionAll, parts).select(labels[F.col("ordinal")].alias("column"), "distinct_count")
 
 
+def repeated_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Key values held by more than one row, to check a declared key; keys with a NULL are skipped."""
+    keys = [quoted(n) for n in names]
+    present = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return df.where(present).groupBy(*keys).agg(F.expr("count(1) AS row_count")).where("row_count > 1")
+
+
 def top_values(
     df: DataFrame, names: Sequence[str] | None = None, top: int = TOP_VALUES, unique: Iterable[str] = ()
 ) -> DataFrame:

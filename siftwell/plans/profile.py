@@ -29,6 +29,7 @@ from siftwell.operators import ranking
 from siftwell.operators.aggregates import column_aggregates, text_extremes, text_literal
 from siftwell.operators.calibrate import calibrate, rounded, scaled_count
 from siftwell.operators.classify import FACT_FIELDS, classify
+from siftwell.operators.details import column_details
 from siftwell.operators.frequency import SUMMARY_FIELDS, frequency_summary
 from siftwell.operators.histogram import (
     DateBuckets,
@@ -70,7 +71,8 @@ class ProfileOptions:
     histograms from a sample of about ``sample_size`` rows; ``sample_above=None`` profiles
     every table in full. ``sketch_distinct`` takes the distinct counts of sampled tables from
     sketches of all their rows, which is closer than scaling up the sample and costs no
-    further scan. ``sample_keys`` names columns whose hash picks the sample of a
+    further scan. ``trust_unique=False`` counts the values of columns declared unique like any
+    others. ``sample_keys`` names columns whose hash picks the sample of a
     table instead of a random number. ``parallel_tables`` queries run at a time.
     """
 
@@ -80,6 +82,7 @@ class ProfileOptions:
     sample_keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
     parallel_tables: int = 8
     sketch_distinct: bool = False
+    trust_unique: bool = True
 
 
 @dataclass
@@ -224,6 +227,8 @@ class _Run:
         return self.dataset.constraints if result.relation.type == "table" else Constraints()
 
     def _unique(self, result: _TableResult) -> set[str]:
+        if not self.options.trust_unique:
+            return set()
         return self._constraints(result).unique_columns(result.name) & set(result.source.columns)
 
     def _frequencies(self, result: _TableResult) -> DataFrame | None:
@@ -512,6 +517,11 @@ class DatasetProfile:
         """Ranked data-quality findings."""
         return findings_ops.findings(self.columns, self.tables, self.orphans)
 
+    def details(self, table: str, name: str) -> DataFrame:
+        """Extended statistics of one column, over all its rows even where it was sampled."""
+        about = self.columns.where((F.col("table") == table) & (F.col("column") == name)).first()
+        return column_details(self._dataset.open(table), name, about["kind"], about["distinct_count"], about["approx"])
+
     def rollup(self) -> DataFrame:
         return ranking.dataset_rollup(self.tables, self.relationships)
 

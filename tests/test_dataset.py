@@ -4,7 +4,8 @@ import gzip
 
 import pytest
 from conftest import one
-from siftwell import Constraints, Dataset, ForeignKey, UniqueKey, profile_dataset
+from siftwell import Constraints, Dataset, ForeignKey, ProfileOptions, UniqueKey, profile_dataset
+from siftwell.operators.frequency import repeated_keys, top_values
 from siftwell.sources.constraints import ConstraintError
 
 
@@ -138,12 +139,18 @@ def test_unique_columns_are_not_grouped(spark):
     assert one(p.columns, "column = 'tag'")["distinct_count"] == 2
     first = one(p.top_values, "column = 'tag' and rank = 1")
     assert (first["value"], first["value_count"]) == ("dup", 2)
-    from siftwell.operators.frequency import top_values
-
     top = top_values(df, ["id"], unique=["id"]).orderBy("rank").collect()
     assert [(t["value"], t["value_count"]) for t in top] == [("1", 1), ("2", 1), ("3", 1)]
 
 
+def test_declared_unique_can_be_checked(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id int")
+    ds = Dataset.from_frames(spark, {"t": df}, constraints=Constraints({"t": ("id",)}))
+    assert one(profile_dataset(ds).columns, "true")["distinct_count"] == 3
+    assert one(profile_dataset(ds, ProfileOptions(trust_unique=False)).columns, "true")["distinct_count"] == 2
+    assert [tuple(r) for r in repeated_keys(df, ["id"]).collect()] == [(1, 2)]
+
+
 def test_view_is_read_once_and_released(spark):
     t = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", None)], "k string, n int")
     p = profile_dataset(Dataset.from_frames(spark, {"t": t}, views={"v": "SELECT k, n * 10 AS n10 FROM t"}))

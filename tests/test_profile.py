@@ -243,6 +243,15 @@ def test_findings_are_exact_on_samples(big):
     assert about("rare") == ["constant"] and about("same") == ["constant"] and about("cat") == []
 
 
+def test_details_use_all_rows(big):
+    details = {r["label"]: r["value"] for r in big.details("big", "val").collect()}
+    assert details["median"] == "500.1" and details["sum"] == "5,000,500" and details["uniqueness"].startswith("≈")
+    assert [r["label"] for r in big.details("big", "cat").orderBy("position").collect()] == [
+        "min length", "avg length", "max length", "uniqueness"
+    ]
+    assert [r["value"] for r in big.details("big", "rare").orderBy("position").collect()] == ["42", "42", "42", "0", "42", "≈100%"]
+
+
 def test_approximate_columns_are_marked(big):
     labels = {r["column"]: r for r in uniqueness(big.columns).collect()}
     assert labels["id"]["label"] == "≈100%" and not labels["id"]["all_distinct"]

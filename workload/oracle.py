@@ -462,6 +462,8 @@ WHERE o_orderstatus = 'F' GROUP BY n_name""",
     "distinct_counts": distinct_of("lineitem"),
     "distinct_documents": distinct_of("documents"),
     "unique_shortcut": per_column("orders", ["o_orderkey", "o_custkey"], "count(DISTINCT {c}) AS distinct_count"),
+    "repeated_keys": """SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem
+GROUP BY ALL HAVING count(*) > 1""",
     "approx_distinct": f"SELECT *, true AS within_tenth FROM ({distinct_of('lineitem')})",
     "sketched_profile": f"SELECT *, true AS approx, true AS within_tenth FROM ({distinct_of('lineitem')})",
     "min_max_mean": per_column(

@@ -159,6 +159,12 @@ def unique_shortcut(spark, sf_dir):
     return frequency.distinct_counts(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"], unique=["o_orderkey"])
 
 
+@query
+def repeated_keys(spark, sf_dir):
+    """Pairs that would break a key if one were declared."""
+    return frequency.repeated_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
 @query
 def approx_distinct(spark, sf_dir):
     """Sketched distinct counts lie near the exact ones."""
