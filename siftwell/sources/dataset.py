@@ -15,14 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.functions.names import quoted
 from siftwell.operators.value_types import cast_untyped
+from siftwell.plans.local import local_frame
 from siftwell.sources.constraints import Constraints, ResolvedKey
 
 _SUFFIX = re.compile(r"(\.(parquet|orc|json|jsonl|ndjson|csv|tsv|txt|gz|bz2|zst|snappy))+$")
 
-CATALOG_SCHEMA = (
-    "table string, type string, ordinal int, column string, declared_type string, "
-    "pk boolean, not_null boolean, generated boolean"
-)
+CATALOG_FIELDS = {
+    "table": "string",
+    "type": "string",
+    "ordinal": "int",
+    "column": "string",
+    "declared_type": "string",
+    "pk": "boolean",
+    "not_null": "boolean",
+    "generated": "boolean",
+}
 
 
 class UnreadableTable(Exception):
@@ -180,19 +187,18 @@ class Dataset:
             generated = self.constraints.generated.get(relation.name, ()) if declared else ()
             types = self.declared_types.get(relation.name, {})
             for ordinal, field in enumerate(fields):
-                rows.append(
-                    (
-                        relation.name,
-                        relation.type,
-                        ordinal,
-                        field.name,
-                        types.get(field.name, field.dataType.simpleString()) or "(none)",
-                        field.name in pk,
-                        field.name in not_null,
-                        field.name in generated,
-                    )
+                values = (
+                    relation.name,
+                    relation.type,
+                    ordinal,
+                    field.name,
+                    types.get(field.name, field.dataType.simpleString()) or "(none)",
+                    field.name in pk,
+                    field.name in not_null,
+                    field.name in generated,
                 )
-        return self.spark.createDataFrame(rows, CATALOG_SCHEMA)
+                rows.append(dict(zip(CATALOG_FIELDS, values)))
+        return local_frame(self.spark, rows, CATALOG_FIELDS)
 
     # -- ad-hoc SQL -----------------------------------------------------------------
 
