@@ -145,7 +145,8 @@ def groups(
         F.count("*").alias("runs"),
     )
     whole = whole.where("runs > 1").select("sha256", F.col("best.f").alias("keep"), F.abs("best.p").alias("leader"), "size")
-    found = runs.join(whole, "sha256", "left").withColumn("__keep", F.coalesce("keep", "run_first"))
+    # two rows at most for each range: as many ranges as there are shuffle partitions
+    found = runs.join(F.broadcast(whole), "sha256", "left").withColumn("__keep", F.coalesce("keep", "run_first"))
     result = [
         id_or_null("__id").alias(id),
         id_or_null("__keep").alias("keep_id"),
