@@ -165,6 +165,28 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+class Remembered(dict):
+    """Values by word that a process holds, in bounded memory: when a generation is full the one
+    before it is forgotten, except for the words met since."""
+
+    def __init__(self, most: int):
+        self.most, self.before = most, {}
+
+    def missing(self, words: Iterator[str]) -> set[str]:
+        """The words without a value; those of the last generation come over to this one."""
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+        new, before = set(), self.before
+        for word in words:
+            if word not in self:
+                if word in before:
+                    self[word] = before[word]
+                else:
+                    new.add(word)
+        return new
+
+
 # -- connected components ---------------------------------------------------------------
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import exact_dedup, url_filter
+from siftwell.llm import exact_dedup, langid, sentencepiece_codec, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,12 +22,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The model file of the registered queries; executors get its bytes.
+MODEL = os.environ.get("SIFTWELL_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op1_language_id(spark, sf_dir):
+    """The language of every whole text, learnt from labelled rows that are not held out."""
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
+    return langid.annotate(documents, langid.learn(documents), only=["doc_id", "held_out"])
+
+
 @query
 def op2_exact_dedup(spark, sf_dir):
     """Exact copies among whole texts; the largest id stays."""
     return exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query
+def op6_sentencepiece(spark, sf_dir):
+    """Token ids of every whole text, and whether they decode to it."""
+    return sentencepiece_codec.checked(table(spark, sf_dir, "documents"), sentencepiece_codec.read_model(spark, MODEL))
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    """Unigram token counts of every whole text."""
+    return token_counts.counts(table(spark, sf_dir, "documents"), sentencepiece_codec.read_model(spark, MODEL))
+
+
 # The rules of the registered query.
 URL_RULES = [
     ("allow", "org", "/"),

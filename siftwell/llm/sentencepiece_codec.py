@@ -15,23 +15,29 @@ the same ids each. An empty table gives an empty result. Further columns are pas
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from siftwell.llm.common import blocks, whole_text
+from siftwell.llm.common import Remembered, blocks, whole_text
 
 MARK = "▁"
 # Fixed values of the model format: types of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 BLOCK = 1 << 20
+#: Marks and what follows up to the next mark.
+word_pattern = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 AWKWARD = ["", " ", "a", "  two  spaces ", "a\nb\tc", "naïve Straße ñandú", "日本語 テキスト", "🙂 emoji‍", "▁mark", "x" * 300, "1234567890", "<s> </s> <unk> <0x41>", "\x00\x07", "é combining"]
 
 
@@ -79,8 +85,6 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 def parse(data: bytes) -> Model:
     """A model from its protobuf: pieces (1), trainer settings (2), normaliser settings (3)."""
-    import struct
-
     model = Model()
     for number, value in _fields(data):
         if number == 1:
@@ -170,51 +174,133 @@ def read_model(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-_built: dict[bytes, Tokenizer] = {}
-
-
-def tokenizer_of(data: bytes, threads: int) -> Tokenizer:
-    """The tokenizer of this process."""
-    if data not in _built:
+class Codec:
+    """Encodes and decodes blocks of texts. Where no piece reaches past a word, distinct words go to
+    the tokenizer once and their ids are looked up after that; other models get whole texts."""
+
+    WORDS = 400_000  # held in memory, twice
+    LONG = 64  # characters beyond which a word is not held
+
+    def __init__(self, data: bytes):
+        model = parse(data)
+        self.tokenizer = rebuild(data, check=False)
+        self.prefix = MARK if model.dummy_prefix else ""
+        self.by_word = _word_bound(model) and model.escape_whitespaces and not model.charsmap and not model.remove_extra_whitespaces
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.known = Remembered(self.WORDS)
+        self.plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+        self.strip = model.dummy_prefix
+
+    def _words(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return word_pattern.findall(self.prefix + text.replace(" ", MARK))
+        return (self.prefix + text.replace(" ", " " + MARK)).split(" ")
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin."""
+        if not self.by_word:
+            found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            flat = np.concatenate([np.zeros(0, np.int32), *found])
+            return flat, np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        words = [self._words(t) for t in texts]
+        known = self.known
+        new = list(known.missing(w for ws in words for w in ws))
+        known.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False)))
+        found = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in new:
+            if len(w) > self.LONG:
+                del known[w]
+        return np.frombuffer(b"".join(found), np.int32), np.concatenate([[0], np.cumsum([len(b) // 4 for b in found], dtype=np.int64)])
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; what plain joining cannot decide is left to the tokenizers library."""
+        try:
+            text = b"".join(map(self.plain.__getitem__, ids)).decode()
+        except (UnicodeDecodeError, IndexError):
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return text[1:] if self.strip and text[:1] == " " else text
+
+
+_built: dict[tuple[bytes, int], Codec] = {}
+
+
+def codec_of(data: bytes, threads: int) -> Codec:
+    """The codec of this process."""
+    if (data, threads) not in _built:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
-        _built[data] = rebuild(data, check=False)
-    return _built[data]
+        _built[data, threads] = Codec(data)
+    return _built[data, threads]
+
+
+def _batched(frame: DataFrame, names: list[str], reads: dict[str, Column], work, adds: list[T.StructField]) -> DataFrame:
+    """The columns ``names``, then those that ``work`` makes of each block of rows; internal names apart from the rows' own."""
+    rows = frame.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), *(x.alias(k) for k, x in reads.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in work(batch):
+                kept = part[0].select([f"c{i}" for i in range(len(names))])
+                yield pa.RecordBatch.from_arrays([*kept.columns, *part[1]], names=[*kept.schema.names, *(f.name for f in adds)])
+
+    kinds = [T.StructField(f"c{i}", rows.schema[f"c{i}"].dataType) for i in range(len(names))]
+    found = rows.mapInArrow(run, T.StructType([*kinds, *(T.StructField(f.name, f.dataType) for f in adds)]))
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *(F.col(f.name).alias(f.metadata["as"]) for f in adds))
+
+
+def _adds(**columns: tuple[str, T.DataType]) -> list[T.StructField]:
+    return [T.StructField(f"p_{k}", kind, metadata={"as": name}) for k, (name, kind) in columns.items()]
 
 
 def annotate(documents: DataFrame, model: bytes, text: str = "text", only: list[str] | None = None, ids: str = "ids", threads: int = 2) -> DataFrame:
     """The documents (or their columns ``only``), and the token ids of each whole text."""
     rebuild(model)  # a model that cannot be rebuilt fails here, not in the tasks
-    names = documents.columns if only is None else only
-    rows = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), whole_text(text).alias("t"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(model, threads)
-        for batch in batches:
-            for first, end, _, _ in blocks(batch.column("t"), BLOCK):
-                part = batch.slice(first, end - first)
-                found = tokenizer.encode_batch_fast(part.column("t").to_pylist(), add_special_tokens=False)
-                lists = pa.array([e.ids for e in found], pa.list_(pa.int32()))
-                yield part.drop_columns(["t"]).append_column("ids", lists)
+    def work(batch):
+        codec = codec_of(model, threads)
+        for first, end, _, _ in blocks(batch.column("t"), BLOCK):
+            part = batch.slice(first, end - first)
+            flat, bounds = codec.encode(part.column("t").to_pylist())
+            yield part, [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
 
-    kinds = [T.StructField(f"c{i}", rows.schema[f"c{i}"].dataType) for i in range(len(names))]
-    found = rows.mapInArrow(encode, T.StructType([*kinds, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("ids").alias(ids))
+    names = documents.columns if only is None else only
+    return _batched(documents, names, {"t": whole_text(text)}, work, _adds(ids=(ids, T.ArrayType(T.IntegerType()))))
 
 
 def decoded(frame: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded", threads: int = 2) -> DataFrame:
     """The rows and the text that their ids stand for; "" for null or no ids."""
-    names = frame.columns
-    rows = frame.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(model, threads)
-        for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                texts = tokenizer.decode_batch(part.column("ids").to_pylist(), skip_special_tokens=False)
-                yield part.drop_columns(["ids"]).append_column("text", pa.array(texts, pa.string()))
 
-    kinds = [T.StructField(f"c{i}", rows.schema[f"c{i}"].dataType) for i in range(len(names))]
-    found = rows.mapInArrow(decode, T.StructType([*kinds, T.StructField("text", T.StringType())]))
-    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("text").alias(text))
+    def work(batch):
+        codec = codec_of(model, threads)
+        for a in range(0, len(batch), 256):
+            part = batch.slice(a, 256)
+            yield part, [pa.array([codec.decode(x) for x in part.column("t").to_pylist()], pa.string())]
+
+    reads = {"t": F.coalesce(F.col(ids), F.array().cast("array<int>"))}
+    return _batched(frame, frame.columns, reads, work, _adds(text=(text, T.StringType())))
+
+
+def checked(documents: DataFrame, model: bytes, id: str = "doc_id", text: str = "text", threads: int = 2) -> DataFrame:
+    """One row per document: id, n_tokens, n_byte_tokens (of byte fallback), ids_sha256 (over
+    little-endian 32-bit ids), and whether decoding gives the text back."""
+    rebuild(model)
+    byte_ids = np.array([i for i, p in enumerate(parse(model).pieces) if p[2] == BYTE], np.int32)
+
+    def work(batch):
+        codec = codec_of(model, threads)
+        for first, end, _, _ in blocks(batch.column("t"), BLOCK):
+            part = batch.slice(first, end - first)
+            texts = part.column("t").to_pylist()
+            flat, bounds = codec.encode(texts)
+            fallback = np.concatenate([[0], np.cumsum(np.isin(flat, byte_ids), dtype=np.int64)])
+            shas, same = [], []
+            for i, t in enumerate(texts):
+                own = flat[bounds[i] : bounds[i + 1]]
+                shas.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
+                same.append(codec.decode(own.tolist()) == t)
+            yield part, [pa.array(np.diff(bounds)), pa.array(np.diff(fallback[bounds])), pa.array(shas), pa.array(same)]
+
+    adds = _adds(n=("n_tokens", T.LongType()), b=("n_byte_tokens", T.LongType()), s=("ids_sha256", T.StringType()), r=("round_trip", T.BooleanType()))
+    return _batched(documents, [id], {"t": whole_text(text)}, work, adds)
