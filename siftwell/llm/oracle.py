@@ -30,3 +30,37 @@ WITH parts AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
 """
+
+# 40 halvings; the permutation is cut at the first document that would exceed the rest of the budget
+ORACLE["op5_mixing"] = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents
+), sums AS (
+  SELECT source, sum(tokens)::BIGINT AS total, sum(tokens) / (SELECT sum(tokens) FROM rows) AS p
+  FROM rows GROUP BY source HAVING sum(tokens) > 0
+), halving(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1,
+         CASE WHEN (SELECT max(exp(((low + high) / 2) * ln(p)) / p) / sum(exp(((low + high) / 2) * ln(p))) FROM sums) > 1.25 THEN (low + high) / 2 ELSE low END,
+         CASE WHEN (SELECT max(exp(((low + high) / 2) * ln(p)) / p) / sum(exp(((low + high) / 2) * ln(p))) FROM sums) > 1.25 THEN high ELSE (low + high) / 2 END
+  FROM halving WHERE step < 40
+), target AS (SELECT round(high, 9) AS a FROM halving WHERE step = 40),
+weights AS (
+  SELECT source, total, a, round(exp(a * ln(p)) / sum(exp(a * ln(p))) OVER (), 9) AS weight, sum(total) OVER () AS everything
+  FROM sums, target
+), budgets AS (
+  SELECT source, total, a, weight, floor(round(weight * everything, 3))::BIGINT AS budget FROM weights
+), passes AS (
+  SELECT *, budget // total AS whole, budget % total AS rest FROM budgets
+), placed AS (
+  SELECT r.doc_id, r.source, r.tokens, whole, rest, weight, a,
+         sum(r.tokens) OVER (PARTITION BY r.source ORDER BY md5('0:' || whole || ':' || coalesce(r.doc_id::VARCHAR, '')), r.doc_id, r.tokens
+                             ROWS UNBOUNDED PRECEDING) AS upto
+  FROM rows r JOIN passes s ON r.source IS NOT DISTINCT FROM s.source
+), taken AS (
+  SELECT *, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS epochs FROM placed
+)
+SELECT doc_id, source, tokens AS n_tokens, epoch, weight, a AS exponent
+FROM taken, unnest(range(0, epochs)) AS t(epoch)
+"""

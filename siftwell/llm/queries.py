@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import exact_dedup, langid, sentencepiece_codec, token_counts, url_filter
+from siftwell.llm import exact_dedup, langid, mixing, sentencepiece_codec, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +65,9 @@ URL_RULES = [
 def op9_url_filter(spark, sf_dir):
     """Verdict of every page's url under nested rules."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    """The documents that a mix of all sources takes, no source being repeated more than 1.25 times over."""
+    return mixing.realised(table(spark, sf_dir, "documents"), repetition=1.25)
