@@ -6,9 +6,11 @@ a table, whatever their names, neither disturb them nor are lost where rows are
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,15 @@ BLOCK_BYTES = 1 << 21
 NULL_ID = (1 << 63) - 1
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers started from any folder import this package, where they see its files;
+    on clusters that do not, ship it by --py-files."""
+    here = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)

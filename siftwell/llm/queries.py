@@ -6,8 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm import exact_dedup, langid, mixing, sentencepiece_codec, token_counts, url_filter
+from siftwell.llm import ann, exact_dedup, langid, mixing, sentencepiece_codec, token_counts, url_filter
+from siftwell.llm.common import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +21,7 @@ def query(function: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,3 +74,9 @@ def op9_url_filter(spark, sf_dir):
 def op5_mixing(spark, sf_dir):
     """The documents that a mix of all sources takes, no source being repeated more than 1.25 times over."""
     return mixing.realised(table(spark, sf_dir, "documents"), repetition=1.25)
+
+
+@query
+def op8_ann(spark, sf_dir):
+    """The five nearest found for every fiftieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
