@@ -134,15 +134,19 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of marked bytes that stay within one text."""
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[offsets] = True
+    before, after = edge[:-1].copy(), edge[1:].copy()
+    before[1:] |= ~inside[:-1]
+    after[:-1] |= ~inside[1:]
+    return np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words (runs of bytes other than \\x20 and \\x09-\\x0D) of texts."""
-    word = ~_SPACE[data]
-    after_break = np.ones(len(data) + 1, bool)
-    after_break[1:] = ~word
-    after_break[offsets] = True
-    starts = np.flatnonzero(word & after_break[:-1])
-    ends = np.flatnonzero(word & after_break[1:]) + 1
-    return starts, ends
+    return runs(~_SPACE[data], offsets)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

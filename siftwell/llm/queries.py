@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import ann, exact_dedup, langid, mixing, sentencepiece_codec, token_counts, url_filter
+from siftwell.llm import ann, exact_dedup, langid, mixing, pii, sentencepiece_codec, token_counts, url_filter
 from siftwell.llm.common import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,9 @@ def op5_mixing(spark, sf_dir):
 def op8_ann(spark, sf_dir):
     """The five nearest found for every fiftieth vector."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op4_pii(spark, sf_dir):
+    """Personal data in every whole text, and the terms that reveal it."""
+    return pii.find(table(spark, sf_dir, "documents"))
