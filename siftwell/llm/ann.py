@@ -57,8 +57,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def pivots_of(rows: DataFrame, count: int = PIVOTS) -> np.ndarray:
-    """Unit vectors of distinct directions, from at most 16 · count rows chosen by hash among all."""
-    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(16 * count).select("v").collect()
+    """Unit vectors of distinct directions, from at most 4 · count rows chosen by hash among all."""
+    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(4 * count).select("v").collect()
     if not sample:
         return np.zeros((0, 0))
     units = _unit(np.array([r.v for r in sample]))

@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,6 +203,23 @@ class Remembered(dict):
         return new
 
 
+# -- bitmaps ------------------------------------------------------------------------------
+
+
+def bitmap(frame: DataFrame, hashed: Column, bits: int = 24) -> Broadcast:
+    """A bitmap of 2^bits bits, whatever the number of rows, that marks the hashes of a column's values."""
+    slot = frame.select(F.pmod(hashed, F.lit(1 << bits)).alias("slot")).distinct()
+    words = slot.groupBy(F.shiftright("slot", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("w")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.int64)
+    marks[words.column("i").to_numpy()] = words.column("w").to_numpy()
+    return frame.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
+
+
+def in_bitmap(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes.view(np.uint64) & np.uint64(64 * len(marks) - 1)
+    return (marks[(slot >> np.uint64(6)).view(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 # -- connected components ---------------------------------------------------------------
 
 

@@ -64,3 +64,31 @@ weights AS (
 SELECT doc_id, source, tokens AS n_tokens, epoch, weight, a AS exponent
 FROM taken, unnest(range(0, epochs)) AS t(epoch)
 """
+
+# Links between different sets, by shared shingles; equal sets have the same shingles. Classes by repeated minima.
+ORACLE["op3_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s
+  FROM words, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i)
+  WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), reach(node, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT node, b FROM reach JOIN links ON a = other
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least_id AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+JOIN (SELECT node, min(other) AS least_id FROM reach GROUP BY node) r ON r.node = d.doc_id
+"""

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import blocks, materialize, mix, prefix_sums, runs, signed, span_hashes, whole_text
+from siftwell.llm.common import bitmap, blocks, in_bitmap, materialize, mix, prefix_sums, runs, signed, span_hashes, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -175,19 +175,13 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _documents_with(documents: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """term, n: in how many documents each of the terms (and some others) stands."""
-    slots = terms.select(F.pmod("term", F.lit(1 << BITS)).alias("slot")).distinct()
-    words = slots.groupBy(F.shiftright("slot", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("w")).collect()  # 2^17 rows at most
-    bitmap = np.zeros(1 << (BITS - 6), np.int64)
-    for row in words:
-        bitmap[row.i] = row.w
-    bitmap = bitmap.view(np.uint64)
+    marks = bitmap(terms, F.col("term"), BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column("t"), 4 << 20):
                 hashes, owner = term_hashes(data, offsets)
-                slot = hashes & np.uint64((1 << BITS) - 1)
-                hit = (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                hit = in_bitmap(marks.value, hashes)
                 pairs = np.unique(np.stack([hashes[hit], owner[hit].astype(np.uint64)]), axis=1)[0]
                 own, n = np.unique(pairs, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.array(n.astype(np.int64))], names=["term", "n"])
