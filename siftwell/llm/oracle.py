@@ -92,3 +92,31 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least_id AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 JOIN (SELECT node, min(other) AS least_id FROM reach GROUP BY node) r ON r.node = d.doc_id
 """
+
+# Two hex digits a byte; of every string of 50 bytes the smallest document that it starts in
+ORACLE["op10_suffix_dedup"] = r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), strings AS (
+  SELECT doc_id, i, x[2 * i - 1 : 2 * i + 98] AS s FROM bytes, unnest(range(1, n - 48)) AS t(i)
+), firsts AS (
+  SELECT s, min(doc_id) AS least FROM strings GROUP BY s
+), hits AS (
+  SELECT strings.doc_id, i FROM strings JOIN firsts ON strings.s = firsts.s WHERE least < strings.doc_id
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hits
+), numbered AS (
+  SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), runs AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs
+), kept AS (
+  SELECT c.doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed,
+         string_agg(x[2 * before - 1 : 2 * a - 2], '' ORDER BY a) AS head, max(b) AS tail
+  FROM cuts c JOIN bytes ON bytes.doc_id = c.doc_id GROUP BY c.doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || x[2 * coalesce(tail, 1) - 1 :])) AS kept_sha256
+FROM bytes d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import ann, exact_dedup, jaccard_join, langid, mixing, pii, sentencepiece_codec, token_counts, url_filter
+from siftwell.llm import ann, exact_dedup, jaccard_join, langid, mixing, pii, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 from siftwell.llm.common import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,9 @@ def op4_pii(spark, sf_dir):
 def op3_jaccard_join(spark, sf_dir):
     """Classes of documents that links of five-word shingles (0.75 or more) join."""
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    """Passages of 50 bytes and more that stand in an earlier document, removed from whole texts."""
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
