@@ -171,7 +171,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
             sets.append(np.unique(sums[a : b - width + 1]))
         elif b > a:
             terms = words[a:b] * powers(_BASE, width + 1)[1 : b - a + 1]
-            sets.append(mix(np.add.reduce(terms, keepdims=True) + np.uint64(0xA24BAED4963EE407) * np.uint64(b - a)))
+            sets.append(mix(np.add.reduce(terms, keepdims=True) + np.uint64(0xA24BAED4963EE407 * (b - a) % (1 << 64))))
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets

@@ -254,19 +254,25 @@ def _adds(**columns: tuple[str, T.DataType]) -> list[T.StructField]:
     return [T.StructField(f"p_{k}", kind, metadata={"as": name}) for k, (name, kind) in columns.items()]
 
 
-def annotate(documents: DataFrame, model: bytes, text: str = "text", only: list[str] | None = None, ids: str = "ids", threads: int = 2) -> DataFrame:
-    """The documents (or their columns ``only``), and the token ids of each whole text."""
+def annotate(documents: DataFrame, model: bytes, text: str = "text", only: list[str] | None = None, ids: str = "ids", verify: str | None = None, threads: int = 2) -> DataFrame:
+    """The documents (or their columns ``only``), and the token ids of each whole text; in the column
+    ``verify``, if it is named, whether decoding them gives the text back."""
     rebuild(model)  # a model that cannot be rebuilt fails here, not in the tasks
 
     def work(batch):
         codec = codec_of(model, threads)
         for first, end, _, _ in blocks(batch.column("t"), BLOCK):
             part = batch.slice(first, end - first)
-            flat, bounds = codec.encode(part.column("t").to_pylist())
-            yield part, [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
+            texts = part.column("t").to_pylist()
+            flat, bounds = codec.encode(texts)
+            columns = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
+            if verify:
+                columns.append(pa.array([codec.decode(flat[a:b].tolist()) == t for t, a, b in zip(texts, bounds[:-1], bounds[1:])], pa.bool_()))
+            yield part, columns
 
     names = documents.columns if only is None else only
-    return _batched(documents, names, {"t": whole_text(text)}, work, _adds(ids=(ids, T.ArrayType(T.IntegerType()))))
+    adds = _adds(ids=(ids, T.ArrayType(T.IntegerType())), **({"same": (verify, T.BooleanType())} if verify else {}))
+    return _batched(documents, names, {"t": whole_text(text)}, work, adds)
 
 
 def decoded(frame: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded", threads: int = 2) -> DataFrame:
