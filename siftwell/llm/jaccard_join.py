@@ -3,14 +3,16 @@
 A document is the set of its shingles, as 64-bit hashes. Two steps keep all pairs from being looked at:
 
 1.  Similar documents are put into groups. Each document posts the first tokens of its set
-    in a common order (two sets that link must share one of these), a token's postings are read
-    as one sorted run, and every document is compared with the one that most of its runs begin
-    with. Those that link, and equal sets, are joined into groups.
-2.  The matrix: for each token, the groups in whose postings it stands. A document is a query to
-    each other group that it shares a token with. A group's token union bounds the overlap that any
-    member can have with the query; only where the bound reaches the threshold is the group
-    opened and the query compared with its members. One link joins two groups; all other members
-    are joined already, so the squares of large groups never arise.
+    in a common order, a token's postings are read as one sorted run, and every document is
+    compared with the one that most of its runs begin with. Those that link, and equal sets, are
+    joined into groups.
+2.  The matrix: for each token, the groups in whose postings it stands, with the least and largest
+    size of a set there. A document is a query to each other group that it shares posted tokens with. If a
+    member links with it, the two share some part of what they post; so a group whose column
+    has fewer of the query's tokens, or no set of a fitting size, is not opened. Of the others
+    the union of all tokens bounds the overlap once more, and the query is compared with
+    members until one links: it joins the two groups, whose other members are joined
+    already, so the squares of large groups never arise.
 
 The order of tokens puts the commonest ones last, so a line or passage that many documents share does
 not bring them together. It is counted over all documents, block by block, and at most 2^18 tokens
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,8 @@ HOT = 1 << 18  # tokens whose frequency is known
 CHUNK = 64  # members of a group that are opened together
 PACK = 256  # queries that are compared with them
 SALTS = 16  # parts of a common token's postings
+EXTRA = 5  # percent of a set that is posted beyond what linked sets must share one of
+TOKEN_BITS = 48  # of a hash that are posted: two tokens taken for one add candidates, no links
 
 
 def _common_tokens(rows: DataFrame, width: int) -> np.ndarray:
@@ -87,13 +92,13 @@ def _read(rows: DataFrame, common: np.ndarray, width: int, percent: int) -> Data
                         rare.append(0)
                         continue
                     seen.add(signature)
-                    # an overlap of percent of the set, at least, cannot miss all of the first ones
-                    size = len(s) - -(-percent * len(s) // 100) + 1
+                    # with an overlap of percent of the set, linked sets share 1 + EXTRA percent of these
+                    size = min(len(s), len(s) - -(-percent * len(s) // 100) + 1 + EXTRA * len(s) // 100)
                     tokens = s[~own][:size]
                     rare.append(len(tokens))
                     if len(tokens) < size:
                         tokens = np.concatenate([tokens, s[own][: size - len(tokens)]])
-                    posted.append(signed(tokens))
+                    posted.append(signed(tokens >> np.uint64(64 - TOKEN_BITS)))
                 uids = np.arange(uid, uid + len(part))
                 uid += len(part)
                 yield pa.RecordBatch.from_arrays(
@@ -157,7 +162,8 @@ def _compare(width: int, percent: int):
 
 
 def _sets(texts: pd.Series, width: int) -> list[np.ndarray]:
-    encoded = [t.encode() for t in texts]
+    expand = zstandard.ZstdDecompressor().decompress
+    encoded = [expand(t) for t in texts]
     return shingle_sets(np.frombuffer(b"".join(encoded), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in encoded], dtype=np.int64)]), width)
 
 
@@ -167,6 +173,24 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
+def _texts(rows: DataFrame, sets: DataFrame, uids: DataFrame) -> DataFrame:
+    """uid and compressed text of documents; a bitmap of fixed size keeps most others from being shuffled."""
+    wanted = materialize(sets.select("uid", "id", "text_key").join(uids.distinct(), "uid"), "wanted")
+    hits = bitmap(wanted, F.xxhash64("id", "text_key"))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            part = batch.filter(pa.array(in_bitmap(hits.value, batch.column("h").to_numpy())))
+            packed = pa.array([squeeze(t) for t in part.column("t").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), packed], names=["id", "key", "t"])
+
+    some = rows.select("id", "key", "t", F.xxhash64("id", "key").alias("h")).mapInArrow(narrow, "id long, key long, t binary")
+    named = wanted.groupBy("id", "text_key").agg(F.collect_set("uid").alias("uids"))  # one uid per task at most
+    some = some.join(named, (some["id"] == named["id"]) & (some["key"] == named["text_key"]))
+    return materialize(some.select(F.explode("uids").alias("uid"), "t").dropDuplicates(["uid"]), "texts")
+
+
 def _links(members: DataFrame, queries: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of queries (g, uid) with members (g, uid) of their groups: one in each chunk of a group
     that the token union does not rule out. Groups are opened in chunks, by packs of queries."""
@@ -196,39 +220,30 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
     salt = F.when(F.col("at") >= F.col("rare"), F.pmod(F.xxhash64("uid"), F.lit(SALTS))).otherwise(0)
     posted = posted.select("token", "uid", salt.alias("salt")).repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "uid")
     shared = materialize(posted.select("token", "uid").mapInArrow(_shared, "token long, uid long, center long"), "shared")
-
-    # the texts of all candidates; a bitmap of fixed size keeps most others from being shuffled
-    wanted = materialize(shared.select("uid").distinct().join(sets.select("uid", "id", "text_key"), "uid"), "wanted")
-    hits = bitmap(wanted, F.xxhash64("id", "text_key"))
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(hits.value, batch.column("h").to_numpy())))
-
-    some = rows.select("id", "key", "t", F.xxhash64("id", "key").alias("h")).mapInArrow(narrow, "id long, key long, t string, h long")
-    named = wanted.groupBy("id", "text_key").agg(F.collect_set("uid").alias("uids"))  # one uid per task at most
-    some = some.join(named, (some["id"] == named["id"]) & (some["key"] == named["text_key"]))
-    texts = some.select(F.explode("uids").alias("uid"), "t").dropDuplicates(["uid"])
-    texts = materialize(texts, "texts")
+    # from here on the first of equal sets stands for all
+    firsts = sets.where("n > 0").select("uid", "n").join(equal.where("a <> b").select(F.col("a").alias("uid")), "uid", "left_anti")
+    # of what two linked sets post they share so many, at least
+    due = 1 + F.floor(F.col("n") * (EXTRA * percent) / 10_000)
 
     # 1. each document against the one that begins most of its runs
-    counts = shared.where("uid <> center").groupBy("uid", "center").agg(F.count("*").alias("n"))
-    nearest = counts.groupBy("uid").agg(F.max(F.struct("n", F.col("center").alias("g"))).alias("x")).select("x.g", "uid")
-    nearest = materialize(nearest, "nearest")
-    near = _links(nearest.select("g").distinct().withColumn("uid", F.col("g")), nearest, texts, width, percent)
+    counts = shared.where("uid <> center").groupBy("uid", "center").agg(F.count("*").alias("c"))
+    nearest = counts.groupBy("uid").agg(F.max(F.struct("c", F.col("center").alias("g"))).alias("x")).join(firsts, "uid")
+    nearest = materialize(nearest.where(F.col("x.c") >= due).select("x.g", "uid"), "nearest")
+    centers = nearest.select("g").distinct().withColumn("uid", F.col("g"))
+    near = _links(centers, nearest, _texts(rows, sets, centers.select("uid").unionByName(nearest.select("uid"))), width, percent)
     groups = components(near.unionByName(equal))
 
-    # 2. documents as queries to the other groups that they share a token with
-    labelled = shared.select("token", "uid").join(groups, F.col("uid") == F.col("node"), "left").select("token", "uid", F.coalesce("component", "uid").alias("g"))
-    labelled = materialize(labelled, "labelled")
-    matrix = labelled.select("token", "g").distinct()
-    across = matrix.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
-    columns = materialize(matrix.join(across, "token"), "matrix")
-    queries = labelled.join(columns.select("token", F.col("g").alias("other")), "token").where("g < other").select(F.col("other").alias("g"), "uid").distinct()
-    queries = materialize(queries, "queries")
-    wanted_groups = queries.select("g").distinct()
-    members = labelled.select("uid", "g").distinct().join(wanted_groups, "g")
-    more = _links(members, queries, texts, width, percent)
+    # 2. documents as queries to the other groups that they share tokens with
+    named = firsts.join(groups, F.col("uid") == F.col("node"), "left").select("uid", "n", F.coalesce("component", "uid").alias("g"))
+    labelled = materialize(shared.select("token", "uid").join(named, "uid"), "labelled")
+    matrix = labelled.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    across = labelled.groupBy("token").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("token")
+    matrix = materialize(matrix.join(across, "token").select("token", F.col("g").alias("other"), "lo", "hi"), "matrix")
+    fits = (F.col("g") < F.col("other")) & (100 * F.col("hi") >= percent * F.col("n")) & (percent * F.col("lo") <= 100 * F.col("n"))
+    met = labelled.join(matrix, "token").where(fits).groupBy("uid", "other", "n").agg(F.count("*").alias("c"))
+    queries = materialize(met.where(F.col("c") >= due).select(F.col("other").alias("g"), "uid"), "queries")
+    members = named.select("uid", "g").join(queries.select("g").distinct(), "g")
+    more = _links(members, queries, _texts(rows, sets, members.select("uid").unionByName(queries.select("uid"))), width, percent)
     final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return sets.join(final, F.col("uid") == F.col("node"), "left").select("uid", "id", "text_key", "n", "component")
 
