@@ -68,4 +68,4 @@ def corpus():
         if random.random() < 0.4:
             text[len(text) // 2 : len(text) // 2] = line
         texts.append(text)
-    return [(3 * i + 1, random.choice([" ", "  ", "\n"]).join(t)) for i, t in enumerate(texts)]
+    return [(3 * i + 100, random.choice([" ", "  ", "\n"]).join(t)) for i, t in enumerate(texts)]
