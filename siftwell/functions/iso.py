@@ -5,8 +5,7 @@ A text value *looks like* a date when it starts with ``yyyy-MM-dd`` (a prefix te
 time, or a date, a time and a UTC offset. A column can therefore be of kind ``date`` and
 still hold values that fall into no time bucket.
 
-Parsing normalises the day of month the way the reference's date functions do:
-``2020-02-30`` is 1 March 2020. Spark's own casts give NULL there.
+A day that its month does not have, such as ``2020-02-30``, does not parse.
 
 Functions take and return SQL text, so an expression over many columns is built in one call.
 """
@@ -20,7 +19,7 @@ ISO_WHOLE = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:\d{2})?)?\s*$"
 )
-ISO_OFFSET = r"([+-])(\d{2}):(\d{2})\s*$"
+ISO_OFFSET = r"(Z|[+-]\d{2}:\d{2})\s*$"
 
 SECONDS_PER_DAY = 86400
 
@@ -33,36 +32,16 @@ def has_time_part(value: str) -> str:
     return f"{value} RLIKE r'{TIME_PART}'"
 
 
-def _digits(value: str, start: int, length: int) -> str:
-    return f"coalesce(try_cast(substring({value}, {start}, {length}) AS int), 0)"
-
-
 def iso_seconds(value: str) -> str:
     """Seconds since 1970-01-01 of an ISO text value, NULL when it does not parse.
 
-    Most values are plain dates that cast; the clock, the offset and a day beyond the end
-    of its month are only worked out for values that have one.
+    Spark's casts do the reading. Without an offset it is wall-clock time, whatever the session's
+    time zone; with one it is the moment in UTC.
     """
-    month, day = _digits(value, 6, 2), _digits(value, 9, 2)
-    first_of_month = f"make_date({_digits(value, 1, 4)}, {month}, 1)"
-    beyond = f"CASE WHEN {month} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31 THEN unix_date({first_of_month}) + {day} - 1 END"
-    days = f"CAST(coalesce(unix_date(try_cast(substring({value}, 1, 10) AS date)), {beyond}) AS bigint)"
-
-    hour, minute = _digits(value, 12, 2), _digits(value, 15, 2)
-    second = f"if(substring({value}, 17, 1) = ':', {_digits(value, 18, 2)}, 0)"
-    clock = (
-        f"CASE WHEN length({value}) <= 10 THEN 0 "
-        f"WHEN {hour} <= 24 AND {minute} <= 59 AND {second} <= 59 THEN {hour} * 3600 + {minute} * 60 + {second} END"
-    )
-
-    sign = f"if(regexp_extract({value}, r'{ISO_OFFSET}', 1) = '-', -1, 1)"
-    parts = [f"coalesce(try_cast(regexp_extract({value}, r'{ISO_OFFSET}', {i}) AS int), 0)" for i in (2, 3)]
-    # Date, time and offset take at least 22 characters.
-    offset = (
-        f"if(length({value}) >= 22 AND {value} RLIKE r'{ISO_OFFSET}', "
-        f"{sign} * ({parts[0]} * 3600 + {parts[1]} * 60), 0)"
-    )
-    return f"CASE WHEN {value} RLIKE r'{ISO_WHOLE}' THEN {days} * {SECONDS_PER_DAY} + ({clock}) - {offset} END"
+    clock = f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', try_cast({value} AS timestamp_ntz))"
+    # date, time and "Z" take at least 17 characters
+    moment = f"CASE WHEN length({value}) >= 17 AND {value} RLIKE r'{ISO_OFFSET}' THEN unix_seconds(try_cast({value} AS timestamp)) ELSE {clock} END"
+    return f"CASE WHEN {value} RLIKE r'{ISO_WHOLE}' THEN {moment} END"
 
 
 def iso_day(value: str) -> str:

@@ -32,6 +32,10 @@ BOOLEAN_BIT = 4
 DATE_BIT = 8
 DATETIME_BIT = 16
 TEXT_BIT = 32
+# only inside VARIANT columns
+ARRAY_BIT = 64
+OBJECT_BIT = 128
+OTHER_BIT = 256
 
 NUMERIC_KINDS = ("integer", "real")
 DATE_KINDS = ("date", "datetime")
@@ -96,6 +100,20 @@ def type_bit(value: str) -> str:
     return _lexical_type(value, INTEGER_BIT, REAL_BIT, date, BOOLEAN_BIT, TEXT_BIT)
 
 
+def variant_type_bit(value: str) -> str:
+    """Bit of the type of a VARIANT value; NULL for NULL and for a JSON null."""
+    schema = f"schema_of_variant({value})"
+    return (
+        f"CASE WHEN {value} IS NULL OR {schema} = 'VOID' THEN NULL "
+        f"WHEN {schema} IN ('TINYINT', 'SMALLINT', 'INT', 'BIGINT') OR {schema} RLIKE r'^DECIMAL\\(\\d+,0\\)$' THEN {INTEGER_BIT} "
+        f"WHEN {schema} IN ('FLOAT', 'DOUBLE') OR startswith({schema}, 'DECIMAL') THEN {REAL_BIT} "
+        f"WHEN {schema} = 'STRING' THEN {TEXT_BIT} WHEN {schema} = 'BOOLEAN' THEN {BOOLEAN_BIT} "
+        f"WHEN startswith({schema}, 'DATE') THEN {DATE_BIT} WHEN startswith({schema}, 'TIMESTAMP') THEN {DATETIME_BIT} "
+        f"WHEN startswith({schema}, 'ARRAY') THEN {ARRAY_BIT} WHEN startswith({schema}, 'OBJECT') THEN {OBJECT_BIT} "
+        f"ELSE {OTHER_BIT} END"
+    )
+
+
 def type_name(value: str) -> str:
     """Name of the lexical type of a text value; dates with and without time are one."""
     return _lexical_type(value, "'integer'", "'real'", "'date'", "'boolean'", "'text'")
@@ -103,7 +121,7 @@ def type_name(value: str) -> str:
 
 def type_count(mask: str) -> str:
     """Number of types in an OR of ``type_bit``; both date bits are one type."""
-    others = INTEGER_BIT | REAL_BIT | BOOLEAN_BIT | TEXT_BIT
+    others = INTEGER_BIT | REAL_BIT | BOOLEAN_BIT | TEXT_BIT | ARRAY_BIT | OBJECT_BIT | OTHER_BIT
     dates = DATE_BIT | DATETIME_BIT
     return f"coalesce(if({mask} & {dates} != 0, 1, 0) + bit_count({mask} & {others}), 0)"
 
@@ -155,11 +173,16 @@ def value_class(data_type: T.DataType) -> str | None:
         (T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType),
     ):
         return data_type.simpleString()
-    if isinstance(data_type, (T.ArrayType, T.StructType)) and not _holds(data_type, (T.MapType, T.VariantType)):
+    if isinstance(data_type, (T.ArrayType, T.StructType, T.MapType)) and not _holds(data_type, (T.VariantType,)):
         return data_type.simpleString()
     return None
 
 
+def orderable(data_type: T.DataType) -> bool:
+    """Whether values of a type can be sorted and hashed; maps can be grouped, but not that."""
+    return value_class(data_type) is not None and not _holds(data_type, (T.MapType,))
+
+
 def _holds(data_type: T.DataType, classes) -> bool:
     if isinstance(data_type, classes):
         return True
@@ -167,4 +190,6 @@ def _holds(data_type: T.DataType, classes) -> bool:
         return _holds(data_type.elementType, classes)
     if isinstance(data_type, T.StructType):
         return any(_holds(f.dataType, classes) for f in data_type.fields)
+    if isinstance(data_type, T.MapType):
+        return _holds(data_type.keyType, classes) or _holds(data_type.valueType, classes)
     return False

@@ -3,8 +3,8 @@
 Counts, nulls, types, ranges and means are exact: they come from one aggregate over the
 whole table, and data-quality findings rest on them. Distinct counts, top values and bins
 are scaled up from the sample and marked approximate; where a sketch of the whole table was
-taken, it gives the distinct count. Kind, chart and text lengths stay
-as the sample showed them.
+taken, it gives the distinct count. Kinds rest on the exact figures too; text lengths stay as the
+sample showed them.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def calibrate(profile: DataFrame) -> DataFrame:
     near_unique = f"count > 0 AND {is_near_unique('distinct_count', 'count')}"
     exact_types = storage_types("base_kind", "exact_count", "exact_mask")
     distinct = (
-        "CASE WHEN NOT approx THEN distinct_count WHEN exact_count = 0 THEN 0 WHEN is_unique THEN exact_count "
+        "CASE WHEN NOT approx OR distinct_count IS NULL THEN distinct_count WHEN exact_count = 0 THEN 0 WHEN is_unique THEN exact_count "
         f"WHEN exact_one_value AND ({exact_types}) <= 1 THEN 1 "
         "WHEN exact_sketch IS NOT NULL THEN least(exact_count, greatest(2, exact_sketch)) "
         "WHEN near_unique THEN least(exact_count, CAST(floor(distinct_count * scale + 0.5D) AS bigint)) "

@@ -64,15 +64,24 @@ DATED = f"kind IN {_any_of(DATE_KINDS)}"
 
 
 def storage_types(kind: str, count: str, mask: str) -> str:
-    """Types mixed in a column: by reading for text, at most one for typed columns."""
-    return f"CASE WHEN {kind} = 'text' THEN {type_count(mask)} WHEN {count} > 0 THEN 1 ELSE 0 END"
+    """Types mixed in a column: by reading for text, by value for VARIANT, at most one for typed columns."""
+    return f"CASE WHEN {kind} = 'text' OR {mask} IS NOT NULL THEN {type_count(mask)} WHEN {count} > 0 THEN 1 ELSE 0 END"
+
+
+def whole(name: str, exact: str | None = None) -> str:
+    """A figure of all rows, where the others come from a sample."""
+    return f"if(approx, {exact or 'exact_' + name}, {name})"
 
 
 def refined_kind() -> str:
-    """Kind after the values are known: all-ISO text is a date, 0/1 integers are boolean."""
+    """Kind after the values are known: all-ISO text is a date, 0/1 integers are boolean.
+
+    It rests on types and ranges of all rows, also where distinct counts come from a sample.
+    """
+    mask, count = whole("type_mask", "exact_mask"), whole("count")
     return (
-        f"CASE WHEN base_kind = 'text' AND count > 0 THEN {text_kind('type_mask')} "
-        "WHEN base_kind = 'integer' AND distinct_count BETWEEN 1 AND 2 AND min_num >= 0 AND max_num <= 1 "
+        f"CASE WHEN base_kind = 'text' AND {count} > 0 THEN {text_kind(f'({mask})')} "
+        f"WHEN base_kind = 'integer' AND {whole('min_num')} >= 0 AND {whole('max_num')} <= 1 "
         "THEN 'boolean' ELSE base_kind END"
     )
 
@@ -84,7 +93,8 @@ def is_near_unique(distinct: str, count: str) -> str:
 
 def chart_choice() -> str:
     """bar, histogram or none."""
-    spread = "max_num > min_num AND max_num < double('Infinity') AND min_num > double('-Infinity')"
+    low, high = whole("min_num"), whole("max_num")
+    spread = f"{high} > {low} AND {high} < double('Infinity') AND {low} > double('-Infinity')"
     bar = "distinct_count BETWEEN 2 AND {}"
     return (
         "CASE WHEN count = 0 THEN 'none' "

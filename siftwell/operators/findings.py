@@ -17,7 +17,9 @@ MIXED_DETAIL = "values that read as different types"
 FINDING_COLUMNS = ("severity", "kind", "table", "column", "message", "detail")
 
 
-def findings(column_profile: DataFrame, table_profile: DataFrame, orphans: DataFrame) -> DataFrame:
+def findings(
+    column_profile: DataFrame, table_profile: DataFrame, orphans: DataFrame, repeats: DataFrame | None = None, unresolved: DataFrame | None = None
+) -> DataFrame:
     """All findings with their position: by severity, then table, keys before columns.
 
     Column findings are for tables with rows only, never for views. A constant column is
@@ -25,6 +27,10 @@ def findings(column_profile: DataFrame, table_profile: DataFrame, orphans: DataF
     """
     tables = table_profile.select("table", "type", F.col("ordinal").alias("table_ord"), "row_count", "error")
     parts = [_unreadable(tables), *_key_findings(orphans, tables), *_column_findings(column_profile, tables)]
+    if repeats is not None:
+        parts.append(_repeated(repeats, tables))
+    if unresolved is not None:
+        parts.append(_unresolved(unresolved, tables))
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     found = reduce(DataFrame.unionByName, parts).withColumn("rank", rank)
     # Findings are metadata: at most two per column and one per key, however large the data.
@@ -54,7 +60,7 @@ def _unreadable(tables: DataFrame) -> DataFrame:
         "warn",
         "unreadable",
         F.lit(None),
-        F.concat("table", F.lit(" could not be read")),
+        F.concat(F.lit("cannot read "), "table"),
         F.col("error"),
         phase=0,
         group=0,
@@ -69,13 +75,14 @@ def _key_findings(orphans: DataFrame, tables: DataFrame) -> list[DataFrame]:
         "high",
         "orphan-fk",
         F.col("first_column"),
-        F.concat("table", F.lit("."), "from_label", F.lit(" references missing table "), "parent"),
+        F.concat("table", F.lit("."), "from_label", F.lit(" refers to "), "parent", F.lit(", which is no table here")),
         F.lit(None),
         phase=1,
         group=0,
         item=F.col("fk_id"),
     )
     plural = F.when(F.col("orphans") == 1, F.lit("")).otherwise(F.lit("s"))
+    # Fixed value: the wording of this message.
     orphaned = _finding(
         keys.where("not missing_parent and orphans > 0"),
         "high",
@@ -98,6 +105,38 @@ def _key_findings(orphans: DataFrame, tables: DataFrame) -> list[DataFrame]:
     return [missing, orphaned]
 
 
+def _repeated(repeats: DataFrame, tables: DataFrame) -> DataFrame:
+    """Keys that are declared unique and are not."""
+    keys = repeats.where("repeats > 0").join(tables.where("type = 'table'"), "table")
+    plural = F.when(F.col("repeats") == 1, F.lit(" row repeats ")).otherwise(F.lit(" rows repeat "))
+    return _finding(
+        keys,
+        "high",
+        "duplicate-key",
+        F.col("first_column"),
+        F.concat(grouped_number(F.col("repeats")), plural, F.lit("a value of "), "table", F.lit("."), "label"),
+        F.concat(F.lit("declared unique"), F.coalesce(F.concat(F.lit(" where "), "where"), F.lit(""))),
+        phase=1,
+        group=0,
+        item=F.lit(1000) + F.col("key_id"),
+    )
+
+
+def _unresolved(errors: DataFrame, tables: DataFrame) -> DataFrame:
+    """Foreign keys whose declaration cannot be resolved."""
+    return _finding(
+        errors.join(tables, "table"),
+        "high",
+        "unresolved-key",
+        F.col("first_column"),
+        F.col("message"),
+        F.lit(None),
+        phase=1,
+        group=0,
+        item=F.lit(2000) + F.col("position"),
+    )
+
+
 def _column_findings(column_profile: DataFrame, tables: DataFrame) -> list[DataFrame]:
     scope = tables.where((F.col("type") == "table") & (F.col("row_count") > 0)).select("table", "table_ord")
     columns = column_profile.join(scope, "table")
@@ -123,14 +162,14 @@ def _column_findings(column_profile: DataFrame, tables: DataFrame) -> list[DataF
         )
 
     return [
-        smell(empty, "warn", "empty", F.concat(name, F.lit(" is entirely empty (100% null)"))),
-        smell(constant, "info", "constant", F.concat(name, F.lit(" has a single constant value"))),
-        smell(sparse, "warn", "high-null", F.concat(name, F.lit(" is "), percent(F.col("null_fraction")), F.lit(" null"))),
+        smell(empty, "warn", "empty", F.concat(F.lit("no values in "), name)),
+        smell(constant, "info", "constant", F.concat(F.lit("one value only in "), name)),
+        smell(sparse, "warn", "high-null", F.concat(percent(F.col("null_fraction")), F.lit(" of "), name, F.lit(" missing"))),
         smell(
             mixed,
             "warn",
             "mixed-type",
-            F.concat(name, F.lit(" mixes "), F.col("storage_types").cast("string"), F.lit(" value types")),
+            F.concat(F.col("storage_types").cast("string"), F.lit(" types of values in "), name),
             F.lit(MIXED_DETAIL),
             order=1,
         ),

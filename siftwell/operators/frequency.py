@@ -48,7 +48,7 @@ def value_number(value: str, data_type: T.DataType) -> str:
 def frequency_tables(df: DataFrame, names: Iterable[str] | None = None) -> list[tuple[T.DataType, DataFrame]]:
     """Value counts ``(ordinal, value, n)`` of the columns, one frame per type class.
 
-    Nulls are not values. Columns that cannot be grouped (maps, variants) are left out.
+    Nulls are not values. Columns that cannot be grouped (variants) are left out.
     """
     wanted = set(df.columns if names is None else names)
     classes: dict[str, list[tuple[int, T.StructField]]] = {}
@@ -99,7 +99,7 @@ def frequency_summary(
                 "distinct AS distinct_count",
             )
         )
-        if isinstance(data_type, (T.ArrayType, T.StructType)):
+        if isinstance(data_type, (T.ArrayType, T.StructType, T.MapType)):
             continue  # counted, never shown
         ranked = counted.selectExpr(
             "*", "row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, value ASC) AS rank"

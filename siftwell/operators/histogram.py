@@ -23,10 +23,21 @@ from siftwell.plans.local import local_frame
 
 # Fixed values.
 BINS = 24
-MAX_BUCKETS = 400
 YEAR_ABOVE_DAYS = 366 * 4
 MONTH_ABOVE_DAYS = 75
-DATE_FORMATS = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}
+DATE_FORMATS = {
+    "millennium": "y000s",
+    "century": "yy00s",
+    "decade": "yyy0s",
+    "year": "yyyy",
+    "month": "yyyy-MM",
+    "day": "yyyy-MM-dd",
+}
+
+# Years in a bucket. A grain is left for a coarser one when it would take more than WIDE buckets, so
+# that a stray date costs resolution and no rows.
+YEARS = {"year": 1, "decade": 10, "century": 100, "millennium": 1000}
+WIDE = 400
 
 LONG_RANGE = 2**63 - 1
 
@@ -46,7 +57,7 @@ class NumericBins:
 
 @dataclass(frozen=True)
 class DateBuckets:
-    """Time buckets of a date column; ``grain`` is year, month or day."""
+    """Time buckets of a date column; ``grain`` is a key of ``DATE_FORMATS``."""
 
     name: str
     grain: str
@@ -54,8 +65,11 @@ class DateBuckets:
 
 def date_grain(span_days: Column) -> Column:
     """Grain of a time histogram by the days it spans."""
+    grain = F
+    for coarse, fine in (("millennium", "century"), ("century", "decade"), ("decade", "year")):
+        grain = grain.when(span_days > 366 * WIDE * YEARS[fine], F.lit(coarse))
     return (
-        F.when(span_days > YEAR_ABOVE_DAYS, F.lit("year"))
+        grain.when(span_days > YEAR_ABOVE_DAYS, F.lit("year"))
         .when(span_days > MONTH_ABOVE_DAYS, F.lit("month"))
         .when(span_days >= 0, F.lit("day"))
     )
@@ -91,10 +105,10 @@ def numeric_bin(data_type: T.DataType, bins: NumericBins) -> Column:
 
 
 def bucket_of_day(day: Column, grain: str) -> Column:
-    """Integer bucket of a day number: year, month count or the day itself."""
+    """Integer bucket of a day number: count of years or of several, of months, or the day itself."""
     date = F.date_from_unix_date(day)
-    if grain == "year":
-        return F.year(date)
+    if grain in YEARS:
+        return F.floor(F.year(date) / YEARS[grain]).cast("int")
     if grain == "month":
         return F.year(date) * 12 + F.month(date) - 1
     return day
@@ -106,8 +120,11 @@ def bucket_label(bucket: Column, grain: Column) -> Column:
         F.lit("-"),
         F.lpad((F.pmod(bucket, F.lit(12)) + 1).cast("string"), 2, "0"),
     )
-    day = F.date_from_unix_date(bucket).cast("string")
-    return F.when(grain == "year", bucket.cast("string")).when(grain == "month", month).otherwise(day)
+    day = F.date_from_unix_date(F.when(grain == "day", bucket)).cast("string")
+    label = F.when(grain == "month", month).when(grain == "year", F.format_string("%04d", bucket))
+    for coarse in ("decade", "century", "millennium"):
+        label = label.when(grain == coarse, F.format_string("%04ds", bucket * YEARS[coarse]))
+    return label.otherwise(day)
 
 
 def bin_counts(df: DataFrame, specs: Sequence[NumericBins | DateBuckets]) -> DataFrame:
@@ -162,11 +179,10 @@ def bin_label(low: Column, high: Column) -> Column:
 
 
 def date_frame(counts: DataFrame, grains: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Every bucket from the first to the last, empty ones too, at most ``MAX_BUCKETS``."""
+    """Every bucket from the first to the last, empty ones too."""
     key = list(key)
     ends = counts.groupBy(*key).agg(F.min("bin").alias("first"), F.max("bin").alias("last"))
-    last = F.least(F.col("last"), F.col("first") + MAX_BUCKETS - 1)
-    buckets = ends.select(*key, "first", F.explode(F.sequence(F.col("first"), last)).alias("bin"))
+    buckets = ends.select(*key, "first", F.explode(F.sequence("first", "last")).alias("bin"))
     position = F.col("bin") - F.col("first")
     formats = F.create_map(*[F.lit(x) for item in DATE_FORMATS.items() for x in item])
     return (

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.names import column
+from siftwell.functions.names import column, key_label
 from siftwell.plans.local import local_frame
-from siftwell.sources.constraints import ResolvedKey
+from siftwell.sources.constraints import ResolvedKey, UniqueKey
 
 # A parent whose key columns fit here is sent to every executor; larger ones are joined
-# by shuffle.
+# by shuffle. This chooses the join only: results are the same either way.
 BROADCAST_BYTES = 32 * 1024 * 1024
 KEY_BYTES = 64
 
@@ -57,15 +57,22 @@ def self_references(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("from_table") == F.col("to_table")).select(F.col("from_table").alias("table")).distinct()
 
 
+def _key_columns(child: DataFrame, parent: DataFrame, key: ResolvedKey) -> tuple[list[Column], list[Column]]:
+    """Key columns of a child and of its parent, made comparable."""
+    child_keys, parent_keys = [], []
+    for a, b in key.pairs:
+        from_child, from_parent = _comparable(child.schema[a].dataType, parent.schema[b].dataType)
+        child_keys.append(from_child(column(a)))
+        parent_keys.append(from_parent(column(b)))
+    return child_keys, parent_keys
+
+
 def _key_frames(child: DataFrame, parent: DataFrame, key: ResolvedKey) -> tuple[DataFrame, DataFrame, list[str]]:
     """Key columns of the child rows that refer to a parent, and of the parent, as ``k0 …``."""
     names = [f"k{i}" for i in range(len(key.pairs))]
-    child_keys, parent_keys = [], []
-    for name, (a, b) in zip(names, key.pairs):
-        from_child, from_parent = _comparable(child.schema[a].dataType, parent.schema[b].dataType)
-        child_keys.append(from_child(column(a)).alias(name))
-        parent_keys.append(from_parent(column(b)).alias(name))
+    child_keys, parent_keys = _key_columns(child, parent, key)
     refers = reduce(Column.__and__, [column(a).isNotNull() for a, _ in key.pairs])
+    child_keys, parent_keys = ([c.alias(n) for c, n in zip(keys, names)] for keys in (child_keys, parent_keys))
     return child.where(refers).select(*child_keys), parent.select(*parent_keys), names
 
 
@@ -73,11 +80,11 @@ def orphan_rows(child: DataFrame, parent: DataFrame, key: ResolvedKey) -> DataFr
     """Key values of the child without a parent row, with how many rows hold them.
 
     A key with a NULL part refers to nothing and is no orphan. Child rows are counted per
-    key before the join, so the shuffle carries each key once per task however often it
-    occurs; the join keeps that partitioning.
+    key before the join and parent keys made distinct, so the shuffle carries each key once per
+    task however often it occurs on either side; the join keeps that partitioning.
     """
     keys, targets, names = _key_frames(child, parent, key)
-    return keys.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).join(targets, names, "left_anti")
+    return keys.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).join(targets.distinct(), names, "left_anti")
 
 
 def orphan_count(child: DataFrame, parent: DataFrame, key: ResolvedKey, parent_rows: int | None = None) -> DataFrame:
@@ -94,9 +101,9 @@ def orphan_count(child: DataFrame, parent: DataFrame, key: ResolvedKey, parent_r
 
 
 def _key_bytes(parent: DataFrame, key: ResolvedKey, rows: int) -> float:
-    """Size of the broadcast parent keys; text keys have no bound and are never broadcast."""
+    """Size of the broadcast parent keys; keys without a fixed width have no bound and are never broadcast."""
     types = [parent.schema[b].dataType for _, b in key.pairs]
-    if any(isinstance(t, (T.StringType, T.BinaryType)) for t in types):
+    if any(isinstance(t, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)) for t in types):
         return float("inf")
     return rows * KEY_BYTES * len(types)
 
@@ -154,6 +161,40 @@ def orphan_report(
     return local_frame(spark, rows, ORPHAN_FIELDS)
 
 
+REPEAT_FIELDS = {"table": "string", "key_id": "int", "first_column": "string", "label": "string", "where": "string", "repeats": "bigint"}
+
+
+def repeat_count(df: DataFrame, key: UniqueKey) -> DataFrame:
+    """Rows beyond the first of each value of a declared key, as a one-row frame.
+
+    A key with a NULL part is no value; a partial key looks at its rows only.
+    """
+    rows = df.where(key.where) if key.where else df
+    present = rows.where(reduce(Column.__and__, [column(c).isNotNull() for c in key.columns]))
+    counts = present.groupBy(*[column(c) for c in key.columns]).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("repeats"))
+
+
+def repeat_report(spark: SparkSession, frames: dict[str, DataFrame], keys: Sequence[UniqueKey], known: dict[tuple[str, str], int]) -> DataFrame:
+    """Repeats of every declared key. ``known`` has those of single columns that were counted already."""
+    rows, checks = [], []
+    for number, key in enumerate(keys):
+        if frames.get(key.table) is None:
+            continue
+        rows.append({"table": key.table, "key_id": number, "first_column": key.columns[0], "label": key_label(key.columns), "where": key.where, "repeats": None})
+        if len(key.columns) == 1 and key.where is None and (key.table, key.columns[0]) in known:
+            rows[-1]["repeats"] = known[key.table, key.columns[0]]
+            continue
+        try:
+            count = repeat_count(frames[key.table], key)
+        except (PySparkException, KeyError):
+            continue
+        checks.append(count.select(F.lit(len(rows) - 1).alias("position"), "repeats"))
+    for position, repeats in _run_checks(checks):
+        rows[position]["repeats"] = repeats
+    return local_frame(spark, rows, REPEAT_FIELDS)
+
+
 def _run_checks(checks: list[DataFrame]) -> list[tuple[int, int]]:
     """One row per check; a check that fails at run time is left out."""
     if not checks:

@@ -1,7 +1,7 @@
 """From a profile back to rows: lookups, ranges, filters and pages.
 
 All results are lazy frames. Predicates compare plain columns with literals so that they
-reach the scan; limits are the feature here, as a person reads the rows.
+reach the scan. A function that takes a ``limit`` returns all rows unless one is given.
 """
 
 from __future__ import annotations
@@ -13,17 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.kinds import value_class
+from siftwell.functions.kinds import orderable
 from siftwell.functions.names import column, literal
-from siftwell.operators.histogram import DATE_FORMATS, day_of
-from siftwell.operators.integrity import _key_frames
+from siftwell.operators.histogram import DATE_FORMATS, YEARS, day_of
+from siftwell.operators.integrity import _key_columns
 from siftwell.sources.constraints import ResolvedKey
 
 # Fixed values.
 SAMPLE_VALUES = 25
-ROW_LIMIT = 200
-MATCH_LIMIT = 100
-GROUP_LIMIT = 50
+TOP_ROWS = 200
 PAGE = 100
 
 
@@ -34,12 +32,12 @@ def equals(df: DataFrame, name: str, value) -> Column:
     return column(name).isNull() if value is None else column(name) == literal(value, df.schema[name].dataType)
 
 
-def rows_where(df: DataFrame, condition: Column, limit: int | None = ROW_LIMIT) -> DataFrame:
+def rows_where(df: DataFrame, condition: Column, limit: int | None = None) -> DataFrame:
     matching = df.where(condition)
     return matching if limit is None else matching.limit(limit)
 
 
-def rows_by_value(df: DataFrame, name: str, value, limit: int | None = ROW_LIMIT) -> DataFrame:
+def rows_by_value(df: DataFrame, name: str, value, limit: int | None = None) -> DataFrame:
     """Rows holding a value."""
     return rows_where(df, equals(df, name, value), limit)
 
@@ -49,9 +47,9 @@ def value_count(df: DataFrame, name: str, value) -> DataFrame:
     return df.where(equals(df, name, value)).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def view_rows(df: DataFrame, name: str, value) -> tuple[DataFrame, DataFrame]:
-    """The first rows holding a value, and how many there are in all."""
-    return rows_by_value(df, name, value, MATCH_LIMIT), value_count(df, name, value)
+def view_rows(df: DataFrame, name: str, value, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows holding a value, and how many there are in all."""
+    return rows_by_value(df, name, value, limit), value_count(df, name, value)
 
 
 def sample_values(df: DataFrame, name: str, limit: int = SAMPLE_VALUES) -> DataFrame:
@@ -67,40 +65,38 @@ def value_counts_of(rows: DataFrame, df: DataFrame, name: str) -> DataFrame:
     return rows.join(counts, same, "left").drop("shared_value")
 
 
-def rows_matching(df: DataFrame, match: Mapping[str, object], limit: int | None = ROW_LIMIT) -> DataFrame:
+def rows_matching(df: DataFrame, match: Mapping[str, object], limit: int | None = None) -> DataFrame:
     """Rows equal to every given (column, value) pair, such as a composite key."""
     return rows_where(df, reduce(Column.__and__, [equals(df, n, v) for n, v in match.items()]), limit)
 
 
-def group_count(df: DataFrame, name: str, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Frequencies of a column's values, NULL being one of them."""
-    return (
-        df.groupBy(column(name).alias("value"))
-        .agg(F.count(F.lit(1)).alias("value_count"))
-        .orderBy(F.desc("value_count"), F.asc_nulls_first("value"))
-        .limit(limit)
-    )
+def group_count(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
+    """Frequencies of a column's values, NULL being one of them, the most frequent first."""
+    counts = df.groupBy(column(name).alias("value")).agg(F.count(F.lit(1)).alias("value_count"))
+    ordered = counts.orderBy(F.desc("value_count"), F.asc_nulls_first("value"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def distinct_values(df: DataFrame, name: str, limit: int = ROW_LIMIT) -> DataFrame:
+def distinct_values(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
     """Sorted distinct values, NULL first."""
-    return df.select(column(name).alias("value")).distinct().orderBy(F.asc_nulls_first("value")).limit(limit)
+    ordered = df.select(column(name).alias("value")).distinct().orderBy(F.asc_nulls_first("value"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def ordered_rows(
-    df: DataFrame, name: str, descending: bool = False, limit: int = ROW_LIMIT, key: Sequence[str] = ()
+    df: DataFrame, name: str, descending: bool = False, limit: int = TOP_ROWS, key: Sequence[str] = ()
 ) -> DataFrame:
     """First rows by a column; ``key`` columns break ties."""
     order = column(name).desc_nulls_last() if descending else column(name).asc_nulls_first()
     return df.orderBy(order, *[column(k).asc_nulls_first() for k in key]).limit(limit)
 
 
-def null_rows(df: DataFrame, name: str, limit: int | None = ROW_LIMIT) -> DataFrame:
+def null_rows(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
     return rows_where(df, column(name).isNull(), limit)
 
 
 def bin_rows(
-    df: DataFrame, name: str, low: float, high: float, last: bool = False, limit: int | None = ROW_LIMIT
+    df: DataFrame, name: str, low: float, high: float, last: bool = False, limit: int | None = None
 ) -> DataFrame:
     """Rows of a histogram bin: from ``low`` up to but without ``high``; the last bin has both."""
     value = column(name)
@@ -108,13 +104,18 @@ def bin_rows(
     return rows_where(df, (value >= F.lit(low)) & below, limit)
 
 
-def bucket_rows(df: DataFrame, name: str, date_format: str, label: str, limit: int | None = ROW_LIMIT) -> DataFrame:
+def bucket_rows(df: DataFrame, name: str, date_format: str, label: str, limit: int | None = None) -> DataFrame:
     """Rows of a time bucket, as a range of dates so that files can be skipped."""
     grain = {pattern: name for name, pattern in DATE_FORMATS.items()}[date_format]
-    start = {"year": f"{label:0>4}-01-01", "month": f"{label}-01", "day": label}[grain]
-    first = F.to_date(F.lit(start))
-    step = {"year": F.make_ym_interval(F.lit(1)), "month": F.make_ym_interval(F.lit(0), F.lit(1))}
-    following = F.date_add(first, 1) if grain == "day" else (first + step[grain]).cast("date")
+    if grain == "day":
+        first = F.to_date(F.lit(label))
+        following = F.date_add(first, 1)
+    elif grain == "month":
+        first = F.to_date(F.lit(f"{label}-01"))
+        following = F.add_months(first, 1)
+    else:
+        first = F.make_date(F.lit(int(label.rstrip("s"))), F.lit(1), F.lit(1))
+        following = F.add_months(first, 12 * YEARS[grain])
     data_type = df.schema[name].dataType
     if isinstance(data_type, T.StringType):
         day = day_of(name, data_type)
@@ -125,28 +126,51 @@ def bucket_rows(df: DataFrame, name: str, date_format: str, label: str, limit: i
     return rows_where(df, condition, limit)
 
 
-def parent_rows(parent: DataFrame, row: Mapping[str, object], key: ResolvedKey, limit: int = MATCH_LIMIT) -> DataFrame:
+def parent_rows(parent: DataFrame, row: Mapping[str, object], key: ResolvedKey, limit: int | None = None) -> DataFrame:
     """Parent rows one child row refers to; none when a part of its key is NULL."""
     match = {b: row[a] for a, b in key.pairs}
     if any(v is None for v in match.values()):
         return parent.limit(0)
-    return rows_matching(parent, match, limit)
+    return rows_where(parent, reduce(Column.__and__, [_refers_to(parent, n, v) for n, v in match.items()]), limit)
 
 
-def referenced_parents(child: DataFrame, parent: DataFrame, key: ResolvedKey) -> DataFrame:
-    """Parent rows that at least one of many child rows refers to."""
-    keys, _, names = _key_frames(child, parent, key)
-    same = [column(b) == F.col(n) for n, (_, b) in zip(names, key.pairs)]
-    return parent.join(keys.distinct(), reduce(Column.__and__, same), "left_semi")
+def _refers_to(parent: DataFrame, name: str, value) -> Column:
+    """A parent's column equal to a child's value, where text and numbers may meet; text that is no number matches none."""
+    data_type = parent.schema[name].dataType
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if isinstance(data_type, T.StringType) and number:
+        return column(name).try_cast("bigint" if isinstance(value, int) else "double") == F.lit(value)
+    if isinstance(data_type, T.NumericType) and isinstance(value, str):
+        return column(name) == F.lit(value).try_cast(data_type)
+    return equals(parent, name, value)
 
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LOWER = _UPPER.lower()
+def follow(
+    parent: DataFrame, row: Mapping[str, object], key: ResolvedKey, limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Parent rows one child row refers to, and how many there are in all."""
+    found = parent_rows(parent, row, key)
+    return found if limit is None else found.limit(limit), found.agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def referenced_parents(child: DataFrame, parent: DataFrame, key: ResolvedKey) -> DataFrame:
+    """Parent rows that at least one of many child rows refers to."""
+    keys, targets = _key_columns(child, parent, key)
+    refers = reduce(Column.__and__, [column(a).isNotNull() for a, _ in key.pairs])
+    names = [f"__key{i}" for i in range(len(keys))]
+    wanted = child.where(refers).select(*[k.alias(n) for k, n in zip(keys, names)]).distinct()
+    same = [target == F.col(n) for target, n in zip(targets, names)]
+    return parent.join(wanted, reduce(Column.__and__, same), "left_semi")
 
 
 def contains_text(df: DataFrame, needle: str) -> Column:
-    """Any column, as text, containing a string; case is ignored for ASCII letters only."""
-    wanted = needle.translate(str.maketrans(_UPPER, _LOWER))
+    """Any column, as text, containing a string; case is ignored for ASCII letters only.
+
+    The pattern is a literal, compiled once, and Java ignores the case of ASCII letters only
+    unless it is told otherwise, so no value is copied to fold it.
+    """
+    quoted_needle = "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    pattern = F.lit(f"(?i){quoted_needle}")
     texts = []
     for field in df.schema.fields:
         value = column(field.name)
@@ -156,9 +180,7 @@ def contains_text(df: DataFrame, needle: str) -> Column:
             text = _decimal_text(value.cast("double"))
         else:
             text = value.cast("string")
-        if not isinstance(field.dataType, T.NumericType):
-            text = F.translate(text, _UPPER, _LOWER)
-        texts.append(F.coalesce(F.contains(text, F.lit(wanted)), F.lit(False)))
+        texts.append(F.coalesce(F.rlike(text, pattern), F.lit(False)))
     return reduce(Column.__or__, texts)
 
 
@@ -180,7 +202,7 @@ def filtered_count(df: DataFrame, needle: str) -> DataFrame:
 
 def row_key(df: DataFrame, primary_key: Sequence[str] = ()) -> list[str]:
     """Columns that order rows reproducibly: the primary key, else all orderable columns."""
-    return list(primary_key) or [f.name for f in df.schema.fields if value_class(f.dataType) is not None]
+    return list(primary_key) or [f.name for f in df.schema.fields if orderable(f.dataType)]
 
 
 def _page_order(df: DataFrame, sort: str | None, descending: bool, key: Sequence[str]) -> list[tuple[str, bool]]:

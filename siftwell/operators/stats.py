@@ -74,7 +74,8 @@ def date_median(df: DataFrame, name: str) -> DataFrame:
     if not isinstance(data_type, T.StringType):
         return quantiles(df, {name: (0.5,)})
     seconds = df.select(F.expr(iso_seconds(quoted(name))).alias(name))
-    moment = F.timestamp_seconds(F.col("value_num")).cast("string")
+    # wall-clock time: no step depends on the session's time zone
+    moment = F.expr("CAST(TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(value_num AS decimal(18, 6))) AS string)")
     return quantiles(seconds, {name: (0.5,)}).withColumn("value", moment).withColumn("value_num", F.lit(None))
 
 

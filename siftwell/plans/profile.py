@@ -21,14 +21,15 @@ from functools import cached_property, reduce
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.functions.iso import SECONDS_PER_DAY, iso_seconds
-from siftwell.functions.kinds import DATE_BIT, DATE_KINDS, DATETIME_BIT, kind_of_type
+from siftwell.functions.kinds import DATE_BIT, DATE_KINDS, DATETIME_BIT, kind_of_type, value_class
 from siftwell.operators import findings as findings_ops
 from siftwell.operators import ranking
 from siftwell.operators.aggregates import column_aggregates, text_extremes, text_literal
 from siftwell.operators.calibrate import calibrate, rounded, scaled_count
-from siftwell.operators.classify import FACT_FIELDS, classify
+from siftwell.operators.classify import FACT_FIELDS, classify, whole
 from siftwell.operators.details import column_details
 from siftwell.operators.frequency import SUMMARY_FIELDS, frequency_summary
 from siftwell.operators.histogram import (
@@ -40,7 +41,7 @@ from siftwell.operators.histogram import (
     instant_of,
     numeric_frame,
 )
-from siftwell.operators.integrity import collapsed_edges, orphan_report, relationships
+from siftwell.operators.integrity import collapsed_edges, orphan_report, relationships, repeat_report
 from siftwell.plans.local import local_frame
 from siftwell.sources.constraints import Constraints, ResolvedKey
 from siftwell.sources.dataset import Dataset, Relation, UnreadableTable, first_line
@@ -67,22 +68,24 @@ EXACT_FIGURES = ("count", "one_value", "min_text", "max_text", "min_num", "max_n
 class ProfileOptions:
     """How large tables are profiled.
 
-    Tables with more rows than ``sample_above`` take distinct counts, top values and
-    histograms from a sample of about ``sample_size`` rows; ``sample_above=None`` profiles
-    every table in full. ``sketch_distinct`` takes the distinct counts of sampled tables from
+    Every table is profiled in full unless ``sample_above`` is given: tables with more rows
+    then take distinct counts, top values and histograms from a sample of about ``sample_size`` rows. ``sketch_distinct`` takes the distinct counts of sampled tables from
     sketches of all their rows, which is closer than scaling up the sample and costs no
-    further scan. ``trust_unique=False`` counts the values of columns declared unique like any
-    others. ``sample_keys`` names columns whose hash picks the sample of a
+    further scan. ``trust_unique=True`` takes columns declared unique at their word and does not
+    count their values. ``keep_views`` holds the rows of views in executors (memory, then disk) while they are
+    profiled, for views that are costly and small; others are computed in each pass.
+    ``sample_keys`` names columns whose hash picks the sample of a
     table instead of a random number. ``parallel_tables`` queries run at a time.
     """
 
-    sample_above: int | None = 500_000
+    sample_above: int | None = None
     sample_size: int = 200_000
     seed: int = 7
     sample_keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
     parallel_tables: int = 8
     sketch_distinct: bool = False
-    trust_unique: bool = True
+    trust_unique: bool = False
+    keep_views: bool = False
 
 
 @dataclass
@@ -197,8 +200,8 @@ class _Run:
 
     def _open(self, result: _TableResult) -> None:
         df = self.dataset.open(result.name)
-        # A view would run its query again in every pass.
-        result.df = result.source = result.hold(df) if result.relation.type == "view" else df
+        held = result.relation.type == "view" and self.options.keep_views
+        result.df = result.source = result.hold(df) if held else df
 
     def _exact(self, result: _TableResult) -> DataFrame | None:
         # Without a threshold nothing is sampled, and every distinct count is exact.
@@ -220,7 +223,8 @@ class _Run:
     def _dated_extremes(self, result: _TableResult, df: DataFrame) -> DataFrame | None:
         """Extremes of the text columns that hold dates, the only text shown by its range."""
         dates = DATE_BIT | DATETIME_BIT
-        dated = [a["ordinal"] for a in result.aggregates if a["type_mask"] and a["type_mask"] | dates == dates]
+        text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        dated = [a["ordinal"] for a in result.exact if a["column"] in text and a["type_mask"] and a["type_mask"] | dates == dates]
         return text_extremes(df, dated) if dated else None
 
     def _constraints(self, result: _TableResult) -> Constraints:
@@ -256,7 +260,7 @@ class _Run:
                 "generated": a["column"] in constraints.generated.get(name, ()),
                 "fk": targets.get(a["column"]),
                 "is_unique": a["column"] in unique,
-                "distinct_count": a["count"] if a["column"] in unique else distinct.get(a["ordinal"], 0),
+                "distinct_count": a["count"] if a["column"] in unique else distinct.get(a["ordinal"], 0 if value_class(data_type) else None),
                 "has_dates": False,
                 "approx": sampled,
             }
@@ -284,7 +288,8 @@ class _Run:
             if kind in DATE_KINDS:
                 result.grains.append({"table": table, "ordinal": ordinal, "grain": grains[table, ordinal]})
             else:
-                bounds = {"table": table, "ordinal": ordinal, "lo": fact["min_num"], "hi": fact["max_num"]}
+                low, high = (fact["exact_" + n] if fact["approx"] else fact[n] for n in ("min_num", "max_num"))
+                bounds = {"table": table, "ordinal": ordinal, "lo": low, "hi": high}
                 result.bounds.append(bounds)
 
     def _bins(self, result: _TableResult) -> DataFrame | None:
@@ -293,7 +298,8 @@ class _Run:
             fact = result.facts[b["ordinal"]]
             # As text, the extremes of whole numbers are exact beyond 2^53.
             whole = fact["base_kind"] == "integer"
-            low, high = (int(fact["min_text"]), int(fact["max_text"])) if whole else (b["lo"], b["hi"])
+            texts = [fact["exact_" + n] if fact["approx"] else fact[n] for n in ("min_text", "max_text")]
+            low, high = map(int, texts) if whole else (b["lo"], b["hi"])
             specs.append(NumericBins(fact["column"], low, high))
         specs += [DateBuckets(result.facts[g["ordinal"]]["column"], g["grain"]) for g in result.grains]
         return bin_counts(result.source, specs) if specs else None
@@ -310,8 +316,8 @@ class _Run:
             .selectExpr(
                 "table",
                 "ordinal",
-                f"({iso_seconds('min_text')}) / {SECONDS_PER_DAY} AS first_day",
-                f"({iso_seconds('max_text')}) / {SECONDS_PER_DAY} AS last_day",
+                f"({iso_seconds(whole('min_text'))}) / {SECONDS_PER_DAY} AS first_day",
+                f"({iso_seconds(whole('max_text'))}) / {SECONDS_PER_DAY} AS last_day",
             )
         )
         spans = {(row["table"], row["ordinal"]): row.asDict() for row in rows.collect()}
@@ -512,10 +518,30 @@ class DatasetProfile:
         counts |= {r.relation.name: 0 for r in self._results if r.error is not None}
         return orphan_report(self.spark, frames, self.keys, counts)
 
+    @cached_property
+    def repeats(self) -> DataFrame:
+        """Rows that repeat a value of a key declared unique, per key; composite and partial keys are counted when first asked for."""
+        tables = [r for r in self._results if r.relation.type == "table" and r.error is None]
+        frames = {r.name: self._dataset.open(r.name) for r in tables}
+        keys = [key for r in tables for key in self.constraints.declared_unique(r.name)]
+        known = {
+            (r.name, f["column"]): f["count"] - f["distinct_count"]
+            for r in tables
+            for f in r.facts
+            if not f["approx"] and not f["is_unique"] and f["distinct_count"] is not None
+        }
+        return repeat_report(self.spark, frames, keys, known)
+
+    @cached_property
+    def unresolved_keys(self) -> DataFrame:
+        """Foreign keys that cannot be resolved, with the reason."""
+        rows = [dict(zip(("table", "first_column", "message"), e), position=i) for i, e in enumerate(self._dataset.key_errors())]
+        return local_frame(self.spark, rows, {"table": "string", "first_column": "string", "message": "string", "position": "int"})
+
     @cached_property
     def findings(self) -> DataFrame:
         """Ranked data-quality findings."""
-        return findings_ops.findings(self.columns, self.tables, self.orphans)
+        return findings_ops.findings(self.columns, self.tables, self.orphans, self.repeats, self.unresolved_keys)
 
     def details(self, table: str, name: str) -> DataFrame:
         """Extended statistics of one column, over all its rows even where it was sampled."""

@@ -291,12 +291,12 @@ def _table_lines(profile: DatasetProfile) -> DataFrame:
         F.lit("## "), "table", F.lit(" ("), "type", F.lit(") — "), _grouped(F.col("row_count")), F.lit(" rows")
     )
     note = F.concat(
-        F.lit("_Profiled from a random sample of "),
+        F.lit("_Distinct counts (≈), top values and bins come from "),
         _grouped(F.col("sample_rows")),
-        F.lit(" rows; ≈ marks estimates._"),
+        F.lit(" sampled rows._"),
     )
     header = F.array(
-        F.lit("| Column | Type | Kind | Distinct | Null % | Min | Max |"), F.lit("|---|---|---|--:|--:|---|---|")
+        F.lit("| column | declared | kind | distinct values | missing | least | greatest |"), F.lit("|:--|:--|:--|--:|--:|:--|:--|")
     )
     sampled = F.when(F.col("sample_rows").isNotNull(), F.array(note, F.lit(""))).otherwise(F.array().cast("array<string>"))
     heads = _lines(
@@ -308,7 +308,7 @@ def _table_lines(profile: DatasetProfile) -> DataFrame:
         F.concat("column", mark),
         F.col("declared_type"),
         F.col("kind"),
-        F.concat(F.when(F.col("approx"), F.lit("≈")).otherwise(F.lit("")), _grouped(F.col("distinct_count"))),
+        F.coalesce(F.concat(F.when(F.col("approx"), F.lit("≈")).otherwise(F.lit("")), _grouped(F.col("distinct_count"))), F.lit("")),
         F.concat(F.floor(F.col("null_fraction") * 100 + 0.5).cast("string"), F.lit("%")),
         _cell("min"),
         _cell("max"),

@@ -1,7 +1,7 @@
 """Declared keys of a dataset.
 
-Parquet, CSV and JSON files carry no keys, so they are declared next to the data. They are
-trusted, not enforced: a declared unique column is not grouped when it is profiled.
+Parquet, CSV and JSON files carry no keys, so they are declared next to the data. Nothing enforces
+them: a profile counts the values of declared columns like any others and reports keys that repeat.
 """
 
 from __future__ import annotations
@@ -83,25 +83,35 @@ class Constraints:
         keys.append(self.primary_key(table))
         return {key[0] for key in keys if len(key) == 1}
 
-    def resolve(self, known_tables: Iterable[str]) -> list[ResolvedKey]:
-        """Foreign keys with explicit column pairs, in declaration order."""
+    def declared_unique(self, table: str) -> list[UniqueKey]:
+        """Everything declared unique in a table: its primary key, then its unique keys."""
+        primary = [UniqueKey(table, self.primary_key(table))] if self.primary_key(table) else []
+        return primary + [k for k in self.unique_keys if k.table == table]
+
+    def resolve(self, known_tables: Iterable[str], errors: list[tuple[str, str, str]] | None = None) -> list[ResolvedKey]:
+        """Foreign keys with explicit column pairs, in declaration order.
+
+        A key that cannot be resolved raises, or goes to ``errors`` as (table, first column, message).
+        """
         known = set(known_tables)
         counts: dict[str, int] = {}
         resolved = []
         for key in self.foreign_keys:
             target = key.parent_columns
+            wrong = None
             if target is None:
                 target = self.primary_key(key.parent)
                 if not target and key.parent in known:
-                    raise ConstraintError(
-                        f"{key.table}.{key_label(key.columns)} refers to {key.parent}, which declares no primary key"
-                    )
-                if not target:
+                    wrong = f"{key.table}.{key_label(key.columns)} refers to {key.parent}, which declares no primary key"
+                elif not target:
                     target = (IMPLICIT_TARGET,) * len(key.columns)
-            if len(target) != len(key.columns):
-                raise ConstraintError(
-                    f"{key.table}.{key_label(key.columns)} and {key.parent}.{key_label(target)} differ in length"
-                )
+            if wrong is None and len(target) != len(key.columns):
+                wrong = f"{key.table}.{key_label(key.columns)} and {key.parent}.{key_label(target)} differ in length"
+            if wrong is not None:
+                if errors is None:
+                    raise ConstraintError(wrong)
+                errors.append((key.table, key.columns[0], wrong))
+                continue
             number = counts.get(key.table, 0)
             counts[key.table] = number + 1
             resolved.append(ResolvedKey(number, key.table, key.parent, tuple(zip(key.columns, target))))

@@ -7,6 +7,7 @@ member of the dataset: opening it raises, everything else goes on.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
@@ -168,11 +169,20 @@ class Dataset:
         return self._opened[name]
 
     def foreign_keys(self) -> list[ResolvedKey]:
-        """Resolved keys of the tables of the dataset, by table name; views carry none."""
+        """Resolved keys of the tables of the dataset, by table name; views carry none.
+
+        Keys that cannot be resolved are left out, see ``key_errors``.
+        """
         tables = self.table_names()
-        keys = [k for k in self.constraints.resolve(tables) if k.table in set(tables)]
+        keys = [k for k in self.constraints.resolve(tables, []) if k.table in set(tables)]
         return sorted(keys, key=lambda k: (k.table, k.id))
 
+    def key_errors(self) -> list[tuple[str, str, str]]:
+        """(table, first column, message) of the foreign keys that cannot be resolved."""
+        tables, errors = self.table_names(), []
+        self.constraints.resolve(tables, errors)
+        return sorted(e for e in errors if e[0] in set(tables))
+
     def columns(self) -> DataFrame:
         """Every column of every readable member in order, with its declared flags."""
         rows = []
@@ -213,24 +223,41 @@ class Dataset:
         return failed
 
     def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
-        """Any Spark SQL over the members, with bound parameters."""
-        self.register()
-        return self.spark.sql(text, args=args)
+        """Any Spark SQL query over the members, with bound parameters.
+
+        Members are known to the query alone: temp views of the session stay as they are, and
+        a member's name goes before a view's.
+        """
+        return self._query(text, args)
+
+    def _query(self, text: str, args: dict | list | None = None, apart: Callable | None = None) -> DataFrame:
+        """A query, with the members that it mentions as common table expressions over passing views."""
+        members = {}
+        for relation in self._relations.values():
+            # a view cannot reach itself
+            named = re.search(rf"(?<!\w){re.escape(relation.name)}(?!\w)", text)
+            if named and relation.load is not apart and relation.name not in self._loading:
+                self._loading.add(relation.name)
+                try:
+                    members[relation.name] = self.open(relation.name)
+                except UnreadableTable:
+                    pass
+                finally:
+                    self._loading.discard(relation.name)
+        views = {name: f"siftwell_{uuid.uuid4().hex}" for name in members}
+        try:
+            for name, df in members.items():
+                df.createOrReplaceTempView(views[name])
+            parts = [f"{quoted(name)} AS (SELECT * FROM {view})" for name, view in views.items()]
+            body = text.strip().rstrip(";")
+            return self.spark.sql(f"WITH {', '.join(parts)} (\n{body}\n)" if parts else body, args=args)
+        finally:
+            for view in views.values():
+                self.spark.catalog.dropTempView(view)
 
     def _sql_loader(self, text: str) -> Callable[[], DataFrame]:
         def load() -> DataFrame:
-            # Members the text mentions, other views too; a view cannot reach itself.
-            for relation in self._relations.values():
-                named = re.search(rf"(?<!\w){re.escape(relation.name)}(?!\w)", text)
-                if named and relation.load is not load and relation.name not in self._loading:
-                    self._loading.add(relation.name)
-                    try:
-                        self.open(relation.name).createOrReplaceTempView(quoted(relation.name))
-                    except UnreadableTable:
-                        pass
-                    finally:
-                        self._loading.discard(relation.name)
-            return self.spark.sql(text)
+            return self._query(text, apart=load)
 
         return load
 

@@ -56,7 +56,7 @@ def test_iso_parsing(spark):
         "1970-01-01T00:00:05.5": 5,
         "1970-01-01 01:00:00+01:00": 0,
         "1970-01-01T01:00Z": 3600,
-        "1970-02-30": 60 * 86400,  # beyond the end of the month: 2 March
+        "1970-02-30": None,
         "1970-02-32": None,
         "1970-13-01": None,
         "1970-01-01 10:61": None,
@@ -79,7 +79,7 @@ def test_time_histogram_of_text_with_unparsed_ends(spark):
     p = profile_table(spark.createDataFrame(days, "d string"), "t")
     assert one(p.columns, "true")["chart"] == "histogram"
     bins = p.histogram.orderBy("bin").collect()
-    assert bins[0]["label"] == "2020-01" and len(bins) == 3 if bins[0]["date_fmt"] == "yyyy-MM" else True
+    assert [(b["label"], b["date_fmt"]) for b in bins] == [(f"2020-0{m}", "yyyy-MM") for m in (1, 2, 3)]
     assert sum(b["count"] for b in bins) == 62
     assert min(b["label"] for b in bins) >= "2020-01"
 
@@ -175,7 +175,7 @@ def test_time_histogram_grains(spark):
     assert grain(76) == ("yyyy-MM", 3)
     assert grain(1464) == ("yyyy-MM", 49)
     assert grain(1465) == ("yyyy", 5)
-    assert grain(366 * 500) == ("yyyy", 400)
+    assert grain(366 * 500)[0] == "yyy0s"
 
 
 def test_time_zone_does_not_move_buckets(spark):
@@ -270,7 +270,7 @@ def test_findings_order_and_precedence(spark):
         ("warn", "mixed-type", "t", "mixed"),
         ("info", "constant", "t", "rare"),
     ]
-    assert one(p.findings, "kind = 'high-null'")["message"] == "t.sparse is 70% null"
+    assert one(p.findings, "kind = 'high-null'")["message"] == "70% of t.sparse missing"
 
 
 def test_reports(spark, tmp_path, big):

@@ -103,6 +103,14 @@ DERIVED = {
         "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' "
         "AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00'"
     ),
+    "orders_stray_dates": (
+        "SELECT o_orderkey, CASE WHEN o_orderkey = 77 THEN TIMESTAMP '0001-01-01 00:00:00' "
+        "WHEN o_orderkey % 1000 = 3 THEN TIMESTAMP '3999-12-31 00:00:00' ELSE o_orderdate END AS o_orderdate FROM orders"
+    ),
+    "rare_values": (
+        "SELECT o_orderkey, CASE WHEN o_orderkey = 77 THEN 'x' ELSE substring(CAST(o_orderdate AS STRING), 1, 10) END AS almost_dates, "
+        "CASE WHEN o_orderkey = 77 THEN 5 ELSE CAST(o_orderkey % 2 AS INT) END AS almost_flag FROM orders"
+    ),
     "customer_orders": (
         "SELECT c.c_mktsegment, c.c_nationkey, o.o_totalprice, o.o_orderdate, o.o_orderpriority "
         "FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"

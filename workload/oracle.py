@@ -277,24 +277,24 @@ def dirty_findings(unreadable: bool) -> str:
 ordered AS (SELECT *, CASE tbl WHEN 'customer_subset' THEN 0 WHEN 'dialogs' THEN 1 WHEN 'orders_dirty' THEN 2 ELSE 3 END AS t
   FROM prof),
 found AS (
-  {"SELECT 1 AS r, 0 AS t, 0 AS g, 0 AS i, 0 AS s, 'warn' AS severity, 'unreadable' AS kind, 'broken_view' AS tbl, NULL AS col, 'broken_view could not be read' AS message UNION ALL" if unreadable else ""}
+  {"SELECT 1 AS r, 0 AS t, 0 AS g, 0 AS i, 0 AS s, 'warn' AS severity, 'unreadable' AS kind, 'broken_view' AS tbl, NULL AS col, 'cannot read broken_view' AS message, 'x' AS detail UNION ALL" if unreadable else ""}
   SELECT 0 AS r, 0 AS t, 0 AS g, 0 AS i, 0 AS s, 'high' AS severity, 'orphan-fk' AS kind, 'customer_subset' AS tbl,
-    'c_nationkey' AS col, 'customer_subset.c_nationkey references missing table country' AS message
+    'c_nationkey' AS col, 'customer_subset.c_nationkey refers to country, which is no table here' AS message, NULL AS detail
   UNION ALL SELECT 0, 2, 0, 0, 0, 'high', 'orphan-fk', 'orders_dirty', 'o_custkey',
-    format('{{:,}}', orphans) || ' orphaned o_custkey value' || CASE WHEN orphans = 1 THEN '' ELSE 's' END || ' in orders_dirty'
-    FROM ({ORPHANS_SINGLE}) WHERE orphans > 0
+    format('{{:,}}', orphans) || ' orphaned o_custkey value' || CASE WHEN orphans = 1 THEN '' ELSE 's' END || ' in orders_dirty',
+    '→ customer_subset.c_custkey (no matching parent row)' FROM ({ORPHANS_SINGLE}) WHERE orphans > 0
   UNION ALL SELECT 0, 1, 0, 0, 0, 'high', 'orphan-fk', 'dialogs', 'conv_id',
-    format('{{:,}}', orphans) || ' orphaned (conv_id, turn) value' || CASE WHEN orphans = 1 THEN '' ELSE 's' END || ' in dialogs'
-    FROM ({ORPHANS_COMPOSITE}) WHERE orphans > 0
-  UNION ALL SELECT 1, t, 1, ord, 0, 'warn', 'empty', tbl, col, tbl || '.' || col || ' is entirely empty (100% null)'
+    format('{{:,}}', orphans) || ' orphaned (conv_id, turn) value' || CASE WHEN orphans = 1 THEN '' ELSE 's' END || ' in dialogs',
+    '→ turn_parent.(conv_id, turn) (no matching parent row)' FROM ({ORPHANS_COMPOSITE}) WHERE orphans > 0
+  UNION ALL SELECT 1, t, 1, ord, 0, 'warn', 'empty', tbl, col, 'no values in ' || tbl || '.' || col, NULL
     FROM ordered WHERE cnt = 0
-  UNION ALL SELECT 2, t, 1, ord, 0, 'info', 'constant', tbl, col, tbl || '.' || col || ' has a single constant value'
+  UNION ALL SELECT 2, t, 1, ord, 0, 'info', 'constant', tbl, col, 'one value only in ' || tbl || '.' || col, NULL
     FROM ordered WHERE cnt > 0 AND dist = 1
   UNION ALL SELECT 1, t, 1, ord, 0, 'warn', 'high-null', tbl, col,
-    tbl || '.' || col || ' is ' || {percent_label('nullf')} || ' null'
+    {percent_label('nullf')} || ' of ' || tbl || '.' || col || ' missing', NULL
     FROM ordered WHERE cnt > 0 AND dist <> 1 AND nullf >= 0.6
   UNION ALL SELECT 1, t, 1, ord, 1, 'warn', 'mixed-type', tbl, col,
-    tbl || '.' || col || ' mixes ' || types || ' value types' FROM ordered WHERE types > 1)"""
+    types || ' types of values in ' || tbl || '.' || col, 'values that read as different types' FROM ordered WHERE types > 1)"""
     return f"WITH {body}, {order}"
 
 
@@ -321,8 +321,8 @@ def markdown() -> str:
             [
                 f"'## {t} (table) — ' || format('{{:,}}', (SELECT count(*) FROM {t})) || ' rows'",
                 "''",
-                "'| Column | Type | Kind | Distinct | Null % | Min | Max |'",
-                "'|---|---|---|--:|--:|---|---|'",
+                "'| column | declared | kind | distinct values | missing | least | greatest |'",
+                "'|:--|:--|:--|--:|--:|:--|:--|'",
             ]
         )
     )
@@ -584,10 +584,40 @@ UNION ALL SELECT 9, 'uniqueness', {percent_label('(count(DISTINCT status) / CAST
         f"(SELECT count(*) FROM {k.parent}) AS to_rows"
         for k in FOREIGN_KEYS
     ),
-    "edge_collapse": """SELECT 'lineitem' AS from_table, 'orders' AS to_table,
-  'l_orderkey → o_orderkey, l_partkey → o_custkey' AS label, count(*) AS row_count FROM lineitem
-UNION ALL SELECT 'labels', 'documents', 'doc_id → doc_id', count(*) FROM labels""",
-    "self_references": """SELECT 'orders' AS "table", count(*) AS row_count FROM orders""",
+    "edge_collapse": """SELECT 'labels' AS from_table, 'documents' AS to_table, 'doc_id → doc_id' AS label, count(*) AS row_count,
+  count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphans FROM labels
+UNION ALL SELECT 'lineitem', 'orders', 'l_orderkey → o_orderkey, l_partkey → o_orderkey', count(*),
+  count(*) FILTER (WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
+  + count(*) FILTER (WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders)) FROM lineitem""",
+    "self_references": """SELECT 'orders' AS "table", count(*) AS row_count,
+  count(*) FILTER (WHERE o_custkey NOT IN (SELECT o_orderkey FROM orders)) AS orphans FROM orders""",
+    "default_profile_lineitem": profile_of(["lineitem"], keys=False),
+    "date_histogram_centuries": """WITH c AS (SELECT floor(year(CASE WHEN o_orderkey = 77 THEN TIMESTAMP '0001-01-01 00:00:00'
+    WHEN o_orderkey % 1000 = 3 THEN TIMESTAMP '3999-12-31 00:00:00' ELSE o_orderdate END) / 10) AS d, count(*) AS n FROM orders GROUP BY 1),
+  s AS (SELECT unnest(generate_series(CAST(min(d) AS BIGINT), CAST(max(d) AS BIGINT))) AS d FROM c)
+SELECT CAST(s.d - (SELECT min(d) FROM c) AS INTEGER) AS bin, printf('%04d', s.d * 10) || 's' AS label,
+  coalesce(n, 0) AS count, 'yyy0s' AS date_fmt FROM s LEFT JOIN c ON s.d = c.d""",
+    "rows_by_value_all": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'",
+    "bin_rows_all": """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20""",
+    "calibrated_kinds": """SELECT 'almost_dates' AS "column", CASE WHEN count(*) FILTER (WHERE o_orderkey = 77) > 0 THEN 'text' ELSE 'date' END AS kind,
+  CASE WHEN count(*) FILTER (WHERE o_orderkey = 77) > 0 THEN 2 ELSE 1 END AS storage_types FROM orders
+UNION ALL SELECT 'almost_flag', CASE WHEN count(*) FILTER (WHERE o_orderkey = 77) > 0 THEN 'integer' ELSE 'boolean' END, 1 FROM orders""",
+    "duplicate_key_findings": """SELECT 'high' AS severity, 'duplicate-key' AS kind, 'lineitem' AS "table", 'l_orderkey' AS "column",
+  format('{:,}', n) || CASE WHEN n = 1 THEN ' row repeats ' ELSE ' rows repeat ' END || 'a value of lineitem.(l_orderkey, l_linenumber)' AS message,
+  'declared unique' AS detail
+FROM (SELECT CAST(sum(c - 1) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)) WHERE n > 0""",
+    "partial_unique_key": """SELECT 'o_custkey' AS label, 'o_orderstatus = ' || chr(39) || 'P' || chr(39) AS "where", CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS repeats
+FROM (SELECT count(*) AS c FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)
+UNION ALL SELECT 'o_orderkey', NULL, CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM orders GROUP BY o_orderkey)""",
+    "distinct_maps": """SELECT 'flags' AS "column", count(DISTINCT l_returnflag || '/' || l_linenumber) AS distinct_count, count(*) AS count FROM lineitem""",
+    "variant_profile": """SELECT 'v' AS "column", count(*) AS count, CAST(NULL AS BIGINT) AS distinct_count,
+  CAST(count(DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'i' WHEN 1 THEN 'r' WHEN 2 THEN 's' ELSE 'o' END) AS INTEGER) AS storage_types FROM orders""",
+    "date_median_text": """SELECT CAST(o_orderdate + INTERVAL 10 HOUR AS VARCHAR) AS value FROM orders ORDER BY o_orderdate
+LIMIT 1 OFFSET (SELECT CAST(floor(0.5 * (count(*) - 1) + 0.5) AS BIGINT) FROM orders)""",
+    "fk_follow_text": """SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey % 5 <> 0""",
+    "fk_follow_total": """SELECT least(3, count(*)) AS shown, count(*) AS row_count FROM lineitem
+WHERE l_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F')""",
+    "bad_key_isolated": """SELECT 'orders' AS "table", count(*) AS row_count, 'o_custkey' AS "column" FROM orders""",
     "orphans_single": ORPHANS_SINGLE,
     "orphans_broadcast": ORPHANS_SINGLE,
     "orphan_values": """SELECT l_partkey, count(*) AS row_count FROM lineitem
@@ -599,7 +629,7 @@ UNION ALL SELECT 'orders_dirty', 'customer_subset', 'o_custkey', 'c_custkey', fa
 UNION ALL SELECT 'dialogs', 'turn_parent', '(conv_id, turn)', '(conv_id, turn)', false, orphans FROM ({ORPHANS_COMPOSITE})""",
     "findings_all": f"""{dirty_findings(True)}
 SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY r, g <> 0 OR kind <> 'unreadable', t, g, i, s) - 1 AS INTEGER) AS position,
-  severity, kind, tbl AS "table", col AS "column", message FROM found) WHERE kind <> 'unreadable'""",
+  severity, kind, tbl AS "table", col AS "column", message, CASE WHEN kind <> 'unreadable' THEN detail END AS detail FROM found)""",
     "findings_by_severity": f"{dirty_findings(True)} SELECT severity, count(*) AS finding_count FROM found GROUP BY 1",
     "findings_for_column": f"""{dirty_findings(True)} SELECT severity, kind, message FROM found
 WHERE tbl = 'orders_dirty' AND col = 'sparse_col'""",
