@@ -41,7 +41,8 @@ from siftwell.llm.common import _BYTE, bitmap, blocks, id_or_last, id_or_null, i
 LENGTH = 50
 GRAM = 20
 BLOCK = 8 << 20  # bytes of text whose contexts are told apart before they travel
-RANGE = 32 << 20  # bytes of text per range of anchors
+STEP = 1 << 20  # bytes of text that are hashed together
+RANGE = 16 << 20  # bytes of text per range of anchors
 SHARD = 8 << 20  # bytes of contexts per suffix array
 CROWD = 1024  # contexts of an anchor from which it may be dealt string by string
 CROWDS = 1 << 16
@@ -211,24 +212,27 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return where[begins], grams[where[begins]], strings[begins], lasts, sums
 
 
-def _contexts(data, offsets, length, crowds):
-    """h, c, text, start, size of the contexts in a block; of crowded anchors, of their strings."""
-    where, h, first, last, sums = anchors(data, offsets, length)
-    text = np.searchsorted(offsets, where, side="right") - 1
-    start = np.maximum(where - (length - GRAM), offsets[text])
-    end = np.minimum(where + length, offsets[text + 1])
-    if len(crowds) and len(h):
-        crowded = crowds[np.minimum(np.searchsorted(crowds, h), len(crowds) - 1)] == h
-        if crowded.any():
-            count = (last - first + 1)[crowded]
-            each = np.repeat(first[crowded], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            h = np.append(h[~crowded], span_hashes(sums, each, each + length) ^ np.uint64(0x5851F42D4C957F2D))
-            text = np.append(text[~crowded], np.repeat(text[crowded], count))
-            start, end = np.append(start[~crowded], each), np.append(end[~crowded], each + length)
-            where = np.append(where[~crowded], each)
-    # a context is told by its bytes and by where its anchor stands in it
-    c = mix(span_hashes(sums, start, end) + (where - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(24)
-    return h, c, text, start, (end - start).astype(np.uint8)
+def _contexts(texts: pa.Array, length: int, crowds: np.ndarray):
+    """h, c, text, start, size of the contexts of a block of texts; of crowded anchors, of their strings."""
+    parts = []
+    for first_text, _, data, offsets in blocks(texts, STEP):
+        where, h, first, last, sums = anchors(data, offsets, length)
+        text = np.searchsorted(offsets, where, side="right") - 1
+        start = np.maximum(where - (length - GRAM), offsets[text])
+        end = np.minimum(where + length, offsets[text + 1])
+        if len(crowds) and len(h):
+            crowded = crowds[np.minimum(np.searchsorted(crowds, h), len(crowds) - 1)] == h
+            if crowded.any():
+                count = (last - first + 1)[crowded]
+                each = np.repeat(first[crowded], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                h = np.append(h[~crowded], span_hashes(sums, each, each + length) ^ np.uint64(0x5851F42D4C957F2D))
+                text = np.append(text[~crowded], np.repeat(text[crowded], count))
+                start, end = np.append(start[~crowded], each), np.append(end[~crowded], each + length)
+                where = np.append(where[~crowded], each)
+        # a context is told by its bytes and by where its anchor stands in it
+        c = mix(span_hashes(sums, start, end) + (where - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(24)
+        parts.append((h, c, text + first_text, start - offsets[text], (end - start).astype(np.uint8)))
+    return tuple(map(np.concatenate, zip(*parts)))
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -258,8 +262,8 @@ def _crowded(rows: DataFrame, length: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column("t"), BLOCK):
-                h, c, *_ = _contexts(data, offsets, length, np.zeros(0, np.uint64))
+            for a, b, _, _ in blocks(batch.column("t"), BLOCK):
+                h, c, *_ = _contexts(batch.column("t").slice(a, b - a), length, np.zeros(0, np.uint64))
                 order = np.lexsort((c, h))
                 h, c = h[order], c[order]
                 new = np.ones(len(h), bool)
@@ -279,10 +283,9 @@ def _dealt(rows: DataFrame, ranges: int, length: int, crowds) -> DataFrame:
         turn = 0
         for batch in batches:
             all_ids, all_keys = (batch.column(c).to_numpy() for c in ("id", "key"))
-            for a, b, data, offsets in blocks(batch.column("t"), BLOCK):
+            for a, b, _, _ in blocks(batch.column("t"), BLOCK):
                 ids, keys = all_ids[a:b], all_keys[a:b]
-                h, c, text, start, size = _contexts(data, offsets, length, crowds.value)
-                start = start - offsets[text]
+                h, c, text, start, size = _contexts(batch.column("t").slice(a, b - a), length, crowds.value)
                 order = np.lexsort((ids[text], c, h))
                 h, c, text, start, size = (x[order] for x in (h, c, text, start, size))
                 new = np.ones(len(h), bool)
