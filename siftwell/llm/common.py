@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 21
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 #: Stands for a null id inside an operator: nulls come after every other id.
 NULL_ID = (1 << 63) - 1
 
@@ -46,7 +47,13 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     nothing that was computed. Tables live until the folder is cleared."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
-    frame.write.option("compression", "zstd").parquet(path)
+    # texts are long: batches of fewer rows keep workers small while this is written
+    rows = spark.conf.get(BATCH_CONF)
+    try:
+        spark.conf.set(BATCH_CONF, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, rows)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -238,13 +245,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: every larger neighbour is linked to the smallest node around
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where("a <> b").distinct(), "large")
+        large = large.where("a <> b").distinct()
         # small star: a node and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+        small = large.toDF("a", "b").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-        edges = materialize(small.where("a <> b").distinct(), "small")
+        edges = materialize(small.where("a <> b").distinct(), "edges")
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -7,15 +7,16 @@ A document is the set of its shingles, as 64-bit hashes. Two steps keep all pair
     compared with the one that most of its runs begin with. Those that link, and equal sets, are
     joined into groups.
 2.  The matrix: for each token, the groups in whose postings it stands, with the least and largest
-    size of a set there. A document is a query to each other group that it shares posted tokens with. If a
-    member links with it, the two share some part of what they post; so a group whose column
-    has fewer of the query's tokens, or no set of a fitting size, is not opened. Of the others
+    size of a set there and the token's first place in one. A document is a query to each other group that it shares
+    posted tokens with. If a member links with it, the two share a part of their first tokens, how many of
+    how many depends on both sizes; so a group whose column has fewer of the query's tokens, or no
+    set of a fitting size, is not opened. Of the others
     the union of all tokens bounds the overlap once more, and the query is compared with
     members until one links: it joins the two groups, whose other members are joined
     already, so the squares of large groups never arise.
 
 The order of tokens puts the commonest ones last, so a line or passage that many documents share does
-not bring them together. It is counted over all documents, block by block, and at most 2^18 tokens
+not bring them together. It is counted over all documents, block by block, and at most 2^19 tokens
 are held; any order gives the same links, so that bound changes work, not results. Large groups are cut into
 chunks and queries into packs.
 
@@ -41,7 +42,8 @@ from siftwell.llm.common import bitmap, blocks, components, id_or_last, id_or_nu
 
 WIDTH = 5
 PERCENT = 75
-HOT = 1 << 18  # tokens whose frequency is known
+HOT = 1 << 19  # tokens whose frequency is known
+COUNTED = 1 << 22  # tokens that are counted together
 CHUNK = 64  # members of a group that are opened together
 PACK = 256  # queries that are compared with them
 SALTS = 16  # parts of a common token's postings
@@ -50,28 +52,46 @@ TOKEN_BITS = 48  # of a hash that are posted: two tokens taken for one add candi
 
 
 def _common_tokens(rows: DataFrame, width: int) -> np.ndarray:
-    """The commonest tokens, sorted: counted over all documents within blocks of a few MB, where
+    """The commonest tokens, sorted: counted over all documents within blocks of COUNTED tokens, where
     a token that only one set of a block has is left out, and summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column("t"), 4 << 20):
-                sets = {s.tobytes(): s for s in shingle_sets(data, offsets, width)}
-                tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(tokens[n > 1])), pa.array(n[n > 1].astype(np.int64))], names=["token", "n"])
+        held, seen, size = [], set(), 0
+
+        def several():
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(signed(tokens[n > 1])), pa.array(n[n > 1].astype(np.int64))], names=["token", "n"])
 
-    counted = rows.select("t").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8")
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column("t")):
+                for s in shingle_sets(data, offsets, width):
+                    signature = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    if signature not in seen:
+                        seen.add(signature)
+                        held.append(s)
+                        size += len(s)
+                if size > COUNTED:
+                    yield several()
+                    held, seen, size = [], set(), 0
+        if held:
+            yield several()
+
+    counted = rows.select("t").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 4")
     top = counted.orderBy(F.desc("n"), "token").limit(HOT).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().view(np.uint64))
 
 
 def _read(rows: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
     """A row per document: uid, id, text_key, n (set size), a 128-bit signature of the set, and
-    for the first such set of a task the tokens that it posts, ``rare`` of them not common."""
+    for the first such set of a task the tokens that it posts, ``rare`` of them not common.
+
+    The fewer of what it posts is rare, the smaller a uid: of near copies of one text the text itself, or the one
+    that is nearest to it, comes first, and links with most.
+    """
     broadcast = rows.sparkSession.sparkContext.broadcast(common)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid, seen, hot = TaskContext.get().partitionId() << 36, set(), broadcast.value
+        uid, seen, hot = TaskContext.get().partitionId() << 34, set(), broadcast.value
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column("t")):
                 part = batch.slice(first, end - first)
@@ -99,7 +119,8 @@ def _read(rows: DataFrame, common: np.ndarray, width: int, percent: int) -> Data
                     if len(tokens) < size:
                         tokens = np.concatenate([tokens, s[own][: size - len(tokens)]])
                     posted.append(signed(tokens >> np.uint64(64 - TOKEN_BITS)))
-                uids = np.arange(uid, uid + len(part))
+                rareness = [15 if p is None else 15 * r // len(p) for r, p in zip(rare, posted)]  # who posts nothing comes last
+                uids = np.arange(uid, uid + len(part)) + (np.array(rareness, np.int64) << 58)
                 uid += len(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uids), part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(posted, pa.list_(pa.int64())), pa.array(rare, pa.int32())],
@@ -116,7 +137,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(batch)
         if not n:
             continue
-        tokens, uids = (batch.column(c).to_numpy() for c in ("token", "uid"))
+        tokens, uids, places = (batch.column(c).to_numpy() for c in ("token", "uid", "at"))
         begins = np.ones(n, bool)
         begins[1:] = tokens[1:] != tokens[:-1]
         goes_on = tokens[0] == last_token
@@ -128,15 +149,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if goes_on:
             first = np.where(run < 0, first_uid, first)
         single = begins & np.append(begins[1:], False)  # one posting, as far as is known; the batch's last is looked at later
-        out_t, out_u, out_f = tokens[~single], uids[~single], first[~single]
+        out = [x[~single] for x in (tokens, uids, places, first)]
         open_lone = None
         if begins[-1]:  # the last run has one posting so far
-            out_t, out_u, out_f = out_t[:-1], out_u[:-1], out_f[:-1]
-            open_lone = (tokens[-1], uids[-1])
+            out = [x[:-1] for x in out]
+            open_lone = (tokens[-1], uids[-1], places[-1], uids[-1])
         if goes_on and lone is not None:
-            out_t, out_u, out_f = np.append(lone[0], out_t), np.append(lone[1], out_u), np.append(lone[1], out_f)
+            out = [np.append(np.array([v], x.dtype), x) for v, x in zip(lone, out)]
         last_token, first_uid, lone = tokens[-1], first[-1], open_lone
-        yield pa.RecordBatch.from_arrays([pa.array(out_t), pa.array(out_u), pa.array(out_f)], names=["token", "uid", "center"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "uid", "at", "center"])
 
 
 def _compare(width: int, percent: int):
@@ -218,11 +239,11 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
     # postings of tokens that several sets share
     posted = sets.where("posted IS NOT NULL").select("uid", "rare", F.posexplode("posted").alias("at", "token"))
     salt = F.when(F.col("at") >= F.col("rare"), F.pmod(F.xxhash64("uid"), F.lit(SALTS))).otherwise(0)
-    posted = posted.select("token", "uid", salt.alias("salt")).repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "uid")
-    shared = materialize(posted.select("token", "uid").mapInArrow(_shared, "token long, uid long, center long"), "shared")
+    posted = posted.select("token", "uid", "at", salt.alias("salt")).repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "uid")
+    shared = materialize(posted.select("token", "uid", "at").mapInArrow(_shared, "token long, uid long, at int, center long"), "shared")
     # from here on the first of equal sets stands for all
     firsts = sets.where("n > 0").select("uid", "n").join(equal.where("a <> b").select(F.col("a").alias("uid")), "uid", "left_anti")
-    # of what two linked sets post they share so many, at least
+    # of what two linked sets post they share so many, at least, whatever their sizes
     due = 1 + F.floor(F.col("n") * (EXTRA * percent) / 10_000)
 
     # 1. each document against the one that begins most of its runs
@@ -235,13 +256,18 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
 
     # 2. documents as queries to the other groups that they share tokens with
     named = firsts.join(groups, F.col("uid") == F.col("node"), "left").select("uid", "n", F.coalesce("component", "uid").alias("g"))
-    labelled = materialize(shared.select("token", "uid").join(named, "uid"), "labelled")
-    matrix = labelled.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    labelled = materialize(shared.select("token", "uid", "at").join(named, "uid"), "labelled")
+    matrix = labelled.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("first"))
     across = labelled.groupBy("token").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("token")
-    matrix = materialize(matrix.join(across, "token").select("token", F.col("g").alias("other"), "lo", "hi"), "matrix")
-    fits = (F.col("g") < F.col("other")) & (100 * F.col("hi") >= percent * F.col("n")) & (percent * F.col("lo") <= 100 * F.col("n"))
-    met = labelled.join(matrix, "token").where(fits).groupBy("uid", "other", "n").agg(F.count("*").alias("c"))
-    queries = materialize(met.where(F.col("c") >= due).select(F.col("other").alias("g"), "uid"), "queries")
+    matrix = materialize(matrix.join(across, "token").select("token", F.col("g").alias("other"), "lo", "hi", "first"), "matrix")
+    # sizes of members that can link with n, and the overlap that sizes n and m need
+    low, high = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100)), F.least(F.col("hi"), F.floor(F.col("n") * 100 / percent))
+    need = lambda m: F.ceil((F.col("n") + m) * percent / (100 + percent))
+    some = lambda m: 1 + F.floor(F.least(F.col("n"), m) * EXTRA / 100)
+    # two sets that link share some() of the first size - need() + some() tokens of each
+    fits = (F.col("g") < F.col("other")) & (low <= high) & (F.col("at") < F.col("n") - need(low) + some(high)) & (F.col("first") < high - need(high) + some(high))
+    met = labelled.join(matrix, "token").where(fits).groupBy("uid", "other", "n").agg(F.count("*").alias("c"), F.min(low).alias("low"))
+    queries = materialize(met.where(F.col("c") >= some(F.col("low"))).select(F.col("other").alias("g"), "uid"), "queries")
     members = named.select("uid", "g").join(queries.select("g").distinct(), "g")
     more = _links(members, queries, _texts(rows, sets, members.select("uid").unionByName(queries.select("uid"))), width, percent)
     final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

@@ -41,7 +41,7 @@ from siftwell.llm.common import _BYTE, bitmap, blocks, id_or_last, id_or_null, i
 LENGTH = 50
 GRAM = 20
 BLOCK = 8 << 20  # bytes of text whose contexts are told apart before they travel
-STEP = 1 << 20  # bytes of text that are hashed together
+STEP = 1 << 19  # bytes of text that are hashed together
 RANGE = 16 << 20  # bytes of text per range of anchors
 SHARD = 8 << 20  # bytes of contexts per suffix array
 CROWD = 1024  # contexts of an anchor from which it may be dealt string by string
@@ -272,7 +272,7 @@ def _crowded(rows: DataFrame, length: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(own[n > 3])), pa.array(n[n > 3].astype(np.int64))], names=["h", "n"])
 
     counted = rows.select("t").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWD)
-    found = counted.orderBy(F.desc("n"), "h").limit(CROWDS).select("h").toArrow()
+    found = materialize(counted, "crowds").orderBy(F.desc("n"), "h").limit(CROWDS).select("h").toArrow()
     return np.sort(found.column("h").to_numpy().view(np.uint64))
 
 
