@@ -131,7 +131,8 @@ def _read(rows: DataFrame, common: np.ndarray, width: int, percent: int) -> Data
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token, those of tokens with several, and the first document of each run."""
+    """Of postings sorted by token, those of tokens with several, and the first document of each run.
+    The postings of a common token are salted, so one that is alone here is passed on: others are elsewhere."""
     last_token, first_uid, lone = None, None, None  # the run that goes on; its only posting, if not yet written
     for batch in batches:
         n = len(batch)
@@ -148,10 +149,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = firsts[np.maximum(run, 0)] if len(starts) else np.full(n, first_uid)
         if goes_on:
             first = np.where(run < 0, first_uid, first)
-        single = begins & np.append(begins[1:], False)  # one posting, as far as is known; the batch's last is looked at later
+        salted = batch.column("salt").to_numpy() > 0
+        single = begins & np.append(begins[1:], False) & ~salted  # one posting, as far as is known; the batch's last is looked at later
         out = [x[~single] for x in (tokens, uids, places, first)]
         open_lone = None
-        if begins[-1]:  # the last run has one posting so far
+        if begins[-1] and not salted[-1]:  # the last run has one posting so far
             out = [x[:-1] for x in out]
             open_lone = (tokens[-1], uids[-1], places[-1], uids[-1])
         if goes_on and lone is not None:
@@ -238,9 +240,9 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
 
     # postings of tokens that several sets share
     posted = sets.where("posted IS NOT NULL").select("uid", "rare", F.posexplode("posted").alias("at", "token"))
-    salt = F.when(F.col("at") >= F.col("rare"), F.pmod(F.xxhash64("uid"), F.lit(SALTS))).otherwise(0)
+    salt = F.when(F.col("at") >= F.col("rare"), 1 + F.pmod(F.xxhash64("uid"), F.lit(SALTS))).otherwise(0)
     posted = posted.select("token", "uid", "at", salt.alias("salt")).repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "uid")
-    shared = materialize(posted.select("token", "uid", "at").mapInArrow(_shared, "token long, uid long, at int, center long"), "shared")
+    shared = materialize(posted.mapInArrow(_shared, "token long, uid long, at int, center long"), "shared")
     # from here on the first of equal sets stands for all
     firsts = sets.where("n > 0").select("uid", "n").join(equal.where("a <> b").select(F.col("a").alias("uid")), "uid", "left_anti")
     # of what two linked sets post they share so many, at least, whatever their sizes
