@@ -43,7 +43,7 @@ GRAM = 20
 BLOCK = 8 << 20  # bytes of text whose contexts are told apart before they travel
 STEP = 1 << 19  # bytes of text that are hashed together
 RANGE = 16 << 20  # bytes of text per range of anchors
-SHARD = 8 << 20  # bytes of contexts per suffix array
+SHARD = 2 << 20  # bytes of contexts per suffix array, which takes some eighty times as much while it is built
 CROWD = 1024  # contexts of an anchor from which it may be dealt string by string
 CROWDS = 1 << 16
 _PLACE = 30  # bits of a position in a block; the others order anchors
