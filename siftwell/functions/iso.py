@@ -38,9 +38,14 @@ def iso_seconds(value: str) -> str:
     Spark's casts do the reading. Without an offset it is wall-clock time, whatever the session's
     time zone; with one it is the moment in UTC.
     """
-    clock = f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', try_cast({value} AS timestamp_ntz))"
-    # date, time and "Z" take at least 17 characters
-    moment = f"CASE WHEN length({value}) >= 17 AND {value} RLIKE r'{ISO_OFFSET}' THEN unix_seconds(try_cast({value} AS timestamp)) ELSE {clock} END"
+    local = f"try_cast({value} AS timestamp_ntz)"
+    clock = (
+        f"CAST(unix_date(CAST({local} AS date)) AS bigint) * {SECONDS_PER_DAY} "
+        f"+ hour({local}) * 3600 + minute({local}) * 60 + second({local})"
+    )
+    # date, time and "Z" take at least 17 characters; Spark reads an offset only behind seconds
+    whole = f"regexp_replace({value}, r'^(.{{16}})\s*(Z|[+-][0-9:]{{5}})\s*$', '$1:00$2')"
+    moment = f"CASE WHEN length({value}) >= 17 AND {value} RLIKE r'{ISO_OFFSET}' THEN unix_seconds(try_cast({whole} AS timestamp)) ELSE {clock} END"
     return f"CASE WHEN {value} RLIKE r'{ISO_WHOLE}' THEN {moment} END"
 
 

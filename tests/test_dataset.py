@@ -146,8 +146,8 @@ def test_unique_columns_are_not_grouped(spark):
 def test_declared_unique_can_be_checked(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id int")
     ds = Dataset.from_frames(spark, {"t": df}, constraints=Constraints({"t": ("id",)}))
-    assert one(profile_dataset(ds).columns, "true")["distinct_count"] == 3
-    assert one(profile_dataset(ds, ProfileOptions(trust_unique=False)).columns, "true")["distinct_count"] == 2
+    assert one(profile_dataset(ds).columns, "true")["distinct_count"] == 2
+    assert one(profile_dataset(ds, ProfileOptions(trust_unique=True)).columns, "true")["distinct_count"] == 3
     assert [tuple(r) for r in repeated_keys(df, ["id"]).collect()] == [(1, 2)]
 
 
