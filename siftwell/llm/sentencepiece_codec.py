@@ -15,6 +15,7 @@ the same ids each. An empty table gives an empty result. Further columns are pas
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
@@ -174,6 +175,9 @@ def read_model(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
+codecs.register_error("siftwell.bytewise", lambda error: ("\ufffd", error.start + 1))
+
+
 class Codec:
     """Encodes and decodes blocks of texts. Where no piece reaches past a word, distinct words go to
     the tokenizer once and their ids are looked up after that; other models get whole texts."""
@@ -215,11 +219,12 @@ class Codec:
         return np.frombuffer(b"".join(found), np.int32), np.concatenate([[0], np.cumsum([len(b) // 4 for b in found], dtype=np.int64)])
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; what plain joining cannot decide is left to the tokenizers library."""
+        """The text of ids; each byte that is no UTF-8 becomes U+FFFD, ids that the model lacks are left out."""
         try:
-            text = b"".join(map(self.plain.__getitem__, ids)).decode()
-        except (UnicodeDecodeError, IndexError):
-            return self.tokenizer.decode(ids, skip_special_tokens=False)
+            data = b"".join(map(self.plain.__getitem__, ids))
+        except IndexError:
+            data = b"".join(self.plain[i] for i in ids if 0 <= i < len(self.plain))
+        text = data.decode(errors="siftwell.bytewise")
         return text[1:] if self.strip and text[:1] == " " else text
 
 
