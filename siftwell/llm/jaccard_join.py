@@ -4,7 +4,7 @@ A document is the set of its shingles, as 64-bit hashes. Two steps keep all pair
 
 1.  Similar documents are put into groups. Each document posts the first tokens of its set
     in a common order, a token's postings are read as one sorted run, and every document is
-    compared with the one that most of its runs begin with. Those that link, and equal sets, are
+    compared with the few that most of its runs begin with. Those that link, and equal sets, are
     joined into groups.
 2.  The matrix: for each token, the groups in whose postings it stands, with the least and largest
     size of a set there and the token's first place in one. A document is a query to each other group that it shares
@@ -36,6 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import bitmap, blocks, components, id_or_last, id_or_null, in_bitmap, materialize, partitions, shingle_sets, signed, whole_text
@@ -46,6 +47,7 @@ HOT = 1 << 19  # tokens whose frequency is known
 COUNTED = 1 << 22  # tokens that are counted together
 CHUNK = 64  # members of a group that are opened together
 PACK = 256  # queries that are compared with them
+CENTERS = 3  # documents that each is compared with before groups are formed
 SALTS = 16  # parts of a common token's postings
 EXTRA = 5  # percent of a set that is posted beyond what linked sets must share one of
 TOKEN_BITS = 48  # of a hash that are posted: two tokens taken for one add candidates, no links
@@ -248,10 +250,11 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
     # of what two linked sets post they share so many, at least, whatever their sizes
     due = 1 + F.floor(F.col("n") * (EXTRA * percent) / 10_000)
 
-    # 1. each document against the one that begins most of its runs
+    # 1. each document against those that begin most of its runs
     counts = shared.where("uid <> center").groupBy("uid", "center").agg(F.count("*").alias("c"))
-    nearest = counts.groupBy("uid").agg(F.max(F.struct("c", F.col("center").alias("g"))).alias("x")).join(firsts, "uid")
-    nearest = materialize(nearest.where(F.col("x.c") >= due).select("x.g", "uid"), "nearest")
+    best = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), "center"))
+    nearest = counts.withColumn("rank", best).where(F.col("rank") <= CENTERS).join(firsts, "uid")
+    nearest = materialize(nearest.where(F.col("c") >= due).select(F.col("center").alias("g"), "uid"), "nearest")
     centers = nearest.select("g").distinct().withColumn("uid", F.col("g"))
     near = _links(centers, nearest, _texts(rows, sets, centers.select("uid").unionByName(nearest.select("uid"))), width, percent)
     groups = components(near.unionByName(equal))
