@@ -6,6 +6,7 @@ a table, whatever their names, neither disturb them nor are lost where rows are
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -95,6 +96,18 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         first = end
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # no such function on this platform
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed; reused Python workers would keep it."""
+    if _trim is not None:
+        _trim(0)
+
+
 # -- hashes ---------------------------------------------------------------------------
 
 _RANDOM = np.random.default_rng(20_240_229)

@@ -36,14 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import _BYTE, bitmap, blocks, id_or_last, id_or_null, in_bitmap, materialize, mix, partitions, prefix_sums, signed, span_hashes, whole_text
+from siftwell.llm.common import _BYTE, bitmap, blocks, give_back, id_or_last, id_or_null, in_bitmap, materialize, mix, partitions, prefix_sums, signed, span_hashes, whole_text
 
 LENGTH = 50
 GRAM = 20
 BLOCK = 8 << 20  # bytes of text whose contexts are told apart before they travel
 STEP = 1 << 19  # bytes of text that are hashed together
-RANGE = 16 << 20  # bytes of text per range of anchors
-SHARD = 2 << 20  # bytes of contexts per suffix array, which takes some eighty times as much while it is built
+RANGE = 8 << 20  # bytes of text per range of anchors
+SHARD = 1 << 20  # bytes of contexts per suffix array, which takes some eighty times as much while it is built
 CROWD = 1024  # contexts of an anchor from which it may be dealt string by string
 CROWDS = 1 << 16
 _PLACE = 30  # bits of a position in a block; the others order anchors
@@ -269,6 +269,7 @@ def _crowded(rows: DataFrame, length: int) -> np.ndarray:
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
                 own, n = np.unique(h[new], return_counts=True)
+                give_back()
                 yield pa.RecordBatch.from_arrays([pa.array(signed(own[n > 3])), pa.array(n[n > 3].astype(np.int64))], names=["h", "n"])
 
     counted = rows.select("t").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWD)
@@ -315,6 +316,7 @@ def _dealt(rows: DataFrame, ranges: int, length: int, crowds) -> DataFrame:
                     if x < y:
                         which, own = np.unique(text[x:y], return_inverse=True)
                         out.append((r, 0, _packed(ids[which], keys[which], own.astype(np.uint32), h[x:y], c[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].copy().view("V5").ravel(), start[x:y].astype(np.uint32), size[x:y])))
+                give_back()
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["range", "kind", "data"])
 
@@ -357,11 +359,13 @@ def _meet(key, rows: pd.DataFrame) -> pd.DataFrame:
             out.append(_by_text(ids, keys, 1, np.repeat(doc, pieces), _spans(start, end)))
         else:
             parts.append(arrays)
+    give_back()
     if parts:
         sizes = np.cumsum([0, *(len(p[0]) for p in parts)])
         ids, keys = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         doc = np.concatenate([p[2].astype(np.int64) + s for p, s in zip(parts, sizes)])
         h, c, start, size = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5, 6))
+        del parts
         c = np.pad(c.view(np.uint8).reshape(-1, 5), ((0, 0), (0, 3))).view("<u8").ravel()
         who = ids[doc]
         order = np.lexsort((who, c, h))
@@ -390,6 +394,7 @@ def _sorted_out(length: int):
         sizes = np.array([len(c) for c in contexts], np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
         found = repeated(contexts, ids, length)
+        give_back()
         owner = np.searchsorted(starts, found, side="right") - 1
         begin = rows["start"].to_numpy()[owner] + found - starts[owner]
         spans = np.empty(len(found), _SPAN)
