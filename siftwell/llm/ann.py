@@ -3,7 +3,9 @@
 Every vector is represented by its nearest pivots in order. It is posted in the inverted files of the first
 few of them; a query looks into the files of its own first pivots, ranks what is there by the
 footrule distance between the ordered lists, and the best of each file are reranked by the
-cosine of the original vectors, in double precision. A posting holds the vector, so only
+cosine of the original vectors, in double precision. Of the rest of a file, every vector whose cosine in single
+precision, with the largest error that it can have, reaches the k-th of these is reranked too: a file's answer is exact,
+and only vectors that share none of their first pivots with the query are not seen. A posting holds the vector, so only
 results leave a file. Files are cut into buckets of
 bounded size and queries into packs, so a pivot that is near to any share of all vectors is worked
 on by many tasks. Pivots come from a bounded sample; all rows are indexed.
@@ -32,9 +34,10 @@ PIVOTS = 512
 LISTED = 64  # pivots in a vector's ordered list
 POSTED = 16  # files that a vector is posted in
 PROBED = 16  # files that a query looks into
-CANDIDATES = 500  # of a bucket of a file, reranked for each query
+CANDIDATES = 500  # of a bucket of a file, reranked first for each query; a bound decides on the rest
 BUCKET = 32_768  # vectors of a file in one task
 PACK = 8_192  # queries in one task
+STEP = 64  # queries in one product with a bucket
 
 
 def _usable(embeddings: DataFrame, id: str, vector: str) -> DataFrame:
@@ -100,9 +103,20 @@ def footrule(query: np.ndarray, lists: np.ndarray, pivots: int) -> np.ndarray:
     return np.abs(there - np.arange(size)).sum(axis=1) + size * len(query) - place[query].sum() - (size - there).sum(axis=1)
 
 
+def _single(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision."""
+    return np.concatenate([_unit(vectors[a : a + 4096].astype(np.float64)).astype(np.float32) for a in range(0, len(vectors), 4096)])
+
+
 def _probe(pivots: int, most: int, k: int, kind: str):
     none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
+    def best_of(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Places of the k best ids, each at its best score."""
+        top = np.lexsort((ids, -score))
+        _, first = np.unique(ids[top], return_index=True)  # of a repeated id, its best
+        return top[np.sort(first)[:k]]
+
     def work(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
             return none
@@ -110,16 +124,25 @@ def _probe(pivots: int, most: int, k: int, kind: str):
         ids = vectors["vec_id"].to_numpy()
         lists = np.frombuffer(b"".join(vectors["list"]), "<u2").reshape(len(ids), -1)
         originals = np.frombuffer(b"".join(vectors["v"]), kind).reshape(len(ids), -1)
-        tie, out = np.arange(len(ids)), []
-        for query, own, vector in zip(queries["query_id"], queries["list"], queries["v"]):
-            order = footrule(np.frombuffer(own, "<u2"), lists, pivots) * len(ids) + tie  # ties by the smaller id
+        asked = np.frombuffer(b"".join(queries["v"]), kind).reshape(len(queries), -1)
+        tie, out, own = np.arange(len(ids)), [], queries["list"].tolist()
+        units = _single(originals) if len(ids) > most else None
+        error = (originals.shape[1] + 8) * 2.0**-22  # more than a product of unit vectors in single precision can be off
+        for at, query in enumerate(queries["query_id"]):
+            if units is not None and at % STEP == 0:
+                rough = _single(asked[at : at + STEP]) @ units.T
+            order = footrule(np.frombuffer(own[at], "<u2"), lists, pivots) * len(ids) + tie  # ties by the smaller id
             order[ids == query] = np.iinfo(np.int64).max
             best = np.argpartition(order, most)[:most] if len(ids) > most else tie
             best = best[ids[best] != query]
-            score = cosine(originals[best], np.frombuffer(vector, kind)[None, :])
-            top = np.lexsort((ids[best], -score))
-            _, first = np.unique(ids[best][top], return_index=True)  # of a repeated id, its best
-            top = top[np.sort(first)[:k]]
+            score = cosine(originals[best], asked[at][None, :])
+            top = best_of(ids[best], score)
+            if units is not None:
+                rest = np.ones(len(ids), bool) if len(top) < k else rough[at % STEP] >= score[top[-1]] - error
+                rest[best] = False
+                rest = np.flatnonzero(rest & (ids != query))
+                best, score = np.concatenate([best, rest]), np.concatenate([score, cosine(originals[rest], asked[at][None, :])])
+                top = best_of(ids[best], score)
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best][top], "score": score[top]}))
         return pd.concat(out)
 

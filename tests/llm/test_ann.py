@@ -37,6 +37,17 @@ def test_small_tables_are_exact(spark):
     assert got == want
 
 
+def test_files_are_exact_beyond_the_first_candidates(spark):
+    """All files are opened, so nothing but the number of candidates could lose a neighbour."""
+    random = np.random.default_rng(4)
+    rows = [(i, random.normal(size=8).astype(np.float32).tolist()) for i in range(400)] + [(i, [1.0] * 8) for i in range(400, 420)]
+    found = ann.search(frame(spark, rows), F.col("vec_id") % 7 == 0, pivots=3, listed=3, posted=3, probed=3, candidates=5)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((round(-r.score, 9), r.vec_id))
+    assert got == exact(rows, lambda i: i % 7 == 0)
+
+
 def test_recall(spark):
     importable(spark)
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
