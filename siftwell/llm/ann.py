@@ -40,10 +40,10 @@ PACK = 8_192  # queries in one task
 STEP = 64  # queries in one product with a bucket
 
 
-def _usable(embeddings: DataFrame, id: str, vector: str) -> DataFrame:
-    """vec_id, v: rows that take part."""
+def _usable(embeddings: DataFrame, id: str, vector: str, asked: Column) -> DataFrame:
+    """vec_id, v, asked: rows that take part, and whether they are asked for."""
     single = embeddings.schema[vector].dataType.simpleString() == "array<float>"
-    rows = embeddings.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    rows = embeddings.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"), asked.alias("asked")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     fine = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = rows.where(fine & F.exists("v", lambda x: x != 0))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -169,14 +169,14 @@ def search(
 ) -> DataFrame:
     """The ``k`` nearest rows found for each row that meets ``asked`` (a condition on the table's
     columns): query_id, rank from 1, vec_id, score. A query's own id is no candidate."""
-    rows = _usable(embeddings, id, vector)
+    rows = _usable(embeddings, id, vector, asked)
     chosen = pivots_of(rows, pivots)
     count = len(chosen)
     if not count:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed, posted, probed = min(listed, count), min(posted, count), min(probed, count)
     index = materialize(_permutations(rows, chosen, listed), "index")
-    queries = _usable(embeddings.where(asked), id, vector).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = rows.where("asked").groupBy("vec_id").agg(F.min("v").alias("v"))
     questions = materialize(_permutations(queries, chosen, listed).withColumnRenamed("vec_id", "query_id"), "queries")
 
     files, probes = _files(index, posted), _files(questions, probed)

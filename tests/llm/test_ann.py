@@ -77,6 +77,14 @@ def test_awkward(spark):
     assert got == want
 
 
+def test_queries_of_mixed_lengths(spark):
+    """The commonest length of all rows counts, whatever the commonest among the queries."""
+    rows = [(i, [1.0, float(i)]) for i in range(1, 30)] + [(i, [1.0, 2.0, float(i)]) for i in range(100, 110)]
+    found = ann.search(frame(spark, rows), (F.col("vec_id") >= 100) | (F.col("vec_id") == 5)).orderBy("query_id", "rank").collect()
+    want = exact(rows[:29], lambda i: i == 5)
+    assert [(r.query_id, round(-r.score, 9), r.vec_id) for r in found] == [(5, *x) for x in want[5]]
+
+
 def test_empty(spark):
     assert ann.search(frame(spark, []), F.lit(True)).collect() == []
     assert ann.search(frame(spark, [(1, None)]), F.lit(True)).collect() == []
