@@ -11,6 +11,11 @@ removed, those beyond a lower one generalised to a class of words. A pair counts
 several different contexts, so copies of one passage say nothing. p(t) comes from all texts: a
 bitmap of fixed size tells which words may matter, and only those are counted by a shuffle.
 
+Pairs are met within NEAR words to either side of the entity, so that their number grows with that of the
+entities and not with the length of texts; a term that only ever stands farther away is not learnt. A term that is
+learnt is marked wherever it stands, in every document, whether the entity is there or not. Terms have any
+length; numbers (digits alone) are none. Contexts are told apart by their words of three and more characters.
+
 A null text counts as empty. Offsets count code points; texts are searched whole, in time
 that grows with their length. Repeated rows are answered each and count as documents
 each, but as one context. An empty table gives an empty result. Further columns are not read.
@@ -32,7 +37,7 @@ from siftwell.llm.common import bitmap, blocks, in_bitmap, materialize, mix, pre
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-NEAR = 8  # words to either side of an entity
+NEAR = 8  # words to either side of an entity, where pairs are met
 CONTEXTS = 3  # different contexts in which a pair must be met
 REMOVE, GENERALISE = 0.9, 0.6
 BITS = 23  # of the bitmap's size
@@ -123,8 +128,8 @@ def _hash(parts: list[bytes]) -> np.ndarray:
     return signed(span_hashes(prefix_sums(_VALUES[np.frombuffer(b"".join(parts), np.uint8)]), ends - sizes, ends))
 
 
-def _contexts(text: str, spans: dict[str, list[Span]]) -> tuple[list, list, list, list, list]:
-    """entity, context, term, start, end of each term near an entity."""
+def _contexts(text: str, spans: dict[str, list[Span]]) -> tuple[list, list, list]:
+    """entity, context, term of each term near an entity."""
     taken = sorted(s for own in spans.values() for s in own)
     words, at = [], 0
     for m in _WORD.finditer(text):
@@ -133,22 +138,21 @@ def _contexts(text: str, spans: dict[str, list[Span]]) -> tuple[list, list, list
         if not any(a < m.end() and m.start() < b for a, b in taken[at : at + 4]):
             words.append(m.span())
     starts = np.array([a for a, _ in words], np.int64)
-    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+    out: tuple[list, list, list] = ([], [], [])
     for kind, own in spans.items():
         for a, b in own:
             value = text[a:b].lower() if kind == "email" else _digits(text[a:b]) if kind != "ip" else text[a:b]
             i = int(np.searchsorted(starts, a))
-            near = words[max(0, i - NEAR) : i + NEAR]
-            near = [(x, y) for x, y in near if y - x >= 3 and not text[x:y].isdecimal()]
-            context = " ".join(text[x:y].lower() for x, y in near)
-            for x, y in near:
-                for column, v in zip(out, (f"{kind}:{value}".encode(), context.encode(), text[x:y].encode(), x, y)):
-                    column.append(v)
+            near = [text[x:y] for x, y in words[max(0, i - NEAR) : i + NEAR] if not text[x:y].isdecimal()]
+            context = " ".join(w.lower() for w in near if len(w) >= 3)
+            for w in near:
+                for column, v in zip(out, (f"{kind}:{value}", context, w)):
+                    column.append(v.encode())
     return out
 
 
-_FOUND = "uid long, id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:long,context:long,term:long,first:int,last:int>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+_FOUND = "uid long, id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:long,context:long,term:long>>"
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64())]))
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +167,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base.append(written(spans))
                 rows: list[dict] = []
                 if base[-1]:
-                    entities, contexts, terms, firsts, lasts = _contexts(text, spans)
+                    entities, contexts, terms = _contexts(text, spans)
                     if terms:
-                        rows = [dict(entity=e, context=c, term=t, first=x, last=y) for e, c, t, x, y in zip(_hash(entities).tolist(), _hash(contexts).tolist(), _hash(terms).tolist(), firsts, lasts)]
+                        rows = [dict(entity=e, context=c, term=t) for e, c, t in zip(_hash(entities).tolist(), _hash(contexts).tolist(), _hash(terms).tolist())]
                 near.append(rows)
             uids = np.arange(uid, uid + len(part))
             uid += len(part)
@@ -207,6 +211,43 @@ def revealing(found: DataFrame, documents: DataFrame, text: str, contexts: int =
     return known.where("n_entity < total").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
 
+def _outside(spans: list[Span], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the words overlap none of the spans."""
+    if not spans:
+        return np.ones(len(starts), bool)
+    own = np.array(sorted(spans))
+    reach = np.append(0, np.maximum.accumulate(own[:, 1]))  # the end of the spans up to each
+    return reach[np.searchsorted(own[:, 0], ends, side="left")] <= starts
+
+
+def _occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, text_key, term, first, last: where the terms (and some others) stand in whole texts, base spans left out."""
+    marks = bitmap(terms, F.col("term"), BITS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in blocks(batch.column("t"), 1 << 20):
+                starts, ends = runs(_CLASS[data], offsets)
+                hashes = span_hashes(prefix_sums(_VALUES[data]), starts, ends)
+                hit = np.flatnonzero(in_bitmap(marks.value, hashes))
+                if not len(hit):
+                    continue
+                starts, ends, hashes = starts[hit], ends[hit], signed(hashes[hit])
+                owner = np.searchsorted(offsets, starts, side="right") - 1
+                points = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # code points before each byte
+                first, last = points[starts] - points[offsets[owner]], points[ends] - points[offsets[owner]]
+                keep = np.ones(len(hit), bool)
+                cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+                for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)]):
+                    taken = base_spans(batch.column("t")[a + int(owner[x])].as_py())
+                    keep[x:y] = _outside([s for own in taken.values() for s in own], first[x:y], last[x:y])
+                at = pa.array(a + owner[keep])
+                columns = [batch.column("id").take(at), batch.column("key").take(at), pa.array(hashes[keep]), pa.array(first[keep].astype(np.int32)), pa.array(last[keep].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "term", "first", "last"])
+
+    return rows.mapInArrow(mark, "id long, text_key long, term long, first int, last int")
+
+
 def find(
     documents: DataFrame, text: str = "text", id: str = "doc_id", contexts: int = CONTEXTS, remove: float = REMOVE, generalise: float = GENERALISE
 ) -> DataFrame:
@@ -214,14 +255,16 @@ def find(
     ("kind:start:end", by kind, then start; terms last), text_key, and ``removed``: of ``spans``, the terms to remove."""
     rows = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(whole_text(text)).alias("key"), whole_text(text).alias("t"))
     found = materialize(rows.mapInArrow(_find, _FOUND), "found")
-    risky = revealing(found, documents, text, contexts, generalise)
-    near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.first", "x.last")
-    extra = near.join(risky, ["entity", "term"]).groupBy("uid", "first", "last").agg(F.max("disclosure").alias("d"))
-    extra = extra.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "last", "d"))).alias("terms"))  # of one document
+    risky = revealing(found, documents, text, contexts, generalise).groupBy("term").agg(F.max("disclosure").alias("d"))
+    risky = materialize(risky, "risky")
+    # the spans of a document follow from its text, so repeated rows share them
+    extra = _occurrences(rows, risky).join(risky, "term").groupBy("id", "text_key", "first", "last").agg(F.max("d").alias("d"))
+    extra = extra.groupBy("id", "text_key").agg(F.sort_array(F.collect_list(F.struct("first", "last", "d"))).alias("terms"))  # of one document
+    extra = extra.toDF("term_id", "term_key", "terms")
     name = lambda x: F.concat(F.lit(f"{TERM}:"), x["first"].cast("string"), F.lit(":"), x["last"].cast("string"))
     listed = F.coalesce(F.array_join(F.transform("terms", name), ","), F.lit(""))
     gone = F.coalesce(F.array_join(F.transform(F.filter("terms", lambda x: x["d"] >= remove), name), ","), F.lit(""))
-    return found.join(extra, "uid", "left").select(
+    return found.join(extra, F.col("id").eqNullSafe(F.col("term_id")) & (F.col("text_key") == F.col("term_key")), "left").select(
         F.col("id").alias(id), *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"),
         F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(listed != "", listed)).alias("spans"), "text_key", gone.alias("removed"),
     )

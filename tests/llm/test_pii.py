@@ -78,6 +78,25 @@ def test_terms_that_reveal(make):
     assert all("term" not in found[i].spans for i in [*range(300), *range(400, 410)])
 
 
+def test_terms_are_marked_wherever_they_stand(make):
+    """Far from the entity, in documents without it, after other scripts, in repeated rows; terms of two characters too."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefg") for _ in range(6))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, fill(12)) for i in range(300)]
+    rows += [(i, f"{fill(2)} Quimby Xu {fill(1)} q@x.example.com {fill(2)} ñandú {fill(20)} quimby") for i in range(300, 305)]
+    rows += [(400, f"🙂 é {fill(3)} XU, {fill(3)} Quimby-ß x@quimby.example.com"), (401, "Quimby"), (401, "Quimby"), (None, "Xu")]
+    found = pii.find(make(rows)).collect()
+    assert len(found) == len(rows)
+    texts = {}
+    for id, text in rows:
+        texts.setdefault(id, text)
+    got = {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for kind, a, b in (s.split(":") for s in r.spans.split(",")) if kind == "term"] for r in found if "term" in r.spans}
+    assert {id: sorted(t) for id, t in got.items()} == {**{i: ["Quimby", "Xu", "quimby", "ñandú"] for i in range(300, 305)}, 400: ["Quimby", "XU"], 401: ["Quimby"], None: ["Xu"]}
+    clean = {r.doc_id: r.text for r in pii.sanitised(make(rows)).collect()}
+    assert not any("quimby" in clean[i].lower() for i in [*range(300, 305), 400, 401])
+
+
 def test_disclosure_is_as_defined(spark, make):
     """p(e|t) and p(e) by hand."""
     from math import log2
