@@ -7,7 +7,8 @@ probabilities over all documents, the term discloses the part
     PMI(entity; term) / IC(entity) = log2(p(e,t) / (p(e) p(t))) / -log2 p(e)
 
 of the entity's information; 1 means that the entity is certain once the term is read. Terms beyond one threshold are
-removed, those beyond a lower one generalised to a class of words. A pair counts only if it was met in
+removed, those beyond a lower one generalised to the class of words of their form: with digits (``[CODE]``),
+capitalised (``[NAME]``), or other (``[WORD]``). A pair counts only if it was met in
 several different contexts, so copies of one passage say nothing. p(t) comes from all texts: a
 bitmap of fixed size tells which words may matter, and only those are counted by a shuffle.
 
@@ -270,12 +271,18 @@ def find(
     )
 
 
+def word_class(word: str) -> str:
+    """The class that a term is generalised to, by its form."""
+    return "CODE" if any(c.isdigit() for c in word) else "NAME" if word[:1].isupper() else "WORD"
+
+
 def rewrite(text: str, spans: str, removed: str) -> str:
     """The text with base values named by kind, terms removed or replaced by a class of words."""
     cuts, out, gone = [], [], set(removed.split(","))
     for span in filter(None, spans.split(",")):
         kind, a, b = span.split(":")
-        cuts.append((int(a), int(b), "" if span in gone else f"[{kind.upper()}]"))
+        new = word_class(text[int(a) : int(b)]) if kind == TERM else kind.upper()
+        cuts.append((int(a), int(b), "" if span in gone else f"[{new}]"))
     end = 0
     for a, b, new in sorted(cuts):
         if a >= end:

@@ -123,5 +123,12 @@ def test_sanitised(make):
     assert after[5] == dict(revealing_corpus())[5]
 
 
+def test_generalised_terms_keep_their_class():
+    text = "Quimby of Élan sent id47 from x@y.example.com there"
+    at = {w: f"term:{text.index(w)}:{text.index(w) + len(w)}" for w in ("Quimby", "Élan", "sent", "id47", "there")}
+    mail = f"email:{text.index('x@')}:{text.index(' there')}"
+    assert pii.rewrite(text, ",".join([mail, *at.values()]), at["there"]) == "[NAME] of [NAME] [WORD] [CODE] from [EMAIL] "
+
+
 def test_empty(make):
     assert pii.find(make([])).collect() == [] and pii.sanitised(make([])).collect() == []
