@@ -125,7 +125,8 @@ def _word_bound(model: Model) -> bool:
 
 
 def rebuild(data: bytes, check: bool = True) -> Tokenizer:
-    """The model as a tokenizer. ``check``: compares a set of texts with the sentencepiece library first."""
+    """The model as a tokenizer. ``check``: compares a set of texts with the sentencepiece library first,
+    through the tokenizer and through the codec that tasks encode by."""
     model = parse(data)
     if model.kind == BPE:
         vocabulary = {p: i for i, (p, _, _) in enumerate(model.pieces)}
@@ -149,7 +150,7 @@ def rebuild(data: bytes, check: bool = True) -> Tokenizer:
     tokenizer.decoder = decoders.Sequence(
         [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])]
     )
-    if check and (wrong := parity(data, AWKWARD, tokenizer)):
+    if check and (wrong := parity(data, AWKWARD, tokenizer) or codec_parity(data, AWKWARD)):
         raise ValueError(f"the rebuilt model differs from sentencepiece on {wrong[:3]!r}")
     return tokenizer
 
@@ -167,6 +168,14 @@ def parity(data: bytes, texts: list[str], tokenizer: Tokenizer | None = None) ->
     return wrong
 
 
+def codec_parity(data: bytes, texts: list[str]) -> list[str]:
+    """The texts that a codec, as tasks use it, gives other ids than the sentencepiece library."""
+    import sentencepiece
+
+    theirs, (flat, bounds) = sentencepiece.SentencePieceProcessor(model_proto=data), Codec(data).encode(texts)
+    return [t for t, x, a, b in zip(texts, theirs.encode(texts), bounds[:-1], bounds[1:]) if flat[a:b].tolist() != x]
+
+
 def read_model(spark: SparkSession, path: str) -> bytes:
     """The model file's bytes, from a local path or any that Spark can read."""
     if os.path.exists(path):

@@ -115,6 +115,15 @@ def test_counts_against_brute_force():
     assert found == [brute_count(s, pieces) for s in samples]
 
 
+@needs_model
+def test_rebuild_checks_the_path_of_the_tasks(model, monkeypatch):
+    codec.rebuild(model)
+    split = codec.Codec._words
+    monkeypatch.setattr(codec.Codec, "_words", lambda self, text: split(self, text[:-1]))
+    with pytest.raises(ValueError, match="differs from sentencepiece"):
+        codec.rebuild(model)
+
+
 @needs_model
 def test_counts_against_the_library(spark, model):
     """The same vocabulary as a unigram model of the tokenizers library, over whole texts."""
