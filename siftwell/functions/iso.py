@@ -44,7 +44,7 @@ def iso_seconds(value: str) -> str:
         f"+ hour({local}) * 3600 + minute({local}) * 60 + second({local})"
     )
     # date, time and "Z" take at least 17 characters; Spark reads an offset only behind seconds
-    whole = f"regexp_replace({value}, r'^(.{{16}})\s*(Z|[+-][0-9:]{{5}})\s*$', '$1:00$2')"
+    whole = rf"regexp_replace({value}, r'^(.{{16}})\s*(Z|[+-][0-9:]{{5}})\s*$', '$1:00$2')"
     moment = f"CASE WHEN length({value}) >= 17 AND {value} RLIKE r'{ISO_OFFSET}' THEN unix_seconds(try_cast({whole} AS timestamp)) ELSE {clock} END"
     return f"CASE WHEN {value} RLIKE r'{ISO_WHOLE}' THEN {moment} END"
 

@@ -26,10 +26,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
-
-
-def one(frame, condition):
-    """The only row that meets a condition, as a dict."""
-    rows = frame.where(condition).collect()
-    assert len(rows) == 1, rows
-    return rows[0].asDict()

@@ -3,11 +3,12 @@
 import gzip
 
 import pytest
-from conftest import one
 from siftwell import Constraints, Dataset, ForeignKey, ProfileOptions, UniqueKey, profile_dataset
 from siftwell.operators.frequency import repeated_keys, top_values
 from siftwell.sources.constraints import ConstraintError
 
+from tests.helpers import one
+
 
 def test_names_that_need_quoting(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (2, None)], "`select` int, `a b` string, ".rstrip(", "))

@@ -9,7 +9,7 @@ from siftwell.operators import aggregates, integrity, rows, stats
 from siftwell.operators.histogram import date_histogram
 from siftwell.plans.profile import table_catalog
 from siftwell.sources.constraints import ResolvedKey
-from tests.conftest import one
+from tests.helpers import one
 
 
 def plan(df):

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from conftest import one
 from pyspark.sql import functions as F
 from siftwell import Constraints, Dataset, ProfileOptions, profile_dataset, profile_table
 from siftwell.functions.iso import iso_seconds
@@ -13,6 +12,8 @@ from siftwell.operators.histogram import date_histogram, numeric_histogram
 from siftwell.operators.stats import uniqueness
 from siftwell.sinks.report import byte_size, profile_json, profile_markdown, write_json, write_markdown
 
+from tests.helpers import one
+
 
 def values(spark, items, kind, expression):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(items)], f"i int, v {kind}")
