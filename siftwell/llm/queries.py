@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import ann, exact_dedup, jaccard_join, langid, mixing, pii, sentencepiece_codec, suffix_dedup, token_counts, url_filter
+from siftwell.llm import ann, exact_dedup, jaccard_join, langid, mixing, pii, sentencepiece_codec, suffix_dedup, token_counts, url_filter, whitening
 from siftwell.llm.common import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,9 @@ def op3_jaccard_join(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     """Passages of 50 bytes and more that stand in an earlier document, removed from whole texts."""
     return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    """All embeddings on the four leading directions of their distinct vectors, with unit variance."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
