@@ -120,3 +120,49 @@ SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coal
        sha256(unhex(coalesce(head, '') || x[2 * coalesce(tail, 1) - 1 :])) AS kept_sha256
 FROM bytes d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+# crc32 by eight steps for each byte; turns as numbers; every node's share goes to all its ancestors
+ORACLE["op12_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                            sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+  SELECT conv_id, pos, dense_rank() OVER (ORDER BY role, text) AS t,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words
+  FROM turns
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS head,
+         xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+               string_split(conv_id::VARCHAR, ''), lambda b: [ascii(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda c, k: CASE WHEN k >= 0 THEN xor(c, k) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END),
+             4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM numbered)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS own, pos, t, words FROM convs c JOIN numbered n ON n.conv_id = c.head AND n.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, t, words FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND n.pos > c.h
+), sequences AS (
+  SELECT c.conv_id, coalesce(list(r.t ORDER BY own, pos) FILTER (WHERE r.t IS NOT NULL), []) AS s
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+), nodes AS (
+  SELECT s[1:d] AS key, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(s) = d), '')) AS ends_sha256
+  FROM sequences, unnest(range(0, len(s) + 1)) AS x(d) GROUP BY s[1:d]
+), children AS (
+  SELECT key[1:len(key) - 1] AS key, count(*) AS n FROM nodes WHERE len(key) > 0 GROUP BY ALL
+), own AS (
+  SELECT n.key, (c.n IS NULL)::BIGINT AS leaf, coalesce((n_convs - 1) * w.words, 0) AS saved
+  FROM nodes n LEFT JOIN children c ON c.key = n.key
+  LEFT JOIN (SELECT DISTINCT t, words FROM numbered) w ON w.t = n.key[len(n.key)]
+), below AS (
+  SELECT key[1:d] AS key, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM own, unnest(range(0, len(key) + 1)) AS x(d) GROUP BY key[1:d]
+)
+SELECT n.conv_id, len(n.key)::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+       n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.key = n.key
+LEFT JOIN children c ON c.key = n.key
+LEFT JOIN nodes p ON len(n.key) > 0 AND p.key = n.key[1:len(n.key) - 1]
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import ann, exact_dedup, jaccard_join, langid, mixing, pii, sentencepiece_codec, suffix_dedup, token_counts, url_filter, whitening
+from siftwell.llm import ann, exact_dedup, jaccard_join, langid, mixing, pii, prefix_trie, sentencepiece_codec, suffix_dedup, token_counts, toxicity, url_filter, whitening
 from siftwell.llm.common import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,17 @@ def op10_suffix_dedup(spark, sf_dir):
 def op11_whitening(spark, sf_dir):
     """All embeddings on the four leading directions of their distinct vectors, with unit variance."""
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    """The prefix trie of all conversations, each rebuilt upon the head of its block of twenty."""
+    found = prefix_trie.conversations(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.keyed(prefix_trie.rebuilt(found)))
+
+
+@query
+def op13_toxicity(spark, sf_dir):
+    """Toxicity of every whole text, learnt from labelled rows that are not held out."""
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out("doc_id"))
+    return toxicity.annotate(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")), only=["doc_id", "held_out"])

@@ -8,11 +8,11 @@ spectrum below the block's smallest Ritz value; QR and a Rayleigh-Ritz step foll
 residuals |Vu - eu| of the wanted pairs are as small as double precision makes them. The lower end of the unwanted
 spectrum comes from a Lanczos run that travels as one more column of the first products.
 
-Rows take part if their vector is not null and holds neither nulls nor non-finite entries nor such that 256 c is beyond 2^62.
+Rows take part if their vector is neither null nor empty and holds neither nulls nor non-finite entries nor such that 256 c
+is beyond 2^62.
 Of several vector lengths only the commonest takes part (the shorter one of two as common). Repeated rows are
 returned as often as they come, and count once in the fit; null ids are passed on. Directions
-without variance have no whitened form and are left out: a table of equal vectors, or of empty ones, gives no rows, and so does
-an empty table. A deviation beyond 64 bits is null. Further columns are not read.
+without variance have no whitened form and are left out: a table of equal vectors gives no rows, and so does an empty table. A deviation beyond 64 bits is null. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ class Whitening:
 
 def whole_vectors(embeddings: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id, x: the vectors that take part, as whole numbers."""
-    rows = embeddings.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    rows = embeddings.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float(LARGEST // SCALE)), F.lit(False)))
     rows = rows.where(fine)
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()

@@ -15,7 +15,7 @@ def connection(sf_dir):
 
 def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(entries.queries())
+    assert numbers == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(entries.queries())
     assert set(ORACLE) <= set(entries.oracle_sql())
 
 
