@@ -8,8 +8,8 @@ a term weighs is learnt from rare words at the same distance from it; words that
 
 Every hit is weighed in a window of words around it: inside quotation marks, or behind a verb of saying, a term is mentioned rather than meant;
 beside a second person it is meant. Hits count towards abuse in that share and towards quotation in
-the rest. A logistic regression over both, the strongest hit and the density turns them into a score. It is fitted on at
-most ``most_rows`` labelled rows that a hash chooses among those not held out; its prior lets quotations count less.
+the rest. A logistic regression over both, the strongest hit and the density turns them into a score. It is fitted (and the
+rounds are run) on some ``most_rows`` labelled rows that a hash chooses among those not held out; its prior lets quotations count less.
 
 Nulls count as empty. Empty texts get the score of a text without hits. With no labelled row, or no toxic one, there is no lexicon
 and all scores are the share of toxic rows (0 without any). Null labels and null ids teach nothing. Texts of any length are read
@@ -136,7 +136,8 @@ class Lexicon:
         """Terms at 1, 2, … edits from a word (stems: from one of its beginnings), by the word's automaton walking the trie."""
         if not self._may_match(word):
             return {}
-        automaton = Automaton(word, max(e for e, _, _ in self.pieces.values()))
+        m = len(word)
+        automaton = Automaton(word, max(e for n, (e, _, _) in self.pieces.items() if n - e <= m and (m <= n + e or n in self.stemmed)))
         found, stack = {}, [(self.trie, automaton.start())]
         while stack:
             node, state = stack.pop()
@@ -162,6 +163,10 @@ class Lexicon:
                 best = stem
         return best
 
+    def all_exact(self, word: str) -> list[str]:
+        """All terms that a word is, or begins with."""
+        return [t for t in (word, *(word[:n] + "*" for n in self.lengths if n < len(word))) if t in self.weights]
+
     def match(self, word: str) -> float | None:
         """Weight of a word, as a term or as a misspelled one."""
         best = self.exact(word)
@@ -275,6 +280,30 @@ def pruned(terms: dict[str, tuple[float, float]]) -> dict[str, float]:
     return out
 
 
+def excess(a: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood ratio of "toxic as often as seen" (a of m rows) against "as often as all rows"; 0 if not more often."""
+    part = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / expected), 0.0)
+    ratio = 2 * (part(a, np.maximum(m * share, 1e-9)) + part(m - a, np.maximum(m * (1 - share), 1e-9)))
+    return np.where((a > 2 * m * share) & (2 * a > m), ratio, 0.0)
+
+
+def chosen(terms: list[str], toxic: np.ndarray, row: np.ndarray, term: np.ndarray, least: float) -> list[str]:
+    """Terms that explain toxic rows which stronger terms leave unexplained: words that merely stand in the same
+    texts, and in their near copies, are no terms. (row, term) says which row holds which term. Rounds take the terms of
+    at least half the best ratio among the rows without a term so far."""
+    left, out = np.ones(len(toxic), bool), np.zeros(len(terms), bool)
+    while left.any() and 0 < toxic[left].sum() < left.sum():
+        here = left[row]
+        m = np.bincount(term[here], minlength=len(terms)).astype(np.float64)
+        a = np.bincount(term[here], weights=toxic[row[here]].astype(np.float64), minlength=len(terms))
+        ratio = np.where(out, 0.0, excess(a, m, toxic[left].mean()))
+        if ratio.max(initial=0) < least:
+            break
+        out |= ratio >= max(least, ratio.max() / 2)
+        left[row[out[term]]] = False
+    return [t for t, taken in zip(terms, out) if taken]
+
+
 def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most_terms: int = 50_000, most_rows: int = 20_000) -> Model | float:
     """A model of labelled rows that are not held out; the share of toxic ones if there is no lexicon to learn.
 
@@ -299,6 +328,23 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id: str =
     least = 2 * np.log(max(tested, 2)) + 2  # so that less than one word in all passes by chance
     telling = counts.where((a > 2 * m * share) & (2 * a > m) & (ratio > float(least))).select("word", odds.alias("weight"), a.alias("a"), ratio.alias("ratio"))
     terms = pruned({r.word: (r.weight, r.a) for r in telling.orderBy(F.desc("ratio"), "word").limit(most_terms).collect() if r.weight > 0})
+    if not terms:
+        return share
+    # the sample that is fitted on
+    bound = F.lit(int(min(1.0, most_rows / n) * (1 << 30)))
+    sample = known.select("t", "toxic", F.xxhash64("h", F.lit(5)).alias("draw")).where(F.pmod("draw", F.lit(1 << 30)) < bound)
+    names, lexicon = sorted(terms), Lexicon(terms)
+    number = {t: i for i, t in enumerate(names)}
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted({number[t] for w in set(words(text.as_py())) for t in lexicon.all_exact(w)}) for text in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("draw"), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "draw", "own"])
+
+    found = sample.mapInArrow(hits, "toxic int, draw long, own array<int>").orderBy("draw", "toxic").limit(2 * most_rows).collect()  # the bound holds whatever the hash does
+    row, term = np.repeat(np.arange(len(found)), [len(r.own) for r in found]), np.array([t for r in found for t in r.own], np.int64)
+    taken = chosen(names, np.array([r.toxic for r in found]), row, term, float(least))
+    terms = {t: terms[t] for t in taken}
     if not terms:
         return share
     lexicon = Lexicon(terms)
@@ -325,10 +371,8 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id: str =
             p = (toxic + expected) / (rows + 1)
             weights[term, distance] = max(0.0, min(weight, float(np.log(p / (1 - p))) - prior))
     lexicon = Lexicon(terms, weights, frozenset(r.word for r in usual))
-    bound = F.lit(int(min(1.0, most_rows / n) * (1 << 30)))
-    sample = known.select("t", "toxic", F.xxhash64("h", F.lit(5)).alias("draw")).where(F.pmod("draw", F.lit(1 << 30)) < bound)
     fitted = sample.mapInArrow(_features(lexicon, ["toxic", "draw"]), "toxic int, draw long, x array<double>")
-    fitted = fitted.orderBy("draw", "toxic").limit(2 * most_rows).collect()  # the bound holds whatever the hash does
+    fitted = fitted.orderBy("draw", "toxic").limit(2 * most_rows).collect()
     x, y = np.array([r.x for r in fitted]), np.array([r.toxic for r in fitted], np.float64)
     weights, bias = regression(x, y, share)
     return Model(lexicon, weights, bias)
