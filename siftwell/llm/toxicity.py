@@ -8,8 +8,8 @@ a term weighs is learnt from rare words at the same distance from it; words that
 
 Every hit is weighed in a window of words around it: inside quotation marks, or behind a verb of saying, a term is mentioned rather than meant;
 beside a second person it is meant. Hits count towards abuse in that share and towards quotation in
-the rest. A logistic regression over both, the strongest hit and the density turns them into a score. It is fitted (and the
-rounds are run) on some ``most_rows`` labelled rows that a hash chooses among those not held out; its prior lets quotations count less.
+the rest. A logistic regression over both, the strongest hit and the density turns them into a score. It is fitted on
+the same rows; its prior lets quotations count less.
 
 Nulls count as empty. Empty texts get the score of a text without hits. With no labelled row, or no toxic one, there is no lexicon
 and all scores are the share of toxic rows (0 without any). Null labels and null ids teach nothing. Texts of any length are read
@@ -307,12 +307,13 @@ def chosen(terms: list[str], toxic: np.ndarray, row: np.ndarray, term: np.ndarra
 def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most_terms: int = 50_000, most_rows: int = 20_000) -> Model | float:
     """A model of labelled rows that are not held out; the share of toxic ones if there is no lexicon to learn.
 
-    most_terms bounds the lexicon (the most telling terms stay), most_rows the sample that the regression is fitted on.
+    most_rows bounds the sample of labelled rows that everything is learnt from, most_terms the words that may become terms (the most telling ones stay).
     """
+    marks = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(id)).select(F.col(id).alias("i"), (F.col(label) > 0).cast("int").alias("toxic"))
+    marks = marks.orderBy(F.xxhash64("i", F.lit(5)), "i", "toxic").limit(most_rows)
     rows = documents.where(~held_out(id)).select(F.col(id).alias("i"), whole_text(text).alias("t"))
-    marks = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).select(F.col(id).alias("i"), (F.col(label) > 0).cast("int").alias("toxic"))
-    # equal texts with equal labels teach once
-    known = materialize(rows.join(marks, "i").groupBy("toxic", F.sha2("t", 256).alias("h")).agg(F.min("t").alias("t")), "labelled")
+    # most_rows short rows are sent to the texts; equal texts with equal labels teach once
+    known = materialize(rows.join(F.broadcast(marks), "i").groupBy("toxic", F.sha2("t", 256).alias("h")).agg(F.min("t").alias("t")).drop("h"), "labelled")
     total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
     n, k = total.n, total.k or 0
     if not n or not k or k == n:
@@ -330,18 +331,15 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id: str =
     terms = pruned({r.word: (r.weight, r.a) for r in telling.orderBy(F.desc("ratio"), "word").limit(most_terms).collect() if r.weight > 0})
     if not terms:
         return share
-    # the sample that is fitted on
-    bound = F.lit(int(min(1.0, most_rows / n) * (1 << 30)))
-    sample = known.select("t", "toxic", F.xxhash64("h", F.lit(5)).alias("draw")).where(F.pmod("draw", F.lit(1 << 30)) < bound)
     names, lexicon = sorted(terms), Lexicon(terms)
     number = {t: i for i, t in enumerate(names)}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [sorted({number[t] for w in set(words(text.as_py())) for t in lexicon.all_exact(w)}) for text in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("draw"), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "draw", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "own"])
 
-    found = sample.mapInArrow(hits, "toxic int, draw long, own array<int>").orderBy("draw", "toxic").limit(2 * most_rows).collect()  # the bound holds whatever the hash does
+    found = known.mapInArrow(hits, "toxic int, own array<int>").collect()
     row, term = np.repeat(np.arange(len(found)), [len(r.own) for r in found]), np.array([t for r in found for t in r.own], np.int64)
     taken = chosen(names, np.array([r.toxic for r in found]), row, term, float(least))
     terms = {t: terms[t] for t in taken}
@@ -371,8 +369,7 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id: str =
             p = (toxic + expected) / (rows + 1)
             weights[term, distance] = max(0.0, min(weight, float(np.log(p / (1 - p))) - prior))
     lexicon = Lexicon(terms, weights, frozenset(r.word for r in usual))
-    fitted = sample.mapInArrow(_features(lexicon, ["toxic", "draw"]), "toxic int, draw long, x array<double>")
-    fitted = fitted.orderBy("draw", "toxic").limit(2 * most_rows).collect()
+    fitted = known.mapInArrow(_features(lexicon, ["toxic"]), "toxic int, x array<double>").collect()
     x, y = np.array([r.x for r in fitted]), np.array([r.toxic for r in fitted], np.float64)
     weights, bias = regression(x, y, share)
     return Model(lexicon, weights, bias)
