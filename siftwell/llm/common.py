@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 21
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Workers are reused: freed arrays go back to the system, not to pools of the process.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 #: Stands for a null id inside an operator: nulls come after every other id.
 NULL_ID = (1 << 63) - 1
 
@@ -28,16 +30,20 @@ NULL_ID = (1 << 63) - 1
 def importable(spark: SparkSession) -> None:
     """Lets Python workers started from any folder import this package, where they see its files;
     on clusters that do not, ship it by --py-files."""
-    here = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    here, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if here not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+        environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -232,20 +232,24 @@ def annotate(documents: DataFrame, network: Network | None, text: str = "text",
     """The documents (or their columns ``only``), and for each the predicted language and its score, from 0 to 1."""
     names = documents.columns if only is None else only
     passed = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    rows = documents.select(*passed, whole_text(text).alias("t"), whole_text(text).rlike(r"\p{L}").alias("letters"))
+    # a text that is passed on is sent to the tasks once
+    sent = [i for i, c in enumerate(names) if c == text and documents.schema[c].dataType == T.StringType()]
+    own = f"c{sent[0]}" if sent else "t"
+    rows = documents.select(*passed, *([] if sent else [whole_text(text).alias("t")]), whole_text(text).rlike(r"\p{L}").alias("letters"))
     if network is None:
         return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.lit(UNDETERMINED).alias(label), F.lit(0.0).alias(score))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in blocks(batch.column("t")):
+            texts = batch.column(own)
+            for first, end, data, offsets in blocks(texts.fill_null("") if texts.null_count else texts):
                 part = batch.slice(first, end - first)
                 found = network.document_probabilities(data, offsets)
                 letters = part.column("letters").to_numpy(zero_copy_only=False)
                 best = found.argmax(axis=1)
                 labels = [network.languages[b] if known else UNDETERMINED for b, known in zip(best.tolist(), letters.tolist())]
                 scores = np.where(letters, np.clip(found.max(axis=1), 0, 1), 0.0)
-                yield part.drop_columns(["t", "letters"]).append_column("p0", pa.array(labels, pa.string())).append_column("p1", pa.array(scores))
+                yield part.drop_columns(["letters"] if sent else ["t", "letters"]).append_column("p0", pa.array(labels, pa.string())).append_column("p1", pa.array(scores))
 
     kinds = [T.StructField(f"c{i}", rows.schema[f"c{i}"].dataType) for i in range(len(names))]
     schema = T.StructType([*kinds, T.StructField("p0", T.StringType()), T.StructField("p1", T.DoubleType())])

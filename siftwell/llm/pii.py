@@ -129,7 +129,7 @@ def _hash(parts: list[bytes]) -> np.ndarray:
     return signed(span_hashes(prefix_sums(_VALUES[np.frombuffer(b"".join(parts), np.uint8)]), ends - sizes, ends))
 
 
-def _contexts(text: str, spans: dict[str, list[Span]]) -> tuple[list, list, list]:
+def _contexts(text: str, spans: dict[str, list[Span]], reach: int | None = NEAR) -> tuple[list, list, list]:
     """entity, context, term of each term near an entity."""
     taken = sorted(s for own in spans.values() for s in own)
     words, at = [], 0
@@ -144,9 +144,10 @@ def _contexts(text: str, spans: dict[str, list[Span]]) -> tuple[list, list, list
         for a, b in own:
             value = text[a:b].lower() if kind == "email" else _digits(text[a:b]) if kind != "ip" else text[a:b]
             i = int(np.searchsorted(starts, a))
-            near = [text[x:y] for x, y in words[max(0, i - NEAR) : i + NEAR] if not text[x:y].isdecimal()]
+            window = words if reach is None else words[max(0, i - reach) : i + reach]
+            near = [w for w in (text[x:y] for x, y in window) if not w.isdecimal()]
             context = " ".join(w.lower() for w in near if len(w) >= 3)
-            for w in near:
+            for w in near if reach is not None else sorted(set(near)):
                 for column, v in zip(out, (f"{kind}:{value}", context, w)):
                     column.append(v.encode())
     return out
@@ -156,7 +157,7 @@ _FOUND = "uid long, id long, text_key long, n_email long, n_ip long, n_card long
 _NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64())]))
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], reach: int | None = NEAR) -> Iterator[pa.RecordBatch]:
     uid = TaskContext.get().partitionId() << 40
     for batch in batches:
         for a in range(0, len(batch), 1000):
@@ -168,7 +169,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base.append(written(spans))
                 rows: list[dict] = []
                 if base[-1]:
-                    entities, contexts, terms = _contexts(text, spans)
+                    entities, contexts, terms = _contexts(text, spans, reach)
                     if terms:
                         rows = [dict(entity=e, context=c, term=t) for e, c, t in zip(_hash(entities).tolist(), _hash(contexts).tolist(), _hash(terms).tolist())]
                 near.append(rows)
@@ -199,16 +200,14 @@ def revealing(found: DataFrame, documents: DataFrame, text: str, contexts: int =
     """entity, term, disclosure: the pairs beyond the lower threshold."""
     near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.context", "x.term")
     # documents and different contexts are counted without holding either
-    per_context = near.groupBy("entity", "term", "context").agg(F.count_distinct("uid").alias("n"))
-    pairs = per_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both")).where(F.col("contexts") >= contexts)
-    pairs = materialize(pairs, "pairs")
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("uid").alias("both"))
+    pairs = materialize(pairs.where(F.col("contexts") >= contexts), "pairs")
     entities = near.select("entity", "uid").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = _documents_with(documents, text, pairs.select("term").distinct())
     total = found.agg(F.count("*").cast("double").alias("total"))
     known = pairs.join(entities, "entity").join(terms.withColumnRenamed("n", "n_term"), "term").join(F.broadcast(total))
-    both = F.least("both", "n_entity", "n_term")  # a document with two such contexts was counted twice
     information = F.log2(F.col("total") / F.col("n_entity"))
-    disclosure = F.log2(both * F.col("total") / (F.col("n_entity") * F.col("n_term"))) / information
+    disclosure = F.log2(F.col("both") * F.col("total") / (F.col("n_entity") * F.col("n_term"))) / information
     return known.where("n_entity < total").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
 
@@ -250,12 +249,15 @@ def _occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def find(
-    documents: DataFrame, text: str = "text", id: str = "doc_id", contexts: int = CONTEXTS, remove: float = REMOVE, generalise: float = GENERALISE
+    documents: DataFrame, text: str = "text", id: str = "doc_id", contexts: int = CONTEXTS, remove: float = REMOVE, generalise: float = GENERALISE,
+    reach: int | None = NEAR,
 ) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans
-    ("kind:start:end", by kind, then start; terms last), text_key, and ``removed``: of ``spans``, the terms to remove."""
+    ("kind:start:end", by kind, then start; terms last), text_key, and ``removed``: of ``spans``, the terms to remove.
+
+    reach: words to either side of an entity among which terms are learnt; None takes all of the document."""
     rows = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(whole_text(text)).alias("key"), whole_text(text).alias("t"))
-    found = materialize(rows.mapInArrow(_find, _FOUND), "found")
+    found = materialize(rows.mapInArrow(lambda batches: _find(batches, reach), _FOUND), "found")
     risky = revealing(found, documents, text, contexts, generalise).groupBy("term").agg(F.max("disclosure").alias("d"))
     risky = materialize(risky, "risky")
     # the spans of a document follow from its text, so repeated rows share them

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from siftwell.llm.common import Remembered, blocks, whole_text
+from siftwell.llm.common import Remembered, blocks, give_back, whole_text
 
 MARK = "▁"
 # Fixed values of the model format: types of pieces and of models.
@@ -191,7 +191,7 @@ class Codec:
     """Encodes and decodes blocks of texts. Where no piece reaches past a word, distinct words go to
     the tokenizer once and their ids are looked up after that; other models get whole texts."""
 
-    WORDS = 400_000  # held in memory, twice
+    WORDS = 200_000  # held in memory, twice, while a task runs
     LONG = 64  # characters beyond which a word is not held
 
     def __init__(self, data: bytes):
@@ -255,9 +255,14 @@ def _batched(frame: DataFrame, names: list[str], reads: dict[str, Column], work,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             for part in work(batch):
                 kept = part[0].select([f"c{i}" for i in range(len(names))])
                 yield pa.RecordBatch.from_arrays([*kept.columns, *part[1]], names=[*kept.schema.names, *(f.name for f in adds)])
+        for codec in _built.values():  # the worker goes on with other stages
+            codec.known = Remembered(codec.WORDS)
+        give_back()
 
     kinds = [T.StructField(f"c{i}", rows.schema[f"c{i}"].dataType) for i in range(len(names))]
     found = rows.mapInArrow(run, T.StructType([*kinds, *(T.StructField(f.name, f.dataType) for f in adds)]))

@@ -40,9 +40,9 @@ from siftwell.llm.common import _BYTE, bitmap, blocks, give_back, id_or_last, id
 
 LENGTH = 50
 GRAM = 20
-BLOCK = 8 << 20  # bytes of text whose contexts are told apart before they travel
+BLOCK = 4 << 20  # bytes of text whose contexts are told apart before they travel
 STEP = 1 << 19  # bytes of text that are hashed together
-RANGE = 8 << 20  # bytes of text per range of anchors
+RANGE = 4 << 20  # bytes of text per range of anchors
 SHARD = 1 << 20  # bytes of contexts per suffix array, which takes some eighty times as much while it is built
 CROWD = 1024  # contexts of an anchor from which it may be dealt string by string
 CROWDS = 1 << 16
@@ -310,12 +310,10 @@ def _dealt(rows: DataFrame, ranges: int, length: int, crowds) -> DataFrame:
                 h, c, text, start, size = (x[kept] for x in (h, c, text, start, size))
                 # sorted by h, so ranges are slices
                 places = ((h >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
-                bounds = np.searchsorted(places, np.arange(ranges + 1))
-                for r in range(ranges):
-                    x, y = bounds[r], bounds[r + 1]
-                    if x < y:
-                        which, own = np.unique(text[x:y], return_inverse=True)
-                        out.append((r, 0, _packed(ids[which], keys[which], own.astype(np.uint32), h[x:y], c[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].copy().view("V5").ravel(), start[x:y].astype(np.uint32), size[x:y])))
+                begins = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else np.zeros(0, np.int64)
+                for x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(places)]):
+                    which, own = np.unique(text[x:y], return_inverse=True)
+                    out.append((int(places[x]), 0, _packed(ids[which], keys[which], own.astype(np.uint32), h[x:y], c[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].copy().view("V5").ravel(), start[x:y].astype(np.uint32), size[x:y])))
                 give_back()
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["range", "kind", "data"])

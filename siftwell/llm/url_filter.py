@@ -1,8 +1,9 @@
 """Allow and block rules for URLs by a sort-merge join of prefixes.
 
-A host is written label by label from the top ("org.example.blog"), the path follows, and a rule
+A host is written label by label from the top ("org.example.blog"), a slash (no host holds one) and the path follow, and a rule
 becomes a prefix of such keys: an interval of the sorted keys. A rule fits its host and all
-subdomains, so a page has one key for each of its host's ancestors. Keys and rules are dealt to
+subdomains, so a page has one key for each of its host's ancestors that has no more labels than any rule's; of
+its path as many characters as the longest rule has, so keys of very long urls stay short. A rule's path may be empty. Keys and rules are dealt to
 ranges by sampled splitters, sorted, and swept once; the sweep keeps a stack of the rules whose
 interval is open, which are nested by nature. A rule goes to every range that its interval
 meets. Page rows carry a hash to the splitters, so a key that many pages share is split.
@@ -40,17 +41,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _ancestors(host: Column, path: Column) -> Column:
-    """The key of each ancestor of a host, itself included."""
-    labels = F.reverse(F.split(host, r"\."))
-    keys = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), path))
+def _ancestors(host: Column, path: Column, labels: int, letters: int) -> Column:
+    """The key of each ancestor of a host, itself included, of at most so many labels; of the path at most so many letters."""
+    own = F.slice(F.reverse(F.split(host, r"\.")), 1, max(labels, 1))
+    keys = F.transform(F.sequence(F.lit(1), F.size(own)), lambda n: F.concat(F.array_join(F.slice(own, 1, n), "."), F.lit("/"), F.substring(path, 1, letters)))
     return F.when(host != "", keys).otherwise(F.array().cast("array<string>"))
 
 
-def _key(host: str, path: str) -> bytes:
-    return (".".join(reversed(host.split("."))) + path).encode()
-
-
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one range by key, rules first: the longest path among the open rules for each page key."""
     stack: list[tuple[bytes, str, str]] = []
@@ -72,7 +69,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url", id: str = "page_id", default: str = "allow") -> DataFrame:
     """One row per page: id, host, path, the longest rule that fits (host + path) or null, verdict.
 
-    rules: (verdict, host, path) each, a path beginning with "/"; a list, or a DataFrame with
+    rules: (verdict, host, path) each, a path beginning with "/" or empty; a list, or a DataFrame with
     these columns for long lists. A rule fits if the page's path begins with the rule's; by
     length of host and path the longest wins, then the longer host, then block.
     """
@@ -82,11 +79,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url",
     labels = F.reverse(F.split("host", r"\."))
     rules = rules.select("verdict", F.translate("host", _UPPER, _LOWER).alias("host"), "path").where("host <> ''")
     rules = rules.groupBy("host", "path").agg(F.min(F.struct((F.col("verdict") != "block").alias("o"), "verdict")).alias("v"))
-    rules = rules.select(F.concat(F.array_join(labels, "."), "path").cast("binary").alias("key"), F.concat("host", "path").alias("rule"), F.col("v.verdict").alias("verdict"))
+    rules = rules.select(F.concat(F.array_join(labels, "."), F.lit("/"), "path").cast("binary").alias("key"), F.concat("host", "path").alias("rule"), F.col("v.verdict").alias("verdict"))
+
+    widest = rules.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))).alias("labels"), F.max(F.length("rule")).alias("letters")).first()
 
     # one narrow table of the pages; what is joined again below must be the same rows
     rows = materialize(pages.select(F.monotonically_increasing_id().alias("page"), F.col(id).alias("id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")), "pages")
-    keys = rows.select("page", F.explode(_ancestors(F.col("host"), F.col("path"))).alias("key")).select("page", F.col("key").cast("binary").alias("key"))
+    keys = rows.select("page", F.explode(_ancestors(F.col("host"), F.col("path"), widest.labels or 0, widest.letters or 0)).alias("key")).select("page", F.col("key").cast("binary").alias("key"))
     n = partitions(spark)
     # at most SAMPLE keys, chosen by hash among all rows, place the splitters
     total = rows.count()

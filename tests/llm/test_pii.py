@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
 from siftwell.llm import pii
 
 # The patterns as they are stated.
@@ -132,3 +133,30 @@ def test_generalised_terms_keep_their_class():
 
 def test_empty(make):
     assert pii.find(make([])).collect() == [] and pii.sanitised(make([])).collect() == []
+
+
+def test_documents_are_counted_once_for_all_contexts_of_a_pair(spark, make):
+    """An entity in 10 of 1,000 documents, a term in 10, together in 3 of them with four contexts each: log2(30) / log2(100)."""
+    rows, mail = [], "zoe@example.org"
+    for i in range(1000):
+        if i < 3:
+            text = " ".join(f"{mail} Zorblax alpha{j} beta{j} gamma{j} delta{j} eps{j} zeta{j} eta{j} theta{j} iota{j} kappa{j}" for j in range(4))
+        elif i < 10:
+            text = f"{mail} nobody here"
+        else:
+            text = "Zorblax stands alone" if i < 17 else "nothing of the kind"
+        rows.append((i, text, None, None))
+    docs = make(rows)
+    found = pii.materialize(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), F.col("text").alias("t")).mapInArrow(pii._find, pii._FOUND), "found")
+    pairs = [r.disclosure for r in pii.revealing(found, docs, "text", generalise=0.0).collect() if r.disclosure < 0.8]
+    assert any(abs(d - 0.7386) < 1e-3 for d in pairs)
+
+
+def test_reach_of_the_window(make):
+    """A term that always stands far from the entity is learnt where all of a document is the window."""
+    far = " ".join(f"filler{j % 7}" for j in range(20))
+    rows = [(i, f"zoe@example.org {far} Zorblax and only{i} again{i}", None, None) for i in range(6)] + [(100 + i, f"{far} v{i}", None, None) for i in range(300)]
+    span = lambda found: {r.doc_id: r.spans for r in found.collect()}[0]
+    at = rows[0][1].index("Zorblax")
+    assert f"term:{at}:{at + 7}" in span(pii.find(make(rows), reach=None))
+    assert f"term:{at}:{at + 7}" not in span(pii.find(make(rows)))

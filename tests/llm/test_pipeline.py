@@ -73,8 +73,8 @@ def test_stages_on_awkward_tables(spark, make, awkward):
         for name, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, ""), name)
             docs.collect()
-        texts = {r.doc_id for r in docs.collect()}
-        assert texts == ({5, None, 7, 9, 11} if rows else set()) or rows
+        # texts without letters go, of equal texts and of linked ones one stays; what is left is taken once at least
+        assert {r.doc_id for r in docs.collect()} == ({5, 7, 9, 11} if rows else set())
 
 
 def test_components(spark):

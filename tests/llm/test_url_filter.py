@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from siftwell.llm import url_filter
 from siftwell.llm.common import importable
@@ -49,3 +50,20 @@ def test_nothing(spark):
     assert url_filter.judge(pages(spark, []), [("block", "org", "/")]).collect() == []
     found = url_filter.judge(pages(spark, [(1, "http://a.org/x")]), [], default="block").collect()
     assert [tuple(r) for r in found] == [(1, "a.org", "/x", None, "block")]
+
+
+def test_rules_without_path_end_at_a_label(spark):
+    importable(spark)
+    pages = spark.createDataFrame([(1, "http://organic/x"), (2, "http://a.org"), (3, "http://org?q"), (4, "http://borg/")], "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, [("block", "org", "")]).collect()}
+    assert found == {1: (None, "allow"), 2: ("org", "block"), 3: ("org", "block"), 4: (None, "allow")}
+
+
+def test_very_long_urls(spark):
+    importable(spark)
+    host = "a." * 50_000 + "example.org"
+    pages = spark.createDataFrame([(1, f"http://{host}/es/{'p' * 100_000}"), (2, "http://x.org/" + "q" * 500_000)], "page_id long, url string")
+    started = time.time()
+    found = {r.page_id: (r.rule, r.verdict, len(r.host), len(r.path)) for r in url_filter.judge(pages, [("allow", "org", "/"), ("block", "example.org", "/es/")]).collect()}
+    assert found == {1: ("example.org/es/", "block", len(host), 100_004), 2: ("org/", "allow", 5, 500_001)}
+    assert time.time() - started < 60
