@@ -2,6 +2,11 @@
 
 Each stage takes a session, the documents that the stage before it left, and the data directory, and
 works on all of them; its result is written as Parquet and read again by the next.
+
+Null and empty texts, and texts without a letter, have no language and go in the first stage. Repeated rows are equal texts,
+of which the second stage keeps one: that with the largest id, a null id being last of all; of linked ones the third keeps
+that with the smallest. Texts of any length are read whole. Null sources are a source, null labels teach nothing. Further
+columns, whatever their names, are passed on up to the last stage. Empty tables pass through empty.
 """
 
 from __future__ import annotations
@@ -15,15 +20,14 @@ from siftwell.llm import exact_dedup, jaccard_join, langid, mixing, sentencepiec
 from siftwell.llm.common import importable, materialize
 
 MODEL = os.environ.get("SIFTWELL_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-LEAST_SCORE = 0.35  # of the predicted language; below it the text is in none that was learnt
 MOST_PASSES = 1.25  # of a source, where the least passed one is taken once
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the labelled rows teach; texts without letters, or like none, go."""
+    """Keeps documents in a language that the labelled rows teach; texts without letters go."""
     importable(spark)
     found = langid.annotate(docs, langid.learn(docs), label="__language", score="__score")
-    kept = found.where((F.col("__language") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE))
+    kept = found.where(F.col("__language") != langid.UNDETERMINED)
     return kept.drop("__language", "__score")
 
 
