@@ -9,18 +9,19 @@ the same shuffle: Spark reuses the exchange.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.kinds import clean, value_class
 from siftwell.functions.labels import plain_number
-from siftwell.functions.names import quoted
+from siftwell.functions.names import column, quoted
 
 TOP_VALUES = 12
+SHORT = 64  # bytes of a text that is shuffled as it is
 
 SUMMARY_FIELDS = {
     "ordinal": "int",
@@ -138,15 +139,33 @@ def _first_values(df: DataFrame, name: str, top: int) -> DataFrame:
     return _top_rows(ranked, first.schema["value"].dataType)
 
 
-def distinct_counts(df: DataFrame, names: Sequence[str] | None = None, unique: Iterable[str] = ()) -> DataFrame:
-    """Exact distinct non-null values per column; unique columns are counted, not grouped."""
+def _digest(value: Column) -> Column:
+    return F.md5(value.cast("binary"))
+
+
+def distinct_counts(
+    df: DataFrame,
+    names: Sequence[str] | None = None,
+    unique: Iterable[str] = (),
+    short: int = SHORT,
+    digest: Callable[[Column], Column] = _digest,
+) -> DataFrame:
+    """Exact distinct non-null values per column; unique columns are counted, not grouped.
+
+    Texts and binaries of more than ``short`` bytes are shuffled as a digest with their length and a second hash, whatever their
+    length. Where one digest comes with several lengths or second hashes, the values themselves are compared.
+    """
     names = list(df.columns if names is None else names)
     unique = [n for n in names if n in set(unique)]
     labels = F.create_map(*[x for i, n in enumerate(df.columns) for x in (F.lit(str(i)), F.lit(n))])
+    grouped = [n for n in names if n not in unique]
+    long = [n for n in grouped if isinstance(df.schema[n].dataType, (T.StringType, T.BinaryType)) and _bytewise(df.schema[n].dataType)]
     parts = [
         counted.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
-        for _, counted in frequency_tables(df, [n for n in names if n not in unique])
+        for _, counted in frequency_tables(df, [n for n in grouped if n not in long])
     ]
+    if long:
+        parts.append(_long_distinct(df, long, short, digest))
     parts += [
         df.selectExpr(f"count({clean(n, df.schema[n].dataType)}) AS distinct_count").selectExpr(
             f"'{df.columns.index(n)}' AS ordinal", "distinct_count"
@@ -156,6 +175,36 @@ def distinct_counts(df: DataFrame, names: Sequence[str] | None = None, unique: I
     return reduce(DataFrame.unionAll, parts).select(labels[F.col("ordinal")].alias("column"), "distinct_count")
 
 
+def _bytewise(data_type: T.DataType) -> bool:
+    """Whether values are equal only if their bytes are; other collations are grouped as values."""
+    return not isinstance(data_type, T.StringType) or getattr(data_type, "collation", "UTF8_BINARY") == "UTF8_BINARY"
+
+
+def _long_distinct(df: DataFrame, names: Sequence[str], short: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """ordinal, distinct_count of text and binary columns, by values up to ``short`` bytes and by digests beyond."""
+    each = F.explode(F.array(*[F.struct(F.lit(str(df.columns.index(n))).alias("ordinal"), column(n).cast("binary").alias("value")) for n in names]))
+    rows = df.select(each.alias("x")).where("x.value IS NOT NULL").select("x.ordinal", "x.value")
+    beyond = F.octet_length("value") > short
+    keyed = rows.select(
+        "ordinal",
+        F.when(~beyond, F.col("value")).alias("own"),
+        F.when(beyond, digest(F.col("value"))).alias("digest"),
+        F.when(beyond, F.octet_length("value")).alias("size"),
+        F.when(beyond, F.xxhash64("value")).alias("check"),
+        "value",
+    )
+    kinds = keyed.groupBy("ordinal", "own", "digest", "size", "check").agg(F.count(F.lit(1)).alias("n"))
+    # digests with several lengths or second hashes: few, if any
+    repeated = kinds.where("digest IS NOT NULL").groupBy("ordinal", "digest").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    same = [F.col("ordinal") == F.col("r_ordinal"), F.col("digest") == F.col("r_digest")]
+    again = repeated.select(F.col("ordinal").alias("r_ordinal"), F.col("digest").alias("r_digest"))
+    alone = kinds.join(again, same, "left_anti").groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
+    compared = keyed.where("digest IS NOT NULL").join(again, same, "left_semi").select("ordinal", "value").distinct()
+    compared = compared.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
+    # a column without values has no row, as elsewhere
+    return alone.unionAll(compared).groupBy("ordinal").agg(F.sum("n").alias("distinct_count"))
+
+
 def repeated_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Key values held by more than one row, to check a declared key; keys with a NULL are skipped."""
     keys = [quoted(n) for n in names]

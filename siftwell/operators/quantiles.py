@@ -1,10 +1,11 @@
 """Exact order statistics without a global sort.
 
 The value at 0-based rank ``floor(p * (n - 1) + 0.5)`` of the sorted non-null values; no
-interpolation. Sketches give a range that should hold the rank, one count proves it (or
-widens it), and the range shrinks until few enough rows are left to be ranked. Each round
-is a filtered scan with a partial aggregate; nothing is shuffled but sketches and counts.
-All requested columns and quantiles share the rounds.
+interpolation. All requested columns and quantiles share the scans: one samples splitters, one counts
+the rows between them (a splitter's own rows apart, so frequent values are answered at once), and one ranks
+the rows of the ranges that hold a rank. Only where such a range still has more than ``RANK_LIMIT``
+rows is it cut once more. Splitters are values of the column in its own type, so 64-bit integers and
+decimals are cut as finely as doubles.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from decimal import ROUND_FLOOR, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,20 +24,27 @@ from siftwell.functions.kinds import clean
 from siftwell.functions.names import column, literal
 
 RANK_LIMIT = 500_000
-ACCURACY = 10_000
+SPLITTERS = 255  # of a range
+SAMPLE = 20  # sampled values for each of them
 
 
 @dataclass
 class _Search:
-    """One rank of one column; the answer lies between ``low`` and ``high``, both included."""
+    """One rank of one column; the answer lies between ``low`` and ``high``, neither included (None: no bound),
+    or is ``found``."""
 
     name: str
     p: float
     rank: int
     rows: int
-    below: int
-    low: object
-    high: object
+    below: int = 0
+    low: object = None
+    high: object = None
+    found: object = None
+
+    @property
+    def range(self) -> tuple:
+        return self.name, self.below, self.rows
 
 
 def rank_of(p: float, count: int) -> int:
@@ -53,11 +60,24 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], rank_limit:
     """
     names = list(wanted)
     values = df.select(*[_sortable(n, df.schema[n].dataType).alias(n) for n in names])
-    searches = _start(values, wanted)
-    open_ = [s for s in searches if s.low != s.high and s.rows > rank_limit]
-    while open_:
-        _narrow(values, open_)
-        open_ = [s for s in open_ if s.low != s.high and s.rows > rank_limit]
+    total = df.count()
+    if total <= rank_limit:
+        counts = values.agg(*[F.count(column(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
+        searches = [s for i, n in enumerate(names) for s in _searches(n, wanted[n], counts[f"n{i}"])]
+    else:
+        whole = [_Search(n, 0.0, 0, total) for n in names]  # a column's rows, at most
+        cuts = _cut(values, whole)
+        searches = []
+        for name, (splitters, counts) in zip(names, cuts):
+            own = _searches(name, wanted[name], sum(counts.values()))
+            for s in own:
+                _follow(s, splitters, counts)
+            searches += own
+    while open_ := [s for s in searches if s.found is None and s.rows > rank_limit]:
+        ranges = {s.range: s for s in open_}
+        cuts = dict(zip(ranges, _cut(values, list(ranges.values()))))
+        for s in open_:
+            _follow(s, *cuts[s.range])
     parts = [_rank_remaining(values, name, [s for s in searches if s.name == name]) for name in names]
     parts = [part for part in parts if part is not None]
     if not parts:
@@ -66,18 +86,8 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], rank_limit:
     return reduce(DataFrame.unionAll, parts)
 
 
-def _start(values: DataFrame, wanted: Mapping[str, Sequence[float]]) -> list[_Search]:
-    """Counts and extremes: the widest range of every search."""
-    measures = []
-    for i, name in enumerate(wanted):
-        value = column(name)
-        measures += [F.count(value).alias(f"n{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
-    row = values.agg(*measures).first()
-    searches = []
-    for i, (name, ps) in enumerate(wanted.items()):
-        n = row[f"n{i}"]
-        searches += [_Search(name, p, rank_of(p, n), n, 0, row[f"lo{i}"], row[f"hi{i}"]) for p in ps if n]
-    return searches
+def _searches(name: str, ps: Sequence[float], count: int) -> list[_Search]:
+    return [_Search(name, p, rank_of(p, count), count) for p in ps if count]
 
 
 def _sortable(name: str, data_type: T.DataType) -> Column:
@@ -92,83 +102,65 @@ def _literal(value) -> Column:
 
 
 def _inside(search: _Search) -> Column:
-    return column(search.name).between(_literal(search.low), _literal(search.high))
-
-
-def _narrow(values: DataFrame, searches: list[_Search]) -> None:
-    """Shrink every range once: guess by sketch, prove by count."""
-    anywhere = reduce(Column.__or__, [_inside(s) for s in searches])
-    candidates = values.where(anywhere)
-    slack = 4 / ACCURACY
-    groups: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        groups.setdefault((s.name, s.below, s.rows), []).append(s)
-    # Searches of one range share its sketch.
-    sketches = []
-    for i, members in enumerate(groups.values()):
-        aims = [(s.rank - s.below + 0.5) / s.rows for s in members]
-        probes = F.array(*[F.lit(p) for at in aims for p in (max(0.0, at - slack), min(1.0, at + slack))])
-        inside = F.when(_inside(members[0]), column(members[0].name))
-        sketches.append(F.percentile_approx(inside, probes, F.lit(ACCURACY)).alias(f"g{i}"))
-    row = candidates.agg(*sketches).first()
-    searches = [s for members in groups.values() for s in members]
-    guesses = [
-        tuple(row[f"g{i}"][2 * j : 2 * j + 2]) for i, members in enumerate(groups.values()) for j in range(len(members))
+    value = column(search.name)
+    if search.found is not None:
+        return value == _literal(search.found)
+    bounds = [value.isNotNull()]
+    if search.low is not None:
+        bounds.append(value > _literal(search.low))
+    if search.high is not None:
+        bounds.append(value < _literal(search.high))
+    return reduce(Column.__and__, bounds)
+
+
+def _place(value: Column, splitters: list, first: int = 0) -> Column:
+    """2 i before splitter i and 2 i + 1 at it, by halving."""
+    if not splitters:
+        return F.lit(first)
+    middle = len(splitters) // 2
+    at, number = _literal(splitters[middle]), first + 2 * middle
+    lower, upper = _place(value, splitters[:middle], first), _place(value, splitters[middle + 1 :], number + 2)
+    return F.when(value < at, lower).when(value > at, upper).otherwise(F.lit(number + 1))
+
+
+def _cut(values: DataFrame, ranges: list[_Search]) -> list[tuple[list, dict[int, int]]]:
+    """Splitters of every range and the rows at each place, from two scans: a sample and a count."""
+    anywhere = reduce(Column.__or__, [_inside(s) for s in ranges])
+    drawn = [
+        F.when(_inside(s) & (F.rand(17 + i) < min(1.0, SPLITTERS * SAMPLE / s.rows)), column(s.name)).alias(f"r{i}")
+        for i, s in enumerate(ranges)
     ]
-    measures = []
-    for i, s in enumerate(searches):
-        value, (low, high) = column(s.name), guesses[i]
-        measures += [
-            F.count_if(_inside(s) & (value < _literal(low))).alias(f"under{i}"),
-            F.count_if(_inside(s) & (value <= _literal(high))).alias(f"upto{i}"),
-            # Neighbouring values, should the rank lie outside the guess.
-            F.max(F.when(_inside(s) & (value < _literal(low)), value)).alias(f"before{i}"),
-            F.min(F.when(_inside(s) & (value > _literal(high)), value)).alias(f"after{i}"),
-        ]
-    counts = candidates.agg(*measures).first()
-    for i, s in enumerate(searches):
-        low, high = guesses[i]
-        under, upto, offset = counts[f"under{i}"], counts[f"upto{i}"], s.rank - s.below
-        if offset < under:
-            part = s.low, counts[f"before{i}"], 0, under
-        elif offset >= upto:
-            part = counts[f"after{i}"], s.high, upto, s.rows - upto
-        else:
-            part = low, high, under, upto - under
-        if part[3] > s.rows * 0.9:
-            _bisect(values, s)
-        else:
-            s.low, s.high, s.below, s.rows = part[0], part[1], s.below + part[2], part[3]
-
-
-def _middle(low, high):
-    """A value from ``low`` up to but without ``high``, half way where that is possible."""
-    if isinstance(low, float):
-        middle = low + (high - low) / 2
-        return middle if low <= middle < high else low
-    if isinstance(low, Decimal):
-        middle = ((low + high) / 2).quantize(low, rounding=ROUND_FLOOR)
-        return middle if low <= middle < high else low
-    return low + (high - low) // 2
-
-
-def _bisect(values: DataFrame, s: _Search) -> None:
-    """Halve a range the sketch cannot shrink, such as integers beyond the reach of a double."""
-    value, middle = column(s.name), _literal(_middle(s.low, s.high))
-    lower = value <= middle
-    row = (
-        values.where(_inside(s))
-        .agg(
-            F.count_if(lower).alias("n"),
-            F.max(F.when(lower, value)).alias("last"),
-            F.min(F.when(~lower, value)).alias("first"),
-        )
-        .first()
-    )
-    if s.rank - s.below < row["n"]:
-        s.high, s.rows = row["last"], row["n"]
+    any_drawn = reduce(Column.__or__, [F.col(f"r{i}").isNotNull() for i in range(len(ranges))])
+    sample = values.where(anywhere).select(*drawn).where(any_drawn).collect()  # a few thousand rows for each range
+    picked = []
+    for i in range(len(ranges)):
+        own = sorted(r[i] for r in sample if r[i] is not None)
+        picked.append(sorted({own[len(own) * j // (SPLITTERS + 1)] for j in range(1, SPLITTERS + 1)} if own else ()))
+    places = [
+        F.when(_inside(s), F.struct(F.lit(i).alias("i"), _place(column(s.name), picked[i]).alias("place")))
+        for i, s in enumerate(ranges)
+    ]
+    found = values.where(anywhere).select(F.explode(F.array_compact(F.array(*places))).alias("x"))
+    counts: list[dict[int, int]] = [{} for _ in ranges]
+    for r in found.groupBy("x.i", "x.place").count().collect():
+        counts[r["i"]][r["place"]] = r["count"]
+    return list(zip(picked, counts))
+
+
+def _follow(s: _Search, splitters: list, counts: Mapping[int, int]) -> None:
+    """Goes on in the place that holds the rank."""
+    offset, before = s.rank - s.below, 0
+    for place in sorted(counts):
+        if offset < before + counts[place]:
+            break
+        before += counts[place]
+    s.below, s.rows = s.below + before, counts[place]
+    if place % 2:
+        s.found = splitters[place // 2]
     else:
-        s.low, s.below, s.rows = row["first"], s.below + row["n"], s.rows - row["n"]
+        i = place // 2
+        s.low = splitters[i - 1] if i else s.low
+        s.high = splitters[i] if i < len(splitters) else s.high
 
 
 def _rank_remaining(values: DataFrame, name: str, searches: list[_Search]) -> DataFrame | None:

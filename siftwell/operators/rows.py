@@ -84,11 +84,12 @@ def distinct_values(df: DataFrame, name: str, limit: int | None = None) -> DataF
 
 
 def ordered_rows(
-    df: DataFrame, name: str, descending: bool = False, limit: int = TOP_ROWS, key: Sequence[str] = ()
+    df: DataFrame, name: str, descending: bool = False, limit: int | None = None, key: Sequence[str] = ()
 ) -> DataFrame:
-    """First rows by a column; ``key`` columns break ties."""
+    """Rows by a column, all or the first ones; ``key`` columns break ties."""
     order = column(name).desc_nulls_last() if descending else column(name).asc_nulls_first()
-    return df.orderBy(order, *[column(k).asc_nulls_first() for k in key]).limit(limit)
+    ordered = df.orderBy(order, *[column(k).asc_nulls_first() for k in key])
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def null_rows(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
@@ -185,9 +186,11 @@ def contains_text(df: DataFrame, needle: str) -> Column:
 
 
 def _decimal_text(value: Column) -> Column:
-    """A double with a decimal point and no exponent, as a person would type it."""
-    exponent = value.cast("string").contains("E") & (F.abs(value) < 1e27)
-    decimal = F.when(F.abs(value) < 1e27, value).cast("decimal(38,10)").cast("string")
+    """A double as a person would type it, with a decimal point and no exponent; very large and very small ones, whose digits
+    a decimal point would hide behind zeros, as Spark writes them."""
+    plain = (F.abs(value) < 1e27) & (F.abs(value) >= 1e-6)
+    exponent = value.cast("string").contains("E") & plain
+    decimal = F.when(plain, value).cast("decimal(38,10)").cast("string")
     return F.when(exponent, F.regexp_replace(decimal, r"(\.\d+?)0+$", "$1")).otherwise(value.cast("string"))
 
 

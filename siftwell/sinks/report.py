@@ -220,18 +220,6 @@ def write_markdown(profile: DatasetProfile, path: str) -> None:
     profile_markdown(profile).orderBy("line_no").select("line").coalesce(1).write.mode("error").text(path)
 
 
-def byte_size(size: int | None) -> str:
-    """A number of bytes in B, KB, MB or GB."""
-    if size is None:
-        return "unknown"
-    if size < 1024:
-        return f"{size} B"
-    value, unit = size / 1024, 0
-    while value >= 1024 and unit < 2:
-        value, unit = value / 1024, unit + 1
-    return f"{value:.{1 if value < 10 else 0}f} {('KB', 'MB', 'GB')[unit]}"
-
-
 def _lines(df: DataFrame, section: int, group, part: int, item, lines: Column) -> DataFrame:
     """Lines of a report section; ``lines`` is an array per input row."""
     return df.select(
@@ -257,7 +245,7 @@ def _summary_lines(profile: DatasetProfile) -> DataFrame:
         fact("Tables", F.col("table_count").cast("string")),
         fact("Views", F.col("view_count").cast("string")),
         fact("Total rows", _grouped(F.col("total_rows"))),
-        fact("File size", F.lit(byte_size(profile.size_bytes))),
+        fact("File size", F.lit("unknown") if profile.size_bytes is None else F.concat(F.format_number(F.lit(profile.size_bytes).cast("bigint"), 0), F.lit(" bytes"))),
         fact("Relationships", F.col("relationship_count").cast("string")),
         F.lit(""),
     )

@@ -10,7 +10,7 @@ from siftwell.functions.kinds import declared_kind, type_name
 from siftwell.functions.labels import grouped_number, percent, plain_number, span_label
 from siftwell.operators.histogram import date_histogram, numeric_histogram
 from siftwell.operators.stats import uniqueness
-from siftwell.sinks.report import byte_size, profile_json, profile_markdown, write_json, write_markdown
+from siftwell.sinks.report import profile_json, profile_markdown, write_json, write_markdown
 
 from tests.helpers import one
 
@@ -289,7 +289,3 @@ def test_reports(spark, tmp_path, big):
     assert spark.read.text(str(tmp_path / "md")).count() == len(lines)
     write_json(big, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).first()["rowCount"] == 10000
-
-
-def test_byte_sizes():
-    assert [byte_size(n) for n in (10, 1536, 20480, 5 * 1024**3)] == ["10 B", "1.5 KB", "20 KB", "5.0 GB"]

@@ -666,4 +666,26 @@ WHERE bin = 23 AND l_extendedprice >= lo AND l_extendedprice <= hi""",
 LIMIT 100 OFFSET 300""",
     "keyset_page": """SELECT * FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey NULLS FIRST
 LIMIT 100 OFFSET 300""",
+    "deep_page": """SELECT * FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey NULLS FIRST, l_linenumber NULLS FIRST
+LIMIT 100 OFFSET (SELECT 100 * (count(*) // 150) FROM lineitem)""",
+    "deep_pages_filtered": f"""SELECT * EXCLUDE (n), CAST((n - 1) // 20 AS INTEGER) AS page FROM (
+  SELECT *, row_number() OVER (ORDER BY o_orderpriority NULLS FIRST, o_orderkey) AS n FROM orders WHERE {contains('orders', 'urgent')})
+WHERE (n - 1) // 20 IN (3, 9)""",
+    "quantiles_many": f"""WITH wides AS (SELECT *, 1152921504606846976 + l_orderkey * 7 + l_linenumber AS wide FROM lineitem)
+SELECT "column", p, rank, value_num FROM ({ranks('wides', ['wide', 'l_partkey', 'l_extendedprice', 'l_discount'], [i / 20 for i in range(21)])})
+UNION ALL SELECT 'l_shipdate', x.p, CAST(floor(x.p * (n - 1) + 0.5) AS BIGINT), NULL
+FROM (SELECT count(l_shipdate) AS n FROM lineitem), (SELECT unnest({[i / 20 for i in range(21)]})::DOUBLE AS p) x""",
+    "sample_exact_size": """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+ORDER BY md5(l_orderkey || '-' || l_linenumber), l_orderkey, l_linenumber LIMIT 1000""",
+    "json_top_values": top_values("part", dict.fromkeys(["p_name", "p_brand", "p_type"], "text"), numbers=False),
+    "json_bins": all_histograms(),
+    "json_findings": f"""{dirty_findings(True)}
+SELECT severity, kind, tbl AS "table", col AS "column", message, CASE WHEN kind <> 'unreadable' THEN detail END AS detail FROM found""",
+    "json_keys": """SELECT 'lineitem' AS "table", 'orders' AS parent, CAST(0 AS INTEGER) AS seq, 'l_orderkey' AS from_column, 'o_orderkey' AS to_column,
+  'l_orderkey → o_orderkey' AS columns, count(*) AS row_count FROM lineitem
+UNION ALL SELECT 'orders', 'customer', 0, 'o_custkey', 'c_custkey', 'o_custkey → c_custkey', count(*) FROM orders""",
+    "json_columns": profile_of(
+        ["customer", "nation"],
+        """SELECT tbl AS "table", CAST(ord AS INTEGER) AS position, col AS "column", cnt AS "count", n - cnt AS null_count, dist AS distinct_count FROM prof""",
+    ),
 }

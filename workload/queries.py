@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from siftwell import Constraints, Dataset, ForeignKey, ProfileOptions, UniqueKey, profile_dataset, profile_table
 from siftwell.functions.kinds import declared_kind
 from siftwell.functions.labels import percent
-from siftwell.operators import aggregates, details, frequency, histogram, integrity, ranking, rows, stats, value_types
+from siftwell.operators import aggregates, details, frequency, histogram, integrity, pages, ranking, rows, stats, value_types
 from siftwell.operators import findings as findings_ops
+from siftwell.operators.quantiles import quantiles
+from siftwell.plans.graph import KeyGraph
 from siftwell.plans.profile import table_catalog as catalog_of
+from siftwell.sinks import json_rows
+from siftwell.sinks.report import profile_json as whole_json
 from siftwell.sinks.report import profile_markdown as markdown_of
 from siftwell.sinks.report import table_json
 from siftwell.sources.constraints import ResolvedKey
-from siftwell.sources.sampling import hash_sample
+from siftwell.sources.sampling import exact_sample, hash_sample
 from workload import fixtures
 from workload.fixtures import dataset, derived, dirty_dataset, table
 
@@ -459,13 +463,13 @@ def fk_edges(spark, sf_dir):
 @query
 def edge_collapse(spark, sf_dir):
     """Parallel declared keys between two tables as one edge, with the rows that it leaves without a parent."""
-    found = _keyed_profile(spark, sf_dir)
+    found = _key_graph(spark, sf_dir)
     orphans = found.orphans.groupBy(F.col("table").alias("from_table"), F.col("parent").alias("to_table")).agg(F.sum("orphans").alias("orphans"))
     rows_of = found.tables.select(F.col("table").alias("from_table"), "row_count")
     return found.edges().join(orphans, ["from_table", "to_table"]).join(rows_of, "from_table")
 
 
-def _keyed_profile(spark: SparkSession, sf_dir: str):
+def _key_graph(spark: SparkSession, sf_dir: str) -> KeyGraph:
     """Tables with parallel keys and a key to the table itself, as a dataset declares them."""
     names = ["documents", "labels", "lineitem", "orders"]
     constraints = Constraints(
@@ -477,16 +481,15 @@ def _keyed_profile(spark: SparkSession, sf_dir: str):
             ForeignKey("labels", ("doc_id",), "documents"),
         ),
     )
-    return profile_dataset(Dataset.from_dir(spark, sf_dir, tables=names, constraints=constraints))
+    return KeyGraph(Dataset.from_dir(spark, sf_dir, tables=names, constraints=constraints))
 
 
 @query
 def self_references(spark, sf_dir):
     """Tables whose rows refer to rows of the same table, their size and their orphans."""
-    profile = _keyed_profile(spark, sf_dir)
-    found = integrity.self_references(profile.relationships)
-    orphans = profile.orphans.where("table = parent").select("table", "orphans")
-    return found.join(profile.tables.select("table", "row_count"), "table").join(orphans, "table")
+    graph = _key_graph(spark, sf_dir)
+    orphans = graph.orphans.where("table = parent").select("table", "orphans")
+    return graph.self_references().join(graph.tables, "table").join(orphans, "table")
 
 
 def _key(child: str, columns: tuple[str, ...], parent: str, targets: tuple[str, ...]) -> ResolvedKey:
@@ -611,7 +614,7 @@ def distinct_values(spark, sf_dir):
 
 @query
 def order_top(spark, sf_dir):
-    return rows.ordered_rows(table(spark, sf_dir, "orders"), "o_totalprice", descending=True, key=["o_orderkey"])
+    return rows.ordered_rows(table(spark, sf_dir, "orders"), "o_totalprice", descending=True, limit=rows.TOP_ROWS, key=["o_orderkey"])
 
 
 @query
@@ -779,3 +782,73 @@ def bad_key_isolated(spark, sf_dir):
     found = profile_dataset(Dataset.from_dir(spark, sf_dir, tables=["customer", "orders"], constraints=keys))
     bad = found.findings.where("kind = 'unresolved-key'").select("table", "column")
     return found.tables.select("table", "row_count").join(bad, "table")
+
+
+# -- pages, quantiles and samples that hold at any size; the JSON document as rows ----------
+
+
+@query
+def deep_page(spark, sf_dir):
+    """A page far down, found by a directory of ranks; only small ranges are sorted."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    return pages.deep_page(lineitem, lineitem.count() // 150, "l_extendedprice", True, ["l_orderkey", "l_linenumber"], leaf=2_000)
+
+
+@query
+def deep_pages_filtered(spark, sf_dir):
+    """Two pages of filtered rows from one directory, by a column of few values."""
+    directory = pages.RankDirectory(table(spark, sf_dir, "orders"), "o_orderpriority", False, ["o_orderkey"], needle="URGENT", leaf=500)
+    first, second = (directory.page(p, 20).withColumn("page", F.lit(p)) for p in (3, 9))
+    return first.unionAll(second)
+
+
+@query
+def quantiles_many(spark, sf_dir):
+    """Many quantiles of many columns, 64-bit integers beyond the reach of a double among them."""
+    wide = table(spark, sf_dir, "lineitem").withColumn("wide", F.lit(2**60) + F.col("l_orderkey") * 7 + F.col("l_linenumber"))
+    names = ["wide", "l_partkey", "l_extendedprice", "l_discount", "l_shipdate"]
+    found = quantiles(wide, {n: [i / 20 for i in range(21)] for n in names}, rank_limit=1_000)
+    return found.select("column", "p", "rank", F.when(F.col("column") != "l_shipdate", F.col("value_num")).alias("value_num"))
+
+
+@query
+def sample_exact_size(spark, sf_dir):
+    """A sample of exactly 1,000 rows that does not depend on how the table is split."""
+    return exact_sample(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], 1_000).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query
+def json_top_values(spark, sf_dir):
+    """Top values as the JSON document holds them."""
+    found = json_rows.json_top_values(whole_json(profile_dataset(dataset(spark, sf_dir, ["part"]), EXACT)))
+    return found.where(F.col("column").isin("p_name", "p_brand", "p_type")).drop("table")
+
+
+@query
+def json_bins(spark, sf_dir):
+    """All bins of all charted columns, from the document."""
+    found = json_rows.json_bins(whole_json(profile_dataset(dataset(spark, sf_dir, ["lineitem", "orders"]), EXACT)))
+    return found.select("table", "column", "bin", "count", "date_fmt")
+
+
+@query
+def json_findings(spark, sf_dir):
+    """All findings in their order, from the document."""
+    fields = {"severity": "string", "kind": "string", "table": "string", "column": "string", "message": "string", "detail": "string"}
+    found = json_rows.json_findings(whole_json(profile_dataset(dirty_dataset(spark, sf_dir), EXACT)), fields)
+    return found.withColumn("detail", F.when(F.col("kind") != "unreadable", F.col("detail")))
+
+
+@query
+def json_keys(spark, sf_dir):
+    """Foreign keys, edges and row counts of both ends, from the document."""
+    document = whole_json(profile_dataset(dataset(spark, sf_dir, ["customer", "lineitem", "orders"]), EXACT))
+    rows_of = json_rows.json_tables(document).select("table", "row_count")
+    edges = json_rows.json_relationships(document).select(F.col("from_table").alias("table"), F.col("to_table").alias("parent"), "columns")
+    return json_rows.json_keys(document).drop("key_id").join(edges, ["table", "parent"]).join(rows_of, "table")
+
+
+@query
+def json_columns(spark, sf_dir):
+    """Columns with their counts, and how many bins they have, from the document."""
+    return json_rows.json_columns(whole_json(profile_dataset(dataset(spark, sf_dir, ["customer", "nation"]), EXACT))).drop("kind", "bins")
