@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 21
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 #: Workers are reused: freed arrays go back to the system, not to pools of the process.
-WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216"}
 #: Stands for a null id inside an operator: nulls come after every other id.
 NULL_ID = (1 << 63) - 1
 
