@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by a permutation index.
 
 Every vector is represented by its nearest pivots in order. It is posted in the inverted files of the first
-few of them; a query looks into the files of its own first pivots, ranks what is there by the
-footrule distance between the ordered lists, and the best of each file are reranked by the
-cosine of the original vectors, in double precision. Of the rest of a file, every vector whose cosine in single
-precision, with the largest error that it can have, reaches the k-th of these is reranked too: a file's answer is exact,
-and only vectors that share none of their first pivots with the query are not seen. A posting holds the vector, so only
-results leave a file. Files are cut into buckets of
+few of them; a query looks into the files of its own first pivots and ranks what is there by the
+footrule distance between the ordered lists. Everything within a radius of the footrule is reranked by the cosine of the
+original vectors, in double precision, and of each file at least the nearest few. A pair that shares several files is
+looked at in the first of them only. A posting holds the vector, so only results leave a file. Files are cut into buckets of
 bounded size and queries into packs, so a pivot that is near to any share of all vectors is worked
 on by many tasks. Pivots come from a bounded sample; all rows are indexed.
 
+How many files and which radius are needed is measured: at most FITTED queries, chosen by hash, are compared with all rows
+in one pass of blocks. The files are as many as it takes for true neighbours to share one, the radius is the one
+within which the wanted share of them (``recall``) lies. Nothing within the radius is left out, at any size. The
+number of pivots grows with the square root of the rows. With ``recall=1`` files are reranked whole, whose answers are then exact.
+
 Vectors that are null, zero, or hold null or non-finite components, and those whose length is not
 the commonest, take no part; nor do null ids. Rows that repeat an id count as one candidate with the best of
 their scores; of queries that repeat an id, the smallest vector is asked for. Equal distances
-go by the smaller id, at every step. Fewer candidates than asked for give fewer rows; an empty
+go by the smaller id. Every file holds the row that its pivot is, so a query finds at least as many rows as it has
+files. Fewer candidates than asked for give fewer rows; an empty
 table gives an empty result. Further columns are not read.
 """
 
@@ -30,14 +34,15 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialize
 
-PIVOTS = 512
+PIVOTS = 512  # at least, and the square root of the rows; 16 bits number them
+MOST_PIVOTS = 16_384
 LISTED = 64  # pivots in a vector's ordered list
-POSTED = 16  # files that a vector is posted in
-PROBED = 16  # files that a query looks into
-CANDIDATES = 500  # of a bucket of a file, reranked first for each query; a bound decides on the rest
+DEPTHS = (16, 24, 32, 48, 64)  # numbers of files to choose from
+RECALL = 0.96  # share of true neighbours within the radius
+FITTED = 256  # queries that the radius and the number of files are measured by
+LEAST = 128  # of a bucket of a file, the nearest by footrule that are reranked whatever the radius
 BUCKET = 32_768  # vectors of a file in one task
 PACK = 8_192  # queries in one task
-STEP = 64  # queries in one product with a bucket
 
 
 def _usable(embeddings: DataFrame, id: str, vector: str, asked: Column) -> DataFrame:
@@ -88,9 +93,9 @@ def _permutations(rows: DataFrame, pivots: np.ndarray, listed: int) -> DataFrame
 
 
 def _files(lists: DataFrame, depth: int) -> DataFrame:
-    """A row for each of the first pivots of a list."""
+    """A row for each of the first pivots of a list, with its place there."""
     pivot = [(F.conv(F.hex(F.substring("list", 2 * i + 1, 1)), 16, 10).cast("int") + 256 * F.conv(F.hex(F.substring("list", 2 * i + 2, 1)), 16, 10).cast("int")) for i in range(depth)]
-    return lists.select("*", F.explode(F.array(*pivot)).alias("pivot")) if depth else lists
+    return lists.select("*", F.posexplode(F.array(*pivot)).alias("place", "pivot"))
 
 
 def footrule(query: np.ndarray, lists: np.ndarray, pivots: int) -> np.ndarray:
@@ -103,19 +108,56 @@ def footrule(query: np.ndarray, lists: np.ndarray, pivots: int) -> np.ndarray:
     return np.abs(there - np.arange(size)).sum(axis=1) + size * len(query) - place[query].sum() - (size - there).sum(axis=1)
 
 
-def _single(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors in single precision."""
-    return np.concatenate([_unit(vectors[a : a + 4096].astype(np.float64)).astype(np.float32) for a in range(0, len(vectors), 4096)])
+def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best ids, each at its best score."""
+    top = np.lexsort((ids, -score))
+    _, first = np.unique(ids[top], return_index=True)  # of a repeated id, its best
+    return top[np.sort(first)[:k]]
 
 
-def _probe(pivots: int, most: int, k: int, kind: str):
-    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+def _neighbours(index: DataFrame, ids: list[int], vectors: np.ndarray, k: int, kind: str) -> DataFrame:
+    """query_id, vec_id, score, list: the k nearest of all rows for a bounded set of queries, in one pass of blocks."""
+    asked, units = np.array(ids), _unit(vectors.astype(np.float64))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))] * len(asked)
+        for batch in batches:
+            for a in range(0, len(batch), 4096):
+                part = batch.slice(a, 4096)
+                there = part.column("vec_id").to_numpy()
+                lists = np.array(part.column("list").to_pylist(), object)
+                score = units @ _unit(np.frombuffer(b"".join(part.column("v").to_pylist()), kind).reshape(len(part), -1).astype(np.float64)).T
+                score[asked[:, None] == there[None, :]] = -9
+                near = np.argpartition(-score, k, axis=1)[:, :k] if len(part) > k else np.tile(np.arange(len(part)), (len(asked), 1))
+                for q in range(len(asked)):
+                    at = near[q][score[q, near[q]] > -9]
+                    joint = [np.concatenate(pair) for pair in zip(best[q], (there[at], score[q, at], lists[at]))]
+                    top = _best(joint[0], joint[1], k)
+                    best[q] = tuple(x[top] for x in joint)
+        for q, (found, score, lists) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), asked[q])), pa.array(found), pa.array(score), pa.array(lists.tolist(), pa.binary())], names=["query_id", "vec_id", "score", "list"])
+
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return index.mapInArrow(work, "query_id long, vec_id long, score double, list binary").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def fit(pairs: list[tuple[np.ndarray, np.ndarray]], pivots: int, recall: float, depths: tuple[int, ...] = DEPTHS) -> tuple[int, float]:
+    """The number of files and the radius of the footrule that find a share of the pairs of lists."""
+    depths = [d for d in depths if d < pivots] or [pivots]
+    if not pairs:
+        return depths[0], float("inf")
+    for depth in depths:
+        met = np.array([len(np.intersect1d(a[:depth], b[:depth])) > 0 for a, b in pairs])
+        if met.mean() >= min(1, recall + 0.01):
+            break
+    apart = np.sort([footrule(a, b[None, :], pivots)[0] for (a, b), m in zip(pairs, met) if m])
+    wanted = int(np.ceil(recall * len(pairs)))
+    return depth, float(apart[wanted - 1]) if 0 < wanted <= len(apart) and recall < 1 else float("inf")
+
 
-    def best_of(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
-        """Places of the k best ids, each at its best score."""
-        top = np.lexsort((ids, -score))
-        _, first = np.unique(ids[top], return_index=True)  # of a repeated id, its best
-        return top[np.sort(first)[:k]]
+def _probe(pivots: int, depths: tuple[int, int], radius: float, least: int, k: int, kind: str):
+    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    posted, probed = depths
 
     def work(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
@@ -123,27 +165,22 @@ def _probe(pivots: int, most: int, k: int, kind: str):
         vectors = vectors.sort_values("vec_id", kind="stable")
         ids = vectors["vec_id"].to_numpy()
         lists = np.frombuffer(b"".join(vectors["list"]), "<u2").reshape(len(ids), -1)
-        originals = np.frombuffer(b"".join(vectors["v"]), kind).reshape(len(ids), -1)
-        asked = np.frombuffer(b"".join(queries["v"]), kind).reshape(len(queries), -1)
-        tie, out, own = np.arange(len(ids)), [], queries["list"].tolist()
-        units = _single(originals) if len(ids) > most else None
-        error = (originals.shape[1] + 8) * 2.0**-22  # more than a product of unit vectors in single precision can be off
-        for at, query in enumerate(queries["query_id"]):
-            if units is not None and at % STEP == 0:
-                rough = _single(asked[at : at + STEP]) @ units.T
-            order = footrule(np.frombuffer(own[at], "<u2"), lists, pivots) * len(ids) + tie  # ties by the smaller id
-            order[ids == query] = np.iinfo(np.int64).max
-            best = np.argpartition(order, most)[:most] if len(ids) > most else tie
-            best = best[ids[best] != query]
-            score = cosine(originals[best], asked[at][None, :])
-            top = best_of(ids[best], score)
-            if units is not None:
-                rest = np.ones(len(ids), bool) if len(top) < k else rough[at % STEP] >= score[top[-1]] - error
-                rest[best] = False
-                rest = np.flatnonzero(rest & (ids != query))
-                best, score = np.concatenate([best, rest]), np.concatenate([score, cosine(originals[rest], asked[at][None, :])])
-                top = best_of(ids[best], score)
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best][top], "score": score[top]}))
+        units = _unit(np.frombuffer(b"".join(vectors["v"]), kind).reshape(len(ids), -1).astype(np.float64))
+        asked = _unit(np.frombuffer(b"".join(queries["v"]), kind).reshape(len(queries), -1).astype(np.float64))
+        files, out = np.ascontiguousarray(lists[:, :posted]), []
+        for query, own, place, unit in zip(queries["query_id"], queries["list"], queries["place"], asked):
+            own = np.frombuffer(own, "<u2")
+            earlier = np.zeros(pivots, bool)
+            earlier[own[:probed][:place]] = True
+            new = np.flatnonzero(~earlier[files].any(axis=1) & (ids != query))  # not met in an earlier file of the query
+            apart = footrule(own, lists[new], pivots)
+            inside = apart <= radius
+            if len(new) > least:
+                inside[np.argsort(apart, kind="stable")[:least]] = True  # ties by the smaller id
+                new = new[inside]
+            score = np.clip((units[new] * unit).sum(axis=1), -1, 1)
+            top = _best(ids[new], score, k)
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[new][top], "score": score[top]}))
         return pd.concat(out)
 
     return work
@@ -161,33 +198,45 @@ def search(
     k: int = 5,
     id: str = "vec_id",
     vector: str = "embedding",
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     listed: int = LISTED,
-    posted: int = POSTED,
-    probed: int = PROBED,
-    candidates: int = CANDIDATES,
+    posted: int | None = None,
+    probed: int | None = None,
+    recall: float = RECALL,
+    least: int = LEAST,
 ) -> DataFrame:
     """The ``k`` nearest rows found for each row that meets ``asked`` (a condition on the table's
-    columns): query_id, rank from 1, vec_id, score. A query's own id is no candidate."""
+    columns): query_id, rank from 1, vec_id, score. A query's own id is no candidate.
+    Numbers of pivots and files that are not given follow from the rows."""
     rows = _usable(embeddings, id, vector, asked)
+    if pivots is None:
+        pivots = min(max(PIVOTS, int(rows.count() ** 0.5)), MOST_PIVOTS)
     chosen = pivots_of(rows, pivots)
     count = len(chosen)
+    empty = embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not count:
-        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    listed, posted, probed = min(listed, count), min(posted, count), min(probed, count)
+        return empty
+    kind = "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
+    listed = min(listed, count)
     index = materialize(_permutations(rows, chosen, listed), "index")
     queries = rows.where("asked").groupBy("vec_id").agg(F.min("v").alias("v"))
     questions = materialize(_permutations(queries, chosen, listed).withColumnRenamed("vec_id", "query_id"), "queries")
+    sample = questions.orderBy(F.xxhash64("query_id"), "query_id").limit(FITTED).collect()
+    if not sample:
+        return empty
+    lists = {r.query_id: np.frombuffer(r.list, "<u2") for r in sample}
+    true = _neighbours(index, [r.query_id for r in sample], np.stack([np.frombuffer(r.v, kind) for r in sample]), k, kind)
+    depth, radius = fit([(lists[r.query_id], np.frombuffer(r.list, "<u2")) for r in true.collect()], count, recall)
+    posted, probed = min(posted or depth, listed), min(probed or depth, listed)
 
-    files, probes = _files(index, posted), _files(questions, probed)
+    files, probes = _files(index, posted).drop("place"), _files(questions, probed)
     sizes = files.groupBy("pivot").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("buckets"))
     packs = probes.groupBy("pivot").agg(F.ceil(F.count("*") / PACK).cast("int").alias("packs"))
     shape = F.broadcast(sizes.join(packs, "pivot"))  # a row for each pivot
     left = files.join(shape, "pivot").select("pivot", F.pmod(F.xxhash64("vec_id"), "buckets").cast("int").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack"), "vec_id", "list", "v")
-    right = probes.join(shape, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.pmod(F.xxhash64("query_id"), "packs").cast("int").alias("pack"), "query_id", "list", "v")
+    right = probes.join(shape, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.pmod(F.xxhash64("query_id"), "packs").cast("int").alias("pack"), "query_id", "place", "list", "v")
     keys = ["pivot", "bucket", "pack"]
-    kind = "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_probe(count, candidates, k, kind), "query_id long, vec_id long, score double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_probe(count, (posted, probed), radius, least, k, kind), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

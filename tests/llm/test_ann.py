@@ -37,11 +37,11 @@ def test_small_tables_are_exact(spark):
     assert got == want
 
 
-def test_files_are_exact_beyond_the_first_candidates(spark):
-    """All files are opened, so nothing but the number of candidates could lose a neighbour."""
+def test_files_are_exact_without_a_radius(spark):
+    """All files are opened and reranked whole, so nothing can lose a neighbour."""
     random = np.random.default_rng(4)
     rows = [(i, random.normal(size=8).astype(np.float32).tolist()) for i in range(400)] + [(i, [1.0] * 8) for i in range(400, 420)]
-    found = ann.search(frame(spark, rows), F.col("vec_id") % 7 == 0, pivots=3, listed=3, posted=3, probed=3, candidates=5)
+    found = ann.search(frame(spark, rows), F.col("vec_id") % 7 == 0, pivots=3, listed=3, posted=3, probed=3, least=5, recall=1)
     got = {}
     for r in found.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((round(-r.score, 9), r.vec_id))
@@ -96,3 +96,55 @@ def test_footrule():
     lists = np.array([[2, 0, 1], [0, 2, 1], [3, 4, 5]])
     # by hand: pivots outside a list stand at place 3
     assert ann.footrule(query, lists, 6).tolist() == [0, 2, 12]
+
+
+def posted_frames(random, n=600, pivots=40, listed=12):
+    """One file, as _probe gets it: all vectors and three queries."""
+    import pandas as pd
+
+    x = random.normal(size=(n, 8)).astype("<f4")
+    centers = ann._unit(x[:pivots].astype(np.float64))
+    lists = np.argsort(-(ann._unit(x.astype(np.float64)) @ centers.T), axis=1, kind="stable")[:, :listed].astype("<u2")
+    rows = pd.DataFrame({"vec_id": np.arange(n), "list": [l.tobytes() for l in lists], "v": [v.tobytes() for v in x]})
+    asked = rows.iloc[[100, 200, 300]].rename(columns={"vec_id": "query_id"}).assign(place=0)
+    return rows, asked, lists
+
+
+def test_footrule_decides(monkeypatch):
+    """Only rows within the radius, and the nearest few, are opened: another distance opens others."""
+    rows, asked, lists = posted_frames(np.random.default_rng(3))
+    work = ann._probe(40, (12, 12), 60.0, 3, 1000, "<f4")
+    found = work(None, rows, asked)
+    for query, got in found.groupby("query_id"):
+        apart = ann.footrule(lists[query], lists, 40)
+        want = {i for i in np.flatnonzero(apart <= 60) if i != query} | set([i for i in np.argsort(apart, kind="stable") if i != query][:3])
+        assert set(got["vec_id"]) == want and 3 <= len(want) < 599
+    real = ann.footrule
+    monkeypatch.setattr(ann, "footrule", lambda q, l, p: -real(q, l, p) + 1000)
+    other = work(None, rows, asked)
+    assert set(zip(found["query_id"], found["vec_id"])) != set(zip(other["query_id"], other["vec_id"]))
+
+
+def test_pairs_are_opened_in_their_first_file_only():
+    rows, asked, lists = posted_frames(np.random.default_rng(5))
+    seen = []
+    for place in range(4):
+        pivot = [int(l) for l in lists[[100, 200, 300], place]]
+        for q, p in zip((100, 200, 300), pivot):
+            file = rows[(lists[:, :4] == p).any(axis=1)]
+            one = asked[asked["query_id"] == q].assign(place=place)
+            found = ann._probe(40, (4, 4), float("inf"), 3, 1000, "<f4")(None, file, one)
+            seen += list(zip(found["query_id"], found["vec_id"]))
+    want = {(q, int(i)) for q in (100, 200, 300) for i in np.flatnonzero((lists[:, :4, None] == lists[q, None, None, :4]).any(axis=(1, 2))) if i != q}
+    assert len(seen) == len(set(seen)) and set(seen) == want
+
+
+def test_fit():
+    random = np.random.default_rng(2)
+    pairs = [(random.permutation(30)[:20], random.permutation(30)[:20]) for _ in range(200)]
+    depth, radius = ann.fit(pairs, 30, 0.9, (2, 4, 8, 16))
+    met = lambda d: np.mean([len({*a[:d]} & {*b[:d]}) > 0 for a, b in pairs])
+    assert met(depth) >= 0.91 and all(met(d) < 0.91 for d in (2, 4, 8, 16) if d < depth)
+    inside = [ann.footrule(a, b[None, :], 30)[0] <= radius and len({*a[:depth]} & {*b[:depth]}) > 0 for a, b in pairs]
+    assert 0.9 <= np.mean(inside) < 0.97
+    assert ann.fit([], 30, 0.9) == (16, float("inf")) and ann.fit(pairs, 30, 1)[1] == float("inf")
