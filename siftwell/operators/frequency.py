@@ -159,7 +159,7 @@ def distinct_counts(
     unique = [n for n in names if n in set(unique)]
     labels = F.create_map(*[x for i, n in enumerate(df.columns) for x in (F.lit(str(i)), F.lit(n))])
     grouped = [n for n in names if n not in unique]
-    long = [n for n in grouped if isinstance(df.schema[n].dataType, (T.StringType, T.BinaryType)) and _bytewise(df.schema[n].dataType)]
+    long = [n for n in grouped if isinstance(df.schema[n].dataType, (T.StringType, T.BinaryType)) and bytewise(df.schema[n].dataType)]
     parts = [
         counted.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
         for _, counted in frequency_tables(df, [n for n in grouped if n not in long])
@@ -175,7 +175,7 @@ def distinct_counts(
     return reduce(DataFrame.unionAll, parts).select(labels[F.col("ordinal")].alias("column"), "distinct_count")
 
 
-def _bytewise(data_type: T.DataType) -> bool:
+def bytewise(data_type: T.DataType) -> bool:
     """Whether values are equal only if their bytes are; other collations are grouped as values."""
     return not isinstance(data_type, T.StringType) or getattr(data_type, "collation", "UTF8_BINARY") == "UTF8_BINARY"
 

@@ -482,6 +482,12 @@ GROUP BY ALL HAVING count(*) > 1""",
     "top_values_numeric": top_values(
         "lineitem", {"l_quantity": "number", "l_linenumber": "number", "l_discount": "number", "l_suppkey": "number"}
     ),
+    "top_values_summaries": top_values(
+        "lineitem",
+        {"l_quantity": "number", "l_linenumber": "text", "l_discount": "number", "l_suppkey": "text", "l_returnflag": "text", "l_shipdate": "text", "l_orderkey": "text"},
+        numbers=False,
+    ),
+    "top_values_long": top_values("documents", dict.fromkeys(["text", "lang", "source"], "text"), numbers=False),
     "top_values_unique": top_values("customer", {"c_custkey": "number", "c_name": "text"}),
     "text_date_kind": profile_of(
         ["text_dates"],

@@ -12,6 +12,7 @@ from siftwell.functions.kinds import declared_kind
 from siftwell.functions.labels import percent
 from siftwell.operators import aggregates, details, frequency, histogram, integrity, pages, ranking, rows, stats, value_types
 from siftwell.operators import findings as findings_ops
+from siftwell.operators.heavy import heavy_values
 from siftwell.operators.quantiles import quantiles
 from siftwell.plans.graph import KeyGraph
 from siftwell.plans.profile import table_catalog as catalog_of
@@ -216,6 +217,19 @@ def top_values_numeric(spark, sf_dir):
     return frequency.top_values(table(spark, sf_dir, "lineitem"), names)
 
 
+@query
+def top_values_summaries(spark, sf_dir):
+    """Columns that a summary decides, and keys that are counted in full."""
+    lines = heavy_values(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_linenumber", "l_discount", "l_suppkey", "l_returnflag", "l_shipdate", "l_orderkey"], tracked=1024)
+    return lines.drop("value_num")
+
+
+@query
+def top_values_long(spark, sf_dir):
+    """Long texts are counted as digests."""
+    return heavy_values(table(spark, sf_dir, "documents"), ["text", "lang", "source"]).drop("value_num")
+
+
 @query
 def top_values_unique(spark, sf_dir):
     return frequency.top_values(table(spark, sf_dir, "customer"), ["c_custkey", "c_name"], unique=["c_custkey", "c_name"])
