@@ -102,10 +102,11 @@ def footrule(query: np.ndarray, lists: np.ndarray, pivots: int) -> np.ndarray:
     """Sum over pivots of the difference between places in the query's list and in each list;
     a pivot that is not listed stands right behind the list."""
     size = lists.shape[1]
-    place = np.full(pivots, size, np.int32)
+    place = np.full(pivots, size, np.int16)
     place[query] = np.arange(len(query))
     there = place[lists]
-    return np.abs(there - np.arange(size)).sum(axis=1) + size * len(query) - place[query].sum() - (size - there).sum(axis=1)
+    apart = np.abs(there - np.arange(size, dtype=np.int16)).sum(axis=1, dtype=np.int64)
+    return apart + there.sum(axis=1, dtype=np.int64) + size * len(query) - int(place[query].sum()) - size * size
 
 
 def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -172,12 +173,13 @@ def _probe(pivots: int, depths: tuple[int, int], radius: float, least: int, k: i
             own = np.frombuffer(own, "<u2")
             earlier = np.zeros(pivots, bool)
             earlier[own[:probed][:place]] = True
-            new = np.flatnonzero(~earlier[files].any(axis=1) & (ids != query))  # not met in an earlier file of the query
+            met = earlier[files].any(axis=1) if place else np.zeros(len(ids), bool)  # in an earlier file of the query
+            new = np.flatnonzero(~met & (ids != query))
             apart = footrule(own, lists[new], pivots)
             inside = apart <= radius
-            if len(new) > least:
+            if inside.sum() < min(least, len(new)):
                 inside[np.argsort(apart, kind="stable")[:least]] = True  # ties by the smaller id
-                new = new[inside]
+            new = new[inside]
             score = np.clip((units[new] * unit).sum(axis=1), -1, 1)
             top = _best(ids[new], score, k)
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[new][top], "score": score[top]}))
