@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.kinds import type_bit, type_name, untyped_kind
+from siftwell.functions.kinds import INTEGER_BIT, REAL_BIT, type_bit, type_name, untyped_kind
 from siftwell.functions.names import column, quoted
 
+MOST_DIGITS = 18  # that surely fit into BIGINT
+
 
 def text_value_types(df: DataFrame, name: str) -> DataFrame:
     """How many non-null values of a text column read as each type."""
@@ -72,20 +74,35 @@ def cast_untyped(df: DataFrame) -> DataFrame:
     if not texts:
         return df
     kinds = {row["column"]: row["kind"] for row in untyped_kinds(df).collect()}
-    integers = [n for n, k in kinds.items() if k == "integer"]
+    return cast_kinds(df, kinds)
+
+
+def number_kind(mask: int | None) -> str | None:
+    """integer or real where an OR of ``type_bit`` tells that all values of a column are numbers."""
+    if not mask or mask & ~(INTEGER_BIT | REAL_BIT):
+        return None
+    return "integer" if mask == INTEGER_BIT else "real"
+
+
+def cast_kinds(df: DataFrame, kinds: dict[str, str | None], lengths: dict[str, int] | None = None) -> DataFrame:
+    """The frame with its text columns of kind integer and real cast.
+
+    Where the longest text of a column (``lengths``) may be too long for BIGINT, its digits are counted by a scan.
+    """
+    integers = [n for n, k in kinds.items() if k == "integer" and (lengths or {}).get(n, MOST_DIGITS + 1) > MOST_DIGITS]
     widest = (
-        df.agg(*[F.max(F.length(F.regexp_replace(column(n), "^[+-]?0*", ""))).alias(n) for n in integers]).first()
+        df.agg(*[F.max(F.length(F.regexp_replace(column(n), "^[+-]?0*", ""))).alias(f"w{i}") for i, n in enumerate(integers)]).first()
         if integers
-        else {}
+        else ()
     )
+    digits = dict(zip(integers, widest))
     selected = []
     for field in df.schema.fields:
         value = column(field.name)
         kind = kinds.get(field.name)
         if kind == "integer":
-            digits = widest[field.name]
-            target = "bigint" if digits <= 18 else "decimal(38,0)" if digits <= 38 else "string"
-            value = value.cast(target)
+            found = digits.get(field.name, MOST_DIGITS)
+            value = value.cast("bigint" if found <= MOST_DIGITS else "decimal(38,0)" if found <= 38 else "string")
         elif kind == "real":
             value = value.cast("double")
         selected.append(value.alias(field.name))

@@ -10,10 +10,14 @@ Tables above ``sample_above`` rows take 2 and 3 from a random sample; 1 is alway
 Only results with a row per column, bin or top value come back to the driver, where they
 become local frames; classification, calibration, findings and rankings are column
 expressions over those, for all tables at once.
+
+Each table goes through its passes on its own, several side by side, so a large table
+does not hold up the others. Jobs carry a tag of the run and a description with table and pass.
 """
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
@@ -25,6 +29,7 @@ from pyspark.sql import types as T
 
 from siftwell.functions.iso import SECONDS_PER_DAY, iso_seconds
 from siftwell.functions.kinds import DATE_BIT, DATE_KINDS, DATETIME_BIT, kind_of_type, value_class
+from siftwell.functions.names import quoted
 from siftwell.operators import findings as findings_ops
 from siftwell.operators import ranking
 from siftwell.operators.aggregates import column_aggregates, text_extremes, text_literal
@@ -42,6 +47,7 @@ from siftwell.operators.histogram import (
     numeric_frame,
 )
 from siftwell.operators.integrity import collapsed_edges, orphan_report, relationships, repeat_report
+from siftwell.operators.value_types import cast_kinds, number_kind
 from siftwell.plans.local import local_frame
 from siftwell.sources.constraints import Constraints, ResolvedKey
 from siftwell.sources.dataset import Dataset, Relation, UnreadableTable, first_line
@@ -100,6 +106,7 @@ class _TableResult:
     column_count: int = 0
     sample_rows: int | None = None
     error: str | None = None
+    step: str = ""
     exact: list[dict] = field(default_factory=list)
     aggregates: list[dict] = field(default_factory=list)
     facts: list[dict] = field(default_factory=list)
@@ -124,89 +131,113 @@ class _TableResult:
         """The table is reported as unreadable, without any figures."""
         self.release()
         message = str(error) if isinstance(error, UnreadableTable) else first_line(error)
-        self.__dict__.update(_TableResult(self.relation, error=message).__dict__)
+        self.__dict__.update(_TableResult(self.relation, error=message, step=self.step).__dict__)
 
 
 class _Run:
-    """One profiling run: the same pass over all tables, then the next.
+    """One profiling run: every table goes through all passes on its own.
 
-    Queries are built one after the other and run side by side. A table whose query fails
-    leaves the run; the others go on.
+    A table whose query fails ends there; the others go on. When the run is interrupted, the jobs of all its tables are cancelled.
     """
 
     def __init__(self, dataset: Dataset, options: ProfileOptions):
         self.dataset = dataset
         self.spark = dataset.spark
         self.options = options
+        self.tag = f"siftwell-{uuid.uuid4().hex}"
         self.keys = dataset.foreign_keys()
         self.results = [_TableResult(relation) for relation in dataset.relations()]
 
     def run(self) -> list[_TableResult]:
-        try:
-            self._each(self._open)
-            for result, rows in self._collect(self._exact):
-                result.exact = result.aggregates = _by_ordinal(rows)
-                result.row_count = rows[0]["row_count"]
-                result.column_count = len(rows)
-            self._each(self._take_sample)
-            for result, rows in self._collect(lambda r: column_aggregates(r.source) if r.source is not r.df else None):
-                result.aggregates = _by_ordinal(rows)
-                result.sample_rows = rows[0]["row_count"]
-            for result, rows in self._collect(lambda r: self._dated_extremes(r, r.df)):
-                _add_extremes(result.exact, rows[0])
-            for result, rows in self._collect(
-                lambda r: self._dated_extremes(r, r.source) if r.source is not r.df else None
-            ):
-                _add_extremes(result.aggregates, rows[0])
-            for result, rows in self._collect(self._frequencies):
-                self._add_facts(result, rows)
-            self._plan_bins()
-            for result, rows in self._collect(self._bins):
-                result.counts = [{**row.asDict(), "table": result.name} for row in rows]
-        finally:
-            for result in self.results:
-                result.release()
+        with ThreadPoolExecutor(max_workers=self.options.parallel_tables) as pool:
+            tables = [pool.submit(self._advance, result) for result in self.results]
+            try:
+                for table in tables:
+                    table.result()
+            except BaseException:
+                for table in tables:
+                    table.cancel()
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
+                raise
         return self.results
 
-    def _readable(self) -> list[_TableResult]:
-        return [r for r in self.results if r.error is None]
-
-    def _each(self, step) -> None:
-        for result in self._readable():
-            try:
+    def _advance(self, result: _TableResult) -> None:
+        steps = {
+            "open": self._open,
+            "aggregates": self._aggregate,
+            "sample": self._take_sample,
+            "sample aggregates": self._aggregate_sample,
+            "text extremes": self._add_extremes,
+            "value frequencies": self._count_values,
+            "histograms": self._fill_bins,
+        }
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)
+        try:
+            for result.step, step in steps.items():
+                context.setJobDescription(f"{result.name}: {result.step}")
                 step(result)
-            except Exception as error:  # whatever is wrong with a table stays with the table
-                result.fail(error)
-
-    def _collect(self, build):
-        """Rows of a small frame per table; tables without one (``None``) are passed over."""
-        frames = []
-
-        def keep(result: _TableResult) -> None:
-            frame = build(result)
-            if frame is not None:
-                frames.append((result, frame))
-
-        self._each(keep)
-        with ThreadPoolExecutor(max_workers=self.options.parallel_tables) as pool:
-            outcomes = list(pool.map(lambda pair: _try_collect(pair[1]), frames))
-        for (result, _), (rows, error) in zip(frames, outcomes):
-            if error is not None:
-                result.fail(error)
-            else:
-                yield result, rows
+        except Exception as error:  # whatever is wrong with a table stays with the table
+            result.fail(error)
+        finally:
+            result.release()
+            context.removeJobTag(self.tag)
+            context.setJobDescription(None)
 
     # -- passes -----------------------------------------------------------------------
 
     def _open(self, result: _TableResult) -> None:
-        df = self.dataset.open(result.name)
+        df = self.dataset.stored(result.name)
         held = result.relation.type == "view" and self.options.keep_views
         result.df = result.source = result.hold(df) if held else df
 
-    def _exact(self, result: _TableResult) -> DataFrame | None:
+    def _aggregate(self, result: _TableResult) -> None:
+        if not result.df.columns:
+            return
         # Without a threshold nothing is sampled, and every distinct count is exact.
         sketch = self.options.sketch_distinct and self.options.sample_above is not None
-        return column_aggregates(result.df, sketch) if result.df.columns else None
+        exact = _by_ordinal(column_aggregates(result.df, sketch).collect())
+        if self.dataset.is_untyped(result.name):
+            exact = self._bind_types(result, exact, sketch)
+        result.exact = result.aggregates = exact
+        result.row_count = exact[0]["row_count"]
+        result.column_count = len(exact)
+
+    def _bind_types(self, result: _TableResult, exact: list[dict], sketch: bool) -> list[dict]:
+        """Text columns that hold only numbers get their types from the masks of this pass, and the figures of numbers."""
+        texts = [f.name for f in result.df.schema.fields if isinstance(f.dataType, T.StringType)]
+        kinds = {a["column"]: number_kind(a["type_mask"]) for a in exact if a["column"] in texts}
+        lengths = {a["column"]: a["max_len"] for a in exact}
+        result.df = result.source = cast_kinds(result.df, kinds, lengths)
+        self.dataset.bind(result.name, result.df)
+        numbers = [a["ordinal"] for a in exact if kinds.get(a["column"])]
+        if numbers:
+            typed = result.df.select(*[F.col(quoted(result.df.columns[o])) for o in numbers])
+            for ordinal, row in zip(numbers, _by_ordinal(column_aggregates(typed, sketch).collect())):
+                exact[ordinal] = {**row, "ordinal": ordinal}
+        return exact
+
+    def _aggregate_sample(self, result: _TableResult) -> None:
+        if result.source is not result.df:
+            result.aggregates = _by_ordinal(column_aggregates(result.source).collect())
+            result.sample_rows = result.aggregates[0]["row_count"]
+
+    def _add_extremes(self, result: _TableResult) -> None:
+        for df, aggregates in [(result.df, result.exact)] + [(result.source, result.aggregates)] * (result.source is not result.df):
+            extremes = self._dated_extremes(result, df)
+            if extremes is not None:
+                _add_extremes(aggregates, extremes.first())
+
+    def _count_values(self, result: _TableResult) -> None:
+        frequencies = self._frequencies(result)
+        if frequencies is not None:
+            self._add_facts(result, frequencies.collect())
+
+    def _fill_bins(self, result: _TableResult) -> None:
+        self._plan_bins(result)
+        bins = self._bins(result)
+        if bins is not None:
+            result.counts = [{**row.asDict(), "table": result.name} for row in bins.collect()]
 
     def _take_sample(self, result: _TableResult) -> None:
         options = self.options
@@ -271,26 +302,22 @@ class _Run:
             result.facts.append(fact)
         result.top = [{**row.asDict(), "table": name} for row in summary if row["rank"] > 0]
 
-    def _classified(self) -> DataFrame:
-        facts = [fact for result in self._readable() for fact in result.facts]
-        return classify(local_frame(self.spark, facts, FACT_FIELDS))
+    def _classified(self, result: _TableResult) -> DataFrame:
+        return classify(local_frame(self.spark, result.facts, FACT_FIELDS))
 
-    def _plan_bins(self) -> None:
+    def _plan_bins(self, result: _TableResult) -> None:
         """Bounds and grains of the columns whose chart is a histogram."""
-        grains = self._date_grains()
-        by_name = {result.name: result for result in self._readable()}
-        for (table, ordinal), _ in grains.items():
-            by_name[table].facts[ordinal]["has_dates"] = True
-        charts = self._classified().where("chart = 'histogram'").select("table", "ordinal", "kind")
-        for table, ordinal, kind in charts.collect():
-            result = by_name[table]
+        grains = self._date_grains(result)
+        for ordinal in grains:
+            result.facts[ordinal]["has_dates"] = True
+        charts = self._classified(result).where("chart = 'histogram'").select("ordinal", "kind")
+        for ordinal, kind in charts.collect():
             fact = result.facts[ordinal]
             if kind in DATE_KINDS:
-                result.grains.append({"table": table, "ordinal": ordinal, "grain": grains[table, ordinal]})
+                result.grains.append({"table": result.name, "ordinal": ordinal, "grain": grains[ordinal]})
             else:
                 low, high = (fact["exact_" + n] if fact["approx"] else fact[n] for n in ("min_num", "max_num"))
-                bounds = {"table": table, "ordinal": ordinal, "lo": low, "hi": high}
-                result.bounds.append(bounds)
+                result.bounds.append({"table": result.name, "ordinal": ordinal, "lo": low, "hi": high})
 
     def _bins(self, result: _TableResult) -> DataFrame | None:
         specs: list[NumericBins | DateBuckets] = []
@@ -304,14 +331,14 @@ class _Run:
         specs += [DateBuckets(result.facts[g["ordinal"]]["column"], g["grain"]) for g in result.grains]
         return bin_counts(result.source, specs) if specs else None
 
-    def _date_grains(self) -> dict[tuple[str, int], str]:
+    def _date_grains(self, result: _TableResult) -> dict[int, str]:
         """Grain of the time histogram of every column with dates.
 
         The extremes already known give the span. Text whose first or last value in text
         order does not parse is scanned for the first and last value that does.
         """
         rows = (
-            self._classified()
+            self._classified(result)
             .where(F.col("kind").isin(*DATE_KINDS) & (F.col("count") > 0))
             .selectExpr(
                 "table",
@@ -320,25 +347,18 @@ class _Run:
                 f"({iso_seconds(whole('max_text'))}) / {SECONDS_PER_DAY} AS last_day",
             )
         )
-        spans = {(row["table"], row["ordinal"]): row.asDict() for row in rows.collect()}
-        unparsed = {k: s for k, s in spans.items() if s["first_day"] is None or s["last_day"] is None}
-
-        def scan(result: _TableResult) -> DataFrame | None:
-            moments = [
-                (o, instant_of(result.source.columns[o], result.source.schema.fields[o].dataType))
-                for table, o in unparsed
-                if table == result.name
-            ]
+        spans = {row["ordinal"]: row.asDict() for row in rows.collect()}
+        unparsed = [o for o, s in spans.items() if s["first_day"] is None or s["last_day"] is None]
+        if unparsed:
+            fields = result.source.schema.fields
+            moments = [(o, instant_of(fields[o].name, fields[o].dataType)) for o in unparsed]
             extremes = [F.min(m).alias(f"first_{o}") for o, m in moments] + [F.max(m).alias(f"last_{o}") for o, m in moments]
-            return result.source.agg(*extremes) if extremes else None
-
-        for result, found in self._collect(scan):
-            for table, o in unparsed:
-                if table == result.name:
-                    spans[table, o] |= {"first_day": found[0][f"first_{o}"], "last_day": found[0][f"last_{o}"]}
+            found = result.source.agg(*extremes).first()
+            for o in unparsed:
+                spans[o] |= {"first_day": found[f"first_{o}"], "last_day": found[f"last_{o}"]}
         dated = local_frame(self.spark, spans.values(), SPAN_FIELDS)
-        grains = dated.select("table", "ordinal", date_grain(F.col("last_day") - F.col("first_day")).alias("grain"))
-        return {(row["table"], row["ordinal"]): row["grain"] for row in grains.collect() if row["grain"] is not None}
+        grains = dated.select("ordinal", date_grain(F.col("last_day") - F.col("first_day")).alias("grain"))
+        return {row["ordinal"]: row["grain"] for row in grains.collect() if row["grain"] is not None}
 
 
 def _add_extremes(aggregates: list[dict], extremes: Row) -> None:
@@ -351,13 +371,6 @@ def _by_ordinal(rows: list[Row]) -> list[dict]:
     return sorted((row.asDict() for row in rows), key=lambda row: row["ordinal"])
 
 
-def _try_collect(frame: DataFrame) -> tuple[list[Row], BaseException | None]:
-    try:
-        return frame.collect(), None
-    except Exception as error:  # a broken file only shows when it is read
-        return [], error
-
-
 def table_catalog(dataset: Dataset) -> DataFrame:
     """Every table and view with its rows and columns, without profiling it.
 
@@ -368,7 +381,7 @@ def table_catalog(dataset: Dataset) -> DataFrame:
     for ordinal, relation in enumerate(dataset.relations()):
         known = f"{text_literal(relation.name)} AS table", f"'{relation.type}' AS type", f"{ordinal} AS ordinal"
         try:
-            df = dataset.open(relation.name)
+            df = dataset.stored(relation.name)
             rows = df.selectExpr("count(1) AS row_count")
             counts.append(rows.selectExpr(*known, "row_count", f"{len(df.columns)} AS column_count", "CAST(NULL AS string) AS error"))
         except UnreadableTable as error:
@@ -420,6 +433,10 @@ class DatasetProfile:
         ]
         return local_frame(self.spark, rows, TABLE_FIELDS)
 
+    def failed_steps(self) -> dict[str, str]:
+        """The pass in which each unreadable table failed."""
+        return {r.name: r.step for r in self._results if r.error is not None}
+
     @cached_property
     def _calibrated(self) -> DataFrame:
         return calibrate(classify(self._rows("facts", FACT_FIELDS)))

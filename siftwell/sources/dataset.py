@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -54,12 +54,16 @@ class Dataset:
         name: str = "dataset",
         size_bytes: int | None = None,
         declared_types: Mapping[str, Mapping[str, str]] | None = None,
+        untyped: Iterable[str] = (),
     ):
+        """``untyped`` names members whose text columns get types from their values, when they are first profiled or opened."""
         self.spark = spark
         self.name = name
         self._measure: Callable[[], int | None] = lambda: size_bytes
         self.constraints = constraints or Constraints()
         self.declared_types = declared_types or {}
+        self._untyped = set(untyped)
+        self._stored: dict[str, DataFrame] = {}
         self._opened: dict[str, DataFrame] = {}
         self._loading: set[str] = set()
         self._relations: dict[str, Relation] = {}
@@ -99,13 +103,12 @@ class Dataset:
         def loader(table: str, entry: str | None) -> Callable[[], DataFrame]:
             def load() -> DataFrame:
                 target = f"{base}/{entry or table + '.' + fmt}"
-                df = spark.read.format(fmt).options(**options).load(target)
-                return cast_untyped(df) if untyped else df
+                return spark.read.format(fmt).options(**options).load(target)
 
             return load
 
         sources = {table: loader(table, entry) for table, entry in members.items()}
-        dataset = cls(spark, sources, views, constraints, name or base.rsplit("/", 1)[-1])
+        dataset = cls(spark, sources, views, constraints, name or base.rsplit("/", 1)[-1], untyped=members if untyped else ())
         if tables is None:
             dataset._measure = lambda: _directory_bytes(spark, base)
         return dataset
@@ -157,17 +160,37 @@ class Dataset:
     def relation(self, name: str) -> Relation:
         return self._relations[name]
 
-    def open(self, name: str) -> DataFrame:
-        """The rows of a table or view."""
-        if name not in self._opened:
+    def stored(self, name: str) -> DataFrame:
+        """The rows of a table or view; columns of untyped members are text until their types are known."""
+        if name in self._opened:
+            return self._opened[name]
+        if name not in self._stored:
             if name not in self._relations:
                 raise UnreadableTable(f"no such table: {name}")
             try:
-                self._opened[name] = self._relations[name].load()
+                self._stored[name] = self._relations[name].load()
+            except Exception as error:
+                raise UnreadableTable(first_line(error)) from error
+        return self._stored[name]
+
+    def open(self, name: str) -> DataFrame:
+        """The rows of a table or view. An untyped member that was not profiled yet is read for its types."""
+        if name not in self._opened:
+            df = self.stored(name)
+            try:
+                self.bind(name, cast_untyped(df) if name in self._untyped else df)
             except Exception as error:
                 raise UnreadableTable(first_line(error)) from error
         return self._opened[name]
 
+    def is_untyped(self, name: str) -> bool:
+        """Whether the types of a member are still to be found."""
+        return name in self._untyped and name not in self._opened
+
+    def bind(self, name: str, df: DataFrame) -> None:
+        """The frame by which a member is known from now on."""
+        self._opened[name] = df
+
     def foreign_keys(self) -> list[ResolvedKey]:
         """Resolved keys of the tables of the dataset, by table name; views carry none.
 

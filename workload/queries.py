@@ -254,9 +254,9 @@ def untyped_kind(spark, sf_dir):
 
 @query
 def untyped_profile(spark, sf_dir):
-    """Text columns that hold only numbers are profiled as numbers."""
-    typed = value_types.cast_untyped(derived(spark, sf_dir, "untyped_orders"))
-    return rounded_profile(profile_table(typed, "untyped_orders", options=EXACT).columns)
+    """Text columns that hold only numbers are profiled as numbers, by the types of the first pass."""
+    data = Dataset.from_frames(spark, {"untyped_orders": derived(spark, sf_dir, "untyped_orders")}, untyped=["untyped_orders"])
+    return rounded_profile(profile_dataset(data, EXACT).columns)
 
 
 @query
