@@ -81,6 +81,23 @@ def declared_kind(declared: Column) -> Column:
     return kind
 
 
+# Kinds that a declared type may give to a column of a Spark type; others do not fit its values.
+FITTING_KINDS = {
+    "integer": ("integer", "real", "boolean"),
+    "real": ("real",),
+    "boolean": ("boolean",),
+    "date": ("date", "datetime"),
+    "datetime": ("date", "datetime"),
+    "text": ("text", "blob"),
+    "blob": ("blob",),
+}
+
+
+def fitting_kind(kind: str, declared: str | None) -> str:
+    """Kind of a column: that of its declared type where the values can be taken so, else that of its Spark type."""
+    return declared if declared in FITTING_KINDS.get(kind, ()) else kind
+
+
 def _lexical_type(value: str, integer, real, date, boolean, text) -> str:
     # Patterns are only tried on values whose first character or length allows a match.
     return (

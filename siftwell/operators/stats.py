@@ -120,6 +120,12 @@ def uniqueness(column_profile: DataFrame) -> DataFrame:
     )
 
 
+def all_distinct(column_profile: DataFrame) -> DataFrame:
+    """Columns without repeats that no primary key announces; estimates do not count."""
+    every = (F.col("count") > 0) & (F.col("distinct_count") == F.col("count"))
+    return column_profile.where(every & ~F.col("approx") & ~F.col("pk")).select("table", "column", "count")
+
+
 def value_shares(top_values: DataFrame, column_profile: DataFrame) -> DataFrame:
     """Share of each top value among all rows and among the non-null values."""
     totals = column_profile.select("table", "column", "count", (F.col("count") + F.col("null_count")).alias("rows"))

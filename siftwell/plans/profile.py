@@ -18,6 +18,7 @@ does not hold up the others. Jobs carry a tag of the run and a description with
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.iso import SECONDS_PER_DAY, iso_seconds
-from siftwell.functions.kinds import DATE_BIT, DATE_KINDS, DATETIME_BIT, kind_of_type, value_class
+from siftwell.functions.kinds import DATE_BIT, DATE_KINDS, DATETIME_BIT, declared_kind, fitting_kind, kind_of_type, value_class
 from siftwell.functions.names import quoted
 from siftwell.operators import findings as findings_ops
 from siftwell.operators import ranking
@@ -278,6 +279,7 @@ class _Run:
         targets = {a: key.target for key in self.keys if key.table == name for a, _ in key.pairs}
         declared = self.dataset.declared_types.get(name, {})
         sampled = result.source is not result.df
+        kinds = self._declared_kinds(declared)
         for a in result.aggregates:
             data_type = result.source.schema.fields[a["ordinal"]].dataType
             fact = {
@@ -285,7 +287,7 @@ class _Run:
                 "table": name,
                 "type": result.relation.type,
                 "declared_type": declared.get(a["column"], data_type.simpleString()) or "(none)",
-                "base_kind": kind_of_type(data_type),
+                "base_kind": fitting_kind(kind_of_type(data_type), kinds.get(a["column"])),
                 "pk": a["column"] in constraints.primary_key(name),
                 "not_null": a["column"] in constraints.not_null.get(name, ()),
                 "generated": a["column"] in constraints.generated.get(name, ()),
@@ -302,6 +304,11 @@ class _Run:
             result.facts.append(fact)
         result.top = [{**row.asDict(), "table": name} for row in summary if row["rank"] > 0]
 
+    def _declared_kinds(self, declared: Mapping[str, str]) -> dict[str, str]:
+        """Kinds of the columns whose types are declared beside the data."""
+        names = local_frame(self.spark, [{"column": n, "declared": t} for n, t in declared.items()], {"column": "string", "declared": "string"})
+        return {row["column"]: row["kind"] for row in names.select("column", declared_kind(F.col("declared")).alias("kind")).collect()} if declared else {}
+
     def _classified(self, result: _TableResult) -> DataFrame:
         return classify(local_frame(self.spark, result.facts, FACT_FIELDS))
 

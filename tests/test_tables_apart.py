@@ -76,3 +76,10 @@ def test_types_without_a_job_of_their_own(spark, monkeypatch):
     assert found["w"]["max"] == "9" * 20 and found["w"]["distinct_count"] == 3
     types = dict(data.open("t").dtypes)
     assert types == {"i": "bigint", "r": "double", "t": "string", "w": "decimal(38,0)", "odd `n": "string"} and not data.is_untyped("t")
+
+
+def test_declared_types_decide_where_they_fit(spark):
+    df = spark.createDataFrame([(0, 5, "x", 1.5), (1, 7, "y", 2.5)], "a int, b int, c string, d double")
+    data = Dataset.from_frames(spark, {"t": df}, declared_types={"t": {"a": "FLOAT", "b": "bool", "c": "INT", "d": "timestamp", "gone": "INT"}})
+    kinds = {r["column"]: r["kind"] for r in profile_dataset(data).columns.collect()}
+    assert kinds == {"a": "real", "b": "boolean", "c": "text", "d": "real"}

@@ -301,7 +301,7 @@ found AS (
 # -- report ---------------------------------------------------------------------------
 
 
-def markdown() -> str:
+def markdown(select: str = "SELECT line, count(*) AS times FROM lines GROUP BY line") -> str:
     tables = ["customer", "nation", "orders", "region"]
     pks = {c for t in tables for c in PRIMARY_KEYS[t]}
     body = profiled(facts(tables))
@@ -340,7 +340,7 @@ def markdown() -> str:
     || ' | ' || CASE col {types} END || ' | ' || kind || ' | ' || format('{{:,}}', dist) || ' | '
     || CAST(floor(nullf * 100 + 0.5) AS INTEGER) || '% | ' || coalesce({SHOWN_MIN}, '') || ' | '
     || coalesce({SHOWN_MAX}, '') || ' |' FROM prof)
-SELECT line, count(*) AS times FROM lines GROUP BY line"""
+{select}"""
 
 
 # -- the registry ---------------------------------------------------------------------
@@ -437,6 +437,23 @@ ORACLE: dict[str, str] = {
   WHEN upper(declared) LIKE '%BLOB%' THEN 'blob'
   WHEN upper(declared) LIKE '%REAL%' OR upper(declared) LIKE '%FLOA%' OR upper(declared) LIKE '%DOUB%' THEN 'real'
   ELSE 'unknown' END AS kind, count(*) AS column_count FROM {derived('declared_columns')} GROUP BY 1""",
+    "declared_type_kinds": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{declared}' AS declared_type, '{kind}' AS kind, count({c}) AS count, count(DISTINCT {c}) AS distinct_count FROM part"
+        for c, declared, kind in (
+            ("p_partkey", "BOOLEAN", "boolean"),
+            ("p_size", "DOUBLE PRECISION", "real"),
+            ("p_name", "BLOB", "blob"),
+            ("p_type", "VARCHAR(25)", "text"),
+            ("p_brand", "INTEGER", "text"),
+            ("p_retailprice", "POINT", "real"),
+        )
+    ),
+    "column_flags": " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {c in ('o_orderkey', 'c_custkey')} AS pk, {c in ('o_orderkey', 'o_orderdate', 'c_custkey')} AS not_null, "
+        f"{c == 'o_totalprice'} AS generated, {repr('customer.c_custkey') if c == 'o_custkey' else 'NULL'} AS fk, count(*) - count({c}) AS null_count FROM {t}"
+        for t in ("orders", "customer")
+        for c, _ in fields(SCHEMAS[t])
+    ),
     "unreadable_table": """SELECT 'orders' AS "table", 'table' AS type, count(*) AS row_count,
   CAST(6 AS INTEGER) AS column_count, false AS unreadable FROM orders
 UNION ALL SELECT 'broken_view', 'view', 0, 0, true""",
@@ -454,6 +471,7 @@ WHERE o_orderstatus = 'F' GROUP BY n_name""",
   END AS INTEGER) AS bins FROM prof""",
     ),
     "profile_markdown": markdown(),
+    "markdown_lines": markdown("SELECT CAST(row_number() OVER (ORDER BY a, b, c) AS BIGINT) AS position, line FROM lines"),
     "null_profile": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) AS row_count, count({c}) AS count, count(*) - count({c}) AS null_count, "
         f"(count(*) - count({c})) / CAST(count(*) AS DOUBLE) AS null_fraction FROM {derived('orders_dirty')}"
@@ -563,6 +581,11 @@ FROM (SELECT epoch(max(o_orderdate) - min(o_orderdate)) / 86400.0 AS d FROM orde
         ["customer", "part"],
         f"""SELECT tbl AS "table", col AS "column", round(dist / CAST(cnt AS DOUBLE), 6) AS uniqueness,
   {percent_label('(dist / CAST(cnt AS DOUBLE))')} AS label, dist = cnt AS all_distinct FROM prof WHERE cnt > 0""",
+    ),
+    "all_distinct": profile_of(
+        ["customer", "part", "supplier"],
+        """SELECT tbl AS "table", col AS "column", cnt AS count FROM prof
+WHERE cnt > 0 AND dist = cnt AND col NOT IN ('c_custkey', 'p_partkey', 's_suppkey')""",
     ),
     "value_share": shares(),
     "percent_labels": f"""SELECT o_orderstatus, {percent_label('f')} AS label FROM (

@@ -90,6 +90,27 @@ def declared_kinds(spark, sf_dir):
     return columns.groupBy(declared_kind(F.col("declared")).alias("kind")).agg(F.count(F.lit(1)).alias("column_count"))
 
 
+@query
+def declared_type_kinds(spark, sf_dir):
+    """Declared types decide the kind where the values can be taken so; a brand is no number."""
+    types = {"p_partkey": "BOOLEAN", "p_size": "DOUBLE PRECISION", "p_name": "BLOB", "p_type": "VARCHAR(25)", "p_brand": "INTEGER", "p_retailprice": "POINT"}
+    data = Dataset.from_frames(spark, {"part": table(spark, sf_dir, "part")}, declared_types={"part": types})
+    return profile_dataset(data, EXACT).columns.select("column", "declared_type", "kind", "count", "distinct_count")
+
+
+@query
+def column_flags(spark, sf_dir):
+    """Primary keys, references, not-null and generated columns as the profile shows them."""
+    constraints = Constraints(
+        {"orders": ("o_orderkey",), "customer": ("c_custkey",)},
+        [ForeignKey("orders", ("o_custkey",), "customer")],
+        not_null={"orders": ("o_orderkey", "o_orderdate"), "customer": ("c_custkey",)},
+        generated={"orders": ("o_totalprice",)},
+    )
+    data = Dataset.from_dir(spark, sf_dir, tables=["orders", "customer"], constraints=constraints)
+    return profile_dataset(data, EXACT).columns.select("table", "column", "pk", "not_null", "generated", "fk", "null_count")
+
+
 @query
 def unreadable_table(spark, sf_dir):
     """A broken view is a row with an error; the table beside it is profiled."""
@@ -140,6 +161,14 @@ def profile_markdown(spark, sf_dir):
     return body.groupBy("line").agg(F.count(F.lit(1)).alias("times"))
 
 
+@query
+def markdown_lines(spark, sf_dir):
+    """The same lines in their order."""
+    lines = markdown_of(profile_dataset(dataset(spark, sf_dir, ["customer", "nation", "orders", "region"]), EXACT))
+    body = lines.where("line_no > 2 AND NOT startswith(line, '- **File size')")
+    return body.selectExpr("CAST(row_number() OVER (ORDER BY line_no) AS bigint) AS position", "line")
+
+
 # -- per-column aggregates ------------------------------------------------------------
 
 
@@ -426,6 +455,12 @@ def uniqueness(spark, sf_dir):
     return found.withColumn("uniqueness", F.round("uniqueness", 6))
 
 
+@query
+def all_distinct(spark, sf_dir):
+    """Columns without repeats that are no primary keys."""
+    return stats.all_distinct(profile_dataset(dataset(spark, sf_dir, ["customer", "part", "supplier"]), EXACT).columns)
+
+
 @query
 def value_share(spark, sf_dir):
     found = profile_table(derived(spark, sf_dir, "sparse_priorities"), "sparse_priorities", options=EXACT)
