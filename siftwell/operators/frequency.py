@@ -4,12 +4,13 @@ Columns of one type class are unpivoted to ``(column, value)`` and counted toget
 values in their own type (as text, 10 would sort before 9). Counting starts before the
 shuffle, and the shuffle is keyed by column *and* value, so neither a hot value nor a
 column of few values ends up in one task. The per-column totals and the top values read
-the same shuffle: Spark reuses the exchange.
+the same shuffle: Spark reuses the exchange. Totals can be split by the bins of a histogram,
+which then needs no scan: a value is binned once, however many rows hold it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from siftwell.functions.kinds import clean, value_class
 from siftwell.functions.labels import plain_number
 from siftwell.functions.names import column, quoted
+from siftwell.operators.histogram import DateBuckets, NumericBins, bin_of
 
 TOP_VALUES = 12
 SHORT = 64  # bytes of a text that is shuffled as it is
@@ -30,6 +32,7 @@ SUMMARY_FIELDS = {
     "value_num": "double",
     "value_count": "bigint",
     "distinct_count": "bigint",
+    "bin": "int",
 }
 
 
@@ -76,28 +79,30 @@ def frequency_summary(
     names: Iterable[str] | None = None,
     unique: Iterable[str] = (),
     top: int = TOP_VALUES,
+    bins: Iterable[NumericBins | DateBuckets] = (),
 ) -> DataFrame:
-    """Distinct count and top values of the columns.
+    """Distinct count and top values of the columns, and histograms of those in ``bins``.
 
-    One row per column with rank 0 carries ``distinct_count``; ranks 1 … ``top`` are the
-    most frequent values, ties in value order. Columns declared ``unique`` are not
+    One row per column with rank 0 carries ``distinct_count``, for columns in ``bins`` one per bin
+    that has values (and one without a bin for dates that do not parse); ``value_count`` are its rows.
+    Ranks 1 … ``top`` are the most frequent values, ties in value order. Columns declared ``unique`` are not
     grouped: their first values in order have count 1 and their distinct count is their
     non-null count, which the caller already has (no rank 0 row).
     """
     names = list(df.columns if names is None else names)
     unique = set(unique)
+    specs = {spec.name: spec for spec in bins}
     parts = []
     for data_type, counted in frequency_tables(df, [n for n in names if n not in unique]):
-        # The sum keeps ``n`` alive here so both branches share one exchange.
-        totals = counted.groupBy("ordinal").agg(F.expr("count(1) AS distinct"), F.expr("sum(n) AS n"))
         parts.append(
-            totals.selectExpr(
+            _binned(df, counted, data_type, specs).selectExpr(
                 "CAST(ordinal AS int) AS ordinal",
                 "0 AS rank",
                 "CAST(NULL AS string) AS value",
                 "CAST(NULL AS double) AS value_num",
                 "n AS value_count",
-                "distinct AS distinct_count",
+                "distinct_count",
+                "bin",
             )
         )
         if isinstance(data_type, (T.ArrayType, T.StructType, T.MapType)):
@@ -123,9 +128,29 @@ def _top_rows(ranked: DataFrame, data_type: T.DataType) -> DataFrame:
         f"{value_number('value', data_type)} AS value_num",
         "n AS value_count",
         "CAST(NULL AS bigint) AS distinct_count",
+        "CAST(NULL AS int) AS bin",
     )
 
 
+def _binned(df: DataFrame, counted: DataFrame, data_type: T.DataType, specs: Mapping[str, NumericBins | DateBuckets]) -> DataFrame:
+    """ordinal, bin, n, distinct_count of counted values; the bin of columns without a histogram is NULL."""
+    index = F.lit(None).cast("int")
+    for ordinal, field in enumerate(df.schema.fields):
+        if field.name in specs and value_class(field.dataType) == value_class(data_type):
+            index = F.when(F.col("ordinal") == str(ordinal), bin_of("value", field.dataType, specs[field.name])).otherwise(index)
+    # The sum keeps ``n`` alive here so that this and the top values share one exchange.
+    return counted.groupBy("ordinal", index.alias("bin")).agg(F.expr("sum(n) AS n"), F.expr("count(1) AS distinct_count"))
+
+
+def bin_values(df: DataFrame, specs: Sequence[NumericBins | DateBuckets]) -> DataFrame:
+    """column, bin, count, distinct_count: rows and different values in each bin that has any, from counted values."""
+    labels = F.create_map(*[x for i, n in enumerate(df.columns) for x in (F.lit(str(i)), F.lit(n))])
+    wanted = {spec.name: spec for spec in specs}
+    parts = [_binned(df, counted, data_type, wanted) for data_type, counted in frequency_tables(df, wanted)]
+    found = reduce(DataFrame.unionAll, parts).where("bin IS NOT NULL")
+    return found.select(labels[F.col("ordinal")].alias("column"), "bin", F.col("n").alias("count"), "distinct_count")
+
+
 def _first_values(df: DataFrame, name: str, top: int) -> DataFrame:
     """First values in order of a unique column: a bounded heap per task, no grouping."""
     value = clean(name, df.schema[name].dataType)

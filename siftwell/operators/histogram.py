@@ -1,8 +1,9 @@
 """Histograms: equal-width bins of numbers and time buckets of dates.
 
-Bounds come from the exact aggregates and enter as literals, so every row is binned by an
-expression and all charted columns of a table are counted in one scan. What is shuffled
-is one partial count per task, column and bin.
+Bounds come from the exact aggregates and enter as literals, so values are binned by an
+expression. ``bin_counts`` bins the rows of all given columns in one scan; a profile bins the
+distinct values that it has counted anyway (``siftwell.operators.frequency``) and scans nothing.
+What is shuffled is one partial count per task, column and bin.
 """
 
 from __future__ import annotations
@@ -77,7 +78,10 @@ def date_grain(span_days: Column) -> Column:
 
 def day_of(name: str, data_type: T.DataType) -> Column:
     """Day number of a date, timestamp or ISO text column."""
-    value = quoted(name)
+    return day_of_value(quoted(name), data_type)
+
+
+def day_of_value(value: str, data_type: T.DataType) -> Column:
     return F.expr(iso_day(value) if isinstance(data_type, T.StringType) else f"unix_date(CAST({value} AS date))")
 
 
@@ -92,16 +96,22 @@ def instant_of(name: str, data_type: T.DataType) -> Column:
     return F.expr(f"unix_date(CAST({value} AS date)) + ({clock}) / {SECONDS_PER_DAY}")
 
 
-def numeric_bin(data_type: T.DataType, bins: NumericBins) -> Column:
-    """Index of the bin of a value; the maximum falls into the last bin."""
-    value = clean(bins.name, data_type)
+def bin_of(value: str, data_type: T.DataType, spec: NumericBins | DateBuckets) -> Column:
+    """Bin of a cleaned value of a column of the given type."""
+    if isinstance(spec, NumericBins):
+        return numeric_bin(value, data_type, spec)
+    return bucket_of_day(day_of_value(value, data_type), spec.grain)
+
+
+def numeric_bin(value: str, data_type: T.DataType, bins: NumericBins) -> Column:
+    """Index of the bin of a value; the maximum falls into the last bin, NULL into none."""
     if isinstance(data_type, T.IntegralType) and bins.high - bins.low <= LONG_RANGE:
         # Subtract as integers: beyond 2^53 neighbours are equal as doubles.
         offset = F.expr(f"CAST({value} - CAST('{int(bins.low)}' AS bigint) AS double)")
     else:
         offset = F.expr(f"CAST({value} AS double)") - F.lit(float(bins.low))
     index = F.floor(offset * BINS / F.lit(bins.width))
-    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), index)).cast("int")
+    return F.when(index.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(BINS - 1), index))).cast("int")
 
 
 def bucket_of_day(day: Column, grain: str) -> Column:
@@ -132,11 +142,7 @@ def bin_counts(df: DataFrame, specs: Sequence[NumericBins | DateBuckets]) -> Dat
     indexes = []
     for spec in specs:
         data_type = df.schema[spec.name].dataType
-        index = (
-            numeric_bin(data_type, spec)
-            if isinstance(spec, NumericBins)
-            else bucket_of_day(day_of(spec.name, data_type), spec.grain)
-        )
+        index = bin_of(clean(spec.name, data_type), data_type, spec)
         indexes.append(index.alias(str(df.columns.index(spec.name))))
     projected = df.select(*indexes)
     if len(indexes) == 1:

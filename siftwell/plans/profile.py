@@ -3,10 +3,11 @@
 Per table, the data is scanned for
 
 1. the exact aggregates of all columns (one ungrouped aggregate),
-2. the value frequencies (one shuffle per type class, counted before it), and
-3. the histograms, with bounds and charts known from 1 and 2 (one scan for all columns).
+2. the value frequencies (one shuffle per type class, counted before it). Bounds and grains are known from 1, so
+   the counted values are binned on their way to the distinct counts, and histograms need no scan.
 
-Tables above ``sample_above`` rows take 2 and 3 from a random sample; 1 is always exact.
+Columns that 2 does not count, those declared unique and trusted, are scanned for their bins.
+Tables above ``sample_above`` rows take 2 from a random sample; 1 is always exact.
 Only results with a row per column, bin or top value come back to the driver, where they
 become local frames; classification, calibration, findings and rankings are column
 expressions over those, for all tables at once.
@@ -18,6 +19,7 @@ does not hold up the others. Jobs carry a tag of the run and a description with
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -169,6 +171,7 @@ class _Run:
             "sample": self._take_sample,
             "sample aggregates": self._aggregate_sample,
             "text extremes": self._add_extremes,
+            "bounds": self._plan_bins,
             "value frequencies": self._count_values,
             "histograms": self._fill_bins,
         }
@@ -230,15 +233,22 @@ class _Run:
                 _add_extremes(aggregates, extremes.first())
 
     def _count_values(self, result: _TableResult) -> None:
-        frequencies = self._frequencies(result)
-        if frequencies is not None:
-            self._add_facts(result, frequencies.collect())
+        if result.facts:
+            filled = [fact["column"] for fact in result.facts if fact["count"]]
+            summary = frequency_summary(result.source, filled, self._unique(result), bins=self._bins(result))
+            self._add_counts(result, [row.asDict() for row in summary.collect()])
 
     def _fill_bins(self, result: _TableResult) -> None:
-        self._plan_bins(result)
-        bins = self._bins(result)
-        if bins is not None:
-            result.counts = [{**row.asDict(), "table": result.name} for row in bins.collect()]
+        """Keeps the bins of columns that are shown as histograms; those of columns that were not counted are scanned for."""
+        if not result.bounds and not result.grains:
+            return
+        charted = {row["ordinal"] for row in self._classified(result).where("chart = 'histogram'").select("ordinal").collect()}
+        result.bounds, result.grains, result.counts = (
+            [row for row in rows if row["ordinal"] in charted] for rows in (result.bounds, result.grains, result.counts)
+        )
+        missing = [spec for spec in self._bins(result) if spec.name in self._unique(result)]
+        if missing:
+            result.counts += [{**row.asDict(), "table": result.name} for row in bin_counts(result.source, missing).collect()]
 
     def _take_sample(self, result: _TableResult) -> None:
         options = self.options
@@ -267,15 +277,9 @@ class _Run:
             return set()
         return self._constraints(result).unique_columns(result.name) & set(result.source.columns)
 
-    def _frequencies(self, result: _TableResult) -> DataFrame | None:
-        if not result.aggregates:
-            return None
-        filled = [a["column"] for a in result.aggregates if a["count"]]
-        return frequency_summary(result.source, filled, self._unique(result))
-
-    def _add_facts(self, result: _TableResult, summary: list[Row]) -> None:
+    def _add_facts(self, result: _TableResult) -> None:
+        """What is known of each column before its values are counted."""
         name, constraints, unique = result.name, self._constraints(result), self._unique(result)
-        distinct = {row["ordinal"]: row["distinct_count"] for row in summary if row["rank"] == 0}
         targets = {a: key.target for key in self.keys if key.table == name for a, _ in key.pairs}
         declared = self.dataset.declared_types.get(name, {})
         sampled = result.source is not result.df
@@ -293,7 +297,7 @@ class _Run:
                 "generated": a["column"] in constraints.generated.get(name, ()),
                 "fk": targets.get(a["column"]),
                 "is_unique": a["column"] in unique,
-                "distinct_count": a["count"] if a["column"] in unique else distinct.get(a["ordinal"], 0 if value_class(data_type) else None),
+                "distinct_count": a["count"] if a["column"] in unique else None,
                 "has_dates": False,
                 "approx": sampled,
             }
@@ -302,7 +306,23 @@ class _Run:
                 fact |= {f"exact_{k}": whole[k] for k in EXACT_FIGURES}
                 fact |= {"total_rows": whole["row_count"], "exact_mask": whole["type_mask"]}
             result.facts.append(fact)
-        result.top = [{**row.asDict(), "table": name} for row in summary if row["rank"] > 0]
+
+    def _add_counts(self, result: _TableResult, summary: list[dict]) -> None:
+        """Distinct counts, top values and bins of the counted values; a column's distinct count is the sum over its bins."""
+        counted = Counter()
+        for row in summary:
+            if row["rank"] == 0:
+                counted[row["ordinal"]] += row["distinct_count"]
+        for fact in result.facts:
+            data_type = result.source.schema.fields[fact["ordinal"]].dataType
+            if not fact["is_unique"] and value_class(data_type):
+                fact["distinct_count"] = counted[fact["ordinal"]]
+        result.top = [{**row, "table": result.name} for row in summary if row["rank"] > 0]
+        result.counts = [
+            {"table": result.name, "ordinal": row["ordinal"], "bin": row["bin"], "n": row["value_count"]}
+            for row in summary
+            if row["bin"] is not None
+        ]
 
     def _declared_kinds(self, declared: Mapping[str, str]) -> dict[str, str]:
         """Kinds of the columns whose types are declared beside the data."""
@@ -313,7 +333,10 @@ class _Run:
         return classify(local_frame(self.spark, result.facts, FACT_FIELDS))
 
     def _plan_bins(self, result: _TableResult) -> None:
-        """Bounds and grains of the columns whose chart is a histogram."""
+        """Bounds and grains of the columns whose chart is a histogram unless their distinct counts turn out to be few."""
+        if not result.aggregates:
+            return
+        self._add_facts(result)
         grains = self._date_grains(result)
         for ordinal in grains:
             result.facts[ordinal]["has_dates"] = True
@@ -326,7 +349,7 @@ class _Run:
                 low, high = (fact["exact_" + n] if fact["approx"] else fact[n] for n in ("min_num", "max_num"))
                 result.bounds.append({"table": result.name, "ordinal": ordinal, "lo": low, "hi": high})
 
-    def _bins(self, result: _TableResult) -> DataFrame | None:
+    def _bins(self, result: _TableResult) -> list[NumericBins | DateBuckets]:
         specs: list[NumericBins | DateBuckets] = []
         for b in result.bounds:
             fact = result.facts[b["ordinal"]]
@@ -335,8 +358,7 @@ class _Run:
             texts = [fact["exact_" + n] if fact["approx"] else fact[n] for n in ("min_text", "max_text")]
             low, high = map(int, texts) if whole else (b["lo"], b["hi"])
             specs.append(NumericBins(fact["column"], low, high))
-        specs += [DateBuckets(result.facts[g["ordinal"]]["column"], g["grain"]) for g in result.grains]
-        return bin_counts(result.source, specs) if specs else None
+        return specs + [DateBuckets(result.facts[g["ordinal"]]["column"], g["grain"]) for g in result.grains]
 
     def _date_grains(self, result: _TableResult) -> dict[int, str]:
         """Grain of the time histogram of every column with dates.

@@ -174,6 +174,19 @@ bins AS (SELECT CAST(i AS INTEGER) AS bin, mn + i * (rg / 24) AS lo,
   FROM range(24) AS r(i) CROSS JOIN m LEFT JOIN b ON b.bin = r.i)"""
 
 
+def values_per_bin() -> str:
+    """Rows and different values of each bin of two numeric columns and of each month of a date column."""
+    parts = [
+        f"""SELECT '{c}' AS "column", CAST(least(23, floor((CAST({c} AS DOUBLE) - mn) * 24 / rg)) AS INTEGER) AS bin,
+count(*) AS count, count(DISTINCT {c}) AS distinct_count FROM lineitem, (SELECT CAST(min({c}) AS DOUBLE) AS mn,
+CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE) AS rg FROM lineitem) WHERE {c} IS NOT NULL GROUP BY 2"""
+        for c in ("l_extendedprice", "l_partkey")
+    ]
+    parts.append("""SELECT 'l_shipdate', CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INTEGER), count(*),
+count(DISTINCT l_shipdate) FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 2""")
+    return " UNION ALL ".join(parts)
+
+
 def date_bins(relation: str, c: str, unit: str, pattern: str, spark_format: str) -> str:
     return f"""
 WITH counts AS (SELECT CAST(date_trunc('{unit}', {c}) AS DATE) AS d, count(*) AS n FROM {relation}
@@ -522,6 +535,7 @@ GROUP BY ALL HAVING count(*) > 1""",
     "untyped_profile": untyped_profile(),
     "numeric_histogram": f"WITH {numeric_bins('lineitem', 'l_extendedprice')} "
     "SELECT bin, round(lo, 4) AS lo, round(hi, 4) AS hi, count FROM bins",
+    "values_per_bin": values_per_bin(),
     "histogram_integer": f"WITH {numeric_bins('documents', 'n_chars')} "
     f"SELECT bin, count, {label_number('lo')} || ' – ' || {label_number('hi')} AS label FROM bins",
     "histogram_labels": f"WITH {numeric_bins('events', 'value')} "

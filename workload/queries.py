@@ -299,6 +299,20 @@ def histogram_integer(spark, sf_dir):
     return histogram.numeric_histogram(table(spark, sf_dir, "documents"), "n_chars").select("bin", "count", "label")
 
 
+@query
+def values_per_bin(spark, sf_dir):
+    """Rows and different values per bin, both from one count of the values."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    numbers = ["l_extendedprice", "l_partkey"]
+    low, high, first, last = lineitem.agg(*[f(n) for n in numbers for f in (F.min, F.max)]).first()
+    specs = [
+        histogram.NumericBins(numbers[0], low, high),
+        histogram.NumericBins(numbers[1], first, last),
+        histogram.DateBuckets("l_shipdate", "month"),
+    ]
+    return frequency.bin_values(lineitem, specs)
+
+
 @query
 def histogram_labels(spark, sf_dir):
     return histogram.numeric_histogram(table(spark, sf_dir, "events"), "value").select("bin", "label", "count")
