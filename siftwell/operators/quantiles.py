@@ -101,48 +101,74 @@ def _literal(value) -> Column:
     return literal(value, T.TimestampNTZType()) if isinstance(value, datetime) else F.lit(value)
 
 
-def _inside(search: _Search) -> Column:
-    value = column(search.name)
-    if search.found is not None:
-        return value == _literal(search.found)
-    bounds = [value.isNotNull()]
-    if search.low is not None:
-        bounds.append(value > _literal(search.low))
-    if search.high is not None:
-        bounds.append(value < _literal(search.high))
-    return reduce(Column.__and__, bounds)
-
-
-def _place(value: Column, splitters: list, first: int = 0) -> Column:
-    """2 i before splitter i and 2 i + 1 at it, by halving."""
-    if not splitters:
-        return F.lit(first)
-    middle = len(splitters) // 2
-    at, number = _literal(splitters[middle]), first + 2 * middle
-    lower, upper = _place(value, splitters[:middle], first), _place(value, splitters[middle + 1 :], number + 2)
-    return F.when(value < at, lower).when(value > at, upper).otherwise(F.lit(number + 1))
+def _array(items: Sequence[Column], kind: str) -> Column:
+    return F.array(*items).cast(f"array<{kind}>")
+
+
+def _place(value: Column, splitters: Column, most: int) -> Column:
+    """2 i before splitter i and 2 i + 1 at it, by halving an array of at most ``most`` splitters."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+    return F.aggregate(
+        _array([F.lit(i) for i in steps], "int"),
+        F.lit(0),
+        lambda upto, step: F.when(F.get(splitters, upto + step - 1) <= value, upto + step).otherwise(upto),
+        lambda upto: F.when(F.get(splitters, upto - 1) == value, 2 * upto - 1).otherwise(2 * upto),
+    )
+
+
+def _number(values: DataFrame, ranges: Mapping[int, _Search]) -> Column:
+    """Of one column's disjoint ranges, the number of the one that holds a row's value; null where none does."""
+    name = next(iter(ranges.values())).name
+    bounds = sorted({b for s in ranges.values() for b in ((s.low, s.high) if s.found is None else (s.found,)) if b is not None})
+    at = {b: i for i, b in enumerate(bounds)}
+    numbers: list[int | None] = [None] * (2 * len(bounds) + 1)
+    for i, s in ranges.items():
+        if s.found is not None:
+            numbers[2 * at[s.found] + 1] = i
+        else:  # from bound to bound, with what lies between them
+            first = 0 if s.low is None else 2 * at[s.low] + 2
+            last = 2 * len(bounds) if s.high is None else 2 * at[s.high]
+            numbers[first : last + 1] = [i] * (last + 1 - first)
+    array = _array([_literal(b) for b in bounds], values.schema[name].dataType.simpleString())
+    place = _place(column(name), array, len(bounds))
+    return F.when(column(name).isNotNull(), F.get(_array([F.lit(i) for i in numbers], "int"), place))
+
+
+def _numbered(values: DataFrame, ranges: list[_Search]) -> tuple[DataFrame, list[str]]:
+    """Of each name's column the value and the number of its range: ``v0`` and ``n0`` for the first of the names."""
+    names = list(dict.fromkeys(s.name for s in ranges))
+    numbers = [_number(values, {i: s for i, s in enumerate(ranges) if s.name == n}) for n in names]
+    return values.select(*[column(n).alias(f"v{i}") for i, n in enumerate(names)], *[x.alias(f"n{i}") for i, x in enumerate(numbers)]), names
 
 
 def _cut(values: DataFrame, ranges: list[_Search]) -> list[tuple[list, dict[int, int]]]:
     """Splitters of every range and the rows at each place, from two scans: a sample and a count."""
-    anywhere = reduce(Column.__or__, [_inside(s) for s in ranges])
+    rows, names = _numbered(values, ranges)
+    shares = _array([F.lit(min(1.0, SPLITTERS * SAMPLE / s.rows)) for s in ranges], "double")
     drawn = [
-        F.when(_inside(s) & (F.rand(17 + i) < min(1.0, SPLITTERS * SAMPLE / s.rows)), column(s.name)).alias(f"r{i}")
-        for i, s in enumerate(ranges)
-    ]
-    any_drawn = reduce(Column.__or__, [F.col(f"r{i}").isNotNull() for i in range(len(ranges))])
-    sample = values.where(anywhere).select(*drawn).where(any_drawn).collect()  # a few thousand rows for each range
-    picked = []
-    for i in range(len(ranges)):
-        own = sorted(r[i] for r in sample if r[i] is not None)
-        picked.append(sorted({own[len(own) * j // (SPLITTERS + 1)] for j in range(1, SPLITTERS + 1)} if own else ()))
-    places = [
-        F.when(_inside(s), F.struct(F.lit(i).alias("i"), _place(column(s.name), picked[i]).alias("place")))
-        for i, s in enumerate(ranges)
+        F.when(F.rand(17 + i) < F.get(shares, F.col(f"n{i}")), F.struct(F.col(f"n{i}").alias("i"), F.col(f"v{i}").alias("value"))).alias(f"r{i}")
+        for i in range(len(names))
     ]
-    found = values.where(anywhere).select(F.explode(F.array_compact(F.array(*places))).alias("x"))
+    any_drawn = reduce(Column.__or__, [F.col(f"r{i}").isNotNull() for i in range(len(names))])
+    own: list[list] = [[] for _ in ranges]
+    for r in rows.select(*drawn).where(any_drawn).collect():  # a few thousand rows for each range
+        for x in r:
+            if x is not None:
+                own[x["i"]].append(x["value"])
+    for x in own:
+        x.sort()
+    picked = [sorted({x[len(x) * j // (SPLITTERS + 1)] for j in range(1, SPLITTERS + 1)} if x else ()) for x in own]
+    places = []
+    for i, name in enumerate(names):
+        kind = values.schema[name].dataType.simpleString()
+        arrays = F.array(*[_array([_literal(x) for x in picked[j]] if s.name == name else [], kind) for j, s in enumerate(ranges)])
+        most = max(len(picked[j]) for j, s in enumerate(ranges) if s.name == name)
+        place = _place(F.col(f"v{i}"), F.get(arrays, F.col(f"n{i}")), most)
+        places += [F.col(f"n{i}"), F.when(F.col(f"n{i}").isNotNull(), place)]
+    # nothing is filtered before this: a filter would number every row's values once more
+    found = rows.select(F.stack(F.lit(len(names)), *places).alias("i", "place")).where("i IS NOT NULL")
     counts: list[dict[int, int]] = [{} for _ in ranges]
-    for r in found.groupBy("x.i", "x.place").count().collect():
+    for r in found.groupBy("i", "place").count().collect():
         counts[r["i"]][r["place"]] = r["count"]
     return list(zip(picked, counts))
 
@@ -174,14 +200,8 @@ def _rank_remaining(values: DataFrame, name: str, searches: list[_Search]) -> Da
     data_type = values.schema[name].dataType
     ranges = sorted({(s.below, s.rows): s for s in searches}.items())
     index = {bounds: i for i, (bounds, _) in enumerate(ranges)}
-    numbers = F.array_compact(F.array(*[F.when(_inside(s), F.lit(i)) for i, (_, s) in enumerate(ranges)]))
-    anywhere = reduce(Column.__or__, [_inside(s) for _, s in ranges])
-    counted = (
-        values.where(anywhere)
-        .select(column(name).alias("value"), F.explode(numbers).alias("range"))
-        .groupBy("range", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    rows, _ = _numbered(values, [s for _, s in ranges])
+    counted = rows.where("n0 IS NOT NULL").groupBy(F.col("n0").alias("range"), F.col("v0").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     wanted = F.array(
         *[

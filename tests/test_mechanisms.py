@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from siftwell import Constraints, Dataset, ForeignKey
+from siftwell.operators import quantiles as quantiles_module
 from siftwell.operators import rows
 from siftwell.operators.frequency import distinct_counts
 from siftwell.operators.quantiles import quantiles, rank_of
@@ -84,3 +85,16 @@ def test_a_graph_of_keys_reads_no_profile(spark):
     assert [(r.from_table, r.to_table) for r in graph.edges().collect()] == [("b", "a")]
     assert {(r.table, r.orphans) for r in graph.orphans.collect()} == {("a", 1), ("b", 1)}
     assert {(r.table, r.row_count) for r in graph.tables.collect()} == {("a", 3), ("b", 2)}
+
+
+def test_quantiles_number_ranges_by_column(spark, monkeypatch):
+    """A row is looked up once for each column, however many ranges of it are open."""
+    looked = []
+    place = quantiles_module._place
+    monkeypatch.setattr(quantiles_module, "_place", lambda *a: looked.append(a) or place(*a))
+    df = spark.range(4000).selectExpr("(id * 7919) % 4001 AS a", "id % 9 AS b")
+    ps = [i / 20 for i in range(21)]
+    found = {(r["column"], r["p"]): r["value"] for r in quantiles(df, {"a": ps, "b": ps}, rank_limit=5).collect()}
+    values = [sorted((i * 7919) % 4001 for i in range(4000)), sorted(i % 9 for i in range(4000))]
+    assert all(found[n, p] == str(v[rank_of(p, 4000)]) for n, v in zip("ab", values) for p in ps)
+    assert len(looked) <= 2 * 2 * 3 + 2  # for two columns: a range and a place of each cut, and a range to rank
