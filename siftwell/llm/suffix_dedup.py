@@ -43,6 +43,7 @@ GRAM = 20
 BLOCK = 4 << 20  # bytes of text whose contexts are told apart before they travel
 STEP = 1 << 19  # bytes of text that are hashed together
 RANGE = 4 << 20  # bytes of text per range of anchors
+BUCKET = 8 << 20  # bytes of text per bucket, where what was found of its texts is gathered
 SHARD = 1 << 20  # bytes of contexts per suffix array, which takes some eighty times as much while it is built
 CROWD = 1024  # contexts of an anchor from which it may be dealt string by string
 CROWDS = 1 << 16
@@ -321,18 +322,41 @@ def _dealt(rows: DataFrame, ranges: int, length: int, crowds) -> DataFrame:
     return rows.mapInArrow(deal, "range int, kind int, data binary")
 
 
+_PACKS = "bucket int, kind int, data binary"
 _OUT = "id long, key long, kind int, data binary"
 
 
-def _by_text(ids, keys, kind: int, doc: np.ndarray, records: np.ndarray) -> pd.DataFrame:
-    """A row for each text, its records as bytes."""
-    order = np.argsort(doc, kind="stable")
+def _by_bucket(ids: np.ndarray, keys: np.ndarray, kind: int, doc: np.ndarray, records: np.ndarray, buckets: int) -> pd.DataFrame:
+    """A row for each bucket of texts: their ids and keys, how many records each has, and the records."""
+    bucket = (mix(keys.view(np.uint64) ^ mix(ids.view(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((doc, bucket[doc]))
     doc, records = doc[order], records[order]
     begins = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    raw, width = records.tobytes(), records.itemsize
-    bounds = np.append(begins, len(doc)) * width
-    data = [raw[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-    return pd.DataFrame({"id": ids[doc[begins]], "key": keys[doc[begins]], "kind": np.int32(kind), "data": data})
+    texts, ends = doc[begins], np.append(begins, len(doc))
+    of = bucket[texts]
+    firsts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    data = [
+        _packed(ids[texts[x:y]], keys[texts[x:y]], np.diff(ends[x : y + 1]), records[ends[x] : ends[y]])
+        for x, y in zip(firsts.tolist(), [*firsts[1:].tolist(), len(texts)])
+    ]
+    return pd.DataFrame({"bucket": of[firsts], "kind": np.int32(kind), "data": pd.Series(data, dtype=object)})
+
+
+def _gathered(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket of texts, a row for each text and kind with all its records as bytes."""
+    out = []
+    for kind, some in rows.groupby("kind"):
+        parts = [_unpacked(data) for data in some["data"]]
+        ids, keys = (np.concatenate([np.repeat(p[i], p[2]) for p in parts]) for i in (0, 1))
+        records = np.concatenate([p[3] for p in parts])
+        del parts
+        order = np.lexsort((keys, ids))
+        ids, keys, raw = ids[order], keys[order], records[order].tobytes()
+        begins = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))
+        bounds = (np.append(begins, len(ids)) * records.itemsize).tolist()
+        out.append(pd.DataFrame({"id": ids[begins], "key": keys[begins], "kind": np.int32(kind), "data": [raw[x:y] for x, y in zip(bounds[:-1], bounds[1:])]}))
+    give_back()
+    return pd.concat(out)
 
 
 def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -344,9 +368,9 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meet(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _meet(key, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Contexts of one range of anchors: those in a later document go as a whole (kind 1); of anchors
-    with different contexts the earliest of each is asked for (kind 2)."""
+    with different contexts the earliest of each is asked for (kind 2). A row for each bucket of texts."""
     out, parts = [], []
     for kind, data in zip(rows["kind"], rows["data"]):
         arrays = _unpacked(data)
@@ -354,7 +378,7 @@ def _meet(key, rows: pd.DataFrame) -> pd.DataFrame:
             ids, keys, counts, start, end = arrays
             doc = np.repeat(np.arange(len(ids)), counts)
             pieces = -(-(end - start) // 255)
-            out.append(_by_text(ids, keys, 1, np.repeat(doc, pieces), _spans(start, end)))
+            out.append(_by_bucket(ids, keys, 1, np.repeat(doc, pieces), _spans(start, end), buckets))
         else:
             parts.append(arrays)
     give_back()
@@ -377,15 +401,15 @@ def _meet(key, rows: pd.DataFrame) -> pd.DataFrame:
         several = (np.add.reduceat(new.astype(np.int64), begins) > 1) & (np.minimum.reduceat(who, begins) < np.maximum.reduceat(who, begins))
         spans = np.empty(later.sum(), _SPAN)
         spans["start"], spans["size"] = start[later], size[later]
-        out.append(_by_text(ids, keys, 1, doc[later], spans))
+        out.append(_by_bucket(ids, keys, 1, doc[later], spans, buckets))
         asked = ~later & several[anchor]
         edges = np.empty(asked.sum(), _EDGE)
         edges["start"], edges["size"], edges["h"] = start[asked], size[asked], h[asked]
-        out.append(_by_text(ids, keys, 2, doc[asked], edges))
-    return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "key": pd.Series(dtype="int64"), "kind": pd.Series(dtype="int32"), "data": pd.Series(dtype=object)})
+        out.append(_by_bucket(ids, keys, 2, doc[asked], edges, buckets))
+    return pd.concat(out)
 
 
-def _sorted_out(length: int):
+def _sorted_out(length: int, buckets: int):
     def work(key, rows: pd.DataFrame) -> pd.DataFrame:
         """What the suffix array of a shard of contexts tells to go."""
         contexts, ids, keys = rows["bytes"].tolist(), rows["id"].to_numpy(), rows["key"].to_numpy()
@@ -397,7 +421,7 @@ def _sorted_out(length: int):
         begin = rows["start"].to_numpy()[owner] + found - starts[owner]
         spans = np.empty(len(found), _SPAN)
         spans["start"], spans["size"] = begin, length
-        return _by_text(ids, keys, 1, owner, spans)
+        return _by_bucket(ids, keys, 1, owner, spans, buckets)
 
     return work
 
@@ -419,8 +443,11 @@ def _spans_to_remove(rows: DataFrame, length: int) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE))
     crowds = spark.sparkContext.broadcast(_crowded(rows, length))
-    met = _dealt(rows, ranges, length, crowds).groupBy("range").applyInPandas(_meet, _OUT)
-    met = materialize(met, "met")
+    buckets = max(1, -(-size // BUCKET))
+    # found by range or shard, a text's records would be in as many rows; they are gathered before there are rows of texts
+    gathered = lambda packs: packs.groupBy("bucket").applyInPandas(_gathered, _OUT)
+    met = _dealt(rows, ranges, length, crowds).groupBy("range").applyInPandas(lambda key, part: _meet(key, part, buckets), _PACKS)
+    met = materialize(gathered(met), "met")
 
     edges = met.where("kind = 2")
     contexts = edges.agg(F.sum(F.octet_length("data"))).first()[0] or 0
@@ -445,7 +472,7 @@ def _spans_to_remove(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["shard", "id", "key", "start", "bytes"])
 
     pieces = texts.join(asked, ["id", "key"]).select("id", "key", "t", "data").mapInArrow(cut, "shard long, id long, key long, start long, bytes binary")
-    told = pieces.groupBy("shard").applyInPandas(_sorted_out(length), _OUT)
+    told = gathered(pieces.groupBy("shard").applyInPandas(_sorted_out(length, buckets), _PACKS))
     return materialize(met.where("kind = 1").unionByName(told).select("id", "key", "data"), "spans")
 
 

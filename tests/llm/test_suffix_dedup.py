@@ -86,3 +86,18 @@ def test_empty(make):
     assert found(make([])) == []
     nothing = hashlib.sha256(b"").hexdigest()
     assert found(make([(1, None), (2, "")])) == [(1, 0, 0, 0, nothing), (2, 0, 0, 0, nothing)]
+
+
+def test_rows_of_texts_do_not_grow_with_ranges(make, rows, monkeypatch):
+    """What many ranges and shards find of a text is one row for each kind."""
+    monkeypatch.setattr(suffix_dedup, "RANGE", 2_000)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 50_000)
+    tables = {}
+    keep = suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda frame, name: tables.setdefault(name, keep(frame, name)))
+    assert found(make(rows).repartition(3)) == brute(rows)
+    texts = tables["met"].select("id", "key").distinct().count()
+    assert 0 < tables["met"].count() <= 2 * texts
+    spans = tables["spans"]
+    assert 0 < spans.count() <= 2 * spans.select("id", "key").distinct().count()
