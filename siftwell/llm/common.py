@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -49,18 +50,24 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts are long: batches of fewer rows keep workers and the buffers that feed them small."""
+    rows = spark.conf.get(BATCH_CONF)
+    try:
+        spark.conf.set(BATCH_CONF, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, rows)
+
+
 def materialize(frame: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here and a lost executor costs
     nothing that was computed. Tables live until the folder is cleared."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
-    # texts are long: batches of fewer rows keep workers small while this is written
-    rows = spark.conf.get(BATCH_CONF)
-    try:
-        spark.conf.set(BATCH_CONF, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    with small_batches(spark):
         frame.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH_CONF, rows)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -4,8 +4,9 @@ A document is the set of its shingles, as 64-bit hashes. Two steps keep all pair
 
 1.  Similar documents are put into groups. Each document posts the first tokens of its set
     in a common order, a token's postings are read as one sorted run, and every document is
-    compared with the few that most of its runs begin with. Those that link, and equal sets, are
-    joined into groups.
+    compared with the few that most of its runs begin with. A common token's postings are several such runs;
+    a document that links with the first of none is compared with the first of all of them. Those that
+    link, and equal sets, are joined into groups.
 2.  The matrix: for each token, the groups in whose postings it stands, with the least and largest
     size of a set there and the token's first place in one. A document is a query to each other group that it shares
     posted tokens with. If a member links with it, the two share a part of their first tokens, how many of
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import bitmap, blocks, components, id_or_last, id_or_null, in_bitmap, materialize, partitions, shingle_sets, signed, whole_text
+from siftwell.llm.common import bitmap, blocks, components, give_back, id_or_last, id_or_null, in_bitmap, materialize, partitions, shingle_sets, signed, small_batches, whole_text
 
 WIDTH = 5
 PERCENT = 75
@@ -53,6 +54,17 @@ EXTRA = 5  # percent of a set that is posted beyond what linked sets must share
 TOKEN_BITS = 48  # of a hash that are posted: two tokens taken for one add candidates, no links
 
 
+def _repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that several sets have, sorted, and how many; the list is emptied, so that its tokens are held once."""
+    tokens = np.concatenate(sets)
+    sets.clear()
+    tokens.sort()
+    same = np.zeros(len(tokens) + 1, bool)  # as the token before
+    same[1:-1] = tokens[1:] == tokens[:-1]
+    first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+    return tokens[first], last - first + 1
+
+
 def _common_tokens(rows: DataFrame, width: int) -> np.ndarray:
     """The commonest tokens, sorted: counted over all documents within blocks of COUNTED tokens, where
     a token that only one set of a block has is left out, and summed."""
@@ -61,8 +73,8 @@ def _common_tokens(rows: DataFrame, width: int) -> np.ndarray:
         held, seen, size = [], set(), 0
 
         def several():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(signed(tokens[n > 1])), pa.array(n[n > 1].astype(np.int64))], names=["token", "n"])
+            tokens, n = _repeated(held)
+            return pa.RecordBatch.from_arrays([pa.array(signed(tokens)), pa.array(n)], names=["token", "n"])
 
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column("t")):
@@ -77,9 +89,12 @@ def _common_tokens(rows: DataFrame, width: int) -> np.ndarray:
                     held, seen, size = [], set(), 0
         if held:
             yield several()
+        del held
+        give_back()
 
     counted = rows.select("t").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 4")
-    top = counted.orderBy(F.desc("n"), "token").limit(HOT).select("token").toArrow()
+    with small_batches(rows.sparkSession):
+        top = counted.orderBy(F.desc("n"), "token").limit(HOT).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().view(np.uint64))
 
 
@@ -128,6 +143,7 @@ def _read(rows: DataFrame, common: np.ndarray, width: int, percent: int) -> Data
                     [pa.array(uids), part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(posted, pa.list_(pa.int64())), pa.array(rare, pa.int32())],
                     names=["uid", "id", "text_key", "n", "high", "low", "posted", "rare"],
                 )
+        give_back()
 
     return materialize(rows.mapInArrow(read, "uid long, id long, text_key long, n long, high long, low long, posted array<long>, rare int"), "sets")
 
@@ -243,7 +259,7 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
     # postings of tokens that several sets share
     posted = sets.where("posted IS NOT NULL").select("uid", "rare", F.posexplode("posted").alias("at", "token"))
     salt = F.when(F.col("at") >= F.col("rare"), 1 + F.pmod(F.xxhash64("uid"), F.lit(SALTS))).otherwise(0)
-    posted = posted.select("token", "uid", "at", salt.alias("salt")).repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "uid")
+    posted = posted.select("token", "uid", "at", salt.alias("salt")).repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "uid")
     shared = materialize(posted.mapInArrow(_shared, "token long, uid long, at int, center long"), "shared")
     # from here on the first of equal sets stands for all
     firsts = sets.where("n > 0").select("uid", "n").join(equal.where("a <> b").select(F.col("a").alias("uid")), "uid", "left_anti")
@@ -251,12 +267,24 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
     due = 1 + F.floor(F.col("n") * (EXTRA * percent) / 10_000)
 
     # 1. each document against those that begin most of its runs
-    counts = shared.where("uid <> center").groupBy("uid", "center").agg(F.count("*").alias("c"))
-    best = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), "center"))
-    nearest = counts.withColumn("rank", best).where(F.col("rank") <= CENTERS).join(firsts, "uid")
-    nearest = materialize(nearest.where(F.col("c") >= due).select(F.col("center").alias("g"), "uid"), "nearest")
+    def nearest_of(runs: DataFrame) -> DataFrame:
+        counts = runs.where("uid <> center").groupBy("uid", "center").agg(F.count("*").alias("c"))
+        best = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), "center"))
+        ranked = counts.withColumn("rank", best).where(F.col("rank") <= CENTERS).join(firsts, "uid")
+        return materialize(ranked.where(F.col("c") >= due).select(F.col("center").alias("g"), "uid"), "nearest")
+
+    nearest = nearest_of(shared)
     centers = nearest.select("g").distinct().withColumn("uid", F.col("g"))
-    near = _links(centers, nearest, _texts(rows, sets, centers.select("uid").unionByName(nearest.select("uid"))), width, percent)
+    texts = _texts(rows, sets, centers.select("uid").unionByName(nearest.select("uid")))
+    near = _links(centers, nearest, texts, width, percent)
+    # a common token's postings are parts by salt: who links with the first of no part is compared with the first of all parts
+    heads = shared.where("uid = center").select("token", "center")
+    parted = heads.groupBy("token").agg(F.min("center").alias("least"), F.max("center").alias("most")).where("least < most")
+    parted = parted.join(centers.select(F.col("g").alias("least")), "least", "left_semi")
+    moved = heads.join(parted, "token").where("center <> least").select("token", "center", "least")
+    alone = centers.select("uid").unionByName(nearest.select("uid")).distinct().join(near.select(F.col("a").alias("uid")).distinct(), "uid", "left_anti")
+    again = nearest_of(shared.join(alone, "uid").join(moved, ["token", "center"]).select("uid", F.col("least").alias("center")))
+    near = near.unionByName(_links(again.select("g").distinct().withColumn("uid", F.col("g")), again, texts, width, percent))
     groups = components(near.unionByName(equal))
 
     # 2. documents as queries to the other groups that they share tokens with
