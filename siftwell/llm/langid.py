@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import blocks, whole_text
+from siftwell.llm.common import blocks, give_back, whole_text
 
 WINDOW = 96
 HIDDEN = 8
@@ -250,6 +250,7 @@ def annotate(documents: DataFrame, network: Network | None, text: str = "text",
                 labels = [network.languages[b] if known else UNDETERMINED for b, known in zip(best.tolist(), letters.tolist())]
                 scores = np.where(letters, np.clip(found.max(axis=1), 0, 1), 0.0)
                 yield part.drop_columns(["letters"] if sent else ["t", "letters"]).append_column("p0", pa.array(labels, pa.string())).append_column("p1", pa.array(scores))
+        give_back()
 
     kinds = [T.StructField(f"c{i}", rows.schema[f"c{i}"].dataType) for i in range(len(names))]
     schema = T.StructType([*kinds, T.StructField("p0", T.StringType()), T.StructField("p1", T.DoubleType())])
