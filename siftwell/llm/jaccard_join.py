@@ -8,10 +8,12 @@ A document is the set of its shingles, as 64-bit hashes. Two steps keep all pair
     a document that links with the first of none is compared with the first of all of them. Those that
     link, and equal sets, are joined into groups.
 2.  The matrix: for each token, the groups in whose postings it stands, with the least and largest
-    size of a set there and the token's first place in one. A document is a query to each other group that it shares
-    posted tokens with. If a member links with it, the two share a part of their first tokens, how many of
-    how many depends on both sizes; so a group whose column has fewer of the query's tokens, or no
-    set of a fitting size, is not opened. Of the others
+    size of a set there and the token's first place in one. Of two groups that share
+    posted tokens, the documents of the one with fewer sets are queries to the other: the many near copies of a text
+    are asked by the few others, not each of them asks each of those. If a member links with a query, the two share a part of their
+    first tokens, how many of how many depends on both sizes; so a group whose column has fewer of the query's tokens, or no
+    set of a fitting size, is not opened. The part is kept small: the more tokens count as first, the more of them
+    are common ones, by which texts meet that share much and do not link. Of the others
     the union of all tokens bounds the overlap once more, and the query is compared with
     members until one links: it joins the two groups, whose other members are joined
     already, so the squares of large groups never arise.
@@ -51,6 +53,7 @@ PACK = 256  # queries that are compared with them
 CENTERS = 3  # documents that each is compared with before groups are formed
 SALTS = 16  # parts of a common token's postings
 EXTRA = 5  # percent of a set that is posted beyond what linked sets must share one of
+FIRST = 1  # percent of it that counts as such in the matrix, where more tokens bring together more sets that do not link
 TOKEN_BITS = 48  # of a hash that are posted: two tokens taken for one add candidates, no links
 
 
@@ -246,6 +249,25 @@ def _links(members: DataFrame, queries: DataFrame, texts: DataFrame, width: int,
     return materialize(found, "links")
 
 
+def _queries(shared: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Documents (g, uid) and the other groups g that the matrix does not rule out for them, from the postings
+    (token, uid, at: -1 is no place) of shared tokens and the sets (uid, n, their group g and its size). Of two groups the one
+    with fewer sets asks the other."""
+    # sizes of members that can link with n, and the overlap that sizes n and m need
+    low, high = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100)), F.least(F.col("hi"), F.floor(F.col("n") * 100 / percent))
+    need = lambda m: F.ceil((F.col("n") + m) * percent / (100 + percent))
+    some = lambda m: 1 + F.floor(F.least(F.col("n"), m) * FIRST / 100)
+    labelled = materialize(shared.where("at >= 0").select("token", "uid", "at").join(named, "uid"), "labelled")
+    matrix = labelled.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("first"), F.max("size").alias("others"))
+    across = labelled.groupBy("token").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("token")
+    matrix = materialize(matrix.join(across, "token").select("token", F.col("g").alias("other"), "lo", "hi", "first", "others"), "matrix")
+    # two sets that link share some() of the first size - need() + some() tokens of each
+    asks = (F.col("size") < F.col("others")) | ((F.col("size") == F.col("others")) & (F.col("g") < F.col("other")))
+    fits = asks & (low <= high) & (F.col("at") < F.col("n") - need(low) + some(high)) & (F.col("first") < high - need(high) + some(high))
+    met = labelled.join(matrix, "token").where(fits).groupBy("uid", "other", "n").agg(F.count("*").alias("c"), F.min(low).alias("low"))
+    return materialize(met.where(F.col("c") >= some(F.col("low"))).select(F.col("other").alias("g"), "uid"), "queries")
+
+
 def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int) -> DataFrame:
     """uid, id, text_key, n, component (a uid, null if it links with nothing)."""
     spark = documents.sparkSession
@@ -257,9 +279,12 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
     equal = sets.join(first, ["high", "low"]).select(F.col("uid").alias("a"), "b")
 
     # postings of tokens that several sets share
-    posted = sets.where("posted IS NOT NULL").select("uid", "rare", F.posexplode("posted").alias("at", "token"))
+    posted = sets.where("posted IS NOT NULL").select("uid", "n", "rare", F.posexplode("posted").alias("at", "token"))
     salt = F.when(F.col("at") >= F.col("rare"), 1 + F.pmod(F.xxhash64("uid"), F.lit(SALTS))).otherwise(0)
-    posted = posted.select("token", "uid", "at", salt.alias("salt")).repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "uid")
+    # sets that link share 1 + FIRST percent of these at least; the matrix takes no other postings, which have no place
+    widest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 + F.floor(F.col("n") * FIRST / 100)
+    place = F.when(F.col("at") < widest, F.col("at")).otherwise(-1)
+    posted = posted.select("token", "uid", place.alias("at"), salt.alias("salt")).repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "uid")
     shared = materialize(posted.mapInArrow(_shared, "token long, uid long, at int, center long"), "shared")
     # from here on the first of equal sets stands for all
     firsts = sets.where("n > 0").select("uid", "n").join(equal.where("a <> b").select(F.col("a").alias("uid")), "uid", "left_anti")
@@ -289,18 +314,9 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
 
     # 2. documents as queries to the other groups that they share tokens with
     named = firsts.join(groups, F.col("uid") == F.col("node"), "left").select("uid", "n", F.coalesce("component", "uid").alias("g"))
-    labelled = materialize(shared.select("token", "uid", "at").join(named, "uid"), "labelled")
-    matrix = labelled.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("first"))
-    across = labelled.groupBy("token").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("token")
-    matrix = materialize(matrix.join(across, "token").select("token", F.col("g").alias("other"), "lo", "hi", "first"), "matrix")
-    # sizes of members that can link with n, and the overlap that sizes n and m need
-    low, high = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100)), F.least(F.col("hi"), F.floor(F.col("n") * 100 / percent))
-    need = lambda m: F.ceil((F.col("n") + m) * percent / (100 + percent))
-    some = lambda m: 1 + F.floor(F.least(F.col("n"), m) * EXTRA / 100)
-    # two sets that link share some() of the first size - need() + some() tokens of each
-    fits = (F.col("g") < F.col("other")) & (low <= high) & (F.col("at") < F.col("n") - need(low) + some(high)) & (F.col("first") < high - need(high) + some(high))
-    met = labelled.join(matrix, "token").where(fits).groupBy("uid", "other", "n").agg(F.count("*").alias("c"), F.min(low).alias("low"))
-    queries = materialize(met.where(F.col("c") >= some(F.col("low"))).select(F.col("other").alias("g"), "uid"), "queries")
+    sizes = named.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    named = materialize(named.join(sizes, "g", "left").select("uid", "n", "g", F.coalesce("size", F.lit(1)).alias("size")), "named")
+    queries = _queries(shared, named, percent)
     members = named.select("uid", "g").join(queries.select("g").distinct(), "g")
     more = _links(members, queries, _texts(rows, sets, members.select("uid").unionByName(queries.select("uid"))), width, percent)
     final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

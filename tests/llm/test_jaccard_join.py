@@ -64,6 +64,31 @@ def test_many_near_copies(make):
     assert {r.component_id for r in jaccard_join.classes(make(rows)).collect()} == {1}
 
 
+def test_pairs_of_near_copies(make, monkeypatch):
+    """Near copies of one text, many of which link with few others or none, do not all meet each other."""
+    import random
+
+    draw = random.Random(5)
+    words = [f"n{i}" for i in range(150)]
+    rows = []
+    for i in range(1, 401):
+        own = list(words)
+        for place in draw.sample(range(150), draw.randint(1, 8)):
+            own[place] = f"z{i}x{place}"
+        rows.append((i, " ".join(own)))
+    pairs, write = [], jaccard_join.materialize
+
+    def counted(frame, name):
+        table = write(frame, name)
+        if name == "queries":
+            pairs.append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    assert found(make(rows).repartition(4)) == brute(rows)
+    assert len(pairs) == 1 and pairs[0] <= 4 * len(rows)
+
+
 def test_one_of_each(make, awkward, corpus):
     rows = awkward + corpus
     documents = make(rows)
