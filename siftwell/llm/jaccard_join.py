@@ -55,6 +55,7 @@ SALTS = 16  # parts of a common token's postings
 EXTRA = 5  # percent of a set that is posted beyond what linked sets must share one of
 FIRST = 1  # percent of it that counts as such in the matrix, where more tokens bring together more sets that do not link
 TOKEN_BITS = 48  # of a hash that are posted: two tokens taken for one add candidates, no links
+COMMON = 1 << TOKEN_BITS  # marks a posted token as a common one
 
 
 def _repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,9 @@ def _read(rows: DataFrame, common: np.ndarray, width: int, percent: int) -> Data
                     rare.append(len(tokens))
                     if len(tokens) < size:
                         tokens = np.concatenate([tokens, s[own][: size - len(tokens)]])
-                    posted.append(signed(tokens >> np.uint64(64 - TOKEN_BITS)))
+                    tokens = tokens >> np.uint64(64 - TOKEN_BITS)
+                    tokens[rare[-1] :] |= np.uint64(COMMON)
+                    posted.append(signed(tokens))
                 rareness = [15 if p is None else 15 * r // len(p) for r, p in zip(rare, posted)]  # who posts nothing comes last
                 uids = np.arange(uid, uid + len(part)) + (np.array(rareness, np.int64) << 58)
                 uid += len(part)
@@ -229,10 +232,11 @@ def _texts(rows: DataFrame, sets: DataFrame, uids: DataFrame) -> DataFrame:
             packed = pa.array([squeeze(t) for t in part.column("t").cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), packed], names=["id", "key", "t"])
 
-    some = rows.select("id", "key", "t", F.xxhash64("id", "key").alias("h")).mapInArrow(narrow, "id long, key long, t binary")
+    # repeated rows go by the columns of the join, so texts travel once
+    some = rows.select("id", "key", "t", F.xxhash64("id", "key").alias("h")).mapInArrow(narrow, "id long, key long, t binary").dropDuplicates(["id", "key"])
     named = wanted.groupBy("id", "text_key").agg(F.collect_set("uid").alias("uids"))  # one uid per task at most
     some = some.join(named, (some["id"] == named["id"]) & (some["key"] == named["text_key"]))
-    return materialize(some.select(F.explode("uids").alias("uid"), "t").dropDuplicates(["uid"]), "texts")
+    return materialize(some.select(F.explode("uids").alias("uid"), "t"), "texts")
 
 
 def _links(members: DataFrame, queries: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -258,9 +262,8 @@ def _queries(shared: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     need = lambda m: F.ceil((F.col("n") + m) * percent / (100 + percent))
     some = lambda m: 1 + F.floor(F.least(F.col("n"), m) * FIRST / 100)
     labelled = materialize(shared.where("at >= 0").select("token", "uid", "at").join(named, "uid"), "labelled")
-    matrix = labelled.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("first"), F.max("size").alias("others"))
-    across = labelled.groupBy("token").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("token")
-    matrix = materialize(matrix.join(across, "token").select("token", F.col("g").alias("other"), "lo", "hi", "first", "others"), "matrix")
+    # a group does not ask itself, so tokens of a single group need not be taken out first, which would shuffle more than it saves
+    matrix = labelled.groupBy("token", F.col("g").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("first"), F.max("size").alias("others"))
     # two sets that link share some() of the first size - need() + some() tokens of each
     asks = (F.col("size") < F.col("others")) | ((F.col("size") == F.col("others")) & (F.col("g") < F.col("other")))
     fits = asks & (low <= high) & (F.col("at") < F.col("n") - need(low) + some(high)) & (F.col("first") < high - need(high) + some(high))
@@ -303,7 +306,7 @@ def _classes(documents: DataFrame, text: str, id: str, width: int, percent: int)
     texts = _texts(rows, sets, centers.select("uid").unionByName(nearest.select("uid")))
     near = _links(centers, nearest, texts, width, percent)
     # a common token's postings are parts by salt: who links with the first of no part is compared with the first of all parts
-    heads = shared.where("uid = center").select("token", "center")
+    heads = shared.where((F.col("uid") == F.col("center")) & (F.col("token") >= COMMON)).select("token", "center")
     parted = heads.groupBy("token").agg(F.min("center").alias("least"), F.max("center").alias("most")).where("least < most")
     parted = parted.join(centers.select(F.col("g").alias("least")), "least", "left_semi")
     moved = heads.join(parted, "token").where("center <> least").select("token", "center", "least")

@@ -89,6 +89,37 @@ def test_pairs_of_near_copies(make, monkeypatch):
     assert len(pairs) == 1 and pairs[0] <= 4 * len(rows)
 
 
+def test_what_is_shuffled(spark, make, awkward, corpus, monkeypatch, capsys):
+    """Where tables are too large to be broadcast, texts travel once, the matrix is made and asked by three
+    exchanges of postings, and of the heads of runs only those of common tokens, which have several, are looked at."""
+    plans, sets, write = {}, [], jaccard_join.materialize
+
+    def seen(frame, name):
+        capsys.readouterr()
+        frame.explain()
+        plans.setdefault(name, []).append(capsys.readouterr().out)
+        table = write(frame, name)
+        if name == "sets":
+            sets.extend(table.where("posted IS NOT NULL").collect())
+        return table
+
+    monkeypatch.setattr(jaccard_join, "materialize", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert found(make(awkward + corpus).repartition(5)) == brute(awkward + corpus)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    exchanges = lambda name: [plan.count("Exchange hashpartitioning") for plan in plans.get(name, [])]
+    assert exchanges("texts") == [2, 2]  # the texts, and the rows that name them
+    # (token, group) and token for the matrix, token for who asks, the asked by group
+    assert sum(exchanges("matrix") + exchanges("queries")) == 4
+    common = 1 << jaccard_join.TOKEN_BITS
+    assert all((token >= common) == (at >= r.rare) for r in sets for at, token in enumerate(r.posted))
+    assert any(token >= common for r in sets for token in r.posted)
+    assert str(common) not in plans["nearest"][0] and str(common) in plans["nearest"][1]
+
+
 def test_one_of_each(make, awkward, corpus):
     rows = awkward + corpus
     documents = make(rows)
